@@ -136,3 +136,48 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     for k, p in enumerate(powers(width, np.uint64(0xD1342543DE82EF95))):
         total += words[k : k + n] * p
     return mixed(total)
+
+
+def row_sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum of flags over the bytes of each row."""
+    total = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=total[1:])
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def byte_set(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[np.frombuffer(chars, np.uint8)] = True
+    return out
+
+
+#: The ASCII white space that parts words: space and U+0009 to U+000D.
+SPACE = byte_set(b" \t\n\x0b\x0c\r")
+
+
+def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that sorts keys, and for each sorted place whether the same key stands before it."""
+    order = np.argsort(keys)
+    held = keys[order]
+    same = np.zeros(len(held), bool)
+    same[1:] = held[1:] == held[:-1]
+    return order, same
+
+
+def map_texts(df: DataFrame, text: str, keep: list[str], schema: str, compute, limit: int = SLICE_BYTES) -> DataFrame:
+    """keep plus the columns of ``schema``: compute(bytes, offsets) gives an arrow array for each of them.
+
+    The kept columns travel as one struct, so that their names cannot clash with those of the results; a kept column
+    that has the name of a result is dropped in its favour.
+    """
+    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+    packed = df.select(F.struct(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)]).alias("keep"), F.col(text).alias("text"))
+    kept_type = packed.schema["keep"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw, offsets in text_slices(batch, "text", limit):
+                yield pa.RecordBatch.from_arrays([part.column(0), *compute(raw, offsets)], ["keep", *names])
+
+    out = packed.mapInArrow(run, f"keep {kept_type}, {schema}")
+    return out.select(*[F.col(f"keep.k{i}").alias(k) for i, k in enumerate(keep) if k not in names], *names)
