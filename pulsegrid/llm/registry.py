@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import bpe_codec, decontaminate, quality_rules, warc
+from pulsegrid.llm import bpe_codec, decontaminate, quality_rules, simhash, warc
 from pulsegrid.llm.common import shared_dir, table
 
 
@@ -25,6 +25,10 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), bpe_codec.default_path())
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(table(spark, sf_dir, "pages"), folder)
@@ -36,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": op3_quality_rules,
         "op4_decontaminate": op4_decontaminate,
         "op7_bpe_codec": op7_bpe_codec,
+        "op8_simhash": op8_simhash,
         "op9_warc": op9_warc,
     }
 
