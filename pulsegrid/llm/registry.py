@@ -7,10 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import bpe_codec, decontaminate, quality_rules, simhash, warc
+from pulsegrid.llm import bpe_codec, decontaminate, line_dedup, quality_rules, simhash, warc
 from pulsegrid.llm.common import shared_dir, table
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -37,6 +41,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_line_dedup": op2_line_dedup,
         "op3_quality_rules": op3_quality_rules,
         "op4_decontaminate": op4_decontaminate,
         "op7_bpe_codec": op7_bpe_codec,
