@@ -135,10 +135,14 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", similarity:
 
 
 def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
-    """df with the lines that stay; a text keeps its row even if no line of it stays, and a null text stays null."""
-    dropped = classes(df, text, key, **how).where("NOT kept").groupBy(F.col("id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
-    joined = df.join(dropped, F.col(key) == F.col("_id"), "left")
+    """df with the lines that stay; a text keeps its row even if no line of it stays, and a null text stays null.
+
+    Lines are told apart by id and number, so ids have to be unique; the columns travel as one struct against clashes.
+    """
+    gone = classes(df, text, key, **how).where("NOT kept").groupBy(F.col("id").alias("gone_id")).agg(F.collect_set("line_no").alias("gone"))
+    packed = df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("row"), F.col(key).alias("id"), F.col(text).alias("own"))
+    joined = packed.join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left")
     # as in verified(), the generator keeps the split out of the lambda
-    parted = joined.withColumn("_lines", F.explode(F.array(F.split(F.col(text), "\n"))))
-    kept = F.expr(f"CASE WHEN _gone IS NULL THEN `{text}` ELSE array_join(transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> _lines[i]), '\n') END")
-    return parted.withColumn(text, kept).select(*[F.col(f"`{c}`") for c in df.columns])
+    parted = joined.withColumn("parts", F.explode(F.array(F.split("own", "\n"))))
+    kept = F.expr("CASE WHEN gone IS NULL THEN own ELSE array_join(transform(array_except(sequence(0, size(parts) - 1), gone), i -> parts[i]), '\n') END")
+    return parted.select(*[kept.alias(c) if c == text else F.col(f"row.c{i}").alias(c) for i, c in enumerate(df.columns)])
