@@ -22,6 +22,8 @@ from pulsegrid.llm.common import hash_sample, map_texts
 #: Most labelled texts of a language, and most letters of them, that an automaton is built from.
 TEXTS = 400
 LETTERS = 60_000
+#: Most letters of all languages together, which bounds the tables that are sent to the workers (512 bytes a letter).
+ALL_LETTERS = 600_000
 #: Letters that have a symbol of their own; 0 is whatever parts words, 1 any other letter.
 SYMBOLS = 64
 STRETCH = 512
@@ -92,6 +94,7 @@ class Model:
 
     def __init__(self, samples: dict[str, list[str]], letters: int = LETTERS):
         taken: dict[str, str] = {}
+        letters = min(letters, ALL_LETTERS // max(1, len(samples)))
         for lang in sorted(samples):
             held, n = [], 0
             for text in samples[lang]:

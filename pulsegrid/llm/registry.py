@@ -6,9 +6,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe_codec, decontaminate, line_dedup, quality_rules, simhash, warc
-from pulsegrid.llm.common import shared_dir, table
+from pulsegrid.llm import bpe_codec, decontaminate, language_id, line_dedup, quality_model, quality_rules, simhash, warc
+from pulsegrid.llm.common import held_out, shared_dir, table
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,19 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vectors, network = quality_model.train(documents, table(spark, sf_dir, "labels"))
+    out = quality_model.scored(documents, vectors, network)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(documents.where(~held_out()))
+    return language_id.predicted(documents, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), bpe_codec.default_path())
 
@@ -44,6 +58,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_quality_rules": op3_quality_rules,
         "op4_decontaminate": op4_decontaminate,
+        "op5_quality_model": op5_quality_model,
+        "op6_language_id": op6_language_id,
         "op7_bpe_codec": op7_bpe_codec,
         "op8_simhash": op8_simhash,
         "op9_warc": op9_warc,
