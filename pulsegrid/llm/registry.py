@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe_codec, decontaminate, language_id, line_dedup, quality_model, quality_rules, simhash, warc
+from pulsegrid.llm import bpe_codec, decontaminate, html_extract, language_id, line_dedup, quality_model, quality_rules, simhash, warc
 from pulsegrid.llm.common import held_out, shared_dir, table
 
 
@@ -53,6 +53,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": op2_line_dedup,
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_bpe_codec": op7_bpe_codec,
         "op8_simhash": op8_simhash,
         "op9_warc": op9_warc,
+        "op10_html_extract": op10_html_extract,
     }
 
 
