@@ -8,10 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe_codec, decontaminate, html_extract, language_id, line_dedup, quality_model, quality_rules, simhash, warc
+from pulsegrid.llm import bpe_codec, decontaminate, html_extract, language_id, line_dedup, quality_model, quality_rules, secret_scan, simhash, warc
 from pulsegrid.llm.common import held_out, shared_dir, table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train())
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -59,6 +63,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
         "op2_line_dedup": op2_line_dedup,
         "op3_quality_rules": op3_quality_rules,
         "op4_decontaminate": op4_decontaminate,
