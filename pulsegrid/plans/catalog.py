@@ -6,10 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pulsegrid.plans import sequence_queries, statistics_queries
+from pulsegrid.plans.binding import for_spark, with_tables
+from pulsegrid.plans.dialect import Dialect
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (statistics_queries, sequence_queries)
+
+
+def planned(text: str) -> Query:
+    """A query from SQL text over the domain tables."""
+    sql, used = for_spark(with_tables(Dialect(True), text))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(sql, **{name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in used})
+
+    return run
+
+
+def queries() -> dict[str, Query]:
+    return {name: planned(text) for module in MODULES for name, text in module.plans(Dialect(True)).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: with_tables(Dialect(False), text) for module in MODULES for name, text in module.plans(Dialect(False)).items()}
