@@ -13,13 +13,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that one numpy pass handles; its temporaries take about 12 times this.
-SLICE_BYTES = 4 << 20
+#: Text bytes that one numpy pass handles; its temporaries take up to a hundred times this.
+SLICE_BYTES = 1 << 20
+#: Rows of one Arrow batch, unless the session says otherwise.
+BATCH_ROWS = 1000
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers once, for sessions that were started without it on their path."""
+def prepare(spark: SparkSession) -> None:
+    """Bounds the Arrow batches and sends this package to the Python workers once, for sessions started without it on their path."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(context, "_pulsegrid_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -32,7 +36,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -187,4 +187,4 @@ def predicted(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
         langs, score = sent.value.predict(raw, offsets)
         return [pa.array(langs, pa.string()), pa.array(score, pa.float64())]
 
-    return map_texts(df, text, list(keep), "lang_pred string, score double", run, 2 << 20)
+    return map_texts(df, text, list(keep), "lang_pred string, score double", run)

@@ -2,10 +2,11 @@
 
 Equal lines are one node, named by a 64-bit hash. A node's signature holds the minima of its character-shingle hashes
 under several exclusive-or permutations, which behave like independent minima over random hashes. Triples of minima are
-the bands. Within each bucket all lines are compared with a pivot by the exact Jaccard similarity of their shingle sets;
-verified links are united by distributed union-find; then the next pivot follows, for the lines that are not yet in one
-component, and after ``pivots`` rounds all remaining pairs of different components. So a bucket of copies costs a row
-per line, and no pair of a bucket is left out. Of each component one line stays: the first by document and line number.
+the bands. Lines that share a bucket are compared by the exact Jaccard similarity of their shingle sets: in a bucket of at
+most ``small`` lines each with each, in a larger one first all with a pivot. Verified links are united by distributed
+union-find; then the next pivot follows, for the lines that are not yet in one component, and in the last of ``pivots``
+turns all remaining pairs of different components. So a large bucket of near copies costs a row per line, and no pair of
+a bucket that could join something is left out. Of each component one line stays: the first by document and line number.
 
 Lines without a visible character are no nodes and always stay. Null texts have no lines; a line shorter than a shingle
 is its own only shingle; equal ids and repeated rows are told apart by nothing, so all copies of the first line of a
@@ -25,6 +26,8 @@ SIMILARITY = 0.8
 PERMUTATIONS = 12
 BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 4, 8), (3, 7, 11))
 PIVOTS = 3
+#: Lines of a bucket that are all compared with each other at once; a larger bucket is compared pivot by pivot.
+SMALL = 16
 #: Most rows of (node) or (key) that are sent to all executors; beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_500_000
 VISIBLE = r"[^\x20\x09-\x0D]"
@@ -73,50 +76,56 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
     return shared.where(F.col("both") >= F.lit(similarity) * (F.col("sizes") - F.col("both"))).select("a", "b")
 
 
-def _labelled(members: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Members with their component so far."""
-    if found is None:
-        return members.withColumn("component", F.col("node"))
-    own = found.select(F.col("node").alias("_n"), "component")
-    return members.join(own, F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-
-
-def links(rows: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands=BANDS, pivots: int = PIVOTS) -> DataFrame | None:
+def links(rows: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands=BANDS, pivots: int = PIVOTS, small: int = SMALL) -> DataFrame | None:
     """Components (node, component) of the similar lines of rows (node, line); None if no bucket has two lines."""
     n = 1 + max(max(b) for b in bands)
     keyed = cut(signatures(rows, size, n).select("node", *[F.xxhash64(F.lit(k), *[F.col(f"m{j}") for j in b]).alias(f"k{k}") for k, b in enumerate(bands)]))
     spread = keyed.select("node", F.explode(F.array(*[f"k{k}" for k in range(len(bands))])).alias("key"))
     buckets = cut(spread.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"))
+    counts = buckets.agg(F.count_if(F.col("n") > 2).alias("several"), F.count_if(F.col("n") > small).alias("large")).first()
     pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    larger = buckets.where("n > 2").select("key")
-    members = cut(spread.join(_sent(larger, larger.count()), "key"))
-    wanted = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct())
+    if counts["several"]:
+        several = buckets.where("n > 2").select("key", "n", F.col("low").alias("pivot"))
+        members = cut(spread.join(_sent(several, counts["several"]), "key").select("key", "node", "n", "pivot"))
+        few = members.where(F.col("n") <= small)
+        each = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
+        pairs = pairs.unionByName(each).unionByName(members.where((F.col("n") > small) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    pairs = cut(pairs.distinct())
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     if wanted.isEmpty():
         return None
-    texts = rows.join(_sent(wanted, wanted.count()), "node").groupBy("node").agg(F.first("line").alias("line"))
-    texts = cut(texts)
-
-    edges = cut(verified(pairs.distinct(), texts, similarity, size))
-    found = None
-    for turn in range(pivots + 1):
-        live = _labelled(members, found)
-        state = live.groupBy("key").agg(F.min("node").alias("pivot"), F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high")
-        open_ = cut(live.join(state.select("key", "pivot"), "key"))
-        if open_.isEmpty():
+    texts = cut(rows.join(_sent(wanted, wanted.count()), "node").groupBy("node").agg(F.first("line").alias("line")))
+    edges = cut(verified(pairs, texts, similarity, size))
+    found = components(edges)
+    if not counts["large"]:
+        return found
+    live = members.where((F.col("n") > small) & (F.col("node") != F.col("pivot"))).select("key", "node")
+    for turn in range(pivots):
+        live, some = _remaining(live, found, turn == pivots - 1)
+        if some is None:
             break
-        if turn < pivots:  # all against one
-            at = open_.where("node = pivot").select("key", F.col("component").alias("_own"))
-            some = open_.join(at, "key").where("component <> _own").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-            members = open_.where("node <> pivot").select("key", "node")
-        else:  # whatever is left, all against all of other components
-            one = open_.select("key", F.col("node").alias("a"), F.col("component").alias("_c"))
-            two = open_.select("key", F.col("node").alias("b"), F.col("component").alias("_d"))
-            some = one.join(two, "key").where("a < b AND _c <> _d").select("a", "b")
-        fresh = cut(verified(some.distinct(), texts, similarity, size))
-        if not fresh.isEmpty() or found is None:
+        fresh = cut(verified(some, texts, similarity, size))
+        if not fresh.isEmpty():
             edges = edges.unionByName(fresh)
             found = components(edges)
-    return found if found is not None else components(edges)
+    return found
+
+
+def _remaining(live: DataFrame, found: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Members of the buckets that still hold more than one component, but for the next pivot; and the pairs to compare:
+    the pivot with all of other components, or in the last turn all with all of other components."""
+    own = found.select(F.col("node").alias("_n"), "component")
+    live = live.join(own, F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = live.groupBy("key").agg(F.min_by("component", "node").alias("_own"), F.min("node").alias("pivot"), F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high")
+    live = cut(live.join(mixed.select("key", "pivot", "_own"), "key"))
+    if live.isEmpty():
+        return live, None
+    if last:
+        two = live.select("key", F.col("node").alias("b"), F.col("component").alias("_d"))
+        some = live.select("key", F.col("node").alias("a"), "component").join(two, "key").where("a < b AND component <> _d").select("a", "b")
+    else:
+        some = live.where("component <> _own").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    return live.where("node <> pivot").select("key", "node"), cut(some.distinct())
 
 
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, size: int = SHINGLE, **how) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import SPACE, cut, map_texts, rows_of, runs
+from pulsegrid.llm.common import SLICE_BYTES, SPACE, cut, map_texts, rows_of, runs
 from pulsegrid.llm.components import components
 from pulsegrid.llm.decontaminate import LOWER
 
@@ -100,7 +100,7 @@ def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE
     h = xxh64(joined, to[begin], to[last] + sizes[last], seed)
     filled = np.flatnonzero(pieces)
     bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    sums = np.add.reduceat(bits, (np.cumsum(pieces) - pieces)[filled], axis=0, dtype=np.int64)
+    sums = np.add.reduceat(bits, (np.cumsum(pieces) - pieces)[filled], axis=0, dtype=np.int32)
     over = sums * 2 > pieces[filled, None]
     out[filled] = np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
     return out
@@ -127,7 +127,7 @@ def _piece(fp: Column, at: int, width: int) -> Column:
 
 def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep plus fp, the fingerprint as a signed long."""
-    return map_texts(df, text, list(keep), "fp bigint", lambda raw, offsets: [pa.array(fingerprints_of(raw, offsets).view(np.int64))])
+    return map_texts(df, text, list(keep), "fp bigint", lambda raw, offsets: [pa.array(fingerprints_of(raw, offsets).view(np.int64))], SLICE_BYTES // 2)
 
 
 def _keyed(nodes: DataFrame, distance: int, probing: bool) -> DataFrame:
