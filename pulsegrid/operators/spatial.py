@@ -1,0 +1,104 @@
+"""Joins by distance: equi-joins on cells as wide as the radius, then an exact distance filter.
+
+The side that is looked up is copied to its neighbouring cells; the other side, which may be large and dense, is never
+copied. Both sides meet in a shuffle on the cell, whose hot cells the adaptive planner splits; nothing is broadcast
+unless Spark finds it small. The boundary belongs to the radius, and ties go to the smaller id.
+"""
+
+from __future__ import annotations
+
+from itertools import product
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def _cells(axes: list[str], radius: float, prefix: str = "") -> list[Column]:
+    return [F.floor(F.col(f"{prefix}{a}") / F.lit(radius)).cast("bigint") for a in axes]
+
+
+def cell_join(left: DataFrame, right: DataFrame, radius: float, axes: tuple[str, ...] = ("x", "y"), how: str = "inner") -> DataFrame:
+    """Pairs within radius with their distance; columns of right get the prefix r_. ``how`` is inner, left or left_semi."""
+    axes = list(axes)
+    keys = [f"_c{k}" for k in range(len(axes))]
+    near = F.array(*[F.struct(*[F.lit(o).cast("bigint").alias(k) for k, o in zip(keys, step, strict=True)]) for step in product((-1, 0, 1), repeat=len(axes))])
+    spread = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn("_o", F.explode(near))
+    for k, cell in zip(keys, _cells(axes, radius, "r_"), strict=True):
+        spread = spread.withColumn(f"r{k}", cell + F.col(f"_o.{k}"))
+    spread = spread.drop("_o")
+    own = left
+    for k, cell in zip(keys, _cells(axes, radius), strict=True):
+        own = own.withColumn(k, cell)
+    square = sum(((F.col(a) - F.col(f"r_{a}")) * (F.col(a) - F.col(f"r_{a}")) for a in axes), F.lit(0.0))
+    match = square <= F.lit(float(radius) * float(radius))
+    for k in keys:
+        match = match & (F.col(k) == F.col(f"r{k}"))
+    out = own.join(spread, match, how)
+    if how == "left_semi":
+        return out.select(*left.columns)
+    return out.withColumn("dist", F.sqrt(square)).drop(*keys, *[f"r{k}" for k in keys])
+
+
+def knn(left: DataFrame, right: DataFrame, k: int, radius: float, left_id: str, right_id: str, axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """The k nearest rows of right for each row of left, within the radius; rows without one are absent."""
+    order = Window.partitionBy(left_id).orderBy("dist", f"r_{right_id}")
+    return cell_join(left, right, radius, axes).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def idw(left: DataFrame, right: DataFrame, value: str, k: int, power: float, radius: float, left_id: str, right_id: str, least: int = 1) -> DataFrame:
+    """Inverse-distance weighted value of the k nearest; a coincident row gives its own value."""
+    near = knn(left, right, k, radius, left_id, right_id)
+    weight = 1 / F.pow(F.greatest("dist", F.lit(1e-12)), F.lit(float(power)))
+    out = near.groupBy(left_id).agg(
+        F.count("*").alias("n"), F.min("dist").alias("nearest"), F.min_by(f"r_{value}", F.struct("dist", f"r_{right_id}")).alias("first_value"), (F.sum(F.col(f"r_{value}") * weight) / F.sum(weight)).alias("blend")
+    )
+    return out.where(F.col("n") >= least).select(left_id, "n", "nearest", F.when(F.col("nearest") == 0, F.col("first_value")).otherwise(F.col("blend")).alias("value"))
+
+
+def radius_counts(points: DataFrame, radius: float, id_column: str, axes: tuple[str, ...] = ("x", "y", "refh")) -> DataFrame:
+    """Neighbours within radius of each point, itself included."""
+    right = points.select(F.col(id_column), *axes)
+    return cell_join(points.select(id_column, *axes), right, radius, axes).groupBy(id_column).agg(F.count("*").alias("n"))
+
+
+def neighbourhood(left: DataFrame, right: DataFrame, value: str, radius: float, left_id: str, least: int = 1) -> DataFrame:
+    """Count, median, NMAD and outer percentiles of value around each row of left."""
+    pairs = cell_join(left, right, radius).select(left_id, F.col(f"r_{value}").alias("v"))
+    centre = pairs.withColumn("m", F.percentile("v", F.lit(0.5)).over(Window.partitionBy(left_id)))
+    out = centre.groupBy(left_id).agg(
+        F.count("*").alias("n"), F.max("m").alias("med"), (1.4826 * F.percentile(F.abs(F.col("v") - F.col("m")), F.lit(0.5))).alias("nmad"), F.percentile("v", F.lit(0.05)).alias("p05"), F.percentile("v", F.lit(0.95)).alias("p95")
+    )
+    return out.where(F.col("n") >= least)
+
+
+def majority(left: DataFrame, right: DataFrame, label: str, k: int, radius: float, left_id: str, right_id: str, strict: float = 0.75, weak: float = 0.5) -> DataFrame:
+    """Commonest label of the k nearest; ties go to the smallest label. Status 0 strict, 1 weak, 3 ambiguous."""
+    near = knn(left, right, k, radius, left_id, right_id)
+    votes = near.groupBy(left_id, F.col(f"r_{label}").alias("label")).agg(F.count("*").alias("votes"))
+    total = Window.partitionBy(left_id)
+    best = votes.withColumn("n", F.sum("votes").over(total)).withColumn("pos", F.row_number().over(total.orderBy(F.desc("votes"), "label"))).where("pos = 1")
+    ratio = F.col("votes") / F.col("n")
+    return best.select(left_id, "label", ratio.alias("ratio"), F.when(ratio >= strict, 0).when(ratio > weak, 1).otherwise(3).cast("bigint").alias("status"))
+
+
+def plane_fit(left: DataFrame, right: DataFrame, value: str, k: int, radius: float, left_id: str, right_id: str, least: int = 6) -> DataFrame:
+    """Least-squares plane through the k nearest, evaluated at each row of left: value, slope in degrees, residual RMS."""
+    near = knn(left, right, k, radius, left_id, right_id).withColumn("u", F.col("r_x") - F.col("x")).withColumn("w", F.col("r_y") - F.col("y")).withColumn("z", F.col(f"r_{value}"))
+    s = near.groupBy(left_id).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in "uwz"], *[F.covar_pop(a, b).alias(f"s{a}{b}") for a, b in ("uu", "uw", "ww", "uz", "wz", "zz")])
+    det = F.col("suu") * F.col("sww") - F.col("suw") * F.col("suw")
+    a = F.when(F.abs(det) > 1e-9, (F.col("suz") * F.col("sww") - F.col("swz") * F.col("suw")) / det)
+    b = F.when(F.abs(det) > 1e-9, (F.col("swz") * F.col("suu") - F.col("suz") * F.col("suw")) / det)
+    fitted = s.where(F.col("n") >= least).withColumn("a", a).withColumn("b", b).where("a IS NOT NULL")
+    return fitted.select(left_id, "n", (F.col("z") - F.col("a") * F.col("u") - F.col("b") * F.col("w")).alias("value"), F.degrees(F.atan(F.sqrt(F.col("a") ** 2 + F.col("b") ** 2))).alias("slope"), F.sqrt(F.greatest(F.lit(0.0), F.col("szz") - F.col("a") * F.col("suz") - F.col("b") * F.col("swz"))).alias("rms"))
+
+
+def in_polygon(points: DataFrame, polygons: DataFrame, left_id: str, polygon_id: str = "roi_id") -> DataFrame:
+    """Polygon of each point by crossing number; a point in several is ambiguous. polygons has an array column ``ring`` of
+    (x, y) structs, which may be closed or open. Bounding boxes cut the candidates first."""
+    box = polygons.select(
+        F.col(polygon_id).alias("p_id"), "ring", *[f(F.col("ring")[c]).alias(n) for n, f, c in (("x0", F.array_min, "x"), ("x1", F.array_max, "x"), ("y0", F.array_min, "y"), ("y1", F.array_max, "y"))]
+    )
+    pairs = points.join(box, (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1")))
+    crossings = F.expr("""aggregate(sequence(0, size(ring) - 1), 0, (n, i) -> n + CASE WHEN (ring[i].y > y) <> (ring[(i + 1) % size(ring)].y > y)
+        AND x < (ring[(i + 1) % size(ring)].x - ring[i].x) * (y - ring[i].y) / (ring[(i + 1) % size(ring)].y - ring[i].y) + ring[i].x THEN 1 ELSE 0 END)""")
+    return pairs.where(crossings % 2 == 1).groupBy(left_id).agg(F.count("*").alias("n"), F.min("p_id").alias("first_id")).select(left_id, F.when(F.col("n") == 1, F.col("first_id")).alias(polygon_id), (F.col("n") > 1).alias("ambiguous"))
