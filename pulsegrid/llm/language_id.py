@@ -1,7 +1,7 @@
 """Language identification by cross-parsing entropy over suffix automata.
 
 ``train`` builds one suffix automaton for each language from labelled text. A text is then parsed against each of them:
-from each place the longest match is one phrase, and the next phrase starts at the letter that broke it. The language
+from each place the longest match (or one letter that never occurs) is a phrase, and the next phrase starts behind it. The language
 that needs the fewest phrases per letter wins; near-equal counts go to the language that comes first by name. Automata
 are dense tables over a small alphabet of the commonest letters, so that numpy steps through many stretches of text at
 once. Texts are parsed whole, in stretches of ``STRETCH`` letters, each of which begins a phrase.
@@ -114,15 +114,17 @@ class Model:
         self.symbol = np.where(_letters(), 1, 0).astype(np.uint8)
         chosen = order[counts[order] > 0]
         self.symbol[chosen] = np.arange(2, 2 + len(chosen), dtype=np.uint8)
-        tables, self.roots, base = [], [], 0
+        tables, self.starts, base = [], [], 0
         for text in taken.values():
             table = automaton(_to_words(self.encode(codes(text))), SYMBOLS)
-            # a miss starts the next phrase with the letter that broke the match: its own state, marked by the sign
-            restart = np.where(table[0] < 0, 0, table[0])
+            # a miss, marked by the sign, starts the next phrase with the letter that broke the match; a letter that the
+            # language lacks leads to the last state, where every letter starts a phrase
+            table = np.concatenate([table, np.full((1, SYMBOLS), -1, np.int32)])
+            restart = np.where(table[0] < 0, len(table) - 1, table[0])
             table = np.where(table < 0, ~(restart[None, :] + base), table + base)
             tables.append(table.astype(np.int32))
-            self.roots.append(base)
             base += len(table)
+            self.starts.append(base - 1)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
     def encode(self, points: np.ndarray) -> np.ndarray:
@@ -139,9 +141,9 @@ class Model:
         row, start, length = row[order], start[order], length[order]
         out = np.zeros((n, len(self.langs)), np.int64)
         shrinking = np.searchsorted(-length, -np.arange(1, STRETCH + 1), "right")  # pieces that are at least so long
-        for k, root in enumerate(self.roots):
-            state = np.full(len(row), root, np.int32)
-            count = np.ones(len(row), np.int32)
+        for k, first in enumerate(self.starts):
+            state = np.full(len(row), first, np.int32)
+            count = np.zeros(len(row), np.int32)
             for step in range(STRETCH):
                 live = shrinking[step]
                 if not live:

@@ -1,0 +1,239 @@
+"""Corpus operators on whole texts against plain versions, with nulls, empty and long texts, repeats and clashing names."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from pulsegrid.llm import bpe_codec, decontaminate, html_extract, language_id, quality_model, quality_rules, secret_scan, simhash, warc
+from pulsegrid.llm.common import prepare
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+TEXTS = [None, "", " \n\t ", "one", "The Same line here\nthe other\nThe Same line here\n\n", "a b c d e f g h " * 5, "é" * 300 + " ü ß", "A,b;C 9z # $ & | <x>\r\nA,b;C", "word " * 3000, "the the the the", "the the the the"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    prepare(spark)
+    rows = [(i, t, "x" if i % 2 else None, i * 1.5) for i, t in enumerate(TEXTS)] + [(None, "no id at all", None, None)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, n_words string, keep double")
+
+
+def test_statistics(docs):
+    for r in quality_rules.text_statistics(docs, keep=("doc_id", "text", "keep", "n_words")).collect():
+        x = r["text"] or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", x)
+        windows = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
+        counts, hit, seen, dup = Counter(windows), set(), set(), 0
+        for k, w in enumerate(windows):
+            if counts[w] > 1:
+                hit.update(range(k, k + 8))
+        for line in x.split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                dup += line in seen
+                seen.add(line)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in x), dup, len(hit))
+
+
+def test_rules_are_learned_and_applied(spark):
+    random_ = np.random.default_rng(0)
+    x = {f: random_.random(600) for f in quality_rules.FEATURES}
+    bad = (x["symbol_rate"] > 0.7) & (x["upper_rate"] > 0.3)
+    found = quality_rules.learn(x, bad)
+    assert (found.covers(x) == bad).mean() > 0.97
+    assert quality_rules.learn(x, np.zeros(600, bool)).rules == []
+
+
+def test_rules_without_labels(spark, docs):
+    labels = spark.createDataFrame([], "doc_id bigint, quality int")
+    out, found = quality_rules.judged(docs, labels)
+    assert not found.rules and out.where("NOT base_failed AND NOT kept").count() == 0 and out.count() == docs.count()
+    assert quality_rules.judged(docs.limit(0), labels)[0].count() == 0
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 10])
+def test_decontamination(spark, docs, limit):
+    items = [("1", "a b c d e f g h a b c d e f"), ("2", "THE other"), (None, "word word"), ("3", ""), ("4", None), ("5", "9Z"), ("5", "c 9z"), ("6", "é" * 300)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = {}
+    for i, t in items:
+        w = pattern.findall((t or "").translate(LOW))
+        m = min(13, len(w))
+        for k in range(len(w) - m + 1 if m else 0):
+            windows.setdefault(tuple(w[k : k + m]), set()).add(i)
+    got = decontaminate.scan(docs, bench, ("doc_id", "text", "keep"), limit=limit).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        w = pattern.findall((r["text"] or "").translate(LOW))
+        hit, found = set(), set()
+        for m in {len(p) for p in windows}:
+            for k in range(len(w) - m + 1):
+                if own := windows.get(tuple(w[k : k + m])):
+                    hit.update(range(k, k + m))
+                    found |= own
+        found.discard(None)
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (len(w), len(hit), len(found), bool(hit) and 20 * len(hit) >= len(w))
+        assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+
+
+def test_decontamination_without_a_benchmark(spark, docs):
+    got = decontaminate.scan(docs, spark.createDataFrame([], "item_id bigint, text string"))
+    assert got.where("contaminated").count() == 0 and got.count() == docs.count()
+
+
+def test_codec_equals_the_library(spark, docs):
+    from tokenizers import Tokenizer
+
+    path = bpe_codec.default_path()
+    plain = Tokenizer.from_file(path)
+    codec = bpe_codec.Codec(path)
+    alphabets = ["abcdefghij", "the and ing er", "'s't're##!!..", "0123456789", "éèñßü", "日本語漢字", "İΣσς ", "<|endoftext|> ", "\x1c\x85 \n\t", "é‍👍🏽"]
+    rng = random.Random(5)
+    for _ in range(400):
+        text = "".join(rng.choice(rng.choice(alphabets[: rng.randint(1, len(alphabets))])) if rng.random() < 0.9 else rng.choice(["the", "tion", "'ll", "<|startoftext|>", "!!!"]) for _ in range(rng.randint(0, 300)))
+        codec.leaf = rng.choice([2, 3, 8, 32])
+        codec.memo.clear()
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert codec.encode_many([text])[0] == want
+        assert codec.decode(want) == plain.decode(want, skip_special_tokens=False)
+    for r in bpe_codec.digests(docs, path, keep="doc_id").join(docs.select("doc_id", "text"), "doc_id").collect():
+        ids = plain.encode(r["text"] or "", add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    assert bpe_codec.encode_decode(docs, path).where("doc_id = 0").first()["ids"] == []
+
+
+def fingerprint(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 4]).encode(), seed=42) for k in range(max(1, len(w) - 3))]
+    return sum(1 << b for b in range(64) if sum(v >> b & 1 for v in h) * 2 > len(h))
+
+
+def classes(prints, ids):
+    parent = {f: f for f in prints}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in parent:
+        for b in parent:
+            if bin(a ^ b).count("1") <= 4:
+                p, q = find(a), find(b)
+                parent[max(p, q)] = min(p, q)
+    least = {}
+    for f, i in zip(prints, ids, strict=True):
+        if i is not None:
+            least[find(f)] = min(least.get(find(f), i), i)
+    return [least.get(find(f)) for f in prints]
+
+
+@pytest.mark.parametrize("hot", [256, 1])
+def test_simhash_classes(spark, hot):
+    rng = random.Random(1)
+    base = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rng.randint(0, 40)) for _ in range(200)) for _ in range(6)]
+    texts = []
+    for k, b in enumerate(base):
+        for n in range(5):
+            w = b.split()
+            for _ in range(n // 2):
+                w[rng.randrange(len(w))] = "changed"
+            texts.append(" ".join(w))
+    texts += TEXTS
+    rows = list(enumerate(texts)) + [(None, texts[0]), (7, texts[7])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.classes(df, hot=hot).collect())
+    prints = [fingerprint(t) for _, t in rows]
+    want = sorted((-1 if i is None else i, f"{f:016x}", c) for (i, _), f, c in zip(rows, prints, classes(prints, [i for i, _ in rows]), strict=True))
+    assert got == want
+    assert simhash.classes(df.limit(0)).count() == 0
+
+
+def test_language_id(spark, docs):
+    rng = random.Random(2)
+    words = {"aa": ["kala", "muna", "tiko", "sare"], "bb": ["schro", "fetz", "gluck", "pfanz"]}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(60)), lang) for i in range(60) for lang in ("aa", "bb")]
+    df = spark.createDataFrame([*rows, (900, None, "aa"), (901, "123 !!", None)], "doc_id bigint, text string, lang string")
+    model = language_id.train(df)
+    got = {(r["doc_id"], r["lang"]): r for r in language_id.predicted(df, model, ("doc_id", "lang")).collect()}
+    assert all(got[i, lang]["lang_pred"] == lang for i, _, lang in rows)
+    assert got[900, "aa"]["lang_pred"] == got[901, None]["lang_pred"] == "und" and all(0 <= r["score"] <= 1 for r in got.values())
+    empty = language_id.train(df.limit(0))
+    assert {r["lang_pred"] for r in language_id.predicted(docs, empty).collect()} == {"und"}
+
+
+def test_cross_parsing_counts_longest_matches():
+    model = language_id.Model({"x": ["abcabdabe" * 3]})
+    symbols = model.encode(language_id.codes("abdabxcab"))
+    state, count = model.starts[0], 0
+    table = model.table.reshape(-1, language_id.SYMBOLS)
+    for c in symbols:
+        to = table[state, c]
+        count += to < 0
+        state = ~to if to < 0 else to
+    assert model.phrases(symbols, np.array([0, len(symbols)]))[0, 0] == count == 3
+
+
+def test_quality_model(spark, docs):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["calm", "river", "stone", "light", "music"]) for _ in range(40)) if i % 2 else "BUY!! NOW!! " * 15, i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    vectors, net = quality_model.train(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+    got = {r["doc_id"]: r["score"] for r in quality_model.scored(df, vectors, net).collect()}
+    assert all((got[i] >= 0.3) == bool(q) for i, _, q in rows)
+    assert all(0 <= r["score"] <= 1 for r in quality_model.scored(docs, vectors, net).collect())
+    flat = quality_model.fit(np.zeros((0, quality_model.FEATURES)), np.zeros(0))
+    assert flat.score(np.zeros((1, quality_model.FEATURES)))[0] == pytest.approx(0.5)
+
+
+def test_secret_scan(spark):
+    forest = secret_scan.train()
+    fresh = secret_scan.labelled_findings(300, seed=77)
+    x = np.array([secret_scan.features(f.text, f.start, f.end, f.kind, f.path) for f in fresh])
+    assert ((forest.score(x) >= 0.5) == np.array([f.secret for f in fresh])).mean() > 0.95
+    key = hashlib.sha1(b"k").hexdigest()
+    df = spark.createDataFrame([(1, f'é set token = "{key}" here', "a"), (2, None, None), (3, "", None), (4, f"commit {key} done", "b"), (1, f'é set token = "{key}" here', "a")], "doc_id bigint, text string, kind string")
+    got = secret_scan.scan(df, forest).collect()
+    assert sorted((r["doc_id"], r["start"], r["length"], r["is_secret"]) for r in got) == [(1, 15, 40, True), (1, 15, 40, True), (4, 7, 40, False)]
+    assert secret_scan.scan(df.limit(0), forest).count() == 0
+
+
+def test_warc_round_trip(spark, tmp_path):
+    rows = [(1, "http://a/é b", "x" * 1000), (2, "http://a", "x" * 1000), (3, None, None), (None, "u", "y" * 500), (None, "u", "y" * 500), (7, "q", "\r\n\r\nWARC/1.1\r\n" * 900), (8, "%41", "short"), (9, "%41", "short")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("record_type", F.lit(3))
+    warc.write(df, str(tmp_path / "w"), segment=100, records=7)
+    got = warc.read(spark, str(tmp_path / "w")).collect()
+    assert len(got) == len(rows) and all(r["complete"] for r in got)
+    want = sorted((str(i), str(u), len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest()) for i, u, h in rows)
+    assert sorted((str(r["page_id"]), str(r["url"]), r["payload_bytes"], r["payload_digest"]) for r in got) == want
+    assert [(r["page_id"], r["refers_to"]) for r in got if r["record_type"] == "revisit"] == [(2, 1)]
+    assert {bytes(r["payload"]) for r in got if r["page_id"] == 7} == {rows[5][2].encode()}
+    warc.write(df.limit(0), str(tmp_path / "e"))
+    assert warc.read(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_warc_missing_segments():
+    rows = [warc._parsed(f, b) for record in warc.records_of(1, "u", b"z" * 500, hashlib.sha256(b"z" * 500).hexdigest(), None, 100) for f, b in warc.parse(record)]
+    assert warc.assemble(rows)[0][4:7] == (500, hashlib.sha256(b"z" * 500).hexdigest(), True)
+    for gone in range(1, len(rows)):
+        assert warc.assemble(rows[:gone] + rows[gone + 1 :])[0][6] is False
+    assert warc.unchunked(b"5\r\nabc") is None and warc.unchunked(warc.chunked(b"abc", 2)) == b"abc"
+
+
+def test_html_extraction(spark):
+    page = """<html><body class="has-sidebar"><header><h1>Site</h1></header><div id="top-menu"><a href=x>Menu</a></div><div class=cookieNotice>We use cookies</div><article class="post">
+    <h1>Title &amp; more</h1><p>One <b>two</b>three<p>four &nbsp; five<br>six<ul><li>a<li>b</ul><aside>no</aside><form><input>no</form><div class="ad-2">buy</div><section id="comments"><article class=comment>first!</article></section></article>
+    <div class="sidebar">x</div><footer>f</footer><script>if(a<b){"</p>"}</script>"""
+    assert html_extract.main_text(page) == "Title & more One twothree four five six a b"
+    assert html_extract.main_text("") == "" and html_extract.main_text("<p") == "" and html_extract.main_text("a < b &lt;") == "a < b <"
+    rows = [(i, f"http://x.com/{i}", f"<html><body><div class=q1>Home About</div><div class=q2><div class=q3>story {i} text {'z' * i}</div></div><div class=q4>All rights</div></body></html>") for i in range(6)] + [(99, None, None), (0, "http://x.com/0", page)]
+    got = {(r["page_id"], r["url"]): r for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[5, "http://x.com/5"]["text"] == "story 5 text zzzzz" and got[99, None]["n_chars"] == 0
