@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.common import cut
 
 
+def _followed(p: DataFrame) -> DataFrame:
+    """Parents replaced by their parents, where they have one."""
+    up = p.select(F.col("node").alias("_n"), F.col("parent").alias("_up"))
+    return p.join(up, F.col("parent") == F.col("_n"), "left").select("node", F.coalesce("_up", "parent").alias("parent"), F.col("_up").isNotNull().alias("moved"))
+
+
 def _rooted(p: DataFrame) -> DataFrame:
-    """Parents replaced by their parents until all are roots."""
+    """Parents followed until all are roots; depth halves with each turn."""
     while True:
-        up = p.select(F.col("node").alias("_n"), F.col("parent").alias("_up"))
-        p = cut(p.join(up, F.col("parent") == F.col("_n"), "left").select("node", F.coalesce("_up", "parent").alias("parent"), F.col("_up").isNotNull().alias("moved")))
-        moved = not p.where("moved").isEmpty()
+        p = cut(_followed(p))
+        moved = p.agg(F.count_if("moved")).first()[0]
         p = p.select("node", "parent")
         if not moved:
             return p
@@ -37,7 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the smallest node that can be reached."""
     edges = cut(_ordered(edges.where("a IS NOT NULL AND b IS NOT NULL")))
     rounds = []
-    while not edges.isEmpty():
+    while edges.agg(F.count("*")).first()[0]:
         p = _rooted(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")))
         rounds.append(p)
         edges = cut(_ordered(_relabel(_relabel(edges, p, "a"), p, "b")))

@@ -2,11 +2,12 @@
 
 Equal lines are one node, named by a 64-bit hash. A node's signature holds the minima of its character-shingle hashes
 under several exclusive-or permutations, which behave like independent minima over random hashes. Triples of minima are
-the bands. Lines that share a bucket are compared by the exact Jaccard similarity of their shingle sets: in a bucket of at
-most ``small`` lines each with each, in a larger one first all with a pivot. Verified links are united by distributed
-union-find; then the next pivot follows, for the lines that are not yet in one component, and in the last of ``pivots``
-turns all remaining pairs of different components. So a large bucket of near copies costs a row per line, and no pair of
-a bucket that could join something is left out. Of each component one line stays: the first by document and line number.
+the bands; pairs that agree in too few minima are passed over, all others are compared by the exact Jaccard similarity
+of their shingle sets. In a bucket of at most ``small`` lines each meets each; in a larger one first all meet a pivot,
+verified links are united by distributed union-find, the next pivot follows for the lines that are not yet in one
+component, and after ``pivots`` turns all remaining pairs of different components meet. So a large bucket of near copies
+costs a row per line, and no pair of a bucket that could join something is left out. Of each component one line stays:
+the first by document and line number.
 
 Lines without a visible character are no nodes and always stay. Null texts have no lines; a line shorter than a shingle
 is its own only shingle; equal ids and repeated rows are told apart by nothing, so all copies of the first line of a
@@ -25,7 +26,10 @@ SHINGLE = 12
 SIMILARITY = 0.8
 PERMUTATIONS = 12
 BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 4, 8), (3, 7, 11))
-PIVOTS = 3
+PIVOTS = 1
+#: Minima, of PERMUTATIONS, in which two lines must agree before their sets are compared; of lines just similar enough
+#: one pair in 16,000 agrees in fewer.
+AGREEING = 4
 #: Lines of a bucket that are all compared with each other at once; a larger bucket is compared pivot by pivot.
 SMALL = 16
 #: Most rows of (node) or (key) that are sent to all executors; beyond it both sides are shuffled.
@@ -60,27 +64,34 @@ def _sent(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _set(units: str, size: int) -> Column:
-    return F.array_distinct(F.expr(f"transform(sequence(0, greatest(cast(length({units}) / 2 as int) - {size}, 0)), i -> {_shingle(units, 'i', size)})"))
+def _set(line: str, size: int) -> Column:
+    return F.when(F.length(line) < size, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))))
+
+
+def _agreeing(pairs: DataFrame, signed: DataFrame, n: int, least: int) -> DataFrame:
+    """Pairs (a, b) of which at least ``least`` of the n minima agree."""
+    one = signed.select(F.col("node").alias("a"), *[F.col(f"m{k}").alias(f"x{k}") for k in range(n)])
+    two = signed.select(F.col("node").alias("b"), *[F.col(f"m{k}").alias(f"y{k}") for k in range(n)])
+    same = sum(((F.col(f"x{k}") == F.col(f"y{k}")).cast("int") for k in range(n)), F.lit(0))
+    return pairs.join(one, "a").join(two, "b").where(same >= least).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """Pairs (a, b) of nodes whose shingle sets have at least the similarity."""
     one = texts.select(F.col("node").alias("a"), F.col("line").alias("x"))
     two = texts.select(F.col("node").alias("b"), F.col("line").alias("y"))
-    both = pairs.join(one, "a").join(two, "b").where(F.least(F.length("x"), F.length("y")) >= (similarity / 2) * F.greatest(F.length("x"), F.length("y")) - size)
-    # the generator keeps the encoding out of the lambda, where it would run once for each shingle
-    encoded = both.select("a", "b", F.explode(F.array(F.struct(F.encode("x", "UTF-16BE").alias("x"), F.encode("y", "UTF-16BE").alias("y")))).alias("u"))
-    sets = encoded.select("a", "b", _set("u.x", size).alias("p"), _set("u.y", size).alias("q"))
-    shared = sets.select("a", "b", F.size(F.array_intersect("p", "q")).alias("both"), (F.size("p") + F.size("q")).alias("sizes"))
-    return shared.where(F.col("both") >= F.lit(similarity) * (F.col("sizes") - F.col("both"))).select("a", "b")
+    both = pairs.join(one, "a").join(two, "b")
+    # the generator keeps the sets from being made once for each use
+    sets = both.select("a", "b", F.explode(F.array(F.struct(_set("x", size).alias("p"), _set("y", size).alias("q")))).alias("s"))
+    # |both| >= t * |either|, with each set size used once
+    return sets.where((1 + similarity) * F.size(F.array_intersect("s.p", "s.q")) >= similarity * (F.size("s.p") + F.size("s.q"))).select("a", "b")
 
 
 def links(rows: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands=BANDS, pivots: int = PIVOTS, small: int = SMALL) -> DataFrame | None:
     """Components (node, component) of the similar lines of rows (node, line); None if no bucket has two lines."""
     n = 1 + max(max(b) for b in bands)
-    keyed = cut(signatures(rows, size, n).select("node", *[F.xxhash64(F.lit(k), *[F.col(f"m{j}") for j in b]).alias(f"k{k}") for k, b in enumerate(bands)]))
-    spread = keyed.select("node", F.explode(F.array(*[f"k{k}" for k in range(len(bands))])).alias("key"))
+    signed = cut(signatures(rows, size, n))
+    spread = signed.select("node", F.explode(F.array(*[F.xxhash64(F.lit(k), *[F.col(f"m{j}") for j in b]) for k, b in enumerate(bands)])).alias("key"))
     buckets = cut(spread.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"))
     counts = buckets.agg(F.count_if(F.col("n") > 2).alias("several"), F.count_if(F.col("n") > small).alias("large")).first()
     pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
@@ -90,42 +101,45 @@ def links(rows: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE,
         few = members.where(F.col("n") <= small)
         each = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
         pairs = pairs.unionByName(each).unionByName(members.where((F.col("n") > small) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-    pairs = cut(pairs.distinct())
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    if wanted.isEmpty():
-        return None
-    texts = cut(rows.join(_sent(wanted, wanted.count()), "node").groupBy("node").agg(F.first("line").alias("line")))
-    edges = cut(verified(pairs, texts, similarity, size))
-    found = components(edges)
-    if not counts["large"]:
-        return found
-    live = members.where((F.col("n") > small) & (F.col("node") != F.col("pivot"))).select("key", "node")
-    for turn in range(pivots):
-        live, some = _remaining(live, found, turn == pivots - 1)
-        if some is None:
-            break
-        fresh = cut(verified(some, texts, similarity, size))
-        if not fresh.isEmpty():
-            edges = edges.unionByName(fresh)
+    live = None
+    if counts["large"]:
+        live = members.where((F.col("n") > small) & (F.col("node") != F.col("pivot"))).select("key", "node")
+    edges, found, turn = None, None, 0
+    while True:
+        near = cut(_agreeing(pairs.distinct(), signed, n, AGREEING))
+        wanted = cut(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        n_wanted = wanted.count()
+        if n_wanted:
+            texts = cut(rows.join(_sent(wanted, n_wanted), "node").groupBy("node").agg(F.first("line").alias("line")))
+            fresh = cut(verified(near, texts, similarity, size))
+            edges = fresh if edges is None else edges.unionByName(fresh)
             found = components(edges)
-    return found
+        if live is None or turn == pivots:
+            return found
+        turn += 1
+        live, pairs = _remaining(live, found, turn == pivots)
+        if pairs is None:
+            return found
 
 
 def _remaining(live: DataFrame, found: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """Members of the buckets that still hold more than one component, but for the next pivot; and the pairs to compare:
     the pivot with all of other components, or in the last turn all with all of other components."""
-    own = found.select(F.col("node").alias("_n"), "component")
-    live = live.join(own, F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    if found is None:
+        live = live.withColumn("component", F.col("node"))
+    else:
+        own = found.select(F.col("node").alias("_n"), "component")
+        live = live.join(own, F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = live.groupBy("key").agg(F.min_by("component", "node").alias("_own"), F.min("node").alias("pivot"), F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high")
     live = cut(live.join(mixed.select("key", "pivot", "_own"), "key"))
-    if live.isEmpty():
+    if not live.agg(F.count("*")).first()[0]:
         return live, None
     if last:
         two = live.select("key", F.col("node").alias("b"), F.col("component").alias("_d"))
         some = live.select("key", F.col("node").alias("a"), "component").join(two, "key").where("a < b AND component <> _d").select("a", "b")
     else:
         some = live.where("component <> _own").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    return live.where("node <> pivot").select("key", "node"), cut(some.distinct())
+    return live.where("node <> pivot").select("key", "node"), some
 
 
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, size: int = SHINGLE, **how) -> DataFrame:

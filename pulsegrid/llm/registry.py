@@ -77,7 +77,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     return {
+        "op4_decontaminate": f"""
+            WITH d AS (SELECT doc_id, row_number() OVER () AS rid, {words} AS w FROM documents),
+            b AS (SELECT item_id, w, least(13, len(w)) AS m FROM (SELECT item_id, {words} AS w FROM benchmark) AS i WHERE len(w) > 0),
+            bw AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM b, unnest(generate_series(1, len(w) - m + 1)) AS t(i)),
+            dw AS (SELECT rid, i, ms.m, array_to_string(w[i:i + ms.m - 1], ' ') AS g FROM d, (SELECT DISTINCT m FROM bw) AS ms, unnest(generate_series(1, len(w) - ms.m + 1)) AS t(i) WHERE len(w) >= ms.m),
+            h AS (SELECT rid, i, dw.m, item_id FROM dw JOIN bw ON dw.m = bw.m AND dw.g = bw.g),
+            hw AS (SELECT rid, count(DISTINCT k) AS n_hit FROM h, unnest(generate_series(i, i + m - 1)) AS t(k) GROUP BY rid),
+            it AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s FROM h GROUP BY rid)
+            SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+            FROM d LEFT JOIN hw ON d.rid = hw.rid LEFT JOIN it ON d.rid = it.rid
+        """,
         "op9_warc": """
             WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
             f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
