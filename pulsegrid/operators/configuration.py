@@ -1,0 +1,47 @@
+"""Configurations of the pipelines: defaults, derived values, and which features a configuration asks for."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+MODES = ("height_only", "density_height", "signal_density", "dtm_confidence", "scan_line", "full")
+
+
+@dataclass(frozen=True)
+class FillParameters:
+    """Support and search distances of a surface; whatever is not given follows from the resolution."""
+
+    resolution: float
+    buffer: float | None = None
+    closing: float | None = None
+    radius: float | None = None
+
+    def resolved(self) -> FillParameters:
+        buffer = self.resolution if self.buffer is None else self.buffer
+        closing = 3 * self.resolution if self.closing is None else self.closing
+        radius = max(4 * self.resolution, buffer + closing) if self.radius is None else self.radius
+        return FillParameters(self.resolution, buffer, closing, radius)
+
+
+@dataclass(frozen=True)
+class ClassifierConfig:
+    mode: str = "height_only"
+    tolerance: float = 1.0
+    top: float = 30.0
+    radius: float = 5.0
+
+    def __post_init__(self):
+        if self.mode not in MODES:
+            raise ValueError(f"unknown mode {self.mode}")
+
+    @property
+    def needs_density(self) -> bool:
+        return self.mode in ("density_height", "signal_density", "full")
+
+    @property
+    def needs_support(self) -> bool:
+        return self.mode in ("dtm_confidence", "full")
+
+    @property
+    def needs_scan_lines(self) -> bool:
+        return self.mode in ("scan_line", "full")

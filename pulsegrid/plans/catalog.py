@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.plans import operator_queries, sequence_queries, statistics_queries
+from pulsegrid.plans import extra_queries, operator_queries, sequence_queries, statistics_queries
 from pulsegrid.plans.binding import for_spark, with_tables
 from pulsegrid.plans.dialect import Dialect
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (statistics_queries, sequence_queries)
+MODULES = (statistics_queries, sequence_queries, extra_queries)
 
 
 def planned(text: str) -> Query:
@@ -25,7 +25,7 @@ def planned(text: str) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: planned(text) for module in MODULES for name, text in module.plans(Dialect(True)).items()} | operator_queries.queries()
+    return {name: planned(text) for module in MODULES for name, text in module.plans(Dialect(True)).items()} | operator_queries.queries() | extra_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
