@@ -14,15 +14,12 @@ from pyspark.sql import functions as F
 from pulsegrid.llm import bpe_codec, decontaminate, language_id, line_dedup, simhash
 from pulsegrid.llm.common import held_out, shared_dir, table
 
-#: Documents whose predicted language is less sure than this are rejected, besides those without a letter.
-LEAST_SCORE = 0.0
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language; lang becomes the predicted one. Learns from those that are not held out."""
     model = language_id.train(docs.where(~held_out()))
     columns = docs.columns
-    found = language_id.predicted(docs, model, tuple(columns)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    found = language_id.predicted(docs, model, tuple(columns)).where(F.col("lang_pred") != "und")
     return found.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(f"`{c}`") for c in columns])
 
 

@@ -5,8 +5,9 @@ under several exclusive-or permutations, which behave like independent minima ov
 the bands; pairs that agree in too few minima are passed over, all others are compared by the exact Jaccard similarity
 of their shingle sets. In a bucket of at most ``small`` lines each meets each; in a larger one first all meet a pivot,
 verified links are united by distributed union-find, the next pivot follows for the lines that are not yet in one
-component, and after ``pivots`` turns all remaining pairs of different components meet. So a large bucket of near copies
-costs a row per line, and no pair of a bucket that could join something is left out. Of each component one line stays:
+component, and after ``pivots`` turns all remaining members of different components are compared inside the join on the
+bucket, which hands on similar pairs alone. So a large bucket of near copies costs a row per line, and no pair of a bucket
+that could join something is left out. Of each component one line stays:
 the first by document and line number.
 
 Lines without a visible character are no nodes and always stay. Null texts have no lines; a line shorter than a shingle
@@ -28,8 +29,8 @@ PERMUTATIONS = 12
 BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 4, 8), (3, 7, 11))
 PIVOTS = 1
 #: Minima, of PERMUTATIONS, in which two lines must agree before their sets are compared; of lines just similar enough
-#: one pair in 16,000 agrees in fewer.
-AGREEING = 4
+#: four pairs in a thousand agree in fewer.
+AGREEING = 6
 #: Lines of a bucket that are all compared with each other at once; a larger bucket is compared pivot by pivot.
 SMALL = 16
 #: Most rows of (node) or (key) that are sent to all executors; beyond it both sides are shuffled.
@@ -52,10 +53,14 @@ def _shingle(units: str, at: str, size: int) -> str:
     return f"xxhash64(substring({units}, 2 * {at} + 1, {2 * size}))"
 
 
+def _starts(units: str, size: int) -> str:
+    return f"sequence(0, greatest(cast(length({units}) / 2 as int) - {size}, 0))"
+
+
 def signatures(nodes: DataFrame, size: int = SHINGLE, n: int = PERMUTATIONS) -> DataFrame:
     """node and its minima m0, m1, ... from (node, line)."""
     units = nodes.select("node", F.encode("line", "UTF-16BE").alias("u"))
-    spread = units.select("node", "u", F.explode(F.expr(f"sequence(0, greatest(cast(length(u) / 2 as int) - {size}, 0))")).alias("i"))
+    spread = units.select("node", "u", F.explode(F.expr(_starts("u", size))).alias("i"))
     hashed = spread.select("node", F.expr(_shingle("u", "i", size)).alias("h"))
     return hashed.groupBy("node").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_constants(n))])
 
@@ -64,10 +69,6 @@ def _sent(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _set(line: str, size: int) -> Column:
-    return F.when(F.length(line) < size, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))))
-
-
 def _agreeing(pairs: DataFrame, signed: DataFrame, n: int, least: int) -> DataFrame:
     """Pairs (a, b) of which at least ``least`` of the n minima agree."""
     one = signed.select(F.col("node").alias("a"), *[F.col(f"m{k}").alias(f"x{k}") for k in range(n)])
@@ -76,6 +77,10 @@ def _agreeing(pairs: DataFrame, signed: DataFrame, n: int, least: int) -> DataFr
     return pairs.join(one, "a").join(two, "b").where(same >= least).select("a", "b")
 
 
+def _set(line: str, size: int) -> Column:
+    return F.when(F.length(line) < size, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """Pairs (a, b) of nodes whose shingle sets have at least the similarity."""
     one = texts.select(F.col("node").alias("a"), F.col("line").alias("x"))
@@ -104,42 +109,63 @@ def links(rows: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE,
     live = None
     if counts["large"]:
         live = members.where((F.col("n") > small) & (F.col("node") != F.col("pivot"))).select("key", "node")
-    edges, found, turn = None, None, 0
-    while True:
+    edges, found = None, None
+    for turn in range(pivots + 1):
         near = cut(_agreeing(pairs.distinct(), signed, n, AGREEING))
         wanted = cut(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        n_wanted = wanted.count()
-        if n_wanted:
-            texts = cut(rows.join(_sent(wanted, n_wanted), "node").groupBy("node").agg(F.first("line").alias("line")))
-            fresh = cut(verified(near, texts, similarity, size))
+        if wanted.agg(F.count("*")).first()[0]:
+            fresh = cut(verified(near, _texts(rows, wanted), similarity, size))
             edges = fresh if edges is None else edges.unionByName(fresh)
             found = components(edges)
-        if live is None or turn == pivots:
+        if live is None:
             return found
-        turn += 1
-        live, pairs = _remaining(live, found, turn == pivots)
-        if pairs is None:
+        live, pairs = _remaining(live, found, turn < pivots - 1)
+        if live is None:
             return found
+        if pairs is None:
+            fresh = cut(_crossing(live, rows, similarity, size).distinct())
+            return components(fresh if edges is None else edges.unionByName(fresh))
+    return found
+
 
+def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One line for each of the wanted nodes."""
+    return cut(rows.join(_sent(wanted, wanted.count()), "node").groupBy("node").agg(F.first("line").alias("line")))
 
-def _remaining(live: DataFrame, found: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Members of the buckets that still hold more than one component, but for the next pivot; and the pairs to compare:
-    the pivot with all of other components, or in the last turn all with all of other components."""
+
+def _crossing(live: DataFrame, rows: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Similar pairs of the large buckets that are of different components.
+
+    The sets of 64-bit shingle hashes meet in the join on the bucket and its condition compares them there, so that only
+    similar pairs come out.
+    """
+    texts = _texts(rows, cut(live.select("node").distinct()))
+    units = texts.select("node", F.encode("line", "UTF-16BE").alias("u"))
+    hashed = units.select("node", "u", F.explode(F.expr(_starts("u", size))).alias("i")).select("node", F.expr(_shingle("u", "i", size)).alias("h"))
+    sets = cut(hashed.groupBy("node").agg(F.collect_set("h").alias("set")))
+    own = live.join(sets, "node")
+    one = own.select("key", F.col("node").alias("a"), F.col("component").alias("c"), F.col("set").alias("p"))
+    two = own.select(F.col("key").alias("key2"), F.col("node").alias("b"), F.col("component").alias("d"), F.col("set").alias("q"))
+    ratio = F.least(F.size("p"), F.size("q")) >= similarity * F.greatest(F.size("p"), F.size("q"))
+    near = ratio & ((1 + similarity) * F.size(F.array_intersect("p", "q")) >= similarity * (F.size("p") + F.size("q")))
+    return one.join(two, (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & near).select("a", "b")
+
+
+def _remaining(live: DataFrame, found: DataFrame | None, pivot: bool) -> tuple[DataFrame | None, DataFrame | None]:
+    """Members of the buckets that still hold more than one component, and with ``pivot`` the pairs of the next pivot with
+    all of other components; no members if no bucket is left."""
     if found is None:
-        live = live.withColumn("component", F.col("node"))
+        live = live.select("key", "node").withColumn("component", F.col("node"))
     else:
-        own = found.select(F.col("node").alias("_n"), "component")
-        live = live.join(own, F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        own = found.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        live = live.join(own, F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("_c", "node").alias("component"))
     mixed = live.groupBy("key").agg(F.min_by("component", "node").alias("_own"), F.min("node").alias("pivot"), F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high")
     live = cut(live.join(mixed.select("key", "pivot", "_own"), "key"))
     if not live.agg(F.count("*")).first()[0]:
-        return live, None
-    if last:
-        two = live.select("key", F.col("node").alias("b"), F.col("component").alias("_d"))
-        some = live.select("key", F.col("node").alias("a"), "component").join(two, "key").where("a < b AND component <> _d").select("a", "b")
-    else:
-        some = live.where("component <> _own").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    return live.where("node <> pivot").select("key", "node"), some
+        return None, None
+    if not pivot:
+        return live.select("key", "node", "component"), None
+    return live.where("node <> pivot").select("key", "node"), live.where("component <> _own").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
 
 
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, size: int = SHINGLE, **how) -> DataFrame:
