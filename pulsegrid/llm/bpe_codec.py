@@ -15,7 +15,6 @@ import hashlib
 import re
 import sys
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -26,8 +25,8 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.common import text_slices
 
 LEAF = 32
-#: Distinct chunks whose ids a Python worker keeps.
-MEMO = 400_000
+#: Distinct chunks whose ids a Python worker keeps; they go when a task ends, as workers live on for other operators.
+MEMO = 150_000
 #: Tokens that both sides must share with the window.
 AGREE = 2
 #: Texts without these characters are lower-cased and cut by str methods, which then do the same as the tokenizer's normaliser.
@@ -160,17 +159,12 @@ class Codec:
         return " ".join([tokens[i] for i in ids])
 
 
-@lru_cache(maxsize=2)
-def codec(path: str, leaf: int = LEAF) -> Codec:
-    return Codec(path, leaf)
-
-
 def encode_decode(df: DataFrame, path: str, text: str = "text", keep: str = "doc_id", leaf: int = LEAF) -> DataFrame:
     """Returns keep, ids (array<int>) and decoded (string) of every row of df."""
     kind = df.schema[keep].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, leaf)
+        own = Codec(path, leaf)
         for batch in batches:
             for part in slices(batch):
                 ids = own.encode_many([x or "" for x in part.column(1).to_pylist()])
@@ -184,7 +178,7 @@ def digests(df: DataFrame, path: str, text: str = "text", keep: str = "doc_id",
     kind = df.schema[keep].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, leaf)
+        own = Codec(path, leaf)
         for batch in batches:
             for part in slices(batch):
                 rows = own.encode_many([x or "" for x in part.column(1).to_pylist()])
