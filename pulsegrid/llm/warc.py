@@ -3,7 +3,7 @@
 ``write`` turns each page into an HTTP response in chunked transfer framing, cuts blocks over ``segment`` bytes into one
 first record and continuation records, and leaves gzip-compressed archives in a folder. Of pages with equal payloads of
 at least ``least`` bytes, the one with the smallest id is a response and the others are revisit records without a body.
-``read`` parses every archive, groups continuation records by their origin's id, orders them by segment number, verifies
+``read`` parses every archive (plain, or gzip of any number of members), groups continuation records by their origin's id, orders them by segment number, verifies
 the total length, and decodes the chunked framing. A record whose segments are missing or too short comes out with
 ``complete`` false and no payload, never half a payload.
 
@@ -14,8 +14,9 @@ archives without records; other columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
-import zlib
+import io
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
@@ -115,6 +116,14 @@ def write(pages: DataFrame, folder: str, segment: int = SEGMENT, records: int =
     made.select(F.col("record").cast("string").alias("value")).write.mode("overwrite").option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", records).text(folder)
 
 
+def unpacked(raw: bytes) -> bytes:
+    """Content of an archive: of all its gzip members, of which standard archives have one for each record."""
+    if raw[:2] != b"\x1f\x8b":
+        return raw
+    with gzip.GzipFile(fileobj=io.BytesIO(raw)) as members:
+        return members.read()
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (names in lower case) and block of each record; blocks are taken by their stated length."""
     at = 0
@@ -194,7 +203,7 @@ def _scan(archives: DataFrame, segmented: bool) -> DataFrame:
             for data in batch.column(0):
                 raw = data.as_py()
                 rows, held = [], 0
-                for fields, block in parse(zlib.decompress(raw, 47) if raw[:2] == b"\x1f\x8b" else raw):
+                for fields, block in parse(unpacked(raw)):
                     if fields.get("warc-type") not in ("response", "revisit", "continuation"):
                         continue
                     if bool(fields.get("warc-segment-number")) is segmented:

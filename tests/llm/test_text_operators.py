@@ -1,5 +1,6 @@
 """Corpus operators on whole texts against plain versions, with nulls, empty and long texts, repeats and clashing names."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -220,6 +221,14 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_warc_with_a_gzip_member_for_each_record(spark, tmp_path):
+    pages = [(1, "u", b"a" * 50), (2, "v", b"z" * 500), (3, "w", b"c" * 50)]
+    records = [r for i, u, b in pages for r in warc.records_of(i, u, b, hashlib.sha256(b).hexdigest(), None, 100)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r + warc.END) for r in records))
+    got = warc.read(spark, str(tmp_path)).collect()
+    assert sorted((r["page_id"], bytes(r["payload"]), r["complete"]) for r in got) == [(i, b, True) for i, _, b in pages]
+
+
 def test_warc_missing_segments():
     rows = [warc._parsed(f, b) for record in warc.records_of(1, "u", b"z" * 500, hashlib.sha256(b"z" * 500).hexdigest(), None, 100) for f, b in warc.parse(record)]
     assert warc.assemble(rows)[0][4:7] == (500, hashlib.sha256(b"z" * 500).hexdigest(), True)
