@@ -3,7 +3,7 @@
 A page's tokens are its element paths (tag, class and id from the root down). Over all pages of a host each token has an
 occurrence vector, the counts page by page; tokens with equal vectors form an equivalence class. Vectors are compared by
 an order-free fingerprint, so they never meet in one place and a host may hold any share of the pages. A class is valid
-when it occurs on at least ``LEAST_PAGES`` pages; valid classes nest by their paths into the host's template. Tokens
+when it occurs on at least ``LEAST_PAGES`` different pages (copies of a page count once); valid classes nest by their paths into the host's template. Tokens
 whose text never varies are the template's own text; what remains are its slots, and the deepest token of the root class
 that holds most of the varying unlinked text is the content slot.
 
@@ -17,6 +17,7 @@ each get their row; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import re
 import zlib
@@ -158,8 +159,11 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def observed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One row for each page and path, with the page's share of the path's occurrence vector."""
+def observed(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """One row for each page and path, with the page's fingerprint and its share of the path's occurrence vector.
+
+    Pages of one host with equal fingerprints are copies of one page, whatever their menus and adverts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,13 +171,14 @@ def observed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                 rows = []
                 for r in batch.slice(a, 64).to_pylist():
                     host, page = host_of(r["url"]), r["html"] or ""
-                    seed = _hash(_hash(7, str(r["id"])), str(len(page)))
-                    for path, (parent, n, chars, linked, text) in structure(page).items():
-                        rows.append((host, path, parent, n, _hash(seed, str(n)), chars, linked, text))
-                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(8)]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["host", "path", "parent", "n", "vector", "chars", "linked", "text"])
+                    found = structure(page)
+                    seed = fingerprint(found)
+                    for path, (parent, n, chars, linked, text) in found.items():
+                        rows.append((host, seed, path, parent, n, _hash(seed, str(n)), chars, linked, text))
+                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(9)]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["host", "page", "path", "parent", "n", "vector", "chars", "linked", "text"])
 
-    return pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(run, "host string, path bigint, parent bigint, n bigint, vector bigint, chars bigint, linked bigint, text bigint")
+    return pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(run, "host string, page bigint, path bigint, parent bigint, n bigint, vector bigint, chars bigint, linked bigint, text bigint")
 
 
 def structure(page: str) -> dict[int, list]:
@@ -190,12 +195,19 @@ def structure(page: str) -> dict[int, list]:
     return found
 
 
+def fingerprint(found: dict[int, list]) -> int:
+    """Of the places and texts of a page that are neither linked nor barred."""
+    own = hashlib.blake2b(repr(sorted((path, chars, text) for path, (_, _, chars, _, text) in found.items() if chars)).encode(), digest_size=8)
+    return int.from_bytes(own.digest(), "big", signed=True)
+
+
 TEMPLATE = "host string, content bigint, fixed array<bigint>"
 
 
 def templates(seen: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
     """One row for each host: its content slot, and the paths whose text is the template's own."""
-    tokens = seen.groupBy("host", "path").agg(
+    once = seen.groupBy("host", "page", "path").agg(F.min("parent").alias("parent"), *[F.max(c).alias(c) for c in ("n", "vector", "chars", "linked", "text")])
+    tokens = once.groupBy("host", "path").agg(
         F.min("parent").alias("parent"), F.count("*").alias("pages"), F.max("n").alias("most"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("text").alias("low"), F.max("text").alias("high")
     )
     valid = tokens.where(F.col("pages") >= least)
@@ -256,7 +268,7 @@ def main_text(page: str, content: int | None = None, fixed: frozenset[int] = fro
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    found = cut(templates(observed(pages, page_id, url, html)))
+    found = cut(templates(observed(pages, url, html)))
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     kind = own.schema["page_id"].dataType.simpleString()
     schema = f"page_id {kind}, url string, text string, n_chars bigint"

@@ -259,3 +259,9 @@ def test_html_extraction(spark):
     rows = [(i, f"http://x.com/{i}", f"<html><body><div class=q1>Home About</div><div class=q2><div class=q3>story {i} text {'z' * i}</div></div><div class=q4>All rights</div></body></html>") for i in range(6)] + [(99, None, None), (0, "http://x.com/0", page)]
     got = {(r["page_id"], r["url"]): r for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert got[5, "http://x.com/5"]["text"] == "story 5 text zzzzz" and got[99, None]["n_chars"] == 0
+
+
+def test_copies_are_no_evidence_of_a_template(spark):
+    page = "<html><body><div class=ad>%d</div><div class=top>Home</div><div class=text>the only story of this host</div></body></html>"
+    df = spark.createDataFrame([(i, f"http://copies.org/{i}", page % (i // 2)) for i in range(8)], "page_id bigint, url string, html string")
+    assert {r["text"] for r in html_extract.extract(df).collect()} == {"Home the only story of this host"}
