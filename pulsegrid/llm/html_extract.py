@@ -3,13 +3,16 @@
 A page's tokens are its element paths (tag, class and id from the root down). Over all pages of a host each token has an
 occurrence vector, the counts page by page; tokens with equal vectors form an equivalence class. Vectors are compared by
 an order-free fingerprint, so they never meet in one place and a host may hold any share of the pages. A class is valid
-when it occurs on at least ``LEAST_PAGES`` different pages (copies of a page count once); valid classes nest by their paths into the host's template. Tokens
-whose text never varies are the template's own text; what remains are its slots, and the deepest token of the root class
-that holds most of the varying unlinked text is the content slot.
+when it occurs on at least ``LEAST_PAGES`` different pages (copies of a page count once); a class whose tokens all lie inside one other valid class nests in
+it, and the classes that nest down from the root's are the host's template. Tokens
+whose text never varies are the template's own text. What remains are its slots; a content slot is a token of a valid
+class that occurs once a page and holds most of the varying unlinked text of the pages that have it, so that each layout
+of a host has its own.
 
-``extract`` takes the text of the page's article elements (else its main element, else the content slot of its host's
-template, else the body) without the parts that are no article: menus, sidebars, adverts, notices, forms, comments, and
-scripts and styles. Blocks are joined by one space.
+``extract`` takes the varying text of the deepest content slot of a page. Article elements (else main elements) only
+break ties: where they hold about the slot's text too, theirs is taken, without the template's own. On hosts with too few
+different pages the page's article elements decide, else its main element, else the body. Parts that are no article never
+count: menus, sidebars, adverts, notices, forms, comments, and scripts and styles. Blocks are joined by one space.
 
 Null and empty pages give empty texts; broken markup is read to its end; a null url is a host of its own; repeated rows
 each get their row; other columns are ignored.
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.common import cut
 
 LEAST_PAGES = 3
-#: Share of a host's varying text that its content slot must hold.
+#: Share of the varying text of its pages that a content slot must hold, and of a slot's text that an article element must.
 SHARE = 0.6
 #: Most hosts whose templates are sent to all executors; beyond it pages and templates are shuffled by host.
 BROADCAST_HOSTS = 50_000
@@ -56,16 +59,18 @@ BARRED_WORDS = frozenset(
 )
 NEVER_BARRED = frozenset("html body main".split())
 NEGATIONS = frozenset("has no not with without is".split())
+#: Pieces of an article, which are no slots for the whole of it.
+PIECES = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol dl li dt dd blockquote pre figure figcaption".split())
 CLOSED_EARLY = frozenset("p li dt dd td th tr option".split())
 
 
 class Node:
     """An open element; its flags hold for all that is inside it."""
 
-    __slots__ = ("article", "barred", "link", "main", "parent", "path", "slot", "tag")
+    __slots__ = ("article", "barred", "link", "main", "parent", "path", "slots", "tag")
 
-    def __init__(self, tag: str, path: int, parent: int, barred: bool = False, article: bool = False, main: bool = False, link: bool = False, slot: bool = False):
-        self.tag, self.path, self.parent, self.barred, self.article, self.main, self.link, self.slot = tag, path, parent, barred, article, main, link, slot
+    def __init__(self, tag: str, path: int, parent: int, barred: bool = False, article: bool = False, main: bool = False, link: bool = False, slots: tuple[int, ...] = ()):
+        self.tag, self.path, self.parent, self.barred, self.article, self.main, self.link, self.slots = tag, path, parent, barred, article, main, link, slots
 
 
 def _hash(parent: int, label: str) -> int:
@@ -90,9 +95,12 @@ def _barring(words: str) -> bool:
     return False
 
 
-def walk(page: str, content: int | None = None) -> Iterator[tuple[str | None, Node, bool]]:
-    """Texts in page order with their element. A None text is the edge of a block; the flag is set where an element starts."""
-    stack = [Node("#page", ROOT, 0, slot=ROOT == content)]
+def walk(page: str, slots: frozenset[int] = frozenset()) -> Iterator[tuple[str | None, Node, bool]]:
+    """Texts in page order with their element, which knows the slots around it, outermost first.
+
+    A None text is the edge of a block; the flag is set where an element starts.
+    """
+    stack = [Node("#page", ROOT, 0, slots=(ROOT,) if ROOT in slots else ())]
     known: dict[tuple[int, str, str], tuple[int, bool, bool, bool]] = {}
     at, n = 0, len(page)
     while at < n:
@@ -140,7 +148,7 @@ def walk(page: str, content: int | None = None) -> Iterator[tuple[str | None, No
             made = known[key] = (path, barring, tag == "main" or role == "main", "header" in role or tag == "header")
         path, barring, main, header = made
         article = top.article or tag == "article" and not barring
-        node = Node(tag, path, top.path, top.barred or barring or header and not article, article, top.main or main, top.link or tag == "a", top.slot or path == content)
+        node = Node(tag, path, top.path, top.barred or barring or header and not article, article, top.main or main, top.link or tag == "a", (*top.slots, path) if path in slots and not inline and tag not in PIECES else top.slots)
         yield "", node, not inline
         if tag in RAW and not m[0].endswith("/>"):
             end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
@@ -172,13 +180,13 @@ def observed(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
                 for r in batch.slice(a, 64).to_pylist():
                     host, page = host_of(r["url"]), r["html"] or ""
                     found = structure(page)
-                    seed = fingerprint(found)
+                    seed, whole = fingerprint(found), sum(row[2] for row in found.values())
                     for path, (parent, n, chars, linked, text) in found.items():
-                        rows.append((host, seed, path, parent, n, _hash(seed, str(n)), chars, linked, text))
-                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(9)]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["host", "page", "path", "parent", "n", "vector", "chars", "linked", "text"])
+                        rows.append((host, seed, path, parent, n, _hash(seed, str(n)), chars, linked, text, whole))
+                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(10)]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["host", "page", "path", "parent", "n", "vector", "chars", "linked", "text", "whole"])
 
-    return pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(run, "host string, page bigint, path bigint, parent bigint, n bigint, vector bigint, chars bigint, linked bigint, text bigint")
+    return pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(run, "host string, page bigint, path bigint, parent bigint, n bigint, vector bigint, chars bigint, linked bigint, text bigint, whole bigint")
 
 
 def structure(page: str) -> dict[int, list]:
@@ -201,69 +209,89 @@ def fingerprint(found: dict[int, list]) -> int:
     return int.from_bytes(own.digest(), "big", signed=True)
 
 
-TEMPLATE = "host string, content bigint, fixed array<bigint>"
+def _ancestry(path: int, parent: dict[int, int]) -> list[int]:
+    """The path and those around it, innermost first."""
+    steps: list[int] = []
+    while path in parent and path not in steps:
+        steps.append(path)
+        path = parent[path]
+    return steps
+
+
+def _nested(parent: dict[int, int], vector: dict[int, int]) -> set[int]:
+    """Vectors of the classes that nest, each in one other, down from the root's class."""
+    outer: dict[int, set[int]] = {}
+    for path, own in vector.items():
+        around = next((vector[up] for up in _ancestry(path, parent) if vector[up] != own), None)
+        if around is not None:
+            outer.setdefault(own, set()).add(around)
+    nested = {vector[ROOT]}
+    while more := {own for own, around in outer.items() if own not in nested and len(around) == 1 and around <= nested}:
+        nested |= more
+    return nested
+
+
+TEMPLATE = "host string, slots array<bigint>, fixed array<bigint>"
 
 
 def templates(seen: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """One row for each host: its content slot, and the paths whose text is the template's own."""
-    once = seen.groupBy("host", "page", "path").agg(F.min("parent").alias("parent"), *[F.max(c).alias(c) for c in ("n", "vector", "chars", "linked", "text")])
+    """One row for each host: its content slots, and the paths whose text is the template's own."""
+    once = seen.groupBy("host", "page", "path").agg(F.min("parent").alias("parent"), *[F.max(c).alias(c) for c in ("n", "vector", "chars", "linked", "text", "whole")])
     tokens = once.groupBy("host", "path").agg(
-        F.min("parent").alias("parent"), F.count("*").alias("pages"), F.max("n").alias("most"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("text").alias("low"), F.max("text").alias("high")
+        F.min("parent").alias("parent"), F.count("*").alias("pages"), F.max("n").alias("most"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.sum("whole").alias("whole"), F.min("text").alias("low"), F.max("text").alias("high")
     )
     valid = tokens.where(F.col("pages") >= least)
 
     def deduce(table: pa.Table) -> pa.Table:
         t = table.to_pandas()
         host = t["host"].iloc[0]
-        root = t.loc[t["path"] == ROOT]
-        fixed = t.loc[(t["chars"] + t["linked"] > 0) & (t["low"] == t["high"]), "path"].tolist()
-        content = None
-        if len(root):
+        own = (t["chars"] + t["linked"] > 0) & (t["low"] == t["high"])
+        slots: list[int] = []
+        if (t["path"] == ROOT).any():
             parent = dict(zip(t["path"], t["parent"], strict=True))
-            varying = np.where(t["low"] != t["high"], t["chars"], 0)
+            vector = dict(zip(t["path"], t["vector"], strict=True))
+            nested = _nested(parent, vector)
             held: dict[int, float] = {}
-            depth: dict[int, int] = {}
-            for path, chars in zip(t["path"], varying, strict=True):
-                up, steps = path, []
-                while up in parent and up not in steps:  # classes nest by their paths
-                    steps.append(up)
-                    up = parent[up]
-                depth[path] = len(steps)
-                for step in steps:
-                    held[step] = held.get(step, 0) + chars
-            whole = float(varying.sum())
-            skeleton = t.loc[(t["vector"] == root["vector"].iloc[0]) & (t["most"] == 1), "path"]
-            good = [p for p in skeleton if whole and held.get(p, 0) >= share * whole]
-            if good:
-                content = max(good, key=lambda p: (depth[p], p))
-        return pa.table({"host": pa.array([host]), "content": pa.array([content], pa.int64()), "fixed": pa.array([fixed], pa.list_(pa.int64()))})
+            for path, chars in zip(t["path"], np.where(own, 0, t["chars"]), strict=True):
+                for up in _ancestry(path, parent):
+                    held[up] = held.get(up, 0) + chars
+            pages = t["pages"].max()
+            everywhere = t.loc[own & (t["pages"] == pages), "chars"].sum() / pages  # the template's own text on each page
+            for path, n, most, whole in zip(t["path"], t["pages"], t["most"], t["whole"], strict=True):
+                if most == 1 and vector[path] in nested and held[path] >= share * (whole - n * everywhere) and held[path] > 0:
+                    slots.append(path)
+        return pa.table({"host": pa.array([host]), "slots": pa.array([slots], pa.list_(pa.int64())), "fixed": pa.array([t.loc[own, "path"].tolist()], pa.list_(pa.int64()))})
 
     return valid.groupBy("host").applyInArrow(deduce, TEMPLATE)
 
 
-def main_text(page: str, content: int | None = None, fixed: frozenset[int] = frozenset()) -> str:
-    """Text of the article of one page."""
+def main_text(page: str, slots: frozenset[int] = frozenset(), fixed: frozenset[int] = frozenset(), share: float = SHARE) -> str:
+    """Text of the article of one page, by the content slots and the fixed paths of its host's template."""
     article: list[str] = []
     main: list[str] = []
-    slot: list[str] = []
     body: list[str] = []
-    for text, node, _ in walk(page, content):
+    slot: dict[int, list[str]] = {}
+    depth: dict[int, int] = {}
+    for text, node, _ in walk(page, slots):
+        for k, own in enumerate(node.slots):
+            slot.setdefault(own, [])
+            depth[own] = k
         if text is None:
-            for part in (article, main, slot, body):
+            for part in (article, main, body, *slot.values()):
                 part.append(" ")
-        elif text and not node.barred:
+        elif text and not node.barred and node.path not in fixed:
+            body.append(text)
             if node.article:
                 article.append(text)
             if node.main:
                 main.append(text)
-            if node.path not in fixed:
-                body.append(text)
-                if node.slot:
-                    slot.append(text)
-    for part in (article, main, slot):
-        if got := squeezed(part):
-            return got
-    return squeezed(body)
+            for own in node.slots:
+                slot[own].append(text)
+    marked = squeezed(article) or squeezed(main)
+    for own in sorted(slot, key=lambda k: (-depth[k], k)):
+        if got := squeezed(slot[own]):
+            return marked if len(marked) >= share * len(got) else got
+    return marked or squeezed(body)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -280,14 +308,14 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     own_type = pa.int64() if kind in ("bigint", "int") else pa.string()
     n = found.count()
     if n <= BROADCAST_HOSTS:
-        held = {r["host"]: (r["content"], frozenset(r["fixed"])) for r in found.toLocalIterator()}
+        held = {r["host"]: (frozenset(r["slots"]), frozenset(r["fixed"])) for r in found.toLocalIterator()}
         sent = pages.sparkSession.sparkContext.broadcast(held)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             templates_of = sent.value
             for batch in batches:
                 for a in range(0, batch.num_rows, 64):
-                    yield texts(batch.slice(a, 64).to_pylist(), lambda r: templates_of.get(host_of(r["url"]), (None, frozenset())))
+                    yield texts(batch.slice(a, 64).to_pylist(), lambda r: templates_of.get(host_of(r["url"]), (frozenset(), frozenset())))
 
         return own.mapInArrow(run, schema)
     host = F.lower(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
@@ -296,6 +324,6 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
-                yield texts(batch.slice(a, 64).to_pylist(), lambda r: (r["content"], frozenset(r["fixed"] or ())))
+                yield texts(batch.slice(a, 64).to_pylist(), lambda r: (frozenset(r["slots"] or ()), frozenset(r["fixed"] or ())))
 
     return joined.mapInArrow(run_joined, schema)

@@ -265,3 +265,15 @@ def test_copies_are_no_evidence_of_a_template(spark):
     page = "<html><body><div class=ad>%d</div><div class=top>Home</div><div class=text>the only story of this host</div></body></html>"
     df = spark.createDataFrame([(i, f"http://copies.org/{i}", page % (i // 2)) for i in range(8)], "page_id bigint, url string, html string")
     assert {r["text"] for r in html_extract.extract(df).collect()} == {"Home the only story of this host"}
+
+
+def test_the_template_decides_on_pages_with_articles(spark):
+    teaser = "<html><body><article>see also {i}</article><div class=story><h2>head {i}</h2><p>long story {i} of many words {z}</div></body></html>"
+    fixed = "<html><body><article><p class=plea>Support our work</p><h2>head {i}</h2><p>another story {i} {z}</article></body></html>"
+    layouts = "<html><body><p>read on at {i}{z}</p><section class={k}><div class=in>{k} text {i} {z}{z}{z}</div></section></body></html>"
+    rows = [(i, "http://teaser.org", teaser.format(i=i, z="z" * i)) for i in range(5)] + [(10 + i, "http://fixed.org", fixed.format(i=i, z="z" * i)) for i in range(5)]
+    rows += [(20 + i, "http://layouts.org", layouts.format(i=i, z="z" * 50, k="ab"[i % 2])) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[3] == "head 3 long story 3 of many words zzz"
+    assert got[13] == "head 3 another story 3 zzz"
+    assert [got[20 + i] for i in range(8)] == [f"{'ab'[i % 2]} text {i} {'z' * 150}" for i in range(8)]
