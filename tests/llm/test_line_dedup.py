@@ -83,6 +83,22 @@ def test_lines(spark, small):
     assert line_dedup.classes(df.limit(0)).count() == 0
 
 
+def test_pairs_just_similar_enough_are_found(spark):
+    prepare(spark)
+    rng = random.Random(9)
+    for n in (4, 8, 60):  # sets of n shingles in sets of 5/4 n: similarity 0.8
+        pairs = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n * 5 // 4 + 11)) for _ in range(500)]
+        df = spark.createDataFrame([(i, x[: n + 11] + "\n" + x) for i, x in enumerate(pairs)], "doc_id bigint, text string")
+        assert line_dedup.classes(df).where("NOT kept").count() >= 0.985 * len(pairs)
+
+
+def test_every_pair_of_a_bucket_is_verified(spark):
+    prepare(spark)
+    line = "the quick brown fox jumps over the lazy dog and then sleeps all day long in the warm sun"
+    df = spark.createDataFrame([(1, line + "\n" + line + "s")], "doc_id bigint, text string")
+    assert sum(line_dedup.classes(df, bands=((k,),)).where("NOT kept").count() for k in range(3)) > 0
+
+
 DATA = "/root/testdata/sf0.001"
 
 
