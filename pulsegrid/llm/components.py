@@ -23,9 +23,9 @@ def _rooted(p: DataFrame) -> DataFrame:
     """Parents followed until all are roots; depth halves with each turn."""
     while True:
         p = cut(_followed(p))
-        moved = p.agg(F.count_if("moved")).first()[0]
+        still = p.where("moved").isEmpty()
         p = p.select("node", "parent")
-        if not moved:
+        if still:
             return p
 
 
@@ -42,7 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the smallest node that can be reached."""
     edges = cut(_ordered(edges.where("a IS NOT NULL AND b IS NOT NULL")))
     rounds = []
-    while edges.agg(F.count("*")).first()[0]:
+    while not edges.isEmpty():
         p = _rooted(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")))
         rounds.append(p)
         edges = cut(_ordered(_relabel(_relabel(edges, p, "a"), p, "b")))

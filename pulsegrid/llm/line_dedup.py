@@ -1,17 +1,23 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations alone.
 
-Equal lines are one node, named by a 64-bit hash. A node's signature holds the minima of its character-shingle hashes
-under several exclusive-or permutations, which behave like independent minima over random hashes. Triples of minima are
-the bands; all pairs that meet in a bucket are compared by the exact Jaccard similarity of their shingle sets. In a bucket of at most ``small`` lines each meets each; in a larger one first all meet a pivot,
-verified links are united by distributed union-find, the next pivot follows for the lines that are not yet in one
-component, and after ``pivots`` turns all remaining members of different components are compared inside the join on the
-bucket, which hands on similar pairs alone. So a large bucket of near copies costs a row per line, and no pair of a bucket
-that could join something is left out. Of each component one line stays:
-the first by document and line number.
-
-Lines without a visible character are no nodes and always stay. Null texts have no lines; a line shorter than a shingle
-is its own only shingle; equal ids and repeated rows are told apart by nothing, so all copies of the first line of a
-component that share its id and number stay. Other columns are ignored, and returned by ``deduplicated``.
+Equal lines are one node, named by a 64-bit hash. A line is the set of its character shingles (by code points, each
+named by a 64-bit hash). A node's signature holds the minima of its shingle hashes under several exclusive-or
+permutations, which behave like independent minima over random hashes; triples of minima are the bands. Every pair that
+meets in a bucket is decided exactly:
+
+* In the first turn the members of a bucket meet its pivots, the smallest nodes of ``PIVOTS`` residue classes; similar
+  pairs are links, united by distributed union-find.
+* Then the members of buckets that hold more than one component are compared with those of other components, in blocks
+  of ``BLOCK`` members, inside the join on the block. Members of one component need no further comparison.
+
+A pair is compared by parity sketches first: two sketches differ in at most as many bits as the sets have members apart,
+so a pair beyond the bound cannot be similar and nothing similar is lost. What is left is verified by the Jaccard
+similarity of the sets. Of each component one line stays: the first by id, text (by hash) and line number.
+
+Lines without a visible character are no nodes and always stay. Null texts have no lines, an empty text has one empty
+line; a line shorter than a shingle is its own only shingle. Rows may share an id or have none: a row is named by id and
+text, so no row loses lines for another; rows that are equal in both get equal results, that is, keep the same lines. An
+empty table gives no rows. Other columns are ignored, and returned by ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -24,14 +30,15 @@ from pulsegrid.llm.components import components
 
 SHINGLE = 12
 SIMILARITY = 0.8
-PERMUTATIONS = 12
-#: Triples that share few pairs: of two lines of similarity 0.8, at least 99.4 in a hundred meet in one of them.
+#: Triples of twelve minima that share few pairs: of two lines of similarity 0.8, at least 99.2 in a hundred meet in one.
 BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 9), (1, 3, 10), (2, 6, 11), (5, 7, 9), (0, 8, 10))
-PIVOTS = 1
-#: Lines of a bucket that are all compared with each other at once; a larger bucket is compared pivot by pivot.
-SMALL = 16
-#: Most rows of (node) or (key) that are sent to all executors; beyond it both sides are shuffled.
-BROADCAST_ROWS = 1_500_000
+PIVOTS = 4
+#: Members of a bucket that one group of the second turn holds on either side.
+BLOCK = 1024
+#: Longs of a parity sketch.
+SKETCH = 16
+#: Most rows of (key) or (node, node) that are sent to all executors; beyond it both sides are shuffled.
+BROADCAST_ROWS = 400_000
 VISIBLE = r"[^\x20\x09-\x0D]"
 
 
@@ -41,33 +48,68 @@ def _constants(n: int) -> list[int]:
 
 
 def lines(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, line_no, line, node) of every line; node is null where nothing is visible."""
-    split = df.select(F.col(key).alias("id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
+    """(id, version, line_no, line, node) of every line; version is a hash of the text; node is null where nothing is visible."""
+    split = df.select(F.col(key).alias("id"), F.xxhash64(text).alias("version"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
     return split.withColumn("node", F.when(F.col("line").rlike(VISIBLE), F.xxhash64("line")))
 
 
-def _shingle(units: str, at: str, size: int) -> str:
-    return f"xxhash64(substring({units}, 2 * {at} + 1, {2 * size}))"
+# --------------------------------------------------------------------------- shingles: four bytes a code point
 
 
-def _starts(units: str, size: int) -> str:
-    return f"sequence(0, greatest(cast(length({units}) / 2 as int) - {size}, 0))"
+def _points(line: str) -> Column:
+    return F.encode(line, "UTF-32")
 
 
-def signatures(nodes: DataFrame, size: int = SHINGLE, n: int = PERMUTATIONS) -> DataFrame:
-    """node and its minima m0, m1, ... from (node, line)."""
-    units = nodes.select("node", F.encode("line", "UTF-16BE").alias("u"))
-    spread = units.select("node", "u", F.explode(F.expr(_starts("u", size))).alias("i"))
+def _starts(points: str, size: int) -> str:
+    return f"sequence(0, greatest(length({points}) div 4 - {size}, 0))"
+
+
+def _shingle(points: str, at: str, size: int) -> str:
+    return f"xxhash64(substring({points}, 4 * {at} + 1, {4 * size}))"
+
+
+def _set(line: str, size: int) -> Column:
+    """Set of the shingles of a line; the outer lambda holds the bytes, so that they are not copied for each shingle."""
+    return F.array_distinct(F.expr(f"transform(array(encode({line}, 'UTF-32')), b -> transform({_starts('b', size)}, i -> {_shingle('b', 'i', size)}))[0]"))
+
+
+def signatures(nodes: DataFrame, size: int = SHINGLE, n: int = 12) -> DataFrame:
+    """node and its minima m0, m1, ... from (node, line), 32 bits of each: the leading ones are much the same in all."""
+    spread = nodes.select("node", _points("line").alias("u")).select("node", "u", F.explode(F.expr(_starts("u", size))).alias("i"))
     hashed = spread.select("node", F.expr(_shingle("u", "i", size)).alias("h"))
-    return hashed.groupBy("node").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_constants(n))])
+    least = hashed.groupBy("node").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_constants(n))])
+    return least.select("node", *[F.expr(f"(m{k} & 4294967295L) | shiftleft(m{min(k + 1, n - 1)}, 32)").alias(f"w{k // 2}") for k in range(0, n, 2)])
+
+
+def _keys(signed: DataFrame, bands) -> DataFrame:
+    """(node, key) for each band."""
+    half = lambda j: F.expr(f"w{j // 2} & 4294967295L" if j % 2 == 0 else f"shiftrightunsigned(w{j // 2}, 32)")
+    return signed.select("node", F.explode(F.array(*[F.xxhash64(F.lit(k), *[half(j) for j in b]) for k, b in enumerate(bands)])).alias("key"))
 
 
 def _sent(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _set(line: str, size: int) -> Column:
-    return F.when(F.length(line) < size, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))))
+# --------------------------------------------------------------------------- comparison
+
+
+def sketches(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """node, n (its number of shingles) and the parity of its shingles over the bits of s0, s1, ..."""
+    each = texts.select("node", F.explode(_set("line", size)).alias("h"))
+    bit = "shiftleft(1L, cast(h & 63 as int))"
+    return each.groupBy("node").agg(F.count("*").alias("n"), *[F.expr(f"bit_xor(if(shiftrightunsigned(h, 6) & {SKETCH - 1} = {k}, {bit}, 0L))").alias(f"s{k}") for k in range(SKETCH)])
+
+
+def _side(sketch: DataFrame, name: str, *more) -> DataFrame:
+    return sketch.select(*more, F.col("node").alias(name), F.col("n").alias(f"{name}_n"), *[F.col(f"s{k}").alias(f"{name}_s{k}") for k in range(SKETCH)])
+
+
+def _possible(similarity: float) -> Column:
+    """False only for pairs (a, b) that cannot be similar: sizes too far apart, or more members apart than allowed."""
+    ratio = F.least("a_n", "b_n") >= F.lit(similarity) * F.greatest("a_n", "b_n")
+    apart = F.expr(" + ".join(f"bit_count(a_s{k} ^ b_s{k})" for k in range(SKETCH)))
+    return ratio & ((1 + similarity) * apart <= (1 - similarity) * (F.col("a_n") + F.col("b_n")) + 1e-9)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
@@ -77,110 +119,96 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
     both = pairs.join(one, "a").join(two, "b")
     # the generator keeps the sets from being made once for each use
     sets = both.select("a", "b", F.explode(F.array(F.struct(_set("x", size).alias("p"), _set("y", size).alias("q")))).alias("s"))
-    # |both| >= t * |either|, which needs sizes in that ratio
-    ratio = F.least(F.size("s.p"), F.size("s.q")) >= similarity * F.greatest(F.size("s.p"), F.size("s.q"))
-    return sets.where(ratio).where((1 + similarity) * F.size(F.array_intersect("s.p", "s.q")) >= similarity * (F.size("s.p") + F.size("s.q"))).select("a", "b")
+    common = F.size(F.array_intersect("s.p", "s.q"))
+    return sets.where((1 + similarity) * common + 1e-9 >= similarity * (F.size("s.p") + F.size("s.q"))).select("a", "b")
+
+
+def _pivoted(members: DataFrame) -> DataFrame:
+    """(a, b, part) of each bucket's pivots with its other members; part deals the pairs of a pivot of large buckets."""
+    pivots = members.groupBy("key").agg(*[F.min(F.when(F.pmod("node", F.lit(PIVOTS)) == j, F.col("node"))).alias(f"p{j}") for j in range(PIVOTS)])
+    met = members.join(pivots, "key").select("n", F.col("node").alias("b"), F.explode(F.array(*[F.col(f"p{j}") for j in range(PIVOTS)])).alias("a"))
+    other = met.where("a IS NOT NULL AND a <> b").groupBy("a", "b").agg(F.max("n").alias("n"))
+    return other.select("a", "b", F.expr(f"cast(pmod(b, n div {BLOCK} + 1) as int)").alias("part"))
+
+
+def _star_candidates(members: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
+    pairs = cut(_pivoted(members))
+    pivots = pairs.select("a", "part").distinct().join(_side(sketch, "a"), "a")
+    met = pairs.join(pivots, ["a", "part"]).join(_side(sketch, "b"), "b").where(_possible(similarity))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
 
+def _crossing_candidates(live: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different components in the buckets of live (key, node, c, m), m the members of the key."""
+    own = live.join(sketch, "node").withColumn("blocks", F.expr(f"cast((m - 1) div {BLOCK} + 1 as int)")).withColumn("at", F.expr("cast(pmod(node, blocks) as int)"))
+    left = own.withColumn("to", F.explode(F.expr("sequence(at, blocks - 1)")))
+    right = own.withColumn("from", F.explode(F.expr("sequence(0, at)")))
+    one = _side(left, "a", "key", F.col("at").alias("i"), F.col("to").alias("j"), F.col("c").alias("a_c"))
+    two = _side(right, "b", "key", F.col("from").alias("i"), F.col("at").alias("j"), F.col("c").alias("b_c"))
+    met = one.join(two, ["key", "i", "j"]).where((F.col("a_c") != F.col("b_c")) & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & _possible(similarity))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-def links(rows: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands=BANDS, pivots: int = PIVOTS, small: int = SMALL) -> DataFrame | None:
+
+# --------------------------------------------------------------------------- links and classes
+
+
+def links(rows: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands=BANDS) -> DataFrame | None:
     """Components (node, component) of the similar lines of rows (node, line); None if no bucket has two lines."""
-    n = 1 + max(max(b) for b in bands)
-    signed = cut(signatures(rows, size, n))
-    spread = signed.select("node", F.explode(F.array(*[F.xxhash64(F.lit(k), *[F.col(f"m{j}") for j in b]) for k, b in enumerate(bands)])).alias("key"))
-    buckets = cut(spread.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"))
-    counts = buckets.agg(F.count_if(F.col("n") > 2).alias("several"), F.count_if(F.col("n") > small).alias("large")).first()
-    pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    if counts["several"]:
-        several = buckets.where("n > 2").select("key", "n", F.col("low").alias("pivot"))
-        members = cut(spread.join(_sent(several, counts["several"]), "key").select("key", "node", "n", "pivot"))
-        few = members.where(F.col("n") <= small)
-        each = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
-        pairs = pairs.unionByName(each).unionByName(members.where((F.col("n") > small) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-    live = None
-    if counts["large"]:
-        live = members.where((F.col("n") > small) & (F.col("node") != F.col("pivot"))).select("key", "node")
-    edges, found = None, None
-    for turn in range(pivots + 1):
-        near = cut(pairs.distinct())
-        wanted = cut(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        if wanted.agg(F.count("*")).first()[0]:
-            fresh = cut(verified(near, _texts(rows, wanted), similarity, size))
-            edges = fresh if edges is None else edges.unionByName(fresh)
-            found = components(edges)
-        if live is None:
-            return found
-        live, pairs = _remaining(live, found, turn < pivots - 1)
-        if live is None:
-            return found
-        if pairs is None:
-            fresh = cut(_crossing(live, rows, similarity, size).distinct())
-            return components(fresh if edges is None else edges.unionByName(fresh))
-    return found
-
-
-def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One line for each of the wanted nodes."""
-    return cut(rows.join(_sent(wanted, wanted.count()), "node").groupBy("node").agg(F.first("line").alias("line")))
-
-
-def _crossing(live: DataFrame, rows: DataFrame, similarity: float, size: int) -> DataFrame:
-    """Similar pairs of the large buckets that are of different components.
-
-    The sets of 64-bit shingle hashes meet in the join on the bucket and its condition compares them there, so that only
-    similar pairs come out.
-    """
-    texts = _texts(rows, cut(live.select("node").distinct()))
-    units = texts.select("node", F.encode("line", "UTF-16BE").alias("u"))
-    hashed = units.select("node", "u", F.explode(F.expr(_starts("u", size))).alias("i")).select("node", F.expr(_shingle("u", "i", size)).alias("h"))
-    sets = cut(hashed.groupBy("node").agg(F.collect_set("h").alias("set")))
-    own = live.join(sets, "node")
-    one = own.select("key", F.col("node").alias("a"), F.col("component").alias("c"), F.col("set").alias("p"))
-    two = own.select(F.col("key").alias("key2"), F.col("node").alias("b"), F.col("component").alias("d"), F.col("set").alias("q"))
-    ratio = F.least(F.size("p"), F.size("q")) >= similarity * F.greatest(F.size("p"), F.size("q"))
-    near = ratio & ((1 + similarity) * F.size(F.array_intersect("p", "q")) >= similarity * (F.size("p") + F.size("q")))
-    return one.join(two, (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & near).select("a", "b")
-
-
-def _remaining(live: DataFrame, found: DataFrame | None, pivot: bool) -> tuple[DataFrame | None, DataFrame | None]:
-    """Members of the buckets that still hold more than one component, and with ``pivot`` the pairs of the next pivot with
-    all of other components; no members if no bucket is left."""
-    if found is None:
-        live = live.select("key", "node").withColumn("component", F.col("node"))
-    else:
-        own = found.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        live = live.join(own, F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("_c", "node").alias("component"))
-    mixed = live.groupBy("key").agg(F.min_by("component", "node").alias("_own"), F.min("node").alias("pivot"), F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high")
-    live = cut(live.join(mixed.select("key", "pivot", "_own"), "key"))
-    if not live.agg(F.count("*")).first()[0]:
-        return None, None
-    if not pivot:
-        return live.select("key", "node", "component"), None
-    return live.where("node <> pivot").select("key", "node"), live.where("component <> _own").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    signed = cut(signatures(rows, size, 1 + max(max(b) for b in bands)))
+    spread = _keys(signed, bands)
+    shared = cut(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    members = cut(spread.join(_sent(shared, shared.count()), "key").select("key", "node", "n"))
+    wanted = cut(members.select("node").distinct())
+    n = wanted.count()
+    if not n:
+        return None
+    texts = cut(rows.join(_sent(wanted, n), "node").groupBy("node").agg(F.first("line").alias("line")))
+    sketch = cut(sketches(texts, size))
+    edges = cut(verified(_star_candidates(members, sketch, similarity), texts, similarity, size))
+    found = components(edges)
+    own = found.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    placed = members.where("n > 2").join(own, F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("_c", "node").alias("c"))
+    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high").select("key", "m")
+    live = placed.join(mixed, "key")
+    more = cut(verified(_crossing_candidates(live, sketch, similarity), texts, similarity, size))
+    if more.isEmpty():
+        return found
+    # the components of the first turn are the nodes of the second
+    first = own.withColumnRenamed("_c", "component")
+    joined = more
+    for end in ("a", "b"):
+        joined = joined.join(first, F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("component", end)).select("a", "b")
+    later = components(joined).select(F.col("node").alias("_r"), F.col("component").alias("_last"))
+    nodes = found.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
+    return cut(nodes.join(later, F.col("component") == F.col("_r"), "left").select("node", F.coalesce("_last", "component").alias("component")))
 
 
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, size: int = SHINGLE, **how) -> DataFrame:
-    """(id, line_no, component, kept) of every line of df; component is null, and kept true, where nothing is visible."""
+    """(id, version, line_no, component, kept) of every line of df; component is null, and kept true, where nothing is visible."""
     rows = lines(df, text, key)
     found = links(rows.where("node IS NOT NULL").select("node", "line"), similarity, size, **how)
-    own = rows.select("id", "line_no", "node")
+    own = rows.select("id", "version", "line_no", "node")
     if found is None:
-        labelled = own.withColumn("component", F.col("node"))
+        labelled = own.withColumnRenamed("node", "component")
     else:
-        labelled = own.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("id", "line_no", F.coalesce("component", "node").alias("component"))
+        sent = _sent(found.select(F.col("node").alias("_n"), "component"), found.count())
+        labelled = own.join(sent, F.col("node") == F.col("_n"), "left").select("id", "version", "line_no", F.coalesce("component", "node").alias("component"))
     labelled = cut(labelled)
-    first = labelled.where("component IS NOT NULL").groupBy(F.col("component").alias("_c")).agg(F.min(F.struct("id", "line_no")).alias("_first"))
-    out = labelled.join(first, F.col("component") == F.col("_c"), "left")
-    return out.select("id", "line_no", "component", (F.col("_c").isNull() | F.struct("id", "line_no").eqNullSafe(F.col("_first"))).alias("kept"))
+    places = labelled.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("id", "version", "line_no")).alias("p")).select("p.*")
+    # a kept line is found by its place, which no other line of another row shares, so that no component is one task
+    first = places.select(F.col("id").alias("_i"), F.col("version").alias("_v"), F.col("line_no").alias("_l"))
+    out = labelled.join(first, F.col("id").eqNullSafe(F.col("_i")) & (F.col("version") == F.col("_v")) & (F.col("line_no") == F.col("_l")), "left")
+    return out.select("id", "version", "line_no", "component", (F.col("component").isNull() | F.col("_l").isNotNull()).alias("kept"))
 
 
 def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """df with the lines that stay; a text keeps its row even if no line of it stays, and a null text stays null.
 
-    Lines are told apart by id and number, so ids have to be unique; the columns travel as one struct against clashes.
+    The columns travel as one struct against clashes.
     """
-    gone = classes(df, text, key, **how).where("NOT kept").groupBy(F.col("id").alias("gone_id")).agg(F.collect_set("line_no").alias("gone"))
-    packed = df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("row"), F.col(key).alias("id"), F.col(text).alias("own"))
-    joined = packed.join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left")
+    gone = classes(df, text, key, **how).where("NOT kept").groupBy(F.col("id").alias("gone_id"), F.col("version").alias("gone_version")).agg(F.collect_set("line_no").alias("gone"))
+    packed = df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("row"), F.col(key).alias("id"), F.xxhash64(text).alias("version"), F.col(text).alias("own"))
+    joined = packed.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("version") == F.col("gone_version")), "left")
     # as in verified(), the generator keeps the split out of the lambda
     parted = joined.withColumn("parts", F.explode(F.array(F.split("own", "\n"))))
     kept = F.expr("CASE WHEN gone IS NULL THEN own ELSE array_join(transform(array_except(sequence(0, size(parts) - 1), gone), i -> parts[i]), '\n') END")

@@ -17,7 +17,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return line_dedup.classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("version")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
