@@ -62,14 +62,9 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def hash_sample(df: DataFrame, key, rows: int, by: list | None = None) -> DataFrame:
-    """At most ``rows`` rows (of each ``by`` group), the first in the order of a hash of key: the same at any partitioning."""
-    from pyspark.sql import Window
-
-    window = Window.partitionBy(*(by or [])).orderBy(F.xxhash64(key, F.lit(17)), key)
-    if not by:
-        return df.orderBy(F.xxhash64(key, F.lit(17)), key).limit(rows)
-    return df.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= rows).drop("_rank")
+def hash_sample(df: DataFrame, key, rows: int) -> DataFrame:
+    """At most ``rows`` rows, the first in the order of a hash of key: the same at any partitioning."""
+    return df.orderBy(F.xxhash64(key, F.lit(17)), key).limit(rows)
 
 
 # --------------------------------------------------------------------------- bytes of many texts at once

@@ -6,13 +6,13 @@ of the window's last and first block selects the patterns, and a comparison of t
 into overlapping lanes that step in lockstep, so a very long text is no slower per word than a short one.
 
 The benchmark goes to the workers in blocks of a bounded size; with more blocks than one, each is searched in turn and
-the hits meet as bit sets. Null and empty texts have no words and are not contaminated; empty items have no window; an
+the hits of the later ones, named by a digest of the text, meet those of the first. A window that many items share is
+one pattern with a list of them. Null and empty texts have no words and are not contaminated; empty items have no window; an
 item with a null id hits words but is not listed; repeated items count once; repeated rows each get their result.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,7 +119,7 @@ class Patterns:
 
 
 class Index:
-    """All windows of a block of items."""
+    """The distinct windows of a block of items, each with the list of the items that hold it."""
 
     def __init__(self, items: list[tuple[str | None, str]], width: int = WIDTH):
         data = [text.encode() for _, text in items]
@@ -128,57 +128,91 @@ class Index:
         names = sorted({i for i, _ in items if i is not None})
         number = {name: k for k, name in enumerate(names)}
         self.names, own = names, np.array([number.get(i, -1) for i, _ in items], np.int64)
-        self.groups: list[tuple[Patterns, np.ndarray]] = []
+        #: Patterns of one length, and the bounds and content of their posting lists.
+        self.groups: list[tuple[Patterns, np.ndarray, np.ndarray]] = []
         for m in sorted({int(min(c, width)) for c in words.counts if c}):
             chosen = np.flatnonzero(words.counts == m) if m < width else np.flatnonzero(words.counts >= width)
             n = words.counts[chosen] - m + 1
             places = np.repeat(words.first[chosen], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            self.groups.append((Patterns(words, places, m), own[words.row[places]]))
+            window = _same_windows(words, places, m)
+            order = np.argsort(window, kind="stable")
+            firsts = np.flatnonzero(np.diff(window[order], prepend=-1))
+            posted = np.unique(np.stack([window, own[words.row[places]]]), axis=1)
+            posted = posted[:, posted[1] >= 0]
+            bounds = np.searchsorted(posted[0], np.arange(len(firsts) + 1))
+            self.groups.append((Patterns(words, places[order[firsts]], m), bounds, posted[1]))
 
     def hits(self, text: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether each word is hit; rows and items of the distinct finds."""
         edge = np.zeros(len(text.hash) + 1, np.int64)
         rows, items = [], []
-        for patterns, own in self.groups:
+        for patterns, bounds, posted in self.groups:
             where, which = patterns.search(text)
             np.add.at(edge, where, 1)
             np.add.at(edge, where + patterns.width, -1)
-            rows.append(text.row[where])
-            items.append(own[which])
+            row, window = np.unique(np.stack([text.row[where], which]), axis=1)
+            sizes = bounds[window + 1] - bounds[window]
+            rows.append(np.repeat(row, sizes))
+            items.append(posted[np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes - bounds[window], sizes)])
         row, item = np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(items or [np.zeros(0, np.int64)])
-        pairs = np.unique(np.stack([row, item])[:, item >= 0], axis=1)
+        pairs = np.unique(np.stack([row, item]), axis=1)
         return np.cumsum(edge[:-1]) > 0, pairs[0], pairs[1]
 
 
+def _same_windows(words: Words, places: np.ndarray, width: int) -> np.ndarray:
+    """A number for each window, 0, 1, ... in ascending order of first use: equal for windows of equal words."""
+    known: dict[bytes, int] = {}
+    starts, ends, raw = words.starts, words.ends, words.raw
+    out = np.empty(len(places), np.int64)
+    for k, p in enumerate(places.tolist()):
+        content = b" ".join([raw[a:b].tobytes() for a, b in zip(starts[p : p + width].tolist(), ends[p : p + width].tolist(), strict=True)])
+        out[k] = known.setdefault(content, len(known))
+    return out
+
+
 def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, str]]]:
-    """Items in blocks of about ``limit`` bytes; each comes to the driver alone."""
-    own = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("t is not null")
-    total = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    """Distinct items in blocks of about ``limit`` bytes, names and a fixed cost of each item included; each block comes to the driver alone."""
+    own = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("t is not null").distinct()
+    total = own.agg(F.sum(F.octet_length("t") + F.coalesce(F.octet_length("i"), F.lit(0)) + 64)).first()[0] or 0
     n = int(total // limit) + 1
     for k in range(n):
-        part = own if n == 1 else own.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k)
+        part = own if n == 1 else own.where(F.pmod(F.xxhash64("t", "i"), F.lit(n)) == k)
         yield [(r["i"], r["t"]) for r in part.collect()]
 
 
-RESULT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>"
+RESULT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items")
 
 
 def scan(df: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", width: int = WIDTH, limit: int = BLOCK_BYTES) -> DataFrame:
     """keep plus counts, the items found, and the verdict, for every row."""
-    names = [part.strip().split(" ")[0] for part in RESULT.split(",")]
     kept = F.struct(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)])
-    state = df.select(kept.alias("keep"), F.col(text).alias("text"), F.lit(None).cast("binary").alias("bits"), F.array().cast("array<string>").alias("items"))
-    waiting = None
+    state = df.select(kept.alias("keep"), F.col(text).alias("text"))
+    first, more = None, []
     for part in blocks(benchmark, limit=limit):
-        if waiting is not None:
-            state = cut(_searched(state, waiting, last=False))
-        waiting = df.sparkSession.sparkContext.broadcast(Index(part, width))
-    out = _searched(state, waiting, last=True)
-    return out.select(*[F.col(f"keep.k{i}").alias(k) for i, k in enumerate(keep) if k not in names], *names)
-
-
-def _searched(state: DataFrame, index, last: bool) -> DataFrame:
-    """One pass with one block; hits so far come as a bit for each word."""
+        index = df.sparkSession.sparkContext.broadcast(Index(part, width))
+        if first is None:
+            first = index
+        else:  # later blocks hand on the hits of distinct texts, not the texts
+            hits = _searched(state.select(F.struct(F.sha2("text", 256).alias("d")).alias("keep"), "text"), index).where("size(places) > 0")
+            more.append(cut(hits.groupBy(F.col("keep.d").alias("d")).agg(F.first("places").alias("places"), F.first("items").alias("items"))))
+    if not more:
+        found = _searched(state, first)
+    else:
+        found = _searched(state.select(F.struct("keep", F.sha2("text", 256).alias("d")).alias("keep"), "text"), first)
+        others = more[0]
+        for hits in more[1:]:
+            others = others.unionByName(hits)
+        others = others.groupBy("d").agg(F.flatten(F.collect_list("places")).alias("p"), F.flatten(F.collect_list("items")).alias("i"))
+        none = lambda kind: F.array().cast(f"array<{kind}>")
+        found = cut(found).join(others, F.col("keep.d") == F.col("d"), "left").select(F.col("keep.keep").alias("keep"), "n_words", F.concat("places", F.coalesce("p", none("int"))).alias("places"), F.concat("items", F.coalesce("i", none("string"))).alias("items"))
+    items = F.array_sort(F.array_distinct("items"))
+    out = found.select("keep", "n_words", F.size(F.array_distinct("places")).cast("bigint").alias("n_hit"), items.alias("items"))
+    out = out.select("*", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), F.expr("n_hit > 0 AND 20 * n_hit >= n_words").alias("contaminated"))
+    return out.select(*[F.col(f"keep.k{i}").alias(k) for i, k in enumerate(keep) if k not in RESULT], *RESULT)
+
+
+def _searched(state: DataFrame, index) -> DataFrame:
+    """keep, n_words, the places of the words that one block hits, and the items found, for every row of (keep, text)."""
     kept = state.schema["keep"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,25 +221,12 @@ def _searched(state: DataFrame, index, last: bool) -> DataFrame:
             for part, raw, offsets in text_slices(batch, "text"):
                 words = Words(raw, offsets)
                 hit, rows, items = own.hits(words)
-                found = [set(x or ()) for x in part.column(3).to_pylist()]
+                found: list[list[str]] = [[] for _ in words.counts]
                 for r, i in zip(rows.tolist(), items.tolist(), strict=True):
-                    found[r].add(own.names[i])
-                spans = list(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True))
-                for (a, b), bits in zip(spans, part.column(2).to_pylist(), strict=True):
-                    if bits is not None:
-                        hit[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-                if last:
-                    yield pa.RecordBatch.from_arrays([part.column(0), *_summary(words, hit, found)], ["keep", *(x.strip().split(" ")[0] for x in RESULT.split(","))])
-                else:
-                    packed = [np.packbits(hit[a:b]).tobytes() for a, b in spans]
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary()), pa.array([sorted(x) for x in found], pa.list_(pa.string()))], ["keep", "text", "bits", "items"])
-
-    return state.mapInArrow(run, f"keep {kept}, " + (RESULT if last else "text string, bits binary, items array<string>"))
-
-
-def _summary(words: Words, hit: np.ndarray, found: list[set[str]]) -> list[pa.Array]:
-    n_hit = np.bincount(words.row[hit], minlength=len(words.counts))
-    listed = [sorted(x) for x in found]
-    digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed]
-    bad = (n_hit > 0) & (20 * n_hit >= words.counts)
-    return [pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in listed], pa.int64()), pa.array(digest, pa.string()), pa.array(bad, pa.bool_()), pa.array(listed, pa.list_(pa.string()))]
+                    found[r].append(own.names[i])
+                place = np.flatnonzero(hit)
+                row = words.row[place]
+                places = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(words.counts) + 1)), pa.int32()), pa.array(place - words.first[row], pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words.counts, pa.int64()), places, pa.array(found, pa.list_(pa.string()))], ["keep", "n_words", "places", "items"])
+
+    return state.mapInArrow(run, f"keep {kept}, n_words bigint, places array<int>, items array<string>")

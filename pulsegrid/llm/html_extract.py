@@ -2,7 +2,7 @@
 
 A page's tokens are its element paths (tag, class and id from the root down). Over all pages of a host each token has an
 occurrence vector, the counts page by page; tokens with equal vectors form an equivalence class. Vectors are compared by
-an order-free fingerprint, so they never meet in one place and a host may hold any share of the pages. A class is valid
+an order-free fingerprint (sums of hashes), so they never meet in one place and a host may hold any share of the pages. A class is valid
 when it occurs on at least ``LEAST_PAGES`` different pages (copies of a page count once); a class whose tokens all lie inside one other valid class nests in
 it, and the classes that nest down from the root's are the host's template. Tokens
 whose text never varies are the template's own text. What remains are its slots; a content slot is a token of a valid
@@ -14,7 +14,7 @@ break ties: where they hold about the slot's text too, theirs is taken, without
 different pages the page's article elements decide, else its main element, else the body. Parts that are no article never
 count: menus, sidebars, adverts, notices, forms, comments, and scripts and styles. Blocks are joined by one space.
 
-Null and empty pages give empty texts; broken markup is read to its end; a null url is a host of its own; repeated rows
+Of slots at equal depth the one of the least path hash is taken. Null and empty pages give empty texts; an empty table gives no rows; broken markup is read to its end; a null url is a host of its own; repeated rows
 each get their row; other columns are ignored.
 """
 
@@ -36,11 +36,12 @@ from pulsegrid.llm.common import cut
 LEAST_PAGES = 3
 #: Share of the varying text of its pages that a content slot must hold, and of a slot's text that an article element must.
 SHARE = 0.6
-#: Most hosts whose templates are sent to all executors; beyond it pages and templates are shuffled by host.
-BROADCAST_HOSTS = 50_000
+#: Most paths of all templates that are sent to all executors; beyond it pages and templates are shuffled by host.
+BROADCAST_PATHS = 2_000_000
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+# a quote parts a value only behind the equals sign; elsewhere it is a character like any other
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>=]|=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?)*)(?:>|\Z)""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 DIGITS = re.compile(r"\d+")
 
@@ -57,6 +58,11 @@ BARRED_WORDS = frozenset(
     "sidebar aside related recommended share sharing social breadcrumb breadcrumbs menu nav navigation navbar topnav pagination pager comment comments commentlist disqus reply replies respond reviews widget footer "
     "masthead toolbar login search skip complementary contentinfo".split()
 )
+#: Of those, words that say so at the end of a name only behind a word of place: a labour notice is a story, a site notice is none.
+WEAK_WORDS = frozenset("notice notification alert reply replies respond reviews search skip share sharing social related recommended signup login widget banner overlay aside promotion".split())
+PLACE_WORDS = frozenset("site page top bottom left right side inline sticky float floating global user primary secondary header legal post article entry block box js container wrapper".split())
+#: A name of its own of this kind marks content, whatever other names an element has.
+CONTENT_WORDS = frozenset("content article post entry story main body text".split())
 NEVER_BARRED = frozenset("html body main".split())
 NEGATIONS = frozenset("has no not with without is".split())
 #: Pieces of an article, which are no slots for the whole of it.
@@ -86,11 +92,14 @@ ROOT = _hash(0, "#page")
 
 def _barring(words: str) -> bool:
     """Whether a class, id or role names what is no article: as a whole, or by its first or last part."""
-    for name in words.split():
-        parts = [x.lower() for x in PARTS.findall(name)]
+    names = [[x.lower() for x in PARTS.findall(name)] for name in words.split()]
+    if any(parts and all(x in CONTENT_WORDS for x in parts) for parts in names):
+        return False
+    for parts in names:
         if not parts or parts[0] in NEGATIONS:
             continue
-        if "".join(parts) in BARRED_WORDS or parts[0] in BARRED_WORDS or parts[-1] in BARRED_WORDS:
+        last = parts[-1] in BARRED_WORDS and (parts[-1] not in WEAK_WORDS or all(x in PLACE_WORDS or x in BARRED_WORDS for x in parts[:-1]))
+        if "".join(parts) in BARRED_WORDS or parts[0] in BARRED_WORDS or last:
             return True
     return False
 
@@ -238,9 +247,10 @@ def templates(seen: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -
     """One row for each host: its content slots, and the paths whose text is the template's own."""
     once = seen.groupBy("host", "page", "path").agg(F.min("parent").alias("parent"), *[F.max(c).alias(c) for c in ("n", "vector", "chars", "linked", "text", "whole")])
     tokens = once.groupBy("host", "path").agg(
-        F.min("parent").alias("parent"), F.count("*").alias("pages"), F.max("n").alias("most"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.sum("whole").alias("whole"), F.min("text").alias("low"), F.max("text").alias("high")
+        F.min("parent").alias("parent"), F.count("*").alias("pages"), F.max("n").alias("most"), F.sum(F.shiftright("vector", 32)).alias("_high"), F.sum(F.col("vector").bitwiseAND(F.lit(2**32 - 1))).alias("_low"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.sum("whole").alias("whole"), F.min("text").alias("low"), F.max("text").alias("high")
     )
-    valid = tokens.where(F.col("pages") >= least)
+    # sums of hashes: equal for equal vectors in any order of the pages
+    valid = tokens.where(F.col("pages") >= least).withColumn("vector", F.xxhash64("_high", "_low")).drop("_high", "_low")
 
     def deduce(table: pa.Table) -> pa.Table:
         t = table.to_pandas()
@@ -306,10 +316,10 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         return pa.RecordBatch.from_arrays([pa.array([r["page_id"] for r in rows], own_type), pa.array([r["url"] for r in rows], pa.string()), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     own_type = pa.int64() if kind in ("bigint", "int") else pa.string()
-    n = found.count()
-    if n <= BROADCAST_HOSTS:
-        held = {r["host"]: (frozenset(r["slots"]), frozenset(r["fixed"])) for r in found.toLocalIterator()}
-        sent = pages.sparkSession.sparkContext.broadcast(held)
+    held = found.agg(F.coalesce(F.sum(F.size("slots") + F.size("fixed") + 8), F.lit(0))).first()[0]
+    if held <= BROADCAST_PATHS:
+        known = {r["host"]: (frozenset(r["slots"]), frozenset(r["fixed"])) for r in found.toLocalIterator()}
+        sent = pages.sparkSession.sparkContext.broadcast(known)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             templates_of = sent.value
@@ -318,8 +328,12 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                     yield texts(batch.slice(a, 64).to_pylist(), lambda r: templates_of.get(host_of(r["url"]), (frozenset(), frozenset())))
 
         return own.mapInArrow(run, schema)
-    host = F.lower(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    joined = own.withColumn("host", F.coalesce(host, F.lit(""))).join(found, "host", "left").drop("host")
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("host", pa.array([host_of(u) for u in batch.column(1).to_pylist()], pa.string()))
+
+    joined = own.mapInArrow(named, f"page_id {kind}, url string, html string, host string").join(found, "host", "left").drop("host")
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,31 +2,35 @@
 
 ``train`` builds one suffix automaton for each language from labelled text. A text is then parsed against each of them:
 from each place the longest match (or one letter that never occurs) is a phrase, and the next phrase starts behind it. The language
-that needs the fewest phrases per letter wins; near-equal counts go to the language that comes first by name. Automata
-are dense tables over a small alphabet of the commonest letters, so that numpy steps through many stretches of text at
-once. Texts are parsed whole, in stretches of ``STRETCH`` letters, each of which begins a phrase.
+that needs the fewest phrases per letter wins; equal counts go to the language that comes first by name.
+
+The transitions of all automata lie in one hash table, so that any alphabet will do and numpy steps through many
+stretches of text at once. A long text is cut into stretches of ``STRETCH`` letters whose parses run side by side, each
+as if a phrase began there; then the parse that comes out of a stretch is carried into the next one until it begins a
+phrase where that one did too. From there on the two agree, so the counts are those of the text parsed in one go.
 
 Texts that are null, empty or without a letter are ``und`` with score 0. With nothing to learn from every text is
-``und``. Languages with no letters in their sample are not learned. Repeated rows each get their own row.
+``und``. Languages with no letters in their sample are not learned. Repeated rows each get their own row, and count once
+in learning; rows with a null or shared id are told apart by their text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import hash_sample, map_texts
+from pulsegrid.llm.common import map_texts
 
-#: Most labelled texts of a language, and most letters of them, that an automaton is built from.
+#: Most labelled texts of a language that are learned from.
 TEXTS = 400
+#: Most letters of a language, of which each of its texts gives an equal share from a hashed place.
 LETTERS = 60_000
-#: Most letters of all languages together, which bounds the tables that are sent to the workers (512 bytes a letter).
-ALL_LETTERS = 600_000
-#: Letters that have a symbol of their own; 0 is whatever parts words, 1 any other letter.
-SYMBOLS = 64
 STRETCH = 512
+SHARDS = 64
+NONE = np.int64(-1)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def codes(text: str) -> np.ndarray:
@@ -34,7 +38,7 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-_LETTER = np.zeros(0x30000, bool)
+_LETTER = np.zeros(0x110000, bool)
 
 
 def _letters() -> np.ndarray:
@@ -43,19 +47,19 @@ def _letters() -> np.ndarray:
     return _LETTER
 
 
-def _to_words(symbols: np.ndarray) -> np.ndarray:
-    """Runs of symbol 0 become one."""
-    if not len(symbols):
-        return symbols
-    keep = symbols != 0
-    keep[1:] |= symbols[:-1] != 0
-    return symbols[keep]
+def symbols_of(points: np.ndarray) -> np.ndarray:
+    """Letters as their code points; each run of other characters is one 0."""
+    out = np.where(_letters()[points], points, 0).astype(np.int32)
+    if not len(out):
+        return out
+    keep = out != 0
+    keep[1:] |= out[:-1] != 0
+    return out[keep]
 
 
-def automaton(symbols: np.ndarray, width: int) -> np.ndarray:
-    """Transitions of the suffix automaton as a table; -1 where there is none."""
+def automaton(symbols: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton."""
     most = 2 * len(symbols) + 2
-    table = np.full((most, width), -1, np.int32)
     link, size = [-1] + [0] * (most - 1), [0] * most
     rows: list[dict[int, int]] = [{}]
     last = 0
@@ -83,87 +87,143 @@ def automaton(symbols: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    for state, row in enumerate(rows):
-        for c, to in row.items():
-            table[state, c] = to
-    return table[: len(rows)]
+    return rows
+
+
+class Transitions:
+    """(state, symbol) to state, by open addressing."""
+
+    def __init__(self, state: np.ndarray, symbol: np.ndarray, to: np.ndarray):
+        self.bits = int(max(4, np.ceil(np.log2(max(1, len(state)) * 2.5))))
+        self.keys = np.full(1 << self.bits, NONE)
+        self.to = np.zeros(1 << self.bits, np.int32)
+        keys = self._key(state, symbol)
+        at, waiting = self._home(keys), np.arange(len(keys))
+        while len(waiting):
+            free = waiting[self.keys[at[waiting]] == NONE]
+            _, one = np.unique(at[free], return_index=True)
+            placed = free[one]
+            self.keys[at[placed]], self.to[at[placed]] = keys[placed], to[placed]
+            waiting = waiting[self.keys[at[waiting]] != keys[waiting]]
+            at[waiting] = (at[waiting] + 1) & (len(self.keys) - 1)
+
+    @staticmethod
+    def _key(state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        return (state.astype(np.int64) << 21) | symbol
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """State behind each symbol; -1 where there is none."""
+        keys = self._key(state, symbol)
+        at = self._home(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.to[at], np.int32(-1))
+        open_ = np.flatnonzero((held != keys) & (held != NONE))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
+            held = self.keys[at[open_]]
+            same = held == keys[open_]
+            out[open_[same]] = self.to[at[open_[same]]]
+            open_ = open_[~same & (held != NONE)]
+        return out
 
 
 class Model:
-    """Automata of all languages in one table of absolute states."""
+    """Automata of all languages in one table of absolute states. ``roots`` are their first states; no text leads back
+    there, so a state at a root means that the next letter begins a phrase."""
 
-    def __init__(self, samples: dict[str, list[str]], letters: int = LETTERS):
-        taken: dict[str, str] = {}
-        letters = min(letters, ALL_LETTERS // max(1, len(samples)))
+    def __init__(self, samples: dict[str, list[str]]):
+        self.langs, self.roots = [], []
+        state, symbol, to, base = [], [], [], 0
         for lang in sorted(samples):
-            held, n = [], 0
-            for text in samples[lang]:
-                if n >= letters:
-                    break
-                held.append(text[: letters - n])
-                n += len(held[-1])
-            if any(c.isalpha() for t in held for c in t):
-                taken[lang] = " ".join(held)
-        self.langs = list(taken)
-        counts = np.zeros(len(_letters()), np.int64)
-        for text in taken.values():
-            c = codes(text)
-            c = c[c < len(counts)]
-            np.add.at(counts, c[_letters()[c]], 1)
-        order = np.argsort(-counts, kind="stable")[: SYMBOLS - 2]
-        self.symbol = np.where(_letters(), 1, 0).astype(np.uint8)
-        chosen = order[counts[order] > 0]
-        self.symbol[chosen] = np.arange(2, 2 + len(chosen), dtype=np.uint8)
-        tables, self.starts, base = [], [], 0
-        for text in taken.values():
-            table = automaton(_to_words(self.encode(codes(text))), SYMBOLS)
-            # a miss, marked by the sign, starts the next phrase with the letter that broke the match; a letter that the
-            # language lacks leads to the last state, where every letter starts a phrase
-            table = np.concatenate([table, np.full((1, SYMBOLS), -1, np.int32)])
-            restart = np.where(table[0] < 0, len(table) - 1, table[0])
-            table = np.where(table < 0, ~(restart[None, :] + base), table + base)
-            tables.append(table.astype(np.int32))
-            base += len(table)
-            self.starts.append(base - 1)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-
-    def encode(self, points: np.ndarray) -> np.ndarray:
-        return self.symbol[np.minimum(points, len(self.symbol) - 1)]
+            parts = [symbols_of(codes(t)) for t in samples[lang]]
+            parts = [p for p in parts if p.any()]
+            if not parts:
+                continue
+            gap = np.zeros(1, np.int32)
+            rows = automaton(np.concatenate([x for p in parts for x in (p, gap)]))
+            self.langs.append(lang)
+            self.roots.append(base)
+            sizes = [len(r) for r in rows]
+            state.append(np.repeat(np.arange(base, base + len(rows)), sizes))
+            symbol.append(np.fromiter((c for r in rows for c in r), np.int64, sum(sizes)))
+            to.append(np.fromiter((t for r in rows for t in r.values()), np.int64, sum(sizes)) + base)
+            base += len(rows)
+        joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (state, symbol, to)]
+        self.moves = Transitions(*joined)
+
+    def _step(self, state: np.ndarray, symbol: np.ndarray, root: int) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, and whether the symbol begins a phrase. A letter that the language lacks is a phrase alone."""
+        begins = state == root
+        got = self.moves.step(state, symbol)
+        broken = np.flatnonzero(got < 0)
+        if len(broken):
+            begins[broken] = True
+            again = self.moves.step(np.full(len(broken), root, np.int64), symbol[broken])
+            got[broken] = np.where(again < 0, root, again)
+        return got, begins
 
     def phrases(self, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrase counts, rows by languages, of the symbol runs that offsets delimit."""
         n, sizes = len(offsets) - 1, np.diff(offsets)
         pieces = -(-sizes // STRETCH)
         row = np.repeat(np.arange(n), pieces)
-        start = offsets[row] + (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * STRETCH
+        number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = offsets[row] + number * STRETCH
         length = np.minimum(start + STRETCH, offsets[row + 1]) - start
         order = np.argsort(-length, kind="stable")
-        row, start, length = row[order], start[order], length[order]
+        shrinking = np.searchsorted(-length[order], -np.arange(1, STRETCH + 1), "right")  # pieces that are at least so long
+        at = start[order]
         out = np.zeros((n, len(self.langs)), np.int64)
-        shrinking = np.searchsorted(-length, -np.arange(1, STRETCH + 1), "right")  # pieces that are at least so long
-        for k, first in enumerate(self.starts):
-            state = np.full(len(row), first, np.int32)
-            count = np.zeros(len(row), np.int32)
+        for k, root in enumerate(self.roots):
+            begins = np.zeros(len(symbols), bool)
+            state = np.full(len(row), root, np.int32)
             for step in range(STRETCH):
                 live = shrinking[step]
                 if not live:
                     break
-                got = self.table[state[:live] * np.int64(SYMBOLS) + symbols[start[:live] + step]]
-                missed = got < 0
-                count[:live] += missed
-                state[:live] = np.where(missed, ~got, got)
-            out[:, k] = np.bincount(row, count, minlength=n)
+                state[:live], begins[at[:live] + step] = self._step(state[:live], symbols[at[:live] + step], root)
+            left = np.empty(len(row), np.int32)
+            left[order] = state
+            self._carry(symbols, begins, left, start, length, number, root)
+            total = np.concatenate([[0], np.cumsum(begins)])
+            out[:, k] = total[offsets[1:]] - total[offsets[:-1]]
         return out
 
+    def _carry(self, symbols: np.ndarray, begins: np.ndarray, left: np.ndarray, start: np.ndarray, length: np.ndarray, number: np.ndarray, root: int) -> None:
+        """Corrects ``begins`` where a phrase runs from one stretch into the next; left are the states behind each stretch."""
+        pending = np.flatnonzero(number > 0)
+        while len(pending):
+            live, state, step = pending, left[pending - 1], 0
+            unmet = []
+            while len(live):
+                place = start[live] + step
+                state, fresh = self._step(state, symbols[place], root)
+                met = fresh & begins[place]
+                begins[place] = fresh
+                ended = ~met & (step + 1 == length[live])
+                if ended.any():  # never in step within the stretch: what comes out of it changes
+                    gone = live[ended]
+                    changed = left[gone] != state[ended]
+                    left[gone] = state[ended]
+                    unmet.append(gone[changed])
+                go = ~met & ~ended
+                live, state, step = live[go], state[go], step + 1
+            after = np.concatenate(unmet) + 1 if unmet else np.zeros(0, np.int64)
+            after = after[after < len(number)]
+            pending = after[number[after] > 0]
+
     def predict(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
         data = raw.tobytes()
         texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        runs = [_to_words(self.encode(codes(t))) for t in texts]
-        lettered = np.array([bool(len(r)) and bool(r.any()) for r in runs], bool)
+        runs = [symbols_of(codes(t)) for t in texts]
+        lettered = np.array([bool(r.any()) for r in runs], bool)
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
         ends = np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int64)
-        counts = self.phrases(np.concatenate(runs) if runs else np.zeros(0, np.uint8), ends).astype(np.float64)
+        counts = self.phrases(np.concatenate(runs) if runs else np.zeros(0, np.int32), ends).astype(np.float64)
         rate = counts / np.maximum(np.diff(ends), 1)[:, None]
         best = np.argmin(rate, axis=1)
         # the winner's share where each language weighs the less the more phrases it needs
@@ -173,12 +233,21 @@ class Model:
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", texts: int = TEXTS, letters: int = LETTERS) -> Model:
-    """Model from at most ``texts`` labelled texts of each language, chosen by a hash of the id."""
-    known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.substring(text, 1, letters).alias("text"))
+    """Model from at most ``texts`` labelled texts of each language, the first by a hash of id and text, and at most
+    ``letters`` letters of them, of each text an equal share."""
+    known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(F.lit(17), F.col(key), F.col(text)).alias("h"), F.col(text).alias("text"))
+    # first the least of each shard, then the least of those, so that no language meets in one task
+    shard = Window.partitionBy("lang", F.pmod("h", F.lit(SHARDS))).orderBy("h")
+    some = known.select("lang", "h").withColumn("r", F.rank().over(shard)).where(F.col("r") <= texts).select("lang", "h").distinct()
+    chosen = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= texts)
+    shares = chosen.groupBy("lang").agg(F.expr(f"cast({letters} div count(*) as int)").alias("share"))
+    picked = F.broadcast(chosen.select("lang", "h").join(shares, "lang"))
+    share = "substring(text, cast(pmod(h, greatest(1, length(text) - share + 1)) as int) + 1, share)"
+    taken = known.join(picked, ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.expr(share)).alias("t"))
     held: dict[str, list[str]] = {}
-    for r in hash_sample(known, F.col("key"), texts, ["lang"]).orderBy("lang", F.xxhash64("key", F.lit(17)), "key").toLocalIterator():
-        held.setdefault(r["lang"], []).append(r["text"])
-    return Model(held, letters)
+    for r in taken.orderBy("lang", "h").collect():
+        held.setdefault(r["lang"], []).append(r["t"])
+    return Model(held)
 
 
 def predicted(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

@@ -5,8 +5,9 @@ thresholds after another over labelled statistics: it adds the condition of the
 of the rows, prunes conditions from the end while that helps on the other third, keeps the rule if it is precise enough,
 and goes on with the rows that no rule covers. Texts that fail the base rules are not learned from. ``DecisionList.verdict`` is a CASE expression in that order.
 
-Null and empty texts have zero counts (and fail the base rules for want of words); rows with null statistics are kept
-out of learning; repeated rows each count; with no labelled rows the list is empty and every text is kept.
+Null and empty texts have zero counts (and fail the base rules for want of words); a null id or label is not learned
+from; repeated rows each get their row but count once in learning; of equally good conditions the first by feature and
+threshold wins; with no labelled rows the list is empty and every text that passes the base rules is kept.
 """
 
 from __future__ import annotations
@@ -177,12 +178,26 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, most_
 
 
 def judged(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, text: str = "text", key: str = "doc_id", label: str = "quality") -> tuple[DataFrame, DecisionList]:
-    """Statistics of every document with base_failed and kept, and the list that was learned from at most ``rows`` labels."""
+    """Statistics of every document with base_failed and kept, and the list that was learned from at most ``rows`` labels.
+
+    The sample is the first labels by a hash of the id; of labels that disagree on an id the smallest counts, of documents
+    that share an id the one of the smallest statistics. The rows are sorted before they are learned from, so the list is
+    the same at any partitioning.
+    """
     stats = cut(text_statistics(documents, text, (key,)))
-    known = hash_sample(labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).alias("_label")).dropDuplicates(["_key"]), F.col("_key"), rows)
+    own = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(label).alias("_label"))
+    known = hash_sample(own, F.col("_key"), rows)
     names = list(FEATURES)
     base = F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
-    taught = stats.where(~base).join(known, stats[key] == known["_key"]).select(*[F.expr(FEATURES[f]).alias(f) for f in names], "_label").limit(4 * rows).toPandas()
-    bad = taught["_label"].to_numpy() == 0
-    found = learn({f: taught[f].to_numpy(np.float64) for f in names}, bad) if len(taught) else DecisionList()
+    counts = [part.strip().split(" ")[0] for part in STATISTICS.split(",")]
+    taught = stats.where(~base).join(known, stats[key] == known["_key"]).groupBy("_key").agg(F.min(F.struct(*counts)).alias("s"), F.min("_label").alias("_label"))
+    found = _learned(taught.select("_key", "_label", "s.*").select("_key", *[F.expr(FEATURES[f]).alias(f) for f in names], "_label").toPandas())
     return stats.withColumn("base_failed", base).withColumn("kept", F.when(base, F.lit(False)).otherwise(found.verdict())), found
+
+
+def _learned(taught) -> DecisionList:
+    """The list of labelled features, in the order of their keys."""
+    if not len(taught):
+        return DecisionList()
+    taught = taught.sort_values("_key", kind="stable")
+    return learn({f: taught[f].to_numpy(np.float64) for f in FEATURES}, taught["_label"].to_numpy() == 0)

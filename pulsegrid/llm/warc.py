@@ -5,7 +5,8 @@ first record and continuation records, and leaves gzip-compressed archives in a
 at least ``least`` bytes, the one with the smallest id is a response and the others are revisit records without a body.
 ``read`` parses every archive (plain, or gzip of any number of members), groups continuation records by their origin's id, orders them by segment number, verifies
 the total length, and decodes the chunked framing. A record whose segments are missing or too short comes out with
-``complete`` false and no payload, never half a payload.
+``complete`` false and no payload, never half a payload. Broken numbers read as none; behind a broken length a record ends
+where the next begins.
 
 Null payloads are empty; a null id or url leaves its field out and reads back as null; rows that are repeated exactly
 give equal records, of which each is read back; rows of one id with different payloads stay apart; an empty table gives
@@ -24,11 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.common import cut
+
 SEGMENT = 64 << 10
 CHUNK = 16 << 10
 LEAST = 100
 #: Records of one archive; with SEGMENT this bounds an archive's size.
 RECORDS = 1024
+#: Most repeated digests that are sent to all executors, and the tasks over which a common one is dealt beyond it.
+BROADCAST_DIGESTS = 100_000
+SALT = 32
 DATE = "2024-01-01T00:00:00Z"
 END = b"\r\n\r\n"
 
@@ -70,18 +76,18 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return f"{head}Content-Length: {len(block)}\r\n\r\n".encode() + block
 
 
-def _name(page_id: int | None, digest: str) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}:{digest[:32]}>"
+def _name(page_id: int | None, url: str | None, digest: str) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{hashlib.sha256(repr(url).encode()).hexdigest()[:8]}{digest[:24]}>"
 
 
-def records_of(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment: int) -> list[bytes]:
-    """The records of one page, without the blank lines that end them."""
+def records_of(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment: int, refers_url: str | None = None) -> list[bytes]:
+    """The records of one page, without the blank lines that end them; a revisit names the response by its id and url."""
     target = None if url is None else quote(url, safe=":/?#[]@!$&'()*+,;=%~-._")
-    own = _name(page_id, hashlib.sha256(f"{url!r}".encode()).hexdigest()[:8] + digest)
+    own = _name(page_id, url, digest)
     common = [("WARC-Date", DATE), ("WARC-Target-URI", target), ("WARC-Target-URI-Raw", None if url is None or unquote(target) == url else url.encode().hex()), ("Page-Id", page_id), ("WARC-Payload-Digest", f"sha256:{digest}")]
     if refers_to is not None:
         block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-        return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Page", refers_to), ("Content-Type", "application/http; msgtype=response")], block)]
+        return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _name(refers_to, refers_url, digest)), ("WARC-Refers-To-Target-URI", None if refers_url is None else quote(refers_url, safe=":/?#[]@!$&'()*+,;=%~-._")), ("Content-Type", "application/http; msgtype=response")], block)]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     pieces = [block[a : a + segment] for a in range(0, len(block), segment)]
     first = [("WARC-Type", "response"), ("WARC-Record-ID", own), *common, ("Content-Type", "application/http; msgtype=response")]
@@ -98,8 +104,16 @@ def plan(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str
     """Pages with payload, digest, and the id that a revisit refers to."""
     own = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     own = own.withColumn("digest", F.sha2("payload", 256))
-    shared = own.where(F.length("payload") >= least).groupBy(F.col("digest").alias("_d")).agg(F.count("*").alias("_n"), F.min("page_id").alias("_first")).where("_n > 1 AND _first IS NOT NULL")
-    return own.join(shared, F.col("digest") == F.col("_d"), "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first"))).select("page_id", "url", "payload", "digest", "refers_to")
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    shared = own.where(F.length("payload") >= least).groupBy(F.col("digest").alias("_d")).agg(F.count("*").alias("_n"), F.min(named).alias("_f")).where("_n > 1 AND _f IS NOT NULL")
+    shared = cut(shared.select("_d", F.col("_f.page_id").alias("_first"), F.col("_f.url").alias("_url")))
+    if shared.count() <= BROADCAST_DIGESTS:  # no payload is shuffled
+        joined = own.join(F.broadcast(shared), F.col("digest") == F.col("_d"), "left")
+    else:  # the rows of a common digest are dealt over SALT tasks
+        salted = shared.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        joined = own.withColumn("_p", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")).join(salted, (F.col("digest") == F.col("_d")) & (F.col("_p") == F.col("_s")), "left")
+    revisit = ~F.col("page_id").eqNullSafe(F.col("_first"))
+    return joined.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("_first")).alias("refers_to"), F.when(revisit, F.col("_url")).alias("refers_url"))
 
 
 def write(pages: DataFrame, folder: str, segment: int = SEGMENT, records: int = RECORDS, **names) -> None:
@@ -109,7 +123,7 @@ def write(pages: DataFrame, folder: str, segment: int = SEGMENT, records: int =
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 rows = batch.slice(a, 256).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([x for r in rows for x in records_of(r["page_id"], r["url"], r["payload"], r["digest"], r["refers_to"], segment)], pa.binary())], ["record"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for r in rows for x in records_of(r["page_id"], r["url"], r["payload"], r["digest"], r["refers_to"], segment, r["refers_url"])], pa.binary())], ["record"])
 
     made = plan(pages, **names).mapInArrow(run, "record binary")
     # each line of the text sink is one record, parted by the blank lines that the format asks for
@@ -136,24 +150,45 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         for line in lines[1:]:
             k, _, v = line.partition(":")
             fields[k.strip().lower()] = v.strip()
-        size = int(fields.get("content-length", 0))
+        size = _number(fields.get("content-length"))
+        if size is None:  # a broken length: the block ends where the next record begins
+            after = data.find(END + b"WARC/", stop + 4)
+            size = (after if after >= 0 else len(data)) - stop - 4
         yield fields, data[stop + 4 : stop + 4 + size]
         at = stop + 4 + size
         while data[at : at + 2] == b"\r\n":
             at += 2
 
 
+def _number(value: str | bytes | None) -> int | None:
+    """A count or id; None where there is none or it is broken."""
+    try:
+        return int(value) if value else None
+    except ValueError:
+        return None
+
+
+def _page_of(name: str | None) -> int | None:
+    """Page id that a record name of this writer holds."""
+    parts = (name or "").strip("<>").split(":")
+    return _number(parts[2]) if parts[:2] == ["urn", "page"] and len(parts) > 3 else None
+
+
 def _parsed(fields: dict[str, str], block: bytes) -> tuple:
-    number = lambda k: int(fields[k]) if fields.get(k) else None
     raw, target = fields.get("warc-target-uri-raw"), fields.get("warc-target-uri")
-    url = bytes.fromhex(raw).decode() if raw else unquote(target) if target is not None else None
+    try:
+        url = bytes.fromhex(raw).decode() if raw else unquote(target) if target is not None else None
+    except ValueError:
+        url = target
     kind, own = fields.get("warc-type", ""), fields.get("warc-record-id", "")
     size = None
     if kind == "revisit":
         for line in block.split(b"\r\n"):
             if line.lower().startswith(b"content-length:"):
-                size = int(line.split(b":")[1])
-    return own, fields.get("warc-segment-origin-id", own), number("warc-segment-number"), number("warc-segment-total-length"), kind, number("page-id"), url, number("warc-refers-to-page"), size, fields.get("warc-payload-digest", "").removeprefix("sha256:"), block
+                size = _number(line.split(b":")[1])
+    number = lambda k: _number(fields.get(k))
+    page_id = number("page-id") if "page-id" in fields else _page_of(own)
+    return own, fields.get("warc-segment-origin-id", own), number("warc-segment-number"), number("warc-segment-total-length"), kind, page_id, url, _page_of(fields.get("warc-refers-to")), size, fields.get("warc-payload-digest", "").removeprefix("sha256:"), block
 
 
 def _page(head: tuple, block: bytes | None) -> tuple:

@@ -171,16 +171,80 @@ def test_language_id(spark, docs):
     assert {r["lang_pred"] for r in language_id.predicted(docs, empty).collect()} == {"und"}
 
 
-def test_cross_parsing_counts_longest_matches():
-    model = language_id.Model({"x": ["abcabdabe" * 3]})
-    symbols = model.encode(language_id.codes("abdabxcab"))
-    state, count = model.starts[0], 0
-    table = model.table.reshape(-1, language_id.SYMBOLS)
-    for c in symbols:
-        to = table[state, c]
-        count += to < 0
-        state = ~to if to < 0 else to
-    assert model.phrases(symbols, np.array([0, len(symbols)]))[0, 0] == count == 3
+def plain_phrases(sample, text):
+    """Cross-parsing by string search: longest matches one after another, a letter that is not found is one alone."""
+    n, at = 0, 0
+    while at < len(text):
+        size = 1
+        while at + size <= len(text) and text[at : at + size] in sample:
+            size += 1
+        at += max(1, size - 1)
+        n += 1
+    return n
+
+
+def test_cross_parsing_equals_string_search_over_any_length():
+    rng = random.Random(4)
+    alphabet = "abcdefg" + "日本語漢字" + chr(0x30123)
+    sample = "".join(rng.choice(alphabet) for _ in range(400))
+    model = language_id.Model({"x": [sample]})
+    texts = ["abdabxcab", "", "z" * 1500, chr(0x30124) * 3]
+    texts += ["".join(rng.choice(alphabet + "z") for _ in range(n)) for n in (511, 512, 513, 3000)]
+    texts += ["".join(sample[k : k + rng.randint(1, 380)] for k in (rng.randrange(200) for _ in range(40))), (sample * 12)[5:]]
+    parts = [language_id.symbols_of(language_id.codes(t)) for t in texts]
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+    got = model.phrases(np.concatenate(parts), ends)[:, 0].tolist()
+    held = sample + "\0"
+    assert got == [plain_phrases(held, t) for t in texts]
+
+
+def test_languages_of_many_letters_and_many_languages(spark):
+    prepare(spark)
+    rng = random.Random(7)
+    bases = [0x4E00, 0x5E00, 0x6E00, 0x30000, 0xAC00, 0x10400] + [0x1200 + 24 * k for k in range(10)]
+    rows = [(i * 100 + k, "".join(chr(b + rng.randrange(20) * (1 if b < 0x2000 or b == 0x10400 else 37)) for _ in range(80)), f"l{k:02}") for k, b in enumerate(bases) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.train(df.where("doc_id < 2500"))
+    assert len(model.langs) == len(bases)
+    got = language_id.predicted(df.where("doc_id >= 2500"), model, ("doc_id", "lang")).collect()
+    assert len(got) == 5 * len(bases) and all(r["lang_pred"] == r["lang"] for r in got)
+
+
+def test_the_language_model_depends_on_rows_alone(spark):
+    prepare(spark)
+    rng = random.Random(9)
+    rows = [(None if i % 3 == 0 else i // 2, " ".join(rng.choice(["kala", "muna", "tiko", "schro", "fetz"]) for _ in range(20 + i)), "ab"[i % 2]) for i in range(200)]
+    models = []
+    for n in (1, 5):
+        df = spark.createDataFrame(rows + rows[:20], "doc_id bigint, text string, lang string").repartition(n)
+        models.append(language_id.train(df, texts=30, letters=900))
+    assert models[0].roots == models[1].roots and (models[0].moves.keys == models[1].moves.keys).all() and (models[0].moves.to == models[1].moves.to).all()
+
+
+def test_rules_are_the_same_at_any_partitioning(spark):
+    prepare(spark)
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(400):
+        bad = rng.random() < 0.3
+        words = [("#" if bad and rng.random() < 0.6 else "") + "w" + str(rng.randrange(500)) for _ in range(40)]
+        rows.append((i, " ".join(words)))
+        labels += [(i, 0 if bad else 1)] * rng.randint(1, 2)
+    labels += [(3, 0), (3, 1), (None, 0), (4, None)]
+    found = []
+    for n in (1, 3, 8):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(n)
+        marks = spark.createDataFrame(labels, "doc_id bigint, quality int").repartition(n)
+        out, learned = quality_rules.judged(docs, marks)
+        found.append((learned.rules, sorted((r["doc_id"], r["kept"]) for r in out.collect())))
+    assert found[0] == found[1] == found[2] and found[0][0]
+    # the ordered expression decides as the rules do one by one
+    stats = {r["doc_id"]: r for r in out.collect()}
+    x = {f: np.array([r[f] for r in out.selectExpr("doc_id", *[f"{v} AS {k}" for k, v in quality_rules.FEATURES.items()]).orderBy("doc_id").collect()], float) for f in quality_rules.FEATURES}
+    for (i, kept), covered in zip(found[2][1], learned.covers(x), strict=True):
+        assert kept == (not stats[i]["base_failed"] and not covered)
+    wrong = sum(kept != (q == 1) for (i, kept) in found[0][1] for j, q in labels[:1] + [x for x in labels if x[0] == i][:1] if j == i)
+    assert wrong < 0.1 * len(rows)
 
 
 def test_quality_model(spark, docs):
@@ -242,6 +306,26 @@ def test_warc_with_a_gzip_member_for_each_record(spark, tmp_path):
     assert sorted((r["page_id"], bytes(r["payload"]), r["complete"]) for r in got) == [(i, b, True) for i, _, b in pages]
 
 
+def test_warc_with_broken_numbers(spark, tmp_path):
+    good = warc.records_of(5, "http://a", b"x" * 90, hashlib.sha256(b"x" * 90).hexdigest(), None, 1000)[0]
+    broken = good.replace(b"Content-Length: ", b"Content-Length: abc").replace(b"page:5:", b"page:6:").replace(b"Page-Id: 5", b"Page-Id: five")
+    (tmp_path / "a.warc").write_bytes(broken + warc.END + good + warc.END)
+    got = sorted((str(r["page_id"]), r["payload_bytes"]) for r in warc.read(spark, str(tmp_path)).collect())
+    assert got == [("5", 90), ("None", 90)]
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_warc_revisits_name_the_response(spark, tmp_path, most, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", most)
+    rows = [(4, "http://d", "y" * 200), (2, "http://b", "y" * 200), (None, "http://n", "y" * 200), (3, "http://c", "z" * 20), (1, "http://a", "z" * 20), (9, None, "q" * (3 << 20)), (8, None, "q" * (3 << 20))]
+    warc.write(spark.createDataFrame(rows, "page_id bigint, url string, html string"), str(tmp_path / "w"))
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"], r["complete"]) for r in warc.read(spark, str(tmp_path / "w")).collect()}
+    assert got == {4: ("revisit", 2, 200, True), 2: ("response", None, 200, True), None: ("revisit", 2, 200, True), 3: ("response", None, 20, True), 1: ("response", None, 20, True), 9: ("revisit", 8, 3 << 20, True), 8: ("response", None, 3 << 20, True)}
+    content = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz"))
+    refers = re.findall(rb"WARC-Refers-To: (\S+)", content)
+    assert len(refers) == 3 and all(b"WARC-Record-ID: " + r in content for r in refers)
+
+
 def test_warc_missing_segments():
     rows = [warc._parsed(f, b) for record in warc.records_of(1, "u", b"z" * 500, hashlib.sha256(b"z" * 500).hexdigest(), None, 100) for f, b in warc.parse(record)]
     assert warc.assemble(rows)[0][4:7] == (500, hashlib.sha256(b"z" * 500).hexdigest(), True)
@@ -277,3 +361,47 @@ def test_the_template_decides_on_pages_with_articles(spark):
     assert got[3] == "head 3 long story 3 of many words zzz"
     assert got[13] == "head 3 another story 3 zzz"
     assert [got[20 + i] for i in range(8)] == [f"{'ab'[i % 2]} text {i} {'z' * 150}" for i in range(8)]
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<p data-x=5">Hello first</p><p class="b">World</p>', "Hello first World"),
+    ("<p title=it's>yes</p> and <b>on</b>", "yes and on"),
+    ("<p title = 'a > b' class=x>in</p>", "in"),
+    ('<p class="open>lost</p><p>next</p>', "lost next"),
+    ('<a href=/x/y=1&z="2>go</a> <br/>home', "go home"),
+    ("<div class='content related'>kept</div><div class='related-links'>gone</div>", "kept"),
+    ("<section class=labor-notice>strike</section><section class=cookie-notice>c</section><div class=site-notice>s</div>", "strike"),
+])
+def test_markup_with_stray_quotes_and_names(page, text):
+    assert html_extract.main_text(page) == text
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_equivalence_classes_equal_plain_counting(spark, most, monkeypatch):
+    """Tokens share a fingerprint exactly if the counts page by page are equal; the slots follow from it, on several hosts at once."""
+    monkeypatch.setattr(html_extract, "BROADCAST_PATHS", most)
+    rng = random.Random(3)
+    rows = []
+    for h in range(4):
+        for i in range(7):
+            items = "".join(f"<li class=i><b>{rng.random()}</b></li>" for _ in range(rng.randint(1, 3)))
+            extra = "<div class=opt>maybe</div>" if rng.random() < 0.5 else ""
+            story = "".join(f"<p>{h} {i} {k} {rng.random()} words of this story</p>" for k in range(rng.randint(2, 5)))
+            rows.append((h * 10 + i, f" HTTP://u:p@Host{h}.org:80/{i}", f"<html><body><div class=m{h}>Home</div><ul class=s>{items}</ul>{extra}<div class=c{h}><div class=in>{story}</div></div><div class=f>end</div></body></html>"))
+    rows += [(100, rows[0][1], rows[0][2]), (101, None, ""), (102, "no host", None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    seen = html_extract.observed(df).toPandas()
+    vectors = {}
+    for (host, path), g in seen.groupby(["host", "path"]):
+        counts = g.drop_duplicates("page").set_index("page")["n"]
+        vectors[host, path] = tuple(sorted(counts.items()))
+    once = seen.drop_duplicates(["host", "page", "path"])
+    prints = {k: g["vector"].map(lambda v: v >> 32).sum() * 2**40 + g["vector"].map(lambda v: v & (2**32 - 1)).sum() for k, g in once.groupby(["host", "path"])}
+    for host in {h for h, _ in vectors}:
+        own = [k for k in vectors if k[0] == host]
+        assert all((vectors[a] == vectors[b]) == (prints[a] == prints[b]) for a in own for b in own)
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    for i, _, page in rows[:28]:
+        assert got[i] == " ".join(re.findall(r"<p>(.*?)</p>", page))
+    assert got[100] == got[0] and got[101] == got[102] == ""
+    assert html_extract.extract(df.limit(0)).count() == 0
