@@ -10,8 +10,8 @@ meets in a bucket is decided exactly:
 * Then the members of buckets that hold more than one component are compared with those of other components, in blocks
   of ``BLOCK`` members, inside the join on the block. Members of one component need no further comparison.
 
-A pair is compared by parity sketches first: two sketches differ in at most as many bits as the sets have members apart,
-so a pair beyond the bound cannot be similar and nothing similar is lost. What is left is verified by the Jaccard
+A pair is compared by parity sketches first: each member of a set turns one bit over, so two sketches differ in at most
+as many bits as the sets have members apart; a pair beyond the bound cannot be similar and nothing similar is lost. What is left is verified by the Jaccard
 similarity of the sets. Of each component one line stays: the first by id, text (by hash) and line number.
 
 Lines without a visible character are no nodes and always stay. Null texts have no lines, an empty text has one empty
@@ -30,16 +30,17 @@ from pulsegrid.llm.components import components
 
 SHINGLE = 12
 SIMILARITY = 0.8
-#: Triples of twelve minima that share few pairs: of two lines of similarity 0.8, at least 99.2 in a hundred meet in one.
-BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 9), (1, 3, 10), (2, 6, 11), (5, 7, 9), (0, 8, 10))
+#: Triples of twelve minima, no two of which share a pair: of two lines of similarity 0.8, 99.3 in a hundred meet in one.
+BANDS = ((0, 2, 4), (0, 5, 7), (0, 6, 8), (1, 3, 9), (1, 5, 11), (1, 6, 7), (2, 3, 6), (2, 5, 10), (3, 10, 11), (4, 7, 8), (4, 9, 10), (8, 9, 11))
 PIVOTS = 4
 #: Members of a bucket that one group of the second turn holds on either side.
 BLOCK = 1024
-#: Longs of a parity sketch.
+#: Longs of a parity sketch, a power of two.
 SKETCH = 16
-#: Most rows of (key) or (node, node) that are sent to all executors; beyond it both sides are shuffled.
+#: Most rows of (key) or (node) that are sent to all executors; beyond it both sides are shuffled.
 BROADCAST_ROWS = 400_000
-VISIBLE = r"[^\x20\x09-\x0D]"
+#: The ASCII white space, of which invisible lines consist.
+BLANK = " \t\n\x0b\x0c\r"
 
 
 def _constants(n: int) -> list[int]:
@@ -50,7 +51,7 @@ def _constants(n: int) -> list[int]:
 def lines(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(id, version, line_no, line, node) of every line; version is a hash of the text; node is null where nothing is visible."""
     split = df.select(F.col(key).alias("id"), F.xxhash64(text).alias("version"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    return split.withColumn("node", F.when(F.col("line").rlike(VISIBLE), F.xxhash64("line")))
+    return split.withColumn("node", F.when(F.ltrim("line", F.lit(BLANK)) != "", F.xxhash64("line")))
 
 
 # --------------------------------------------------------------------------- shingles: four bytes a code point
@@ -61,11 +62,12 @@ def _points(line: str) -> Column:
 
 
 def _starts(points: str, size: int) -> str:
-    return f"sequence(0, greatest(length({points}) div 4 - {size}, 0))"
+    """First byte of each shingle, from one."""
+    return f"sequence(1, greatest(length({points}) - {4 * size - 1}, 1), 4)"
 
 
 def _shingle(points: str, at: str, size: int) -> str:
-    return f"xxhash64(substring({points}, 4 * {at} + 1, {4 * size}))"
+    return f"xxhash64(substring({points}, {at}, {4 * size}))"
 
 
 def _set(line: str, size: int) -> Column:
@@ -73,11 +75,15 @@ def _set(line: str, size: int) -> Column:
     return F.array_distinct(F.expr(f"transform(array(encode({line}, 'UTF-32')), b -> transform({_starts('b', size)}, i -> {_shingle('b', 'i', size)}))[0]"))
 
 
+def _spread(nodes: DataFrame, size: int) -> DataFrame:
+    """(node, h) of every shingle of (node, line), repeats included."""
+    each = nodes.select("node", _points("line").alias("u")).select("node", "u", F.explode(F.expr(_starts("u", size))).alias("i"))
+    return each.select("node", F.expr(_shingle("u", "i", size)).alias("h"))
+
+
 def signatures(nodes: DataFrame, size: int = SHINGLE, n: int = 12) -> DataFrame:
-    """node and its minima m0, m1, ... from (node, line), 32 bits of each: the leading ones are much the same in all."""
-    spread = nodes.select("node", _points("line").alias("u")).select("node", "u", F.explode(F.expr(_starts("u", size))).alias("i"))
-    hashed = spread.select("node", F.expr(_shingle("u", "i", size)).alias("h"))
-    least = hashed.groupBy("node").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_constants(n))])
+    """node and its minima of (node, line), 32 bits of each, two to a long: the leading ones are much the same in all."""
+    least = _spread(nodes, size).groupBy("node").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_constants(n))])
     return least.select("node", *[F.expr(f"(m{k} & 4294967295L) | shiftleft(m{min(k + 1, n - 1)}, 32)").alias(f"w{k // 2}") for k in range(0, n, 2)])
 
 
@@ -95,7 +101,7 @@ def _sent(df: DataFrame, rows: int) -> DataFrame:
 
 
 def sketches(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """node, n (its number of shingles) and the parity of its shingles over the bits of s0, s1, ..."""
+    """node, n (its number of different shingles) and their parity over the bits of s0, s1, ..."""
     each = texts.select("node", F.explode(_set("line", size)).alias("h"))
     bit = "shiftleft(1L, cast(h & 63 as int))"
     return each.groupBy("node").agg(F.count("*").alias("n"), *[F.expr(f"bit_xor(if(shiftrightunsigned(h, 6) & {SKETCH - 1} = {k}, {bit}, 0L))").alias(f"s{k}") for k in range(SKETCH)])
@@ -107,7 +113,7 @@ def _side(sketch: DataFrame, name: str, *more) -> DataFrame:
 
 def _possible(similarity: float) -> Column:
     """False only for pairs (a, b) that cannot be similar: sizes too far apart, or more members apart than allowed."""
-    ratio = F.least("a_n", "b_n") >= F.lit(similarity) * F.greatest("a_n", "b_n")
+    ratio = F.least("a_n", "b_n") >= F.lit(similarity) * F.greatest("a_n", "b_n") - 1e-9
     apart = F.expr(" + ".join(f"bit_count(a_s{k} ^ b_s{k})" for k in range(SKETCH)))
     return ratio & ((1 + similarity) * apart <= (1 - similarity) * (F.col("a_n") + F.col("b_n")) + 1e-9)
 
@@ -124,17 +130,17 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
 
 
 def _pivoted(members: DataFrame) -> DataFrame:
-    """(a, b, part) of each bucket's pivots with its other members; part deals the pairs of a pivot of large buckets."""
+    """(a, b, n) of each bucket's pivots with its other members."""
     pivots = members.groupBy("key").agg(*[F.min(F.when(F.pmod("node", F.lit(PIVOTS)) == j, F.col("node"))).alias(f"p{j}") for j in range(PIVOTS)])
     met = members.join(pivots, "key").select("n", F.col("node").alias("b"), F.explode(F.array(*[F.col(f"p{j}") for j in range(PIVOTS)])).alias("a"))
-    other = met.where("a IS NOT NULL AND a <> b").groupBy("a", "b").agg(F.max("n").alias("n"))
-    return other.select("a", "b", F.expr(f"cast(pmod(b, n div {BLOCK} + 1) as int)").alias("part"))
+    return met.where("a IS NOT NULL AND a <> b").select("a", "b", "n")
 
 
-def _star_candidates(members: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
-    pairs = cut(_pivoted(members))
-    pivots = pairs.select("a", "part").distinct().join(_side(sketch, "a"), "a")
-    met = pairs.join(pivots, ["a", "part"]).join(_side(sketch, "b"), "b").where(_possible(similarity))
+def _star_candidates(pairs: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b, n) that may be similar; the partners of a pivot of large buckets are dealt over several tasks."""
+    once = cut(pairs.groupBy("a", "b").agg(F.max("n").alias("n")).select("a", "b", F.expr(f"cast(pmod(b, n div {BLOCK} + 1) as int)").alias("part")))
+    pivots = once.select("a", "part").distinct().join(_side(sketch, "a"), "a")
+    met = once.join(pivots, ["a", "part"]).join(_side(sketch, "b"), "b").where(_possible(similarity))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -156,18 +162,21 @@ def links(rows: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE,
     """Components (node, component) of the similar lines of rows (node, line); None if no bucket has two lines."""
     signed = cut(signatures(rows, size, 1 + max(max(b) for b in bands)))
     spread = _keys(signed, bands)
-    shared = cut(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    members = cut(spread.join(_sent(shared, shared.count()), "key").select("key", "node", "n"))
-    wanted = cut(members.select("node").distinct())
+    shared = cut(spread.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"))
+    # a bucket of two names both; the members of the fewer larger ones are looked up
+    larger = cut(shared.where("n > 2").select("key", "n"))
+    members = cut(spread.join(_sent(larger, larger.count()), "key").select("key", "node", "n"))
+    pairs = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"), "n").unionByName(_pivoted(members))
+    wanted = cut(members.select("node").unionByName(shared.where("n = 2").select(F.explode(F.array("low", "high")).alias("node"))).distinct())
     n = wanted.count()
     if not n:
         return None
     texts = cut(rows.join(_sent(wanted, n), "node").groupBy("node").agg(F.first("line").alias("line")))
     sketch = cut(sketches(texts, size))
-    edges = cut(verified(_star_candidates(members, sketch, similarity), texts, similarity, size))
+    edges = cut(verified(_star_candidates(pairs, sketch, similarity), texts, similarity, size))
     found = components(edges)
     own = found.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-    placed = members.where("n > 2").join(own, F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("_c", "node").alias("c"))
+    placed = members.join(own, F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("_c", "node").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high").select("key", "m")
     live = placed.join(mixed, "key")
     more = cut(verified(_crossing_candidates(live, sketch, similarity), texts, similarity, size))

@@ -2,8 +2,8 @@
 
 The 64 bits lie in m segments on a ring, m = distance + 1. By the strong pigeonring principle two fingerprints within
 the distance have a start from which each chain of l segments differs in at most l * distance / m bits. A chain of two
-(an equal segment, then at most one bit) is looked up by equality of keys; longer chains are checked on each candidate
-before the full Hamming distance.
+(an equal segment, then at most one bit) is looked up by equality of keys, in very large tables a chain of three; longer
+chains are checked on each candidate before the full Hamming distance.
 
 Equal fingerprints are one node. Keys that more than ``hot`` fingerprints share are compared in blocks by numpy, which
 hands on only links that join something new within their block, so a large group costs no row per pair; nothing is
@@ -13,6 +13,8 @@ but cannot name it; repeated rows share a class.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -112,6 +114,10 @@ DISTANCE = 4
 #: Fingerprints that one key may have before they are compared in blocks of BLOCK.
 HOT = 256
 BLOCK = 4096
+#: Segments of the chain that keys hold. From LONG fingerprints on it is one more: each of them has ten times the probes,
+#: but meets thousands of times fewer others by chance, so that the work still grows with the rows and not their square.
+CHAIN = 2
+LONG = 500_000_000
 
 
 def ring(distance: int) -> list[tuple[int, int]]:
@@ -130,19 +136,33 @@ def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     return map_texts(df, text, list(keep), "fp bigint", lambda raw, offsets: [pa.array(fingerprints_of(raw, offsets).view(np.int64))], SLICE_BYTES // 2)
 
 
-def _keyed(nodes: DataFrame, distance: int, probing: bool) -> DataFrame:
-    """Keys of the chain of two segments at each start. A probe also has each key with one more bit set in the second
-    segment; the fingerprint that has that bit holds the other end, so each pair meets once at a start."""
-    fp, segments, keys = F.col("fp"), ring(distance), []
-    for i, (at, width) in enumerate(segments):
-        at2, width2 = segments[(i + 1) % len(segments)]
-        base = F.shiftleft(_piece(fp, at, width), width2).bitwiseOR(_piece(fp, at2, width2))
-        tag = F.lit(i << 48)
-        keys.append(tag.bitwiseOR(base))
-        if probing:
-            for b in range(width2):
-                keys.append(F.when(F.shiftrightunsigned(fp, at2 + b).bitwiseAND(F.lit(1)) == 0, tag.bitwiseOR(base).bitwiseOR(F.lit(1 << b))))
-    return nodes.select("fp", F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL")
+def _flips(widths: list[int], distance: int) -> list[int]:
+    """Differences of the segments behind the first, as bits of a key, within the budgets of each shorter chain; the highest
+    bit of each stands in the upper half."""
+    m, out = distance + 1, [(0, 0)]
+    for n, width in enumerate(widths, 2):
+        grown = []
+        for flip, ones in out:
+            for more in range(n * distance // m - ones + 1):
+                grown += [(flip << width | sum(1 << b for b in chosen), ones + more) for chosen in combinations(range(width), more)]
+        out = grown
+    return [flip | (1 << flip.bit_length() - 1 if flip else 0) << 32 for flip, _ in out]
+
+
+def _keyed(nodes: DataFrame, distance: int, probing: bool, chain: int = CHAIN) -> DataFrame:
+    """Keys of the chain of ``chain`` segments at each start. A probe also has the key of each difference within the budgets
+    whose highest bit it lacks; the fingerprint that has that bit holds the other end, so each pair meets once at a start."""
+    fp, segments, starts = F.col("fp"), ring(distance), []
+    for i in range(len(segments)):
+        own = [segments[(i + k) % len(segments)] for k in range(chain)]
+        base = F.lit(0).cast("bigint")
+        for at, width in own:
+            base = F.shiftleft(base, width).bitwiseOR(_piece(fp, at, width))
+        flips = _flips([width for _, width in own[1:]], distance) if probing else [0]
+        starts.append(F.struct(F.lit(i).cast("bigint").alias("i"), base.alias("base"), F.lit(flips).cast("array<bigint>").alias("flips")))
+    each = nodes.select("fp", F.explode(F.array(*starts)).alias("s")).select("fp", "s.i", "s.base", F.explode("s.flips").alias("flip"))
+    low = F.col("flip").bitwiseAND(F.lit(2**32 - 1))
+    return each.where(F.col("base").bitwiseAND(F.shiftright("flip", 32)) == 0).select("fp", F.shiftleft("i", 58).bitwiseOR(F.col("base").bitwiseXOR(low)).alias("key"))
 
 
 def _chained(a: Column, b: Column, distance: int) -> Column:
@@ -206,9 +226,9 @@ def _hot_links(probes: DataFrame, index: DataFrame, hot: DataFrame, distance: in
     return left.groupBy("k1", "l1", "r1").cogroup(right.groupBy("k2", "l2", "r2")).applyInArrow(link, "a bigint, b bigint")
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+def links(nodes: DataFrame, distance: int = DISTANCE, hot: int = HOT, block: int = BLOCK, chain: int = CHAIN) -> DataFrame:
     """(a, b) such that distinct fingerprints (column fp) within the distance are connected exactly as all links would."""
-    probes, index = _keyed(nodes, distance, True), _keyed(nodes, distance, False)
+    probes, index = _keyed(nodes, distance, True, chain), _keyed(nodes, distance, False, chain)
     busy = cut(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot))
     crowded = not busy.isEmpty()
     p, q = probes, index
@@ -218,11 +238,12 @@ def links(nodes: DataFrame, distance: int = DISTANCE, hot: int = HOT, block: int
     return pairs.unionByName(_hot_links(probes, index, busy, distance, block)) if crowded else pairs
 
 
-def classes(df: DataFrame, text: str = "text", key: str = "doc_id", distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
+def classes(df: DataFrame, text: str = "text", key: str = "doc_id", distance: int = DISTANCE, hot: int = HOT, long: int = LONG) -> DataFrame:
     """key, fingerprint (hex) and component_id, the smallest key that can be reached, for every row."""
     rows = cut(fingerprints(df.select(F.col(key).alias("id"), F.col(text).alias("text")), "text", ("id",)))
     nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    found = components(links(nodes.select("fp"), distance, hot))
+    chain = CHAIN + (distance > 1 and nodes.count() >= long)
+    found = components(links(nodes.select("fp"), distance, hot, chain=chain))
     labelled = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     names = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = labelled.select(F.col("fp").alias("_fp"), "root").join(names, "root").select("_fp", "component_id")

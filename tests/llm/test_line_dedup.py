@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegrid.llm import components, line_dedup
 from pulsegrid.llm.common import prepare
@@ -159,13 +160,84 @@ def test_letters_outside_the_basic_plane_count_once(spark):
 
 
 DATA = "/root/testdata/sf0.001"
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def plain_pipeline(docs, benchmark):
+    """Rows of the pipeline by plain comparison of everything with everything; docs are (id, text) pairs with distinct ids."""
+    import hashlib
+    import re
+
+    import numpy as np
+    import xxhash
+    from tokenizers import Tokenizer
+
+    from pulsegrid.llm import bpe_codec
+
+    docs = [(i, t) for i, t in docs if t is not None and any(c.isalpha() for c in t.lower())]
+    keep = expected(docs)
+    docs = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if keep[i, k])) for i, t in docs]
+
+    def fingerprint(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text.translate(LOW))
+        h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 4]).encode(), seed=42) for k in range(max(1, len(w) - 3))] if w else []
+        return sum(1 << b for b in range(64) if sum(v >> b & 1 for v in h) * 2 > len(h))
+
+    prints = [fingerprint(t) for _, t in docs]
+    label = components_of((a, b) for a in range(len(docs)) for b in range(a) if bin(prints[a] ^ prints[b]).count("1") <= 4)
+    least = {}
+    for k, (i, _) in enumerate(docs):
+        root = label.get(k, k)
+        least[root] = min(least.get(root, i), i)
+    docs = [(i, t) for k, (i, t) in enumerate(docs) if least[label.get(k, k)] == i]
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = set()
+    for text in benchmark:
+        w = word.findall((text or "").translate(LOW))
+        m = min(13, len(w))
+        windows |= {tuple(w[k : k + m]) for k in range(len(w) - m + 1 if m else 0)}
+    coder = Tokenizer.from_file(bpe_codec.default_path())
+    out = []
+    for i, t in docs:
+        w, hit = word.findall(t.translate(LOW)), set()
+        for m in {len(p) for p in windows}:
+            for k in range(len(w) - m + 1):
+                if tuple(w[k : k + m]) in windows:
+                    hit.update(range(k, k + m))
+        if not hit or 20 * len(hit) < len(w):
+            ids = coder.encode(t, add_special_tokens=False).ids
+            out.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(coder.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    return sorted(out)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables absent")
-def test_pipeline(spark):
+def test_pipeline_equals_plain_comparison(spark):
+    import corpus_pipeline
+
+    out = sorted(tuple(r) for r in corpus_pipeline.run(spark, DATA).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())
+    docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    assert out == plain_pipeline(docs, [r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()])
+    assert len(out) > 0.6 * len(docs)
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, DATA).toPandas()
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").toPandas()
-    assert out.columns.tolist() == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    assert out["doc_id"].is_unique and set(out["doc_id"]) <= set(docs["doc_id"]) and len(out) > 0.6 * len(docs)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    story = [" ".join(word() for _ in range(60)) for _ in range(8)]
+    rows = [(k, x, "xy"[k % 2]) for k, x in enumerate(story)] + [(20, None, "x"), (21, "", None), (22, "12 34", "y"), (23, story[0], "x"), (24, story[1] + "\nown words of this one " + word(), "y"), (25, "z" * 50_000, None), (26, "Of a Test\n" + " ".join(word() for _ in range(40)), "x")]
+    schema = "doc_id bigint, text string, lang string"
+    extra = spark.createDataFrame(rows, schema).selectExpr("*", "'s' AS source", "cast(length(text) as bigint) AS n_chars", "1 AS node", "2 AS component", "3 AS n_hit", "cast(null as string) AS keep", "4 AS fp")
+    extra.write.parquet(str(tmp_path / "documents.parquet"))
+    items = ["of a test", None, ""]
+    spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())
+    assert out == plain_pipeline([(i, t) for i, t, _ in rows], items)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    twice = docs.unionByName(docs).unionByName(docs.withColumn("doc_id", F.lit(None).cast("bigint")))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, twice, str(tmp_path)).count() > 0

@@ -137,8 +137,8 @@ def classes(prints, ids):
     return [least.get(find(f)) for f in prints]
 
 
-@pytest.mark.parametrize("hot", [256, 1])
-def test_simhash_classes(spark, hot):
+@pytest.mark.parametrize("hot, long", [(256, 10**9), (1, 10**9), (256, 0), (1, 0)])
+def test_simhash_classes(spark, hot, long):
     rng = random.Random(1)
     base = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rng.randint(0, 40)) for _ in range(200)) for _ in range(6)]
     texts = []
@@ -151,7 +151,7 @@ def test_simhash_classes(spark, hot):
     texts += TEXTS
     rows = list(enumerate(texts)) + [(None, texts[0]), (7, texts[7])]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.classes(df, hot=hot).collect())
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.classes(df, hot=hot, long=long).collect())
     prints = [fingerprint(t) for _, t in rows]
     want = sorted((-1 if i is None else i, f"{f:016x}", c) for (i, _), f, c in zip(rows, prints, classes(prints, [i for i, _ in rows]), strict=True))
     assert got == want
@@ -259,6 +259,25 @@ def test_quality_model(spark, docs):
     assert flat.score(np.zeros((1, quality_model.FEATURES)))[0] == pytest.approx(0.5)
 
 
+def test_quality_model_learns_from_other_rows_alone(spark):
+    import zlib
+
+    prepare(spark)
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choice(["calm", "river", "stone", "light"]) for _ in range(30)) if i % 2 else "BUY NOW " * 15, i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    flipped = spark.createDataFrame([(i, 1 - q if i in held else q) for i, _, q in rows] + [(i, 1) for i, _, q in rows if q == 0][:20] * 2 + [(None, 0), (7, None)], "doc_id bigint, quality int").repartition(5)
+    scores = []
+    for labels in (df.select("doc_id", "quality"), flipped):
+        vectors, net = quality_model.train(df.select("doc_id", "text"), labels)
+        scores.append([(r["doc_id"], r["score"]) for r in quality_model.scored(df, vectors, net).orderBy("doc_id").collect()])
+    assert 20 < len(held) < 60 and scores[0] == scores[1]
+    vectors, net = quality_model.train(df.select("doc_id", "text").limit(0), df.select("doc_id", "quality").limit(0))
+    assert quality_model.scored(df.limit(0), vectors, net).count() == 0
+    assert {r["score"] for r in quality_model.scored(df.limit(3), vectors, net).collect()} == {0.5}
+
+
 def test_secret_scan(spark):
     forest = secret_scan.train()
     fresh = secret_scan.labelled_findings(300, seed=77)
