@@ -5,8 +5,8 @@ named by a 64-bit hash). A node's signature holds the minima of its shingle hash
 permutations, which behave like independent minima over random hashes; triples of minima are the bands. Every pair that
 meets in a bucket is decided exactly:
 
-* In the first turn the members of a bucket meet its pivots, the smallest nodes of ``PIVOTS`` residue classes; similar
-  pairs are links, united by distributed union-find.
+* In the first turn the members of a bucket meet its pivots, the smallest nodes of a few residue classes; similar pairs
+  are links, united by distributed union-find.
 * Then the members of buckets that hold more than one component are compared with those of other components, in blocks
   of ``BLOCK`` members, inside the join on the block. Members of one component need no further comparison.
 
@@ -32,7 +32,10 @@ SHINGLE = 12
 SIMILARITY = 0.8
 #: Triples of twelve minima, no two of which share a pair: of two lines of similarity 0.8, 99.3 in a hundred meet in one.
 BANDS = ((0, 2, 4), (0, 5, 7), (0, 6, 8), (1, 3, 9), (1, 5, 11), (1, 6, 7), (2, 3, 6), (2, 5, 10), (3, 10, 11), (4, 7, 8), (4, 9, 10), (8, 9, 11))
+#: Pivots of a bucket, and of one of more than MANY members, which more lines can miss.
 PIVOTS = 4
+MANY_PIVOTS = 16
+MANY = 64
 #: Members of a bucket that one group of the second turn holds on either side.
 BLOCK = 1024
 #: Longs of a parity sketch, a power of two.
@@ -131,9 +134,11 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
 
 def _pivoted(members: DataFrame) -> DataFrame:
     """(a, b, n) of each bucket's pivots with its other members."""
-    pivots = members.groupBy("key").agg(*[F.min(F.when(F.pmod("node", F.lit(PIVOTS)) == j, F.col("node"))).alias(f"p{j}") for j in range(PIVOTS)])
-    met = members.join(pivots, "key").select("n", F.col("node").alias("b"), F.explode(F.array(*[F.col(f"p{j}") for j in range(PIVOTS)])).alias("a"))
-    return met.where("a IS NOT NULL AND a <> b").select("a", "b", "n")
+    most = max(PIVOTS, MANY_PIVOTS)
+    residue = F.pmod("node", F.when(F.col("n") > MANY, MANY_PIVOTS).otherwise(PIVOTS))
+    pivots = members.groupBy("key").agg(*[F.min(F.when(residue == j, F.col("node"))).alias(f"p{j}") for j in range(most)])
+    met = members.join(pivots, "key").select("n", F.col("node").alias("b"), F.explode(F.array_compact(F.array(*[F.col(f"p{j}") for j in range(most)]))).alias("a"))
+    return met.where("a <> b").select("a", "b", "n")
 
 
 def _star_candidates(pairs: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
