@@ -2,6 +2,11 @@
 
 Every stage takes the documents that its predecessor kept, applies its operator's decisions to all of them, and returns
 the columns of documents; the last returns the tokens. ``run`` chains the stages over written Parquet.
+
+All stages take nulls in any column, empty and very long texts, repeated rows, empty tables and further columns, whose
+names may be those that the operators use. A null text has no language and goes in the first stage, as do texts without a
+letter. Rows with a null id keep their lines and are never dropped as near-copies. Of documents at one place in an order
+(copies, repeated rows) all are treated alike, so repeated rows stay or go together.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one line of each component; a document that loses every line stays, with an empty text."""
+    """Keeps one line of each component, the first by id; a document that loses every line stays, with an empty text."""
     return line_dedup.deduplicated(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
@@ -57,7 +62,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each is written to the shared folder and read again."""
+    """Applies the stages to documents; each is written to the shared folder and read again. No documents give no rows."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
