@@ -45,6 +45,36 @@ def knn(left: DataFrame, right: DataFrame, k: int, radius: float, left_id: str,
     return cell_join(left, right, radius, axes).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def knn_whole(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, axes: tuple[str, ...] = ("x", "y"), radius: float = 1.0) -> DataFrame:
+    """As knn, but the k nearest however far they lie.
+
+    Rows that have k within the radius are done; the radius doubles for the others until it spans the data. Each turn
+    looks up fewer rows in wider cells, and is checkpointed.
+    """
+    spans = right.agg(*[(F.max(a) - F.min(a)).alias(a) for a in axes], F.count("*").alias("n")).first()
+    own = left.agg(*[F.min(a).alias(f"l{a}") for a in axes], *[F.max(a).alias(f"h{a}") for a in axes]).first()
+    ends = right.agg(*[F.min(a).alias(f"l{a}") for a in axes], *[F.max(a).alias(f"h{a}") for a in axes]).first()
+    if not spans["n"] or own[f"l{axes[0]}"] is None:
+        return knn(left, right, k, radius, left_id, right_id, axes)
+    whole = sum((max(own[f"h{a}"], ends[f"h{a}"]) - min(own[f"l{a}"], ends[f"l{a}"])) ** 2 for a in axes) ** 0.5
+    waiting, done = left, []
+    while True:
+        near = knn(waiting, right, k, radius, left_id, right_id, axes).checkpoint()
+        if radius >= whole:
+            done.append(near)
+            break
+        full = near.groupBy(left_id).agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select(left_id)
+        done.append(near.join(full, left_id, "left_semi"))
+        waiting = waiting.join(full, left_id, "left_anti").checkpoint()
+        if waiting.isEmpty():
+            break
+        radius *= 2
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def idw(left: DataFrame, right: DataFrame, value: str, k: int, power: float, radius: float, left_id: str, right_id: str, least: int = 1) -> DataFrame:
     """Inverse-distance weighted value of the k nearest; a coincident row gives its own value."""
     near = knn(left, right, k, radius, left_id, right_id)
