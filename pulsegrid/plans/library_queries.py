@@ -166,10 +166,10 @@ def queries() -> dict[str, Query]:
 
         return run
 
-    window = [F.unix_millis("w.start").alias("from_ms"), F.unix_millis("w.end").alias("to_ms")]
-    q["st1_tumbling_stream"] = lambda spark, d: rounded(streamed(windows.tumbling)(spark, d).select(*window, "event_type", "n", "mean"))
-    q["st2_sliding_stream"] = lambda spark, d: rounded(streamed(windows.sliding)(spark, d).select(*window, "n", "top"))
-    q["st3_session_stream"] = lambda spark, d: streamed(windows.sessions)(spark, d).select(*window, "user_id", "n")
+    window = ("unix_millis(w.start) AS from_ms", "unix_millis(w.end) AS to_ms")
+    q["st1_tumbling_stream"] = lambda spark, d: rounded(streamed(windows.tumbling)(spark, d).selectExpr(*window, "event_type", "n", "mean"))
+    q["st2_sliding_stream"] = lambda spark, d: rounded(streamed(windows.sliding)(spark, d).selectExpr(*window, "n", "top"))
+    q["st3_session_stream"] = lambda spark, d: streamed(windows.sessions)(spark, d).selectExpr(*window, "user_id", "n")
     q["st4_latest_stream"] = lambda spark, d: rounded(streamed(lambda e: windows.latest(e).select("event_id", "event_type", "value"))(spark, d).where("event_id IS NOT NULL"))
     q["st5_stateful_visits"] = streamed(windows.visits)
     return q
