@@ -57,6 +57,17 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+#: Rows of a small table that one partition is worth.
+SMALL_ROWS = 50_000
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """As ``cut``, with the number of rows; a small table goes on in few partitions, so that what follows makes few tasks and files."""
+    out = cut(df)
+    n = out.count()
+    return out.coalesce(n // SMALL_ROWS + 1), n
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for rows that must not be learned from: crc32 of the id as text is a multiple of 5. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import cut
+from pulsegrid.llm.common import counted
 
 
 def _followed(p: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def _followed(p: DataFrame) -> DataFrame:
 def _rooted(p: DataFrame) -> DataFrame:
     """Parents followed until all are roots; depth halves with each turn."""
     while True:
-        p = cut(_followed(p))
+        p, _ = counted(_followed(p))
         still = p.where("moved").isEmpty()
         p = p.select("node", "parent")
         if still:
@@ -40,18 +40,18 @@ def _ordered(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the smallest node that can be reached."""
-    edges = cut(_ordered(edges.where("a IS NOT NULL AND b IS NOT NULL")))
+    edges, n = counted(_ordered(edges.where("a IS NOT NULL AND b IS NOT NULL")))
     rounds = []
-    while not edges.isEmpty():
+    while n:
         p = _rooted(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")))
         rounds.append(p)
-        edges = cut(_ordered(_relabel(_relabel(edges, p, "a"), p, "b")))
+        edges, n = counted(_ordered(_relabel(_relabel(edges, p, "a"), p, "b")))
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     # a node hooked in one round has its root hooked in a later one, or not at all
     labels = rounds[-1]
     for p in reversed(rounds[:-1]):
         later = labels.select(F.col("node").alias("_n"), F.col("parent").alias("_p"))
-        labels = cut(p.join(later, F.col("parent") == F.col("_n"), "left").select("node", F.coalesce("_p", "parent").alias("parent")).unionByName(labels))
+        labels, _ = counted(p.join(later, F.col("parent") == F.col("_n"), "left").select("node", F.coalesce("_p", "parent").alias("parent")).unionByName(labels))
     roots = labels.select(F.col("parent").alias("node"), "parent").distinct()
     return labels.unionByName(roots).withColumnRenamed("parent", "component")

@@ -4,8 +4,8 @@
 from each place the longest match (or one letter that never occurs) is a phrase, and the next phrase starts behind it. The language
 that needs the fewest phrases per letter wins; equal counts go to the language that comes first by name.
 
-The transitions of all automata lie in one hash table, so that any alphabet will do and numpy steps through many
-stretches of text at once. A long text is cut into stretches of ``STRETCH`` letters whose parses run side by side, each
+The transitions of an automaton lie in a dense or a hash table, so that any alphabet will do, and numpy steps through
+many stretches of text at once. A long text is cut into stretches of ``STRETCH`` letters whose parses run side by side, each
 as if a phrase began there; then the parse that comes out of a stretch is carried into the next one until it begins a
 phrase where that one did too. From there on the two agree, so the counts are those of the text parsed in one go.
 
@@ -27,7 +27,9 @@ from pulsegrid.llm.common import map_texts
 TEXTS = 400
 #: Most letters of a language, of which each of its texts gives an equal share from a hashed place.
 LETTERS = 60_000
-STRETCH = 512
+STRETCH = 256
+#: Entries of all dense tables of a worker, four bytes each; automata beyond their share of them are hash tables.
+DENSE_ENTRIES = 1 << 25
 SHARDS = 64
 NONE = np.int64(-1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -90,80 +92,92 @@ def automaton(symbols: np.ndarray) -> list[dict[int, int]]:
     return rows
 
 
-class Transitions:
-    """(state, symbol) to state, by open addressing."""
-
-    def __init__(self, state: np.ndarray, symbol: np.ndarray, to: np.ndarray):
-        self.bits = int(max(4, np.ceil(np.log2(max(1, len(state)) * 2.5))))
-        self.keys = np.full(1 << self.bits, NONE)
-        self.to = np.zeros(1 << self.bits, np.int32)
-        keys = self._key(state, symbol)
+class Automaton:
+    """The transitions of one language, packed; state 0 is the root, to which no text leads back, so there the next letter
+    begins a phrase. A letter that the language lacks is a phrase alone and leads to the root.
+
+    ``step`` looks up in a dense table where states times letters are few enough, else in a hash table; both give the same.
+    """
+
+    def __init__(self, rows: list[dict[int, int]]):
+        sizes = [len(r) for r in rows]
+        self.state = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+        self.symbol = np.fromiter((c for r in rows for c in r), np.int32, sum(sizes))
+        self.to = np.fromiter((t for r in rows for t in r.values()), np.int32, sum(sizes))
+        self.states = len(rows)
+        self.alphabet = np.unique(self.symbol)
+
+    def ready(self, entries: int) -> None:
+        """Builds the tables, in the worker that uses them."""
+        self.width = len(self.alphabet) + 1
+        self.numbers = np.zeros(0x110000, np.uint32)
+        self.numbers[self.alphabet] = np.arange(1, self.width)
+        self.dense = None
+        restart = np.zeros(self.width, np.int64)  # where a letter leads from the root; 0 for one that the language lacks
+        first = self.state == 0
+        restart[self.numbers[self.symbol[first]]] = self.to[first]
+        self.restart = restart
+        if self.states * self.width <= entries:
+            table = np.repeat(~restart[None, :].astype(np.int32), self.states, axis=0)  # below zero where a phrase begins
+            inner = ~first
+            table[self.state[inner], self.numbers[self.symbol[inner]]] = self.to[inner]
+            self.dense = table.ravel()
+        else:
+            self._hash()
+
+    def _hash(self) -> None:
+        keys = self.state.astype(np.int64) * self.width + self.numbers[self.symbol]
+        keys, to = keys[self.state > 0], self.to[self.state > 0]
+        self.shift = np.uint64(64 - int(max(4, np.ceil(np.log2(max(1, len(keys)) * 2.5)))))
+        slots = 1 << (64 - int(self.shift))
+        self.keys, self.found = np.full(slots, NONE), np.zeros(slots, np.int32)
         at, waiting = self._home(keys), np.arange(len(keys))
         while len(waiting):
             free = waiting[self.keys[at[waiting]] == NONE]
             _, one = np.unique(at[free], return_index=True)
             placed = free[one]
-            self.keys[at[placed]], self.to[at[placed]] = keys[placed], to[placed]
+            self.keys[at[placed]], self.found[at[placed]] = keys[placed], to[placed]
             waiting = waiting[self.keys[at[waiting]] != keys[waiting]]
-            at[waiting] = (at[waiting] + 1) & (len(self.keys) - 1)
-
-    @staticmethod
-    def _key(state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        return (state.astype(np.int64) << 21) | symbol
+            at[waiting] = (at[waiting] + 1) & (slots - 1)
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * _SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """State behind each symbol; -1 where there is none."""
-        keys = self._key(state, symbol)
+        return ((keys.astype(np.uint64) * _SPREAD) >> self.shift).astype(np.int64)
+
+    def step(self, state: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, and whether the letter (by its number) begins a phrase."""
+        keys = state * np.int64(self.width) + number
+        if self.dense is not None:
+            got = self.dense[keys]
+            begins = got < 0
+            return np.where(begins, ~got, got), begins
         at = self._home(keys)
         held = self.keys[at]
-        out = np.where(held == keys, self.to[at], np.int32(-1))
+        out = np.where(held == keys, self.found[at], np.int32(-1))
         open_ = np.flatnonzero((held != keys) & (held != NONE))
         while len(open_):
             at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
             held = self.keys[at[open_]]
             same = held == keys[open_]
-            out[open_[same]] = self.to[at[open_[same]]]
+            out[open_[same]] = self.found[at[open_[same]]]
             open_ = open_[~same & (held != NONE)]
-        return out
+        begins = out < 0
+        return np.where(begins, self.restart[number], out).astype(np.int32), begins
 
 
 class Model:
-    """Automata of all languages in one table of absolute states. ``roots`` are their first states; no text leads back
-    there, so a state at a root means that the next letter begins a phrase."""
+    """The automata of all languages."""
 
-    def __init__(self, samples: dict[str, list[str]]):
-        self.langs, self.roots = [], []
-        state, symbol, to, base = [], [], [], 0
+    def __init__(self, samples: dict[str, list[str]], entries: int = DENSE_ENTRIES):
+        self.langs: list[str] = []
+        self.parts: list[Automaton] = []
+        self.entries, self.built = entries, False
         for lang in sorted(samples):
             parts = [symbols_of(codes(t)) for t in samples[lang]]
             parts = [p for p in parts if p.any()]
-            if not parts:
-                continue
-            gap = np.zeros(1, np.int32)
-            rows = automaton(np.concatenate([x for p in parts for x in (p, gap)]))
-            self.langs.append(lang)
-            self.roots.append(base)
-            sizes = [len(r) for r in rows]
-            state.append(np.repeat(np.arange(base, base + len(rows)), sizes))
-            symbol.append(np.fromiter((c for r in rows for c in r), np.int64, sum(sizes)))
-            to.append(np.fromiter((t for r in rows for t in r.values()), np.int64, sum(sizes)) + base)
-            base += len(rows)
-        joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (state, symbol, to)]
-        self.moves = Transitions(*joined)
-
-    def _step(self, state: np.ndarray, symbol: np.ndarray, root: int) -> tuple[np.ndarray, np.ndarray]:
-        """Next states, and whether the symbol begins a phrase. A letter that the language lacks is a phrase alone."""
-        begins = state == root
-        got = self.moves.step(state, symbol)
-        broken = np.flatnonzero(got < 0)
-        if len(broken):
-            begins[broken] = True
-            again = self.moves.step(np.full(len(broken), root, np.int64), symbol[broken])
-            got[broken] = np.where(again < 0, root, again)
-        return got, begins
+            if parts:
+                gap = np.zeros(1, np.int32)
+                self.langs.append(lang)
+                self.parts.append(Automaton(automaton(np.concatenate([x for p in parts for x in (p, gap)]))))
 
     def phrases(self, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrase counts, rows by languages, of the symbol runs that offsets delimit."""
@@ -177,44 +191,27 @@ class Model:
         shrinking = np.searchsorted(-length[order], -np.arange(1, STRETCH + 1), "right")  # pieces that are at least so long
         at = start[order]
         out = np.zeros((n, len(self.langs)), np.int64)
-        for k, root in enumerate(self.roots):
+        if not self.built:
+            for part in self.parts:
+                part.ready(self.entries // len(self.parts))
+            self.built = True
+        for k, part in enumerate(self.parts):
+            numbers = part.numbers[symbols]
             begins = np.zeros(len(symbols), bool)
-            state = np.full(len(row), root, np.int32)
+            state = np.zeros(len(row), np.int32)
             for step in range(STRETCH):
                 live = shrinking[step]
                 if not live:
                     break
-                state[:live], begins[at[:live] + step] = self._step(state[:live], symbols[at[:live] + step], root)
+                place = at[:live] + step
+                state[:live], begins[place] = part.step(state[:live], numbers[place])
             left = np.empty(len(row), np.int32)
             left[order] = state
-            self._carry(symbols, begins, left, start, length, number, root)
+            _carry(part, numbers, begins, left, start, length, number)
             total = np.concatenate([[0], np.cumsum(begins)])
             out[:, k] = total[offsets[1:]] - total[offsets[:-1]]
         return out
 
-    def _carry(self, symbols: np.ndarray, begins: np.ndarray, left: np.ndarray, start: np.ndarray, length: np.ndarray, number: np.ndarray, root: int) -> None:
-        """Corrects ``begins`` where a phrase runs from one stretch into the next; left are the states behind each stretch."""
-        pending = np.flatnonzero(number > 0)
-        while len(pending):
-            live, state, step = pending, left[pending - 1], 0
-            unmet = []
-            while len(live):
-                place = start[live] + step
-                state, fresh = self._step(state, symbols[place], root)
-                met = fresh & begins[place]
-                begins[place] = fresh
-                ended = ~met & (step + 1 == length[live])
-                if ended.any():  # never in step within the stretch: what comes out of it changes
-                    gone = live[ended]
-                    changed = left[gone] != state[ended]
-                    left[gone] = state[ended]
-                    unmet.append(gone[changed])
-                go = ~met & ~ended
-                live, state, step = live[go], state[go], step + 1
-            after = np.concatenate(unmet) + 1 if unmet else np.zeros(0, np.int64)
-            after = after[after < len(number)]
-            pending = after[number[after] > 0]
-
     def predict(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
         data = raw.tobytes()
         texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
@@ -232,6 +229,30 @@ class Model:
         return [self.langs[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], score
 
 
+def _carry(part: Automaton, numbers: np.ndarray, begins: np.ndarray, left: np.ndarray, start: np.ndarray, length: np.ndarray, number: np.ndarray) -> None:
+    """Corrects ``begins`` where a phrase runs from one stretch into the next; left are the states behind each stretch."""
+    pending = np.flatnonzero(number > 0)
+    while len(pending):
+        live, state, step = pending, left[pending - 1], 0
+        unmet = []
+        while len(live):
+            place = start[live] + step
+            state, fresh = part.step(state, numbers[place])
+            met = fresh & begins[place]
+            begins[place] = fresh
+            ended = ~met & (step + 1 == length[live])
+            if ended.any():  # never in step within the stretch: what comes out of it changes
+                gone = live[ended]
+                changed = left[gone] != state[ended]
+                left[gone] = state[ended]
+                unmet.append(gone[changed])
+            go = ~met & ~ended
+            live, state, step = live[go], state[go], step + 1
+        after = np.concatenate(unmet) + 1 if unmet else np.zeros(0, np.int64)
+        after = after[after < len(number)]
+        pending = after[number[after] > 0]
+
+
 def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", texts: int = TEXTS, letters: int = LETTERS) -> Model:
     """Model from at most ``texts`` labelled texts of each language, the first by a hash of id and text, and at most
     ``letters`` letters of them, of each text an equal share."""

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import cut
+from pulsegrid.llm.common import counted, cut
 from pulsegrid.llm.components import components
 
 SHINGLE = 12
@@ -143,7 +143,7 @@ def _pivoted(members: DataFrame) -> DataFrame:
 
 def _star_candidates(pairs: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
     """Those of pairs (a, b, n) that may be similar; the partners of a pivot of large buckets are dealt over several tasks."""
-    once = cut(pairs.groupBy("a", "b").agg(F.max("n").alias("n")).select("a", "b", F.expr(f"cast(pmod(b, n div {BLOCK} + 1) as int)").alias("part")))
+    once, _ = counted(pairs.groupBy("a", "b").agg(F.max("n").alias("n")).select("a", "b", F.expr(f"cast(pmod(b, n div {BLOCK} + 1) as int)").alias("part")))
     pivots = once.select("a", "part").distinct().join(_side(sketch, "a"), "a")
     met = once.join(pivots, ["a", "part"]).join(_side(sketch, "b"), "b").where(_possible(similarity))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -167,25 +167,24 @@ def links(rows: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE,
     """Components (node, component) of the similar lines of rows (node, line); None if no bucket has two lines."""
     signed = cut(signatures(rows, size, 1 + max(max(b) for b in bands)))
     spread = _keys(signed, bands)
-    shared = cut(spread.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"))
+    shared, _ = counted(spread.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"))
     # a bucket of two names both; the members of the fewer larger ones are looked up
-    larger = cut(shared.where("n > 2").select("key", "n"))
-    members = cut(spread.join(_sent(larger, larger.count()), "key").select("key", "node", "n"))
+    larger, n = counted(shared.where("n > 2").select("key", "n"))
+    members, _ = counted(spread.join(_sent(larger, n), "key").select("key", "node", "n"))
     pairs = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"), "n").unionByName(_pivoted(members))
-    wanted = cut(members.select("node").unionByName(shared.where("n = 2").select(F.explode(F.array("low", "high")).alias("node"))).distinct())
-    n = wanted.count()
+    wanted, n = counted(members.select("node").unionByName(shared.where("n = 2").select(F.explode(F.array("low", "high")).alias("node"))).distinct())
     if not n:
         return None
     texts = cut(rows.join(_sent(wanted, n), "node").groupBy("node").agg(F.first("line").alias("line")))
-    sketch = cut(sketches(texts, size))
-    edges = cut(verified(_star_candidates(pairs, sketch, similarity), texts, similarity, size))
-    found = components(edges)
+    sketch, _ = counted(sketches(texts, size))
+    edges, _ = counted(verified(_star_candidates(pairs, sketch, similarity), texts, similarity, size))
+    found, _ = counted(components(edges))
     own = found.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     placed = members.join(own, F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("_c", "node").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high").select("key", "m")
     live = placed.join(mixed, "key")
-    more = cut(verified(_crossing_candidates(live, sketch, similarity), texts, similarity, size))
-    if more.isEmpty():
+    more, n = counted(verified(_crossing_candidates(live, sketch, similarity), texts, similarity, size))
+    if not n:
         return found
     # the components of the first turn are the nodes of the second
     first = own.withColumnRenamed("_c", "component")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import SLICE_BYTES, SPACE, cut, map_texts, rows_of, runs
+from pulsegrid.llm.common import SLICE_BYTES, SPACE, counted, cut, map_texts, rows_of, runs
 from pulsegrid.llm.components import components
 from pulsegrid.llm.decontaminate import LOWER
 
@@ -229,8 +229,7 @@ def _hot_links(probes: DataFrame, index: DataFrame, hot: DataFrame, distance: in
 def links(nodes: DataFrame, distance: int = DISTANCE, hot: int = HOT, block: int = BLOCK, chain: int = CHAIN) -> DataFrame:
     """(a, b) such that distinct fingerprints (column fp) within the distance are connected exactly as all links would."""
     probes, index = _keyed(nodes, distance, True, chain), _keyed(nodes, distance, False, chain)
-    busy = cut(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot))
-    crowded = not busy.isEmpty()
+    busy, crowded = counted(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot))
     p, q = probes, index
     if crowded:
         q = index.join(busy, "key", "left_anti")
