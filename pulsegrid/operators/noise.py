@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.spatial import knn_whole
-from pulsegrid.operators.statistics import MAD_TO_SIGMA, cell_median_mad, cells, exact_quantiles, finite
+from pulsegrid.operators.statistics import MAD_TO_SIGMA, cell_median_mad, cells, finite, quantile_values
 
 # Names and bits of the reasons.
 REASONS = {
@@ -59,9 +59,10 @@ def label_noise(points: DataFrame, options: NoiseOptions = NoiseOptions(), id_co
     if options.snr_hard is not None and snr in has:
         bit("low_snr_hard", finite(snr) < options.snr_hard)
         if amp in has:
-            out = out.join(F.broadcast(exact_quantiles(points, amp, [options.low_amp_share]).select(F.col("q0").alias("_low_amp"))))
             soft = finite(snr) < options.snr_soft
-            bit("low_snr_and_low_amp", soft & (finite(amp) < F.col("_low_amp")) if options.soft_needs_low_amp else soft)
+            if options.soft_needs_low_amp:
+                soft = soft & (finite(amp) < F.lit(quantile_values(points, amp, [options.low_amp_share])[0]).cast("double"))
+            bit("low_snr_and_low_amp", soft)
     if options.threshold_margin is not None and {amp, threshold} <= has:
         bit("below_refh_threshold", finite(amp) - finite(threshold) <= options.threshold_margin)
     if options.error is not None and error in has:
@@ -71,8 +72,8 @@ def label_noise(points: DataFrame, options: NoiseOptions = NoiseOptions(), id_co
         if beyond:
             bit("refh_horizontal_error_exceeds_threshold", F.greatest(*beyond, F.lit(False)))
     if options.height_shares is not None:
-        out = out.join(F.broadcast(exact_quantiles(points, height, list(options.height_shares)).select(F.col("q0").alias("_z_low"), F.col("q1").alias("_z_high"))))
-        bit("global_z_percentile_guard", (finite(height) < F.col("_z_low")) | (finite(height) > F.col("_z_high")))
+        low, high = (F.lit(x).cast("double") for x in quantile_values(points, height, list(options.height_shares)))
+        bit("global_z_percentile_guard", (finite(height) < low) | (finite(height) > high))
     none = F.lit(None).cast("double")
     if options.cell is None:
         out = out.withColumn("local_median", none).withColumn("local_mad", none)
@@ -86,7 +87,7 @@ def label_noise(points: DataFrame, options: NoiseOptions = NoiseOptions(), id_co
         out = out.join(far, F.col(id_column) == F.col("_id"), "left")
         bit("open3d_sor_outlier", F.col("_id").isNotNull())
     reason = sum(bits, F.lit(0)).cast("bigint")
-    return out.withColumn("reason", reason).withColumn("keep", F.col("reason") == 0).drop("_low_amp", "_z_low", "_z_high", "_id")
+    return out.withColumn("reason", reason).withColumn("keep", F.col("reason") == 0).drop("_id")
 
 
 def statistical_outliers(points: DataFrame, neighbours: int = 20, ratio: float = 2.5, id_column: str = "pulse_index", axes: tuple[str, ...] = ("x", "y", "refh"), radius: float = 5.0) -> DataFrame:
@@ -97,7 +98,7 @@ def statistical_outliers(points: DataFrame, neighbours: int = 20, ratio: float =
     near = knn_whole(own, own, neighbours, id_column, id_column, axes, radius)
     mean = near.groupBy(id_column).agg(F.avg("dist").alias("mean_dist"))
     limit = mean.where("mean_dist > 0").agg((F.avg("mean_dist") + ratio * F.stddev_samp("mean_dist")).alias("limit"))
-    return mean.join(F.broadcast(limit)).select(id_column, "mean_dist", ~((F.col("mean_dist") > 0) & (F.col("mean_dist") < F.col("limit"))).alias("outlier"))
+    return mean.join(F.broadcast(limit)).select(id_column, "mean_dist", (~((F.col("mean_dist") > 0) & (F.col("mean_dist") < F.col("limit")))).alias("outlier"))
 
 
 def reason_counts(labelled: DataFrame) -> DataFrame:

@@ -1,20 +1,23 @@
 """Robust statistics with parameters: exact quantiles of whole tables, grid aggregates, robust z scores, error metrics.
 
-Nothing here brings all values of a table into one task. Quantiles of a whole table are found in three passes: brackets
-around each rank from a mergeable sketch, counts of fine bins inside the brackets, and then the few values of the bin
-that holds the rank. Quantiles within groups use Spark's own aggregate, as a group's values meet in one task anyway.
+Nothing here brings all values of a table into one task. Quantiles of a whole table start from brackets around each rank
+out of a mergeable sketch; while more than ``MOST`` rows lie in a bracket, counts of fine bins narrow it; then its
+distinct values, at most as many, give the exact quantile. The few numbers come to the driver, so that plans which use them stay small. Quantiles within groups use Spark's own aggregate, as a group's values meet in one task anyway.
 Nulls and NaN are skipped everywhere.
 """
 
 from __future__ import annotations
 
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAD_TO_SIGMA = 1.4826
 #: Ranks that the sketch may err by, as a share of the rows, is the inverse of this; brackets are twice as wide on either side.
 ACCURACY = 5000
-BINS = 4096
+BINS = 1024
+MOST = 10_000
 
 
 def finite(c: str | Column) -> Column:
@@ -23,29 +26,55 @@ def finite(c: str | Column) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), v)
 
 
-def exact_quantiles(df: DataFrame, value: str | Column, ps: list[float], accuracy: int = ACCURACY, bins: int = BINS) -> DataFrame:
-    """One row with n and the quantiles q0, q1, ... of value at ps, linear between neighbouring ranks; nulls for no rows."""
+def quantile_values(df: DataFrame, value: str | Column, ps: list[float], accuracy: int = ACCURACY, bins: int = BINS, most: int = MOST) -> list[float | None]:
+    """Exact quantiles of value at ps, linear between neighbouring ranks; None for no values."""
     v = df.select(finite(value).alias("v")).where("v IS NOT NULL")
     ends = [min(1.0, max(0.0, p + side * 2 / accuracy)) for p in ps for side in (-1, 1)]
-    sketch = v.agg(F.count("*").alias("n"), F.percentile_approx("v", F.array(*[F.lit(e) for e in ends]), F.lit(accuracy)).alias("q"))
-    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), F.element_at("q", 2 * i + 1).alias("a"), F.element_at("q", 2 * i + 2).alias("b")) for i, p in enumerate(ps)])
-    ranks = sketch.select("n", F.explode(each).alias("t")).select("n", "t.*").withColumn("at", F.col("p") * (F.col("n") - 1))
-    ranks = ranks.withColumn("low", F.floor("at")).withColumn("high", F.ceil("at"))
-    brackets = F.broadcast(ranks.select("i", "a", "b"))
-    near = v.join(brackets, F.col("v") <= F.col("b"))
-    inside = F.when(F.col("b") > F.col("a"), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("a")) / (F.col("b") - F.col("a")) * bins))).otherwise(0)
-    placed = near.withColumn("bin", F.when(F.col("v") < F.col("a"), F.lit(-1)).otherwise(inside).cast("int"))
-    counts = placed.groupBy("i", "bin").agg(F.count("*").alias("c"))
-    before = Window.partitionBy("i").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    started = counts.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
-    wanted = started.join(F.broadcast(ranks), "i").where("bin >= 0 AND before <= high AND before + c > low").select("i", "bin", "before", "low", "high")
-    values = placed.where("bin >= 0").join(F.broadcast(wanted), ["i", "bin"]).groupBy("i", "bin", "before", "low", "high", "v").agg(F.count("*").alias("c"))
-    inner = Window.partitionBy("i", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    first = values.withColumn("from", F.col("before") + F.coalesce(F.sum("c").over(inner), F.lit(0)))
-    hit = lambda k: F.max(F.when((F.col("from") <= F.col(k)) & (F.col(k) < F.col("from") + F.col("c")), F.col("v")))
-    found = first.groupBy("i").agg(hit("low").alias("lo"), hit("high").alias("hi"))
-    blended = ranks.join(found, "i", "left").withColumn("v", F.when(F.col("low") == F.col("high"), F.col("lo")).otherwise(F.col("lo") * (F.col("high") - F.col("at")) + F.col("hi") * (F.col("at") - F.col("low"))))
-    return blended.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"q{i}") for i in range(len(ps))])
+    n, least, top, sketch = v.agg(F.count("*"), F.min("v"), F.max("v"), F.percentile_approx("v", F.array(*[F.lit(e) for e in ends]), F.lit(accuracy))).first()
+    if not n:
+        return [None] * len(ps)
+    spans = [(sketch[2 * i], sketch[2 * i + 1]) for i in range(len(ps))]
+    ranks = [p * (n - 1) for p in ps]
+    inside = lambda a, b: (F.col("v") >= F.lit(a)) & (F.col("v") <= F.lit(b))
+    while True:
+        counts = v.agg(*[c for a, b in spans for c in (F.count_if(F.col("v") < F.lit(a)), F.count_if(inside(a, b)))]).first()
+        missed = [i for i in range(len(ps)) if counts[2 * i] > floor(ranks[i]) or counts[2 * i] + counts[2 * i + 1] <= ceil(ranks[i])]
+        if missed:  # as in tables of few rows, where the next rank lies beyond the bracket
+            spans = [(least, top) if i in missed else span for i, span in enumerate(spans)]
+            continue
+        wide = [i for i, (a, b) in enumerate(spans) if a < b and counts[2 * i + 1] > most]
+        if not wide:
+            break
+        for i in wide:
+            a, b = spans[i]
+            bin_ = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.lit(a)) / F.lit(b - a) * bins))
+            found = v.where(inside(a, b)).groupBy(bin_.alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+            at, low, high = counts[2 * i], None, None
+            for r in sorted(found, key=lambda r: r["bin"]):
+                at += r["c"]
+                if low is None and at > floor(ranks[i]):
+                    low = r["low"]
+                if at > ceil(ranks[i]):
+                    high = r["high"]
+                    break
+            spans[i] = (low, high)
+    any_ = inside(*spans[0])
+    for span in spans[1:]:
+        any_ = any_ | inside(*span)
+    held = sorted((r["v"], r["count"]) for r in v.where(any_).groupBy("v").count().collect())
+    out = []
+    for i, (a, b) in enumerate(spans):
+        at, low, high = counts[2 * i], None, None
+        for x, c in ((x, c) for x, c in held if a <= x <= b):
+            at += c
+            if low is None and at > floor(ranks[i]):
+                low = x
+            if at > ceil(ranks[i]):
+                high = x
+                break
+        part = ranks[i] - floor(ranks[i])
+        out.append(low if not part else low * (1 - part) + high * part)
+    return out
 
 
 def cells(df: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
@@ -69,17 +98,19 @@ def cell_median_mad(df: DataFrame, value: str, size: float, least: int, x: str =
     return keyed.join(centre, ["ix", "iy"]).groupBy("ix", "iy", "n", "med").agg(F.percentile(F.abs(F.col("_v") - F.col("med")), F.lit(0.5)).alias("mad"))
 
 
-def median_nmad(df: DataFrame, value: str, eps: float = 1e-6) -> DataFrame:
-    """One row: median and normalised median absolute deviation of value, the latter at least eps."""
-    centre = exact_quantiles(df, value, [0.5]).select(F.col("q0").alias("med"))
-    off = df.select(finite(value).alias("_v")).join(F.broadcast(centre)).select(F.abs(F.col("_v") - F.col("med")).alias("_d"))
-    spread = exact_quantiles(off, "_d", [0.5]).select(F.greatest(F.lit(float(eps)), F.lit(MAD_TO_SIGMA) * F.col("q0")).alias("nmad"))
-    return centre.join(spread).withColumn("nmad", F.when(F.col("med").isNotNull(), F.col("nmad")))
+def median_nmad(df: DataFrame, value: str | Column, eps: float = 1e-6) -> tuple[float | None, float | None]:
+    """Median and normalised median absolute deviation of value, the latter at least eps; nothing of no values."""
+    (med,) = quantile_values(df, value, [0.5])
+    if med is None:
+        return None, None
+    (mad,) = quantile_values(df, F.abs(finite(value) - F.lit(med)), [0.5])
+    return med, max(float(eps), MAD_TO_SIGMA * mad)
 
 
 def robust_z(df: DataFrame, value: str, out: str = "z", eps: float = 1e-6) -> DataFrame:
     """df with how many deviations each value lies from the median of the whole table."""
-    return df.join(F.broadcast(median_nmad(df, value, eps))).withColumn(out, (finite(value) - F.col("med")) / F.col("nmad")).drop("med", "nmad")
+    med, nmad = median_nmad(df, value, eps)
+    return df.withColumn(out, (finite(value) - F.lit(med).cast("double")) / F.lit(nmad).cast("double"))
 
 
 def group_robust_z(df: DataFrame, value: str, group: str, out: str = "z", least: int = 30, eps: float = 1e-6) -> DataFrame:
@@ -96,15 +127,19 @@ def distribution_metrics(df: DataFrame, value: str, ddof: int = 0) -> DataFrame:
     is 0 or 1, the degrees of freedom that the deviation leaves out; of one value the deviation is zero."""
     v = df.select(finite(value).alias("r")).where("r IS NOT NULL")
     plain = v.agg(F.count("*").alias("n"), F.avg("r").alias("mean"), (F.when(F.count("r") == 1, F.lit(0.0)).otherwise(F.stddev_samp("r")) if ddof else F.stddev_pop("r")).alias("sd"), F.sqrt(F.avg(F.col("r") * F.col("r"))).alias("rmse"), F.avg(F.abs("r")).alias("mae"))
-    own = exact_quantiles(v, "r", [0.5, 0.05, 0.95]).select(F.col("q0").alias("med"), F.col("q1").alias("p05"), F.col("q2").alias("p95"))
-    away = exact_quantiles(v.select(F.abs("r").alias("a")), "a", [0.5, 0.68, 0.9, 0.95]).select(*[F.col(f"q{k}").alias(n) for k, n in enumerate(("a50", "a68", "a90", "a95"))])
-    spread = median_nmad(v, "r", 0.0).select("nmad")
-    return plain.join(own).join(away).join(spread).select("n", "mean", "med", "sd", "rmse", "mae", "nmad", "p05", "p95", "a50", "a68", "a90", "a95")
+    med, p05, p95 = quantile_values(v, "r", [0.5, 0.05, 0.95])
+    away = quantile_values(v, F.abs("r"), [0.5, 0.68, 0.9, 0.95])
+    nmad = None if med is None else MAD_TO_SIGMA * quantile_values(v, F.abs(F.col("r") - F.lit(med)), [0.5])[0]
+    found = {"med": med, "nmad": nmad, "p05": p05, "p95": p95, **dict(zip(("a50", "a68", "a90", "a95"), away, strict=True))}
+    out = plain.select("*", *[F.lit(x).cast("double").alias(name) for name, x in found.items()])
+    return out.select("n", "mean", "med", "sd", "rmse", "mae", "nmad", "p05", "p95", "a50", "a68", "a90", "a95")
 
 
 def clipped_median(df: DataFrame, value: str, rounds: int = 3, k: float = 3.0, least: float = 0.0) -> DataFrame:
     """One row (n, med, nmad) after repeatedly leaving out values more than k deviations (each at least ``least``) from the median."""
     kept = df.select(finite(value).alias("v")).where("v IS NOT NULL")
     for _ in range(rounds):
-        kept = kept.join(F.broadcast(median_nmad(kept, "v", least))).where(F.abs(F.col("v") - F.col("med")) <= k * F.col("nmad")).select("v")
-    return kept.agg(F.count("*").alias("n")).join(median_nmad(kept, "v", 0.0))
+        med, nmad = median_nmad(kept, "v", least)
+        kept = kept.where(F.abs(F.col("v") - F.lit(med).cast("double")) <= F.lit(k) * F.lit(nmad).cast("double"))
+    med, nmad = median_nmad(kept, "v", 0.0)
+    return kept.agg(F.count("*").alias("n")).select("n", F.lit(med).cast("double").alias("med"), F.lit(nmad).cast("double").alias("nmad"))

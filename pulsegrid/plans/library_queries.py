@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import alignment, classify, noise, statistics
+from pulsegrid.operators import alignment, classify, noise, statistics, waveform
 from pulsegrid.plans.binding import with_tables
 from pulsegrid.plans.dialect import Dialect
 from pulsegrid.plans.operator_queries import GOOD, PULSES, _near, bound, rounded, shared
@@ -68,7 +68,8 @@ def queries() -> dict[str, Query]:
     @query("a8_median_nmad")
     def _(spark, d):
         points = bound(spark, d, RESIDUALS)
-        return rounded(statistics.median_nmad(points, "r", 0.0).join(points.agg(F.count("r").alias("n"))))
+        med, nmad = statistics.median_nmad(points, "r", 0.0)
+        return rounded(points.agg(F.count("r").alias("n")).select(F.lit(med).cast("double").alias("med"), F.lit(nmad).cast("double").alias("nmad"), "n"))
 
     @query("a9_group_robust_z")
     def _(spark, d):
@@ -78,8 +79,8 @@ def queries() -> dict[str, Query]:
     def _(spark, d):
         points = bound(spark, d, PULSES)
         ends = points.agg(F.count("*").alias("n"), F.count("refh").alias("n_finite"), F.min("refh").alias("low"), F.max("refh").alias("high"))
-        middle = statistics.exact_quantiles(points, "refh", [0.02, 0.5, 0.98]).select(F.col("q0").alias("p02"), F.col("q1").alias("p50"), F.col("q2").alias("p98"))
-        return rounded(ends.join(middle))
+        middle = statistics.quantile_values(points, "refh", [0.02, 0.5, 0.98])
+        return rounded(ends.select("*", *[F.lit(x).cast("double").alias(name) for x, name in zip(middle, ("p02", "p50", "p98"), strict=True)]))
 
     q["a13_distribution_metrics"] = lambda spark, d: _metrics(spark, d, 0)
     q["a14_elevation_metrics"] = lambda spark, d: _metrics(spark, d, 1)
@@ -87,7 +88,7 @@ def queries() -> dict[str, Query]:
     @query("a15_residual_decomposition")
     def _(spark, d):
         points = bound(spark, d, RESIDUALS)
-        own = points.join(F.broadcast(statistics.exact_quantiles(points, "r", [0.5]).select(F.col("q0").alias("m"))))
+        own = points.withColumn("m", F.lit(statistics.quantile_values(points, "r", [0.5])[0]).cast("double"))
         share = F.avg("r") * F.avg("r") / F.nullif(F.avg(F.col("r") * F.col("r")), F.lit(0.0))
         adds = F.abs(F.avg(F.col("r") * F.col("r")) - F.avg("r") * F.avg("r") - F.var_pop("r")) < 1e-6
         out = own.agg(F.count("r").alias("n"), F.avg("r").alias("bias"), F.stddev_pop("r").alias("crmse"), F.sqrt(F.avg((F.col("r") - F.col("m")) ** 2)).alias("about_median"), share.alias("bias_share"), (1 - share).alias("spread_share"), adds.alias("adds_up"))
@@ -100,29 +101,28 @@ def queries() -> dict[str, Query]:
 
     @query("a45_noise_calibration")
     def _(spark, d):
-        from pulsegrid.operators import waveform
-
         top = waveform.events(bound(spark, d, "SELECT * FROM waves"), "pulse_index", "rx", 0.0).groupBy("pulse_index").agg(F.max("prominence").alias("top"))
-        return rounded(statistics.exact_quantiles(top, "top", [0.995]).select(F.col("q0").alias("threshold"), "n"))
+        (threshold,) = statistics.quantile_values(top, "top", [0.995])
+        return rounded(top.agg(F.count("top").alias("n")).select(F.lit(threshold).cast("double").alias("threshold"), "n"))
 
     @query("f2_normalise")
     def _(spark, d):
         points = bound(spark, d, PULSES)
-        ends = F.broadcast(statistics.exact_quantiles(points, "amp", [0.02, 0.98]).select(F.col("q0").alias("lo"), F.col("q1").alias("hi")))
-        v = F.least(F.greatest((F.col("amp") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-        return rounded(points.join(ends).select("pulse_index", v.alias("v"), (F.least(F.greatest(F.col("amp") * 1000, F.lit(0)), F.lit(65535)).cast("bigint") > 50000).alias("bright")))
+        lo, hi = (F.lit(x).cast("double") for x in statistics.quantile_values(points, "amp", [0.02, 0.98]))
+        v = F.least(F.greatest((F.col("amp") - lo) / F.nullif(hi - lo, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+        return rounded(points.select("pulse_index", v.alias("v"), (F.least(F.greatest(F.col("amp") * 1000, F.lit(0)), F.lit(65535)).cast("bigint") > 50000).alias("bright")))
 
     @query("e21_height_selection")
     def _(spark, d):
-        off = F.broadcast(statistics.exact_quantiles(bound(spark, d, GOOD), F.col("refh") - F.col("ground"), [0.5]).select(F.col("q0").alias("off")))
+        off = F.lit(statistics.quantile_values(bound(spark, d, GOOD), F.col("refh") - F.col("ground"), [0.5])[0]).cast("double")
         status = F.when(F.col("refh").isNull(), "missing").when(F.col("track_num") == 1, "raw").otherwise("shifted")
-        return rounded(bound(spark, d, PULSES).join(off).select("pulse_index", status.alias("status"), F.when(F.col("track_num") == 1, F.col("refh")).otherwise(F.col("refh") - F.col("off")).alias("h")))
+        return rounded(bound(spark, d, PULSES).select("pulse_index", status.alias("status"), F.when(F.col("track_num") == 1, F.col("refh")).otherwise(F.col("refh") - off).alias("h")))
 
     @query("e33_percentile_clip")
     def _(spark, d):
         points = bound(spark, d, RESIDUALS)
-        ends = F.broadcast(statistics.exact_quantiles(points, "r", [0.01, 0.99]).select(F.col("q0").alias("lo"), F.col("q1").alias("hi")))
-        return points.join(ends).where("r BETWEEN lo AND hi").select("pulse_index")
+        low, high = statistics.quantile_values(points, "r", [0.01, 0.99])
+        return points.where((F.col("r") >= F.lit(low).cast("double")) & (F.col("r") <= F.lit(high).cast("double"))).select("pulse_index")
 
     @query("j2_alignment")
     def _(spark, d):
