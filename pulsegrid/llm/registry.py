@@ -13,7 +13,8 @@ from pulsegrid.llm.common import held_out, shared_dir, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train())
+    documents = table(spark, sf_dir, "documents")
+    return secret_scan.scan(documents, secret_scan.train(lexicon=secret_scan.corpus_lexicon(documents)))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

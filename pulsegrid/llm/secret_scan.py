@@ -5,8 +5,7 @@ taken to its end, however long, and described by its length and classes of chara
 dictionary covers, by its path, and by the words next to it. ``Forest`` is a random forest in numpy that learns from
 labelled findings; ``labelled_findings`` makes such findings by rule where a user has none.
 
-Null and empty texts have no findings; a null path is an empty one; findings of one text do not overlap (the pattern
-that comes first in the list wins); repeated rows are scanned each; an empty table gives no rows.
+Of candidates that overlap the kind that comes first in the list is taken, then the one that starts first. Null and empty texts have no findings; a null path is an empty one; findings of one text do not overlap; repeated rows are scanned each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,8 +16,8 @@ import hashlib
 import math
 import re
 import string
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +29,8 @@ from pulsegrid.llm.common import text_slices
 #: Characters before and after a candidate in which its neighbouring words are looked for.
 NEAR = 48
 THRESHOLD = 0.5
+#: Most words that the corpus adds to the dictionary.
+CORPUS_WORDS = 20_000
 
 # Words that name a secret, words that name something else, and words of the dictionary.
 SECRET_WORDS = frozenset("token secret password passwd pwd passphrase key apikey api_key access_key secret_key private_key auth authorization bearer credential credentials client_secret aws github slack stripe login".split())
@@ -103,33 +104,45 @@ def _apart(items: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 DIGITS = frozenset(string.digits)
 LETTERS = frozenset(string.ascii_letters)
 CLASSES = {**dict.fromkeys(string.ascii_lowercase, 0), **dict.fromkeys(string.ascii_uppercase, 1), **dict.fromkeys(string.digits, 2)}
-_WORDS = frozenset(DICTIONARY)
-_SIZES = sorted({len(w) for w in DICTIONARY}, reverse=True)
 
 
-def _transitions() -> np.ndarray:
-    """Log probabilities of a letter after another, from the dictionary with one added everywhere."""
-    counts = np.ones((26, 26))
-    for word in DICTIONARY:
-        for a, b in zip(word, word[1:], strict=False):
-            if a in CLASSES and b in CLASSES and a.isalpha() and b.isalpha():
-                counts[ord(a) - 97, ord(b) - 97] += 1
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+class Lexicon:
+    """Words that values are covered with, and how usual a letter is after another in them."""
+
+    def __init__(self, words: Iterable[str] = DICTIONARY):
+        self.list = sorted({w for w in words if len(w) >= 4})
+        self.words = frozenset(self.list)
+        self.sizes = sorted({len(w) for w in self.list}, reverse=True)
+        counts = np.ones((26, 26))
+        for word in self.list:
+            for a, b in zip(word, word[1:], strict=False):
+                if "a" <= a <= "z" and "a" <= b <= "z":
+                    counts[ord(a) - 97, ord(b) - 97] += 1
+        self.transitions = np.log(counts / counts.sum(axis=1, keepdims=True))
+
+
+BASIC = Lexicon()
+
+
+def corpus_lexicon(df: DataFrame, text: str = "text", words: int = CORPUS_WORDS, least: int = 5) -> Lexicon:
+    """The dictionary and the commonest words of the whole corpus, at most ``words`` of 4 to 12 letters that occur ``least`` times; ties by name."""
+    each = df.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\b([a-z]{4,12})\b"), F.lit(1))).alias("w"))
+    common = each.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(words)
+    return Lexicon([*DICTIONARY, *(r["w"] for r in common.collect())])
 
 
-TRANSITIONS = _transitions()
 FEATURES = (
     "length", "lower", "upper", "digit", "other", "distinct", "entropy", "class_changes", "transition", "letter_pairs", "longest_run", "covered", "hex", "period",
     "secret_words", "other_words", "named", "quoted", "assigned", "shape", "path_test", "path_code", "path_depth",
 )
 
 
-def covered(value: str) -> float:
+def covered(value: str, lexicon: Lexicon = BASIC) -> float:
     """Share of the characters that dictionary words of four letters and more cover, longest first."""
     low, at, hit = value.lower(), 0, 0
     while at < len(low):
-        for size in _SIZES:
-            if size >= 4 and low[at : at + size] in _WORDS and at + size <= len(low):
+        for size in lexicon.sizes:
+            if low[at : at + size] in lexicon.words and at + size <= len(low):
                 hit += size
                 at += size
                 break
@@ -138,14 +151,14 @@ def covered(value: str) -> float:
     return hit / max(1, len(low))
 
 
-def features(text: str, start: int, end: int, kind: str, path: str = "") -> list[float]:
+def features(text: str, start: int, end: int, kind: str, path: str = "", lexicon: Lexicon = BASIC) -> list[float]:
     value = text[start:end]
     n = len(value)
     kinds = [CLASSES.get(c, 3) for c in value]
     counts = np.bincount(kinds, minlength=4)
     freq = np.array([value.count(c) for c in set(value)], float) / n
     low = value.lower()
-    pairs = [TRANSITIONS[ord(a) - 97, ord(b) - 97] for a, b in zip(low, low[1:], strict=False) if "a" <= a <= "z" and "a" <= b <= "z"]
+    pairs = [lexicon.transitions[ord(a) - 97, ord(b) - 97] for a, b in zip(low, low[1:], strict=False) if "a" <= a <= "z" and "a" <= b <= "z"]
     longest, run = 1, 1
     for a, b in zip(value, value[1:], strict=False):
         run = run + 1 if a == b else 1
@@ -158,7 +171,7 @@ def features(text: str, start: int, end: int, kind: str, path: str = "") -> list
     where = path.lower()
     period = next((p for p in range(1, min(9, n)) if value[p:] == value[:-p]), 0)
     return [
-        min(n, 2000), *(counts / n), len(freq) / n, float(-(freq * np.log2(freq)).sum()), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, float(np.mean(pairs)) if pairs else -4.0, len(pairs) / n, longest / n, covered(value),
+        min(n, 2000), *(counts / n), len(freq) / n, float(-(freq * np.log2(freq)).sum()), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, float(np.mean(pairs)) if pairs else -4.0, len(pairs) / n, longest / n, covered(value, lexicon),
         float(re.fullmatch(r"[0-9a-fA-F]+", value) is not None), float(period > 0), len(parts & SECRET_WORDS), len((parts | later) & OTHER_WORDS) + len(set(WORD.findall(low)) & OTHER_WORDS), float(NAMED.search(before.rstrip("\"'`:=> ") or "") is not None),
         float(before[-1:] in "\"'`" and before != ""), float(tail[-1:] in ":=" and tail != ""), float(kind not in ("assigned", "run")), float(any(x in where for x in ("test", "example", "sample", "doc", "fixture", "mock"))), float(where.endswith((".py", ".js", ".env", ".yml", ".yaml", ".json", ".cfg", ".ini", ".sh", ".java", ".go", ".toml"))), float(min(where.count("/"), 20)),
     ]
@@ -230,6 +243,7 @@ def grow(x: np.ndarray, y: np.ndarray, random: np.random.Generator, depth: int =
 @dataclass
 class Forest:
     trees: list[Tree]
+    lexicon: Lexicon = field(default_factory=lambda: BASIC)
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, trees: int = 60, seed: int = 3) -> Forest:
@@ -261,19 +275,25 @@ def _some(random: np.random.Generator, alphabet: str, n: int) -> str:
     return "".join(alphabet[i] for i in random.integers(0, len(alphabet), n))
 
 
-def labelled_findings(n: int = 2400, seed: int = 1) -> list[Finding]:
-    """Findings made by rule, half of them secrets, in prose and in code."""
+# Origins of the made findings, of secrets more often the first, of others more often the last.
+SECRET_PATHS = ("src/config.py", "app/.env", "deploy/values.yaml", "lib/main.go", "ops/terraform.tfvars", "a/b/c/settings.json")
+OTHER_PATHS = ("docs/readme.md", "tests/test_api.py", "examples/sample.env", "test/fixtures/mock.json", "CHANGELOG.md", "package-lock.json")
+
+
+def labelled_findings(n: int = 2400, seed: int = 1, words: list[str] = DICTIONARY) -> list[Finding]:
+    """Findings made by rule, half of them secrets, in prose and in code. A third have no origin; of the others a secret
+    comes from configuration and code in three cases of four, anything else from tests and papers."""
     random = np.random.default_rng(seed)
     hexa, alnum, b64 = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
     pick = lambda *x: x[int(random.integers(len(x)))]
-    word = lambda: pick(*DICTIONARY) if random.random() < 0.5 else _some(random, "etaoinshrdlu", int(random.integers(2, 9)))
+    word = lambda: words[int(random.integers(len(words)))] if random.random() < 0.5 else _some(random, "etaoinshrdlu", int(random.integers(2, 9)))
     prose = lambda k: " ".join(word() for _ in range(k))
     out: list[Finding] = []
     while len(out) < n:
         secret = len(out) % 2 == 0
         name = pick("token", "secret", "password", "api_key", "API_KEY", "access_token", "client_secret", "auth_token", "AWS_SECRET_ACCESS_KEY", "apikey", "passwd", "private_key")
         equals, quote = pick(" = ", "=", ": ", ":", " := "), pick('"', "'", "")
-        path = pick("", "", "", "src/config.py", "app/.env", "deploy/values.yaml", "lib/main.go", "docs/readme.md", "tests/test_api.py", "a/b/c/settings.json")
+        path = "" if random.random() < 1 / 3 else pick(*(SECRET_PATHS if secret == (random.random() < 0.75) else OTHER_PATHS))
         if secret:
             how = int(random.integers(8))
             value = (
@@ -304,10 +324,13 @@ def labelled_findings(n: int = 2400, seed: int = 1) -> list[Finding]:
     return out
 
 
-def train(findings: list[Finding] | None = None, **how) -> Forest:
-    found = labelled_findings() if findings is None else findings
-    x = np.array([features(f.text, f.start, f.end, f.kind, f.path) for f in found])
-    return Forest.fit(x, np.array([f.secret for f in found]), **how)
+def train(findings: list[Finding] | None = None, lexicon: Lexicon = BASIC, **how) -> Forest:
+    """A forest from labelled findings; without any, from made ones that use the words of the lexicon."""
+    found = labelled_findings(words=lexicon.list) if findings is None else findings
+    x = np.array([features(f.text, f.start, f.end, f.kind, f.path, lexicon) for f in found])
+    forest = Forest.fit(x, np.array([f.secret for f in found]), **how)
+    forest.lexicon = lexicon
+    return forest
 
 
 SCANNED = "start bigint, length bigint, kind string, score double, is_secret boolean, value_sha256 string"
@@ -327,7 +350,7 @@ def scan(df: DataFrame, forest: Forest, text: str = "text", path: str | None = N
                 for i, t, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     for start, end, what in candidates(t or ""):
                         rows.append((i, start, end - start, what, hashlib.sha256(t[start:end].encode("utf-8", "surrogatepass")).hexdigest()))
-                        described.append(features(t, start, end, what, p or ""))
+                        described.append(features(t, start, end, what, p or "", sent.value.lexicon))
                 score = sent.value.score(np.array(described).reshape(len(rows), len(FEATURES)))
                 c = list(zip(*rows, strict=True)) if rows else [[] for _ in range(5)]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c[0]), id_type), pa.array(list(c[1]), pa.int64()), pa.array(list(c[2]), pa.int64()), pa.array(list(c[3]), pa.string()), pa.array(score, pa.float64()), pa.array(score >= threshold, pa.bool_()), pa.array(list(c[4]), pa.string())], ["id", "start", "length", "kind", "score", "is_secret", "value_sha256"])
