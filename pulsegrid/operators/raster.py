@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from math import exp
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.classify import sample_ground
+from pulsegrid.operators.graph import components
 from pulsegrid.operators.spatial import cell_join, idw
 
 
@@ -32,26 +36,30 @@ def closed(cells: DataFrame, radius: int = 1) -> DataFrame:
     return _spread(dilated(cells, radius), radius).groupBy("ix", "iy").agg(F.count("*").alias("n")).where(F.col("n") == len(_disk(radius))).select("ix", "iy")
 
 
-def without_holes(cells: DataFrame, rounds: int = 1000) -> DataFrame:
-    """Cells and the background that the border does not reach.
+def without_holes(cells: DataFrame) -> DataFrame:
+    """Cells and the background that no path over sides leads out of.
 
-    The background of the bounding box is flooded from its border, one ring of cells each round, and each round is
-    checkpointed; ``rounds`` only guards against running on, and reaching it raises.
+    The gaps between the cells of a row are the nodes, gaps of neighbouring rows that overlap are linked, and a gap is open
+    where the row above or below ends short of it. Components of gaps without an open one are holes. Nothing is made of the
+    background outside the rows, and depth costs a logarithm of rounds.
     """
-    box = cells.agg(F.min("ix"), F.max("ix"), F.min("iy"), F.max("iy")).first()
-    if box[0] is None:
-        return cells
-    spark = cells.sparkSession
-    area = spark.range(box[0] - 1, box[1] + 2).select(F.col("id").alias("ix")).join(spark.range(box[2] - 1, box[3] + 2).select(F.col("id").alias("iy")))
-    background = area.join(cells, ["ix", "iy"], "left_anti").checkpoint()
-    reached = background.where((F.col("ix") == box[0] - 1) | (F.col("ix") == box[1] + 1) | (F.col("iy") == box[2] - 1) | (F.col("iy") == box[3] + 1)).checkpoint()
-    front = reached
-    for _ in range(rounds):
-        front = _spread(front, 1).distinct().join(background, ["ix", "iy"]).join(reached, ["ix", "iy"], "left_anti").checkpoint()
-        if front.isEmpty():
-            return cells.select("ix", "iy").unionByName(background.join(reached, ["ix", "iy"], "left_anti"))
-        reached = reached.unionByName(front).checkpoint()
-    raise RuntimeError("the background was not flooded within the rounds")
+    own = cells.select("ix", "iy").distinct()
+    row = Window.partitionBy("iy").orderBy("ix")
+    gaps = own.withColumn("to", F.lead("ix").over(row)).where("to > ix + 1").select("iy", (F.col("ix") + 1).alias("a"), (F.col("to") - 1).alias("b"))
+    gaps = gaps.withColumn("id", F.col("iy") * F.lit(2**32) + F.col("a")).checkpoint()
+    spans = own.groupBy("iy").agg(F.min("ix").alias("lo"), F.max("ix").alias("hi"))
+    sides = gaps.withColumn("side", F.explode(F.array(F.lit(-1), F.lit(1)))).withColumn("ny", F.col("iy") + F.col("side"))
+    beside = sides.join(spans.withColumnRenamed("iy", "sy"), F.col("ny") == F.col("sy"), "left")
+    open_ = beside.where("sy IS NULL OR a < lo OR b > hi").select("id").distinct()
+    tiles = gaps.withColumn("tile", F.explode(F.expr("sequence(a div 64, b div 64)")))
+    other = tiles.select(F.col("id").alias("id2"), (F.col("iy") - 1).alias("iy"), "tile", F.col("a").alias("a2"), F.col("b").alias("b2"))
+    links = tiles.join(other, ["iy", "tile"]).where("a <= b2 AND a2 <= b").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    named = components(links)
+    own_name = gaps.select("id").join(named, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
+    leaking = own_name.join(open_, "id").select("component").distinct()
+    closed_ = own_name.join(leaking, "component", "left_anti").select("id")
+    holes = gaps.join(closed_, "id", "left_semi").select(F.explode(F.expr("sequence(a, b)")).alias("ix"), "iy")
+    return own.unionByName(holes)
 
 
 def centres(cells: DataFrame, cell: float) -> DataFrame:
@@ -78,22 +86,70 @@ def surface(points: DataFrame, cell: float = 2.0, p: float = 0.95, radius: float
     return filled_idw(known, closed(known.select("ix", "iy"), 2), cell, 12, 2.0, radius)
 
 
-def ground(points: DataFrame, cell: float = 4.0, p: float = 0.1) -> DataFrame:
-    """Tentative ground: low percentile, opened by running minima and maxima along both axes, with each cell's point count."""
-    low = grid(points, "refh", cell, p)
+def opened(cells: DataFrame, window: int) -> DataFrame:
+    """Cells (ix, iy, z) with o, the greyscale opening by a square of ``window`` (odd) cells; beyond the cells nothing counts."""
+    half = window // 2
 
     def along(line: str, axis: str):
-        return Window.partitionBy(line).orderBy(axis).rangeBetween(-2, 2)
+        return Window.partitionBy(line).orderBy(axis).rangeBetween(-half, half)
+
+    low = cells.withColumn("_e", F.min("z").over(along("iy", "ix"))).withColumn("_e", F.min("_e").over(along("ix", "iy")))
+    return low.withColumn("_o", F.max("_e").over(along("iy", "ix"))).withColumn("o", F.max("_o").over(along("ix", "iy"))).drop("_e", "_o")
 
-    a = low.withColumn("e", F.min("z").over(along("iy", "ix"))).withColumn("e", F.min("e").over(along("ix", "iy")))
-    b = a.withColumn("o", F.max("e").over(along("iy", "ix"))).withColumn("o", F.max("o").over(along("ix", "iy")))
-    return b.select("ix", "iy", "n", F.when(F.col("z") - F.col("o") > 0.5, F.col("o")).otherwise(F.col("z")).alias("z"))
+
+def smoothed(cells: DataFrame, sigma: float, reach: float = 4.0) -> DataFrame:
+    """Cells (ix, iy, z) with z as the Gaussian mean of the cells around, normalised by the weights that are there."""
+    if sigma <= 0:
+        return cells
+    n = int(reach * sigma + 0.5)
+    offsets = F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), F.lit(exp(-0.5 * (k / sigma) ** 2)).alias("w")) for k in range(-n, n + 1)])
+    own = cells.select("ix", "iy")
+    near = cells.select("ix", "iy", "z", F.lit(1.0).alias("w"))
+    near = near.withColumn("z", F.col("z") * F.col("w"))
+    for axis in ("ix", "iy"):  # the kernel is separable: two short spreads in place of a square
+        near = near.withColumn("o", F.explode(offsets)).select(*[(F.col(c) + F.col("o.k")).alias(c) if c == axis else F.col(c) for c in ("ix", "iy")], (F.col("z") * F.col("o.w")).alias("z"), (F.col("w") * F.col("o.w")).alias("w"))
+        near = near.groupBy("ix", "iy").agg(F.sum("z").alias("z"), F.sum("w").alias("w"))
+    return own.join(near, ["ix", "iy"]).select("ix", "iy", (F.col("z") / F.col("w")).alias("z"))
+
+
+def windows_of(sizes: list[float], cell: float, base: float, slope: float, most: float) -> list[tuple[int, float]]:
+    """Odd window in cells and height threshold of each stage; thresholds grow with the window up to ``most``."""
+    found = []
+    for size in sizes:
+        n = max(3, round(size / cell))
+        found.append((n + (n % 2 == 0), min(most, base + slope * size)))
+    return found
+
+
+def progressive(cells: DataFrame, stages: list[tuple[int, float]]) -> DataFrame:
+    """Cells (ix, iy, z) after one opening after another: where a cell stands above its opening by more than the stage's
+    threshold, the opening takes its place. Stages are checkpointed."""
+    now = cells.select("ix", "iy", "z")
+    for window, threshold in stages:
+        now = opened(now, window).select("ix", "iy", F.when(F.col("z") - F.col("o") > threshold, F.col("o")).otherwise(F.col("z")).alias("z")).checkpoint()
+    return now
+
+
+def support(cells: DataFrame, buffer: int = 1, closing: int = 1) -> DataFrame:
+    """Cells dilated by a disk, closed by another, without holes."""
+    area = dilated(cells, buffer) if buffer else cells.select("ix", "iy").distinct()
+    return without_holes(closed(area, closing) if closing else area)
+
+
+def ground(points: DataFrame, cell: float = 4.0, p: float = 0.1, buffer: int = 1, closing: int = 1, sigma: float = 1.0, sizes: tuple[float, ...] = (12.0, 20.0, 36.0), base: float = 0.5, slope: float = 0.05, most: float = 3.0, radius: float = 60.0) -> DataFrame:
+    """Tentative ground (ix, iy, n, z): a low percentile of each cell, filled from the nearest cell inside the support,
+    smoothed, and opened progressively. n is the cell's point count, 0 where it was filled. Support farther than ``radius``
+    from any cell is left out."""
+    low = grid(points, "refh", cell, p).checkpoint()
+    wanted = support(low, buffer, closing)
+    filled = filled_nearest(low.select("ix", "iy", "z"), wanted, cell, radius).select("ix", "iy", "z")
+    surface_ = progressive(smoothed(filled, sigma), windows_of(list(sizes), cell, base, slope, most))
+    return surface_.join(low.select("ix", "iy", "n"), ["ix", "iy"], "left").select("ix", "iy", F.coalesce("n", F.lit(0)).alias("n"), "z")
 
 
 def classified(points: DataFrame, cell: float = 4.0, tolerance: float = 1.0, top: float = 30.0, id_column: str = "pulse_index") -> DataFrame:
     """Height over the tentative ground and class of each point; the ground of cells without one comes by inverse distance."""
     base = ground(points, cell).select("ix", "iy", "z")
-    keyed = points.withColumn("ix", F.floor(F.col("x") / cell).cast("bigint")).withColumn("iy", F.floor(F.col("y") / cell).cast("bigint"))
-    own = keyed.join(base, ["ix", "iy"], "left").withColumn("hag", F.col("refh") - F.col("z"))
+    own = sample_ground(points, base, cell, 12, 2.0, 30.0, id_column).withColumn("hag", F.col("refh") - F.col("ground"))
     kind = F.when(F.col("hag").isNull(), 1).when(F.abs("hag") <= tolerance, 2).when((F.col("hag") > top) | (F.col("hag") < -2), 7).otherwise(1)
     return own.select(id_column, "hag", kind.alias("class"))

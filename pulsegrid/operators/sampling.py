@@ -26,13 +26,16 @@ def per_group(df: DataFrame, group: list[str], key: str, n: int, seed: int = 0)
     return df.withColumn("_pos", F.row_number().over(window)).where(F.col("_pos") <= n).drop("_pos")
 
 
-def stratified(df: DataFrame, band: Column, key: str, n: int, bands: int, seed: int = 0) -> DataFrame:
-    """Half of n evenly from the bands, the rest from what is left."""
+def stratified(df: DataFrame, band: Column, key: str, n: int, bands: int, seed: int = 0, shards: int = 64) -> DataFrame:
+    """Half of n evenly from the bands, the rest from what is left. The first of each band are found among the first of its
+    shards, so that no band is sorted in one task; keys must be unique."""
     each = max(1, n // (2 * bands))
-    ranked = df.withColumn("_band", band).withColumn("_pos", F.row_number().over(Window.partitionBy("_band").orderBy(*_order(key, seed))))
-    first = ranked.where(F.col("_pos") <= each).drop("_band", "_pos")
-    rest = ranked.where(F.col("_pos") > each).drop("_band", "_pos")
-    return first.unionByName(rest.orderBy(*_order(key, seed + 1)).limit(max(0, n - each * bands)))
+    keyed = df.select(F.col(key), band.alias("_band"))
+    order = _order(key, seed)
+    some = keyed.withColumn("_pos", F.row_number().over(Window.partitionBy("_band", F.pmod(order[0], F.lit(shards))).orderBy(*order))).where(F.col("_pos") <= each)
+    chosen = some.withColumn("_pos", F.row_number().over(Window.partitionBy("_band").orderBy(*order))).where(F.col("_pos") <= each).select(key)
+    rest = df.join(F.broadcast(chosen), key, "left_anti").orderBy(*_order(key, seed + 1)).limit(max(0, n - each * bands))
+    return df.join(F.broadcast(chosen), key, "left_semi").unionByName(rest)
 
 
 def farthest(df: DataFrame, key: str, axes: tuple[str, str], n: int) -> DataFrame:

@@ -122,13 +122,16 @@ def plane_fit(left: DataFrame, right: DataFrame, value: str, k: int, radius: flo
     return fitted.select(left_id, "n", (F.col("z") - F.col("a") * F.col("u") - F.col("b") * F.col("w")).alias("value"), F.degrees(F.atan(F.sqrt(F.col("a") ** 2 + F.col("b") ** 2))).alias("slope"), F.sqrt(F.greatest(F.lit(0.0), F.col("szz") - F.col("a") * F.col("suz") - F.col("b") * F.col("swz"))).alias("rms"))
 
 
-def in_polygon(points: DataFrame, polygons: DataFrame, left_id: str, polygon_id: str = "roi_id") -> DataFrame:
+def in_polygon(points: DataFrame, polygons: DataFrame, left_id: str, polygon_id: str = "roi_id", cell: float = 25.0) -> DataFrame:
     """Polygon of each point by crossing number; a point in several is ambiguous. polygons has an array column ``ring`` of
-    (x, y) structs, which may be closed or open. Bounding boxes cut the candidates first."""
+    (x, y) structs, which may be closed or open. Points and bounding boxes meet on cells of ``cell`` width, then the boxes cut."""
     box = polygons.select(
         F.col(polygon_id).alias("p_id"), "ring", *[f(F.col("ring")[c]).alias(n) for n, f, c in (("x0", F.array_min, "x"), ("x1", F.array_max, "x"), ("y0", F.array_min, "y"), ("y1", F.array_max, "y"))]
     )
-    pairs = points.join(box, (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1")))
+    box = box.withColumn("_px", F.explode(F.expr(f"sequence(cast(floor(x0 / {cell}D) as bigint), cast(floor(x1 / {cell}D) as bigint))")))
+    box = box.withColumn("_py", F.explode(F.expr(f"sequence(cast(floor(y0 / {cell}D) as bigint), cast(floor(y1 / {cell}D) as bigint))")))
+    own = points.withColumn("_cx", F.floor(F.col("x") / cell).cast("bigint")).withColumn("_cy", F.floor(F.col("y") / cell).cast("bigint"))
+    pairs = own.join(box, (F.col("_cx") == F.col("_px")) & (F.col("_cy") == F.col("_py")) & (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1")))
     crossings = F.expr("""aggregate(sequence(0, size(ring) - 1), 0, (n, i) -> n + CASE WHEN (ring[i].y > y) <> (ring[(i + 1) % size(ring)].y > y)
         AND x < (ring[(i + 1) % size(ring)].x - ring[i].x) * (y - ring[i].y) / (ring[(i + 1) % size(ring)].y - ring[i].y) + ring[i].x THEN 1 ELSE 0 END)""")
     return pairs.where(crossings % 2 == 1).groupBy(left_id).agg(F.count("*").alias("n"), F.min("p_id").alias("first_id")).select(left_id, F.when(F.col("n") == 1, F.col("first_id")).alias(polygon_id), (F.col("n") > 1).alias("ambiguous"))

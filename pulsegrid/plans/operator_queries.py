@@ -27,11 +27,16 @@ def bound(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one; a temporary one where none is named, as in tests."""
+    """A new folder under the shared one, which a cluster has to name; a temporary one only on a local master, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="pulsegrid-"))
-    return f"{(root or tempfile.mkdtemp(prefix='pulsegrid-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    held = spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = held.rsplit("/", 1)[0] if held else tempfile.mkdtemp(prefix="pulsegrid-")
+    if held is None:
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def rounded(df: DataFrame, n: int = 5) -> DataFrame:
@@ -126,6 +131,7 @@ def queries() -> dict[str, Query]:
 
     @query("r10_ground_surface")
     def _(spark, d):
+        shared(spark, "r10")
         return rounded(raster.ground(bound(spark, d, GOOD)))
 
     @query("pipeline_surface_model")
@@ -134,6 +140,7 @@ def queries() -> dict[str, Query]:
 
     @query("pipeline_classify_points")
     def _(spark, d):
+        shared(spark, "classify")
         return rounded(raster.classified(bound(spark, d, GOOD)))
 
     @query("c5_statistical_outliers")
