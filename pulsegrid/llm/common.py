@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.operators import graph
+
 #: Text bytes that one numpy pass handles; its temporaries take up to a hundred times this.
 SLICE_BYTES = 1 << 20
 #: Rows of one Arrow batch, unless the session says otherwise.
@@ -41,31 +43,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named, as in tests."""
+    """The folder that driver and executors share, which a cluster has to name; a temporary one only on a local master, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext.getCheckpointDir()
+        if held is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = held.rsplit("/", 1)[0] if held else tempfile.mkdtemp(prefix="pulsegrid-")
     return named.rstrip("/")
 
 
+def ready(spark: SparkSession) -> None:
+    """Names the checkpoint folder where the session has none yet."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Writes df to the shared folder and goes on from there, so that lost executors cost no recomputation."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
+    ready(df.sparkSession)
     return df.checkpoint(eager)
 
 
-#: Rows of a small table that one partition is worth.
-SMALL_ROWS = 50_000
-
-
 def counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """As ``cut``, with the number of rows; a small table goes on in few partitions, so that what follows makes few tasks and files."""
-    out = cut(df)
-    n = out.count()
-    return out.coalesce(n // SMALL_ROWS + 1), n
+    """As ``cut``, with the number of rows; a small table goes on in few partitions."""
+    ready(df.sparkSession)
+    return graph.counted(df)
 
 
 def held_out(doc_id: str = "doc_id"):
