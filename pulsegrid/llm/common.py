@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -194,8 +195,14 @@ def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, same
 
 
-def map_texts(df: DataFrame, text: str, keep: list[str], schema: str, compute, limit: int = SLICE_BYTES) -> DataFrame:
-    """keep plus the columns of ``schema``: compute(bytes, offsets) gives an arrow array for each of them.
+def settle() -> None:
+    """Gives free memory back at the end of a task: Python workers live on beside the next operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
+def map_texts(df: DataFrame, text: str, keep: list[str], schema: str, compute, limit: int = SLICE_BYTES, done=None) -> DataFrame:
+    """keep plus the columns of ``schema``: compute(bytes, offsets) gives an arrow array for each of them; done() ends a task.
 
     The kept columns travel as one struct, so that their names cannot clash with those of the results; a kept column
     that has the name of a result is dropped in its favour.
@@ -205,9 +212,14 @@ def map_texts(df: DataFrame, text: str, keep: list[str], schema: str, compute, l
     kept_type = packed.schema["keep"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, raw, offsets in text_slices(batch, "text", limit):
-                yield pa.RecordBatch.from_arrays([part.column(0), *compute(raw, offsets)], ["keep", *names])
+        try:
+            for batch in batches:
+                for part, raw, offsets in text_slices(batch, "text", limit):
+                    yield pa.RecordBatch.from_arrays([part.column(0), *compute(raw, offsets)], ["keep", *names])
+        finally:
+            if done is not None:
+                done()
+            settle()
 
     out = packed.mapInArrow(run, f"keep {kept_type}, {schema}")
     return out.select(*[F.col(f"keep.k{i}").alias(k) for i, k in enumerate(keep) if k not in names], *names)

@@ -179,6 +179,12 @@ class Model:
                 self.langs.append(lang)
                 self.parts.append(Automaton(automaton(np.concatenate([x for p in parts for x in (p, gap)]))))
 
+    def release(self) -> None:
+        """Drops the tables, which the next task builds again."""
+        for part in self.parts:
+            part.dense = part.numbers = part.keys = part.found = None
+        self.built = False
+
     def phrases(self, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrase counts, rows by languages, of the symbol runs that offsets delimit."""
         n, sizes = len(offsets) - 1, np.diff(offsets)
@@ -279,4 +285,4 @@ def predicted(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
         langs, score = sent.value.predict(raw, offsets)
         return [pa.array(langs, pa.string()), pa.array(score, pa.float64())]
 
-    return map_texts(df, text, list(keep), "lang_pred string, score double", run)
+    return map_texts(df, text, list(keep), "lang_pred string, score double", run, done=lambda: sent.value.release())
