@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.functions import crs
 from pulsegrid.operators import alignment, classify, noise, statistics, waveform
 from pulsegrid.plans.binding import with_tables
 from pulsegrid.plans.dialect import Dialect
@@ -159,6 +160,24 @@ def queries() -> dict[str, Query]:
         runs = ids.groupBy("track_num", F.expr("pulse_index div 17592186044416").alias("run")).agg(F.count("*").alias("m"), F.sha2(F.array_join(F.array_sort(F.collect_list("pulse_index")), ","), 256).alias("s"))
         return runs.groupBy("track_num").agg(F.sum("m").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "s"))), lambda r: r["s"]), ","), 256).alias("digest"))
 
+    @query("k1_point_sink")
+    def _(spark, d):
+        path = shared(spark, "points")
+        bound(spark, d, "SELECT pulse_index, x, y, refh AS z, ref_class AS classification, track_num FROM good").write.partitionBy("track_num").parquet(path)
+        return rounded(spark.read.parquet(path).select("pulse_index", F.col("track_num").cast("bigint").alias("track_num"), F.col("classification").cast("bigint").alias("classification"), "x", "y", "z"))
+
+    @query("k2_raster_sink")
+    def _(spark, d):
+        path = shared(spark, "raster")
+        statistics.grid_aggregate(bound(spark, d, GOOD), "refh", 4.0).select("ix", "iy", F.col("mean").alias("value"), F.col("n").cast("int").alias("n")).write.parquet(path)
+        return rounded(spark.read.parquet(path).select(F.col("ix").alias("col"), F.col("iy").alias("row_"), "value", F.col("n").cast("bigint").alias("n")))
+
+    @query("e5_horizontal_crs")
+    def _(spark, d):
+        zone = F.pmod("station_id", F.lit(60)) + 1
+        text = F.when(F.pmod("station_id", F.lit(3)) == 0, F.concat(F.lit("EPSG:326"), F.lpad(zone.cast("string"), 2, "0"), F.lit("+5703"))).when(F.pmod("station_id", F.lit(3)) == 1, F.concat(F.lit("WGS 84 / UTM zone "), zone.cast("string"), F.lit("S"))).otherwise(F.lit("local grid"))
+        return bound(spark, d, "SELECT station_id FROM stations").select("station_id", crs.horizontal(text).cast("bigint").alias("code"))
+
     def streamed(make) -> Query:
         def run(spark: SparkSession, d: str) -> DataFrame:
             folder = shared(spark, "stream")
@@ -227,6 +246,15 @@ def oracle_sql() -> dict[str, str]:
         i AS (SELECT aid, CASE WHEN min(dist) = 0 THEN min_by(v, dist) ELSE sum(v / (dist * dist)) / sum(1 / (dist * dist)) END AS v FROM b GROUP BY aid)
         SELECT c.pulse_index, {_r('coalesce(g.z, i.v)', 4)} AS g FROM c LEFT JOIN g ON g.ix = c.ix AND g.iy = c.iy LEFT JOIN i ON i.aid = c.pulse_index"""
     o["a51_id_set_hash"] = "WITH r AS (SELECT track_num, pulse_index // 17592186044416 AS run, count(*) AS m, sha256(string_agg(CAST(pulse_index AS VARCHAR), ',' ORDER BY pulse_index)) AS s FROM (SELECT DISTINCT pulse_index, track_num FROM good) AS i GROUP BY 1, 2) SELECT track_num, CAST(sum(m) AS BIGINT) AS n, sha256(string_agg(s, ',' ORDER BY run)) AS digest FROM r GROUP BY track_num"
+    o["k1_point_sink"] = f"SELECT pulse_index, track_num, CAST(ref_class AS BIGINT) AS classification, {_r('x')} AS x, {_r('y')} AS y, {_r('refh')} AS z FROM good"
+    o["k2_raster_sink"] = f"SELECT CAST(floor(x / 4) AS BIGINT) AS col, CAST(floor(y / 4) AS BIGINT) AS row_, {_r('avg(refh)')} AS value, count(*) AS n FROM good GROUP BY 1, 2"
+    o["e5_horizontal_crs"] = "SELECT station_id, CAST(CASE station_id % 3 WHEN 0 THEN 32601 + station_id % 60 WHEN 1 THEN 32701 + station_id % 60 END AS BIGINT) AS code FROM stations"
+    o["k3_stable_parquet"] = "SELECT pulse_index, track_num, snr FROM good"
+    o["s6_optional_columns"] = "SELECT pulse_index, refh, 0e0 AS geoid FROM pulses"
+    o["s15_labelled_reference"] = "SELECT ref_id, class, tile, 'part' AS provenance FROM refs"
+    o["g2_ecef_to_geodetic"] = f"SELECT pulse_index, {_r('lon')} AS lon, {_r('lat')} AS lat, {_r('refh')} AS h FROM good"
+    o["f9_json"] = "SELECT event_id, json_valid(props) AS valid, CAST(len(json_keys(props)) AS BIGINT) AS n_keys FROM events"
+    o["e36_cache_keys"] = """SELECT page_id, sha256('{"provider":"provider","url":"' || url || '"}') AS cache_key FROM pages"""
     ms = "CAST(floor(epoch_us(ts) / 1000) AS BIGINT)"
     hour = 3_600_000
     o["st1_tumbling_stream"] = f"SELECT {ms} // {hour} * {hour} AS from_ms, ({ms} // {hour} + 1) * {hour} AS to_ms, event_type, count(*) AS n, {_r('avg(value)')} AS mean FROM events GROUP BY 1, 2, 3"

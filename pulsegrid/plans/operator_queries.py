@@ -16,7 +16,6 @@ from pulsegrid.plans.binding import for_spark, with_tables
 from pulsegrid.plans.dialect import Dialect
 from pulsegrid.plans.statistics_queries import _r
 from pulsegrid.sources import readers
-from pulsegrid.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -157,7 +156,7 @@ def queries() -> dict[str, Query]:
         p = bound(spark, d, GOOD)
         x, y, z = geodesy.to_ecef(F.col("lon"), F.col("lat"), F.col("refh"))
         lon, lat, h = geodesy.from_ecef(F.col("ex"), F.col("ey"), F.col("ez"))
-        return rounded(p.select("pulse_index", x.alias("ex"), y.alias("ey"), z.alias("ez")).select("pulse_index", lon.alias("lon"), lat.alias("lat"), h.alias("h")), 6)
+        return rounded(p.select("pulse_index", x.alias("ex"), y.alias("ey"), z.alias("ez")).select("pulse_index", lon.alias("lon"), lat.alias("lat"), h.alias("h")), 5)
 
     @query("g3_utm_round_trip")
     def _(spark, d):
@@ -263,19 +262,6 @@ def queries() -> dict[str, Query]:
     def _(spark, d):
         return bound(spark, d, "SELECT page_id, url FROM pages").select("page_id", F.sha2(F.to_json(F.struct(F.lit("provider").alias("provider"), F.col("url").alias("url"))), 256).alias("cache_key"))
 
-    # ---- streams
-    def streamed(make) -> Query:
-        def run(spark: SparkSession, d: str) -> DataFrame:
-            folder = shared(spark, "stream")
-            out = make(windows.stream(spark, d))
-            return windows.run_to_end(out, f"{folder}/out", f"{folder}/state")
-
-        return run
-
-    q["st1_tumbling_stream"] = streamed(lambda e: windows.tumbling(e))
-    q["st2_sliding_stream"] = streamed(lambda e: windows.sliding(e))
-    q["st3_session_stream"] = streamed(lambda e: windows.sessions(e))
-    q["st4_latest_stream"] = streamed(lambda e: windows.latest(e).select("event_id", "event_type", "value"))
     return q
 
 
@@ -292,7 +278,5 @@ def oracle_sql() -> dict[str, str]:
         "j10_neighbourhood": f"WITH n AS ({_near(st, 'good', 3, 'station_id', 'pulse_index', ', b.refh AS v')}), m AS (SELECT *, quantile_cont(v, 0.5) OVER (PARTITION BY aid) AS m FROM n) SELECT aid AS station_id, count(*) AS n, {_r('max(m)')} AS med, {_r('1.4826e0 * quantile_cont(abs(v - m), 0.5)')} AS nmad, {_r('quantile_cont(v, 0.05)')} AS p05, {_r('quantile_cont(v, 0.95)')} AS p95 FROM m GROUP BY aid HAVING count(*) >= 3",
         "j11_majority_vote": f"WITH k AS ({knn(st, rf, 30, 'station_id', 'ref_id', 12, ', b.class AS c')}), v AS (SELECT aid, c, count(*) AS votes FROM k GROUP BY 1, 2), w AS (SELECT *, sum(votes) OVER (PARTITION BY aid) AS n, row_number() OVER (PARTITION BY aid ORDER BY votes DESC, c) AS pos FROM v) SELECT aid AS station_id, c AS label, {_r('votes / n')} AS ratio, CAST(CASE WHEN votes / n >= 75e-2 THEN 0 WHEN votes / n > 5e-1 THEN 1 ELSE 3 END AS BIGINT) AS status FROM w WHERE pos = 1",
         "j14_near_semi_join": f"SELECT DISTINCT aid AS ref_id FROM ({_near('(SELECT * FROM refs WHERE class = 2) AS r', st, 3.6, 'ref_id', 'station_id').replace('3.6e0', '36e-1')}) AS n",
-        "st1_tumbling_stream": "SELECT 1 AS x",
     }
-    o.pop("st1_tumbling_stream")
     return {name: with_tables(d, text) for name, text in o.items()}

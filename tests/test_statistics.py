@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pulsegrid.functions import crs
 from pulsegrid.operators import alignment, classify, noise, statistics
 from pulsegrid.streaming import windows
 
@@ -96,3 +97,12 @@ def test_late_rows_are_counted(spark, tmp_path):
         query = windows.run(windows.tumbling(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "state"))
     assert windows.dropped(query) == 1
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_horizontal_reference_systems(spark):
+    wkt = 'COMPD_CS["a",PROJCS["WGS 84 / UTM zone 16N",GEOGCS["WGS 84",AUTHORITY["x","EPSG:4326"]],AUTHORITY["x","EPSG:32616"]],VERT_CS["NAVD88",AUTHORITY["x","EPSG:5703"]]]'
+    rows = [("EPSG:32616+5703", 32616), ("epsg 4326", 4326), ("WGS 84 / UTM zone 16N", 32616), ("utm 7s", 32707), ("UTM zone 99", None), ("nothing", None), (None, None), (wkt, 32616)]
+    got = spark.createDataFrame(rows, "t string, want int").select(crs.horizontal(F.col("t")).alias("c"), "want").collect()
+    assert [r["c"] for r in got] == [r["want"] for r in got]
+    with pytest.raises(Exception, match="no horizontal part"):
+        spark.createDataFrame([('VERT_CS["NAVD88"]',)], "t string").select(crs.horizontal(F.col("t"))).collect()
