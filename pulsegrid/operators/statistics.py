@@ -26,9 +26,14 @@ def finite(c: str | Column) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), v)
 
 
+def _values(df: DataFrame, value: str | Column) -> DataFrame:
+    """Column v of the finite values; the generator keeps a long expression from being copied into each of its uses."""
+    return df.select(F.explode(F.array(finite(value))).alias("v")).where("v IS NOT NULL")
+
+
 def quantile_values(df: DataFrame, value: str | Column, ps: list[float], accuracy: int = ACCURACY, bins: int = BINS, most: int = MOST) -> list[float | None]:
     """Exact quantiles of value at ps, linear between neighbouring ranks; None for no values."""
-    v = df.select(finite(value).alias("v")).where("v IS NOT NULL")
+    v = _values(df, value)
     ends = [min(1.0, max(0.0, p + side * 2 / accuracy)) for p in ps for side in (-1, 1)]
     n, least, top, sketch = v.agg(F.count("*"), F.min("v"), F.max("v"), F.percentile_approx("v", F.array(*[F.lit(e) for e in ends]), F.lit(accuracy))).first()
     if not n:
@@ -125,7 +130,7 @@ def group_robust_z(df: DataFrame, value: str, group: str, out: str = "z", least:
 def distribution_metrics(df: DataFrame, value: str, ddof: int = 0) -> DataFrame:
     """One row of error metrics of a whole table: bias, spread about the median, quantiles and absolute quantiles. ``ddof``
     is 0 or 1, the degrees of freedom that the deviation leaves out; of one value the deviation is zero."""
-    v = df.select(finite(value).alias("r")).where("r IS NOT NULL")
+    v = _values(df, value).withColumnRenamed("v", "r")
     plain = v.agg(F.count("*").alias("n"), F.avg("r").alias("mean"), (F.when(F.count("r") == 1, F.lit(0.0)).otherwise(F.stddev_samp("r")) if ddof else F.stddev_pop("r")).alias("sd"), F.sqrt(F.avg(F.col("r") * F.col("r"))).alias("rmse"), F.avg(F.abs("r")).alias("mae"))
     med, p05, p95 = quantile_values(v, "r", [0.5, 0.05, 0.95])
     away = quantile_values(v, F.abs("r"), [0.5, 0.68, 0.9, 0.95])
@@ -137,7 +142,7 @@ def distribution_metrics(df: DataFrame, value: str, ddof: int = 0) -> DataFrame:
 
 def clipped_median(df: DataFrame, value: str, rounds: int = 3, k: float = 3.0, least: float = 0.0) -> DataFrame:
     """One row (n, med, nmad) after repeatedly leaving out values more than k deviations (each at least ``least``) from the median."""
-    kept = df.select(finite(value).alias("v")).where("v IS NOT NULL")
+    kept = _values(df, value)
     for _ in range(rounds):
         med, nmad = median_nmad(kept, "v", least)
         kept = kept.where(F.abs(F.col("v") - F.lit(med).cast("double")) <= F.lit(k) * F.lit(nmad).cast("double"))
