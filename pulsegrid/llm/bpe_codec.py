@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import text_slices
+from pulsegrid.llm.common import settle, text_slices
 
 LEAF = 32
 #: Distinct chunks whose ids a Python worker keeps; they go when a task ends, as workers live on for other operators.
 MEMO = 150_000
+#: Chunks that the library encodes at once.
+ENCODED = 2048
 #: Tokens that both sides must share with the window.
 AGREE = 2
 #: Texts without these characters are lower-cased and cut by str methods, which then do the same as the tokenizer's normaliser.
@@ -96,7 +98,9 @@ class Codec:
         marks = {s: (i,) for s, i in self.added.items()}
         memo.update((c, marks[c]) for c in fresh if c in marks)
         short = [c for c in fresh if len(c) <= self.leaf and c not in marks]
-        memo.update(zip(short, (tuple(got.ids) for got in self.bare.encode_batch_fast(short, add_special_tokens=False)), strict=True))
+        for a in range(0, len(short), ENCODED):  # few at a time, as each encoding holds a kilobyte
+            part = short[a : a + ENCODED]
+            memo.update(zip(part, (tuple(got.ids) for got in self.bare.encode_batch_fast(part, add_special_tokens=False)), strict=True))
         long = [c for c in fresh if len(c) > self.leaf and c not in marks]
         memo.update(zip(long, map(tuple, self.by_tree(long)), strict=True))
 
@@ -179,17 +183,22 @@ def digests(df: DataFrame, path: str, text: str = "text", keep: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Codec(path, leaf)
-        for batch in batches:
-            for part in slices(batch):
-                rows = own.encode_many([x or "" for x in part.column(1).to_pylist()])
-                of_ids = [hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in rows]
-                of_text = [hashlib.sha256(own.decode(x).encode()).hexdigest() for x in rows]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in rows], pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for batch in batches:
+                for part in slices(batch):
+                    rows = own.encode_many([x or "" for x in part.column(1).to_pylist()])
+                    of_ids = [hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in rows]
+                    of_text = [hashlib.sha256(own.decode(x).encode()).hexdigest() for x in rows]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in rows], pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            own.memo.clear()
+            del own
+            settle()
 
     return df.select(F.col(keep).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", keep)
 
 
-def slices(batch: pa.RecordBatch, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     for part, _, _ in text_slices(batch, "text", limit):
         yield part
 
