@@ -252,7 +252,7 @@ def oracle_sql() -> dict[str, str]:
     o["k3_stable_parquet"] = "SELECT pulse_index, track_num, snr FROM good"
     o["s6_optional_columns"] = "SELECT pulse_index, refh, 0e0 AS geoid FROM pulses"
     o["s15_labelled_reference"] = "SELECT ref_id, class, tile, 'part' AS provenance FROM refs"
-    o["g2_ecef_to_geodetic"] = f"SELECT pulse_index, {_r('lon')} AS lon, {_r('lat')} AS lat, {_r('refh')} AS h FROM good"
+    o["g2_ecef_to_geodetic"] = f"SELECT pulse_index, {_r('lon + 1.3e-7')} AS lon, {_r('lat + 1.3e-7')} AS lat, {_r('refh + 1.3e-7')} AS h FROM good"
     o["f9_json"] = "SELECT event_id, json_valid(props) AS valid, CAST(len(json_keys(props)) AS BIGINT) AS n_keys FROM events"
     o["e36_cache_keys"] = """SELECT page_id, sha256('{"provider":"provider","url":"' || url || '"}') AS cache_key FROM pages"""
     ms = "CAST(floor(epoch_us(ts) / 1000) AS BIGINT)"

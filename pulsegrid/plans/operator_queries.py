@@ -156,7 +156,8 @@ def queries() -> dict[str, Query]:
         p = bound(spark, d, GOOD)
         x, y, z = geodesy.to_ecef(F.col("lon"), F.col("lat"), F.col("refh"))
         lon, lat, h = geodesy.from_ecef(F.col("ex"), F.col("ey"), F.col("ez"))
-        return rounded(p.select("pulse_index", x.alias("ex"), y.alias("ey"), z.alias("ez")).select("pulse_index", lon.alias("lon"), lat.alias("lat"), h.alias("h")), 5)
+        # off the exact half steps of the data, as the round trip is exact to a billionth only
+        return rounded(p.select("pulse_index", x.alias("ex"), y.alias("ey"), z.alias("ez")).select("pulse_index", *[(c + 1.3e-7).alias(n) for c, n in ((lon, "lon"), (lat, "lat"), (h, "h"))]), 5)
 
     @query("g3_utm_round_trip")
     def _(spark, d):
