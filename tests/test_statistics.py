@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.functions import crs
-from pulsegrid.operators import alignment, classify, noise, statistics
+from pulsegrid.functions import crs, kernels
+from pulsegrid.operators import alignment, classify, noise, statistics, waveform
 from pulsegrid.streaming import windows
 
 
@@ -106,3 +106,15 @@ def test_horizontal_reference_systems(spark):
     assert [r["c"] for r in got] == [r["want"] for r in got]
     with pytest.raises(Exception, match="no horizontal part"):
         spark.createDataFrame([('VERT_CS["NAVD88"]',)], "t string").select(crs.horizontal(F.col("t"))).collect()
+
+
+def test_mixtures_of_known_components(spark):
+    x, rng = np.arange(120.0), np.random.default_rng(1)
+    bump = lambda a, c, s: a * np.exp(-((x - c) ** 2) / (2 * s**2))
+    waves = [bump(8, 30, 3) + bump(5, 70, 4), bump(6, 50, 5), 0 * x]
+    rows = [(k, [float(v) for v in w + rng.normal(0, 0.15, 120)]) for k, w in enumerate(waves)] + [(9, None)]
+    found = waveform.gaussians(spark.createDataFrame(rows, "pulse_index bigint, rx array<double>"), "pulse_index", "rx").orderBy("pulse_index", "rank").collect()
+    got = [(r["pulse_index"], round(r["centre"]), round(r["amplitude"]), round(r["sigma"])) for r in found]
+    assert got == [(0, 30, 8, 3), (0, 70, 5, 4), (1, 50, 6, 5)]
+    high = np.tile([np.inf, 119, 30], 2)
+    assert not kernels.admissible(np.array([5.0, 50, 4, 5, 52, 4]), 0.1, np.tile([0, 0, 0.5], 2), high)
