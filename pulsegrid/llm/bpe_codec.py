@@ -12,6 +12,7 @@ their own row; other columns of the input are ignored, so clashing names do no h
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import sys
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from pulsegrid.llm.common import settle, text_slices
 
 LEAF = 32
 #: Distinct chunks whose ids a Python worker keeps; they go when a task ends, as workers live on for other operators.
-MEMO = 150_000
+MEMO = 100_000
 #: Chunks that the library encodes at once.
 ENCODED = 2048
 #: Tokens that both sides must share with the window.
@@ -39,24 +40,24 @@ class Codec:
     """Encoder and decoder over a tokenizer file of the tokenizers library."""
 
     def __init__(self, path: str, leaf: int = LEAF):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory of their own
         from tokenizers import Tokenizer, normalizers
 
-        self.full = Tokenizer.from_file(path)
-        self.full.no_truncation()
-        self.full.no_padding()
-        self.normalizer = self.full.normalizer
+        full = Tokenizer.from_file(path)
+        self.normalizer = full.normalizer
         self.bare = Tokenizer.from_file(path)
         self.bare.no_truncation()
         self.bare.no_padding()
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.encode_special_tokens = True
-        added = {t.content: i for i, t in self.full.get_added_tokens_decoder().items()}
+        added = {t.content: i for i, t in full.get_added_tokens_decoder().items()}
         self.added = added
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.leaf = max(2, leaf)
         self.memo: dict[str, tuple[int, ...]] = {}
-        size = self.full.get_vocab_size(with_added_tokens=True)
-        self.tokens = [self.full.id_to_token(i) or "" for i in range(size)]
+        size = full.get_vocab_size(with_added_tokens=True)
+        self.tokens = [full.id_to_token(i) or "" for i in range(size)]
+        self.full = full if full.decoder is not None else None  # else its second copy of the vocabulary goes
 
     def chunks(self, text: str) -> list[str]:
         """The normalised text, cut at white space."""
@@ -157,7 +158,7 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids; the file names no decoder, so tokens are joined by spaces."""
-        if self.full.decoder is not None:
+        if self.full is not None:
             return self.full.decode(ids, skip_special_tokens=False)
         tokens = self.tokens
         return " ".join([tokens[i] for i in ids])
