@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import text_slices
@@ -31,6 +31,7 @@ NEAR = 48
 THRESHOLD = 0.5
 #: Most words that the corpus adds to the dictionary.
 CORPUS_WORDS = 20_000
+SHARDS = 16
 
 # Words that name a secret, words that name something else, and words of the dictionary.
 SECRET_WORDS = frozenset("token secret password passwd pwd passphrase key apikey api_key access_key secret_key private_key auth authorization bearer credential credentials client_secret aws github slack stripe login".split())
@@ -127,8 +128,11 @@ BASIC = Lexicon()
 def corpus_lexicon(df: DataFrame, text: str = "text", words: int = CORPUS_WORDS, least: int = 5) -> Lexicon:
     """The dictionary and the commonest words of the whole corpus, at most ``words`` of 4 to 12 letters that occur ``least`` times; ties by name."""
     each = df.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\b([a-z]{4,12})\b"), F.lit(1))).alias("w"))
-    common = each.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(words)
-    return Lexicon([*DICTIONARY, *(r["w"] for r in common.collect())])
+    counts = each.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    # the first of each shard, so that the driver meets a bounded number of them whatever the number of partitions
+    shard = Window.partitionBy(F.pmod(F.xxhash64("w"), F.lit(SHARDS))).orderBy(F.desc("n"), "w")
+    some = counts.withColumn("r", F.row_number().over(shard)).where(F.col("r") <= words).coalesce(SHARDS)
+    return Lexicon([*DICTIONARY, *(r["w"] for r in some.orderBy(F.desc("n"), "w").limit(words).collect())])
 
 
 FEATURES = (
