@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe_codec, decontaminate, html_extract, language_id, line_dedup, quality_model, quality_rules, secret_scan, simhash, warc
+from pulsegrid.llm import bpe_codec, centroid_clustering, decontaminate, html_extract, language_id, line_dedup, quality_model, quality_rules, secret_scan, simhash, token_store, warc
 from pulsegrid.llm.common import held_out, shared_dir, table
 
 
@@ -62,6 +62,16 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_store.write(table(spark, sf_dir, "documents"), folder, token_store.default_path())
+    return token_store.read(spark, folder)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -74,6 +84,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_warc": op9_warc,
         "op10_html_extract": op10_html_extract,
+        "op11_token_store": op11_token_store,
+        "op13_centroid_clustering": op13_centroid_clustering,
     }
 
 
@@ -99,4 +111,5 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN first_id <> page_id THEN first_id END AS refers_to
             FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
         """,
+        "op13_centroid_clustering": centroid_clustering.sql(),
     }
