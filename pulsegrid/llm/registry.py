@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe_codec, centroid_clustering, decontaminate, html_extract, language_id, line_dedup, quality_model, quality_rules, secret_scan, simhash, token_store, warc
+from pulsegrid.llm import bpe_codec, centroid_clustering, decontaminate, html_extract, language_id, lexical_search, line_dedup, quality_model, quality_rules, secret_scan, simhash, token_store, warc
 from pulsegrid.llm.common import held_out, shared_dir, table
 
 
@@ -68,6 +68,10 @@ def op11_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, folder)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clustering.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -85,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_warc": op9_warc,
         "op10_html_extract": op10_html_extract,
         "op11_token_store": op11_token_store,
+        "op12_lexical_search": op12_lexical_search,
         "op13_centroid_clustering": op13_centroid_clustering,
     }
 
@@ -111,5 +116,6 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN first_id <> page_id THEN first_id END AS refers_to
             FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
         """,
+        "op12_lexical_search": lexical_search.SQL,
         "op13_centroid_clustering": centroid_clustering.sql(),
     }

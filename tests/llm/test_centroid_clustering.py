@@ -29,7 +29,7 @@ def vectors(n, dims, seed):
     random_ = np.random.default_rng(seed)
     centres = random_.normal(size=(6, dims))
     rows = [(i, (centres[i % 6] + random_.normal(size=dims) * 0.3).round(2).tolist()) for i in range(n)]
-    return rows + [(rows[3][0], rows[3][1]), (n + 1, rows[4][1]), (n + 2, None), (n + 3, [0.5] * (dims - 1)), (n + 4, [None] + [0.5] * (dims - 1)), (n + 5, [math.nan] * dims), (n + 6, [math.inf] * dims), (None, [0.25] * dims)]
+    return rows + [(rows[-1][0], rows[-1][1]), (n + 1, rows[0][1]), (n + 2, None), (n + 3, [0.5] * (dims - 1)), (n + 4, [None] + [0.5] * (dims - 1)), (n + 5, [math.nan] * dims), (n + 6, [math.inf] * dims), (None, [0.25] * dims)]
 
 
 @pytest.mark.parametrize("n, dims, k, parts", [(90, 6, 7, 1), (90, 6, 7, 5), (2, 5, 9, 2)])
