@@ -37,7 +37,7 @@ MOST = 1 << 21
 #: Bits between two counts of the rank directory.
 STEP = 512
 #: Distinct pieces whose ids a Python worker keeps.
-MEMO = 400_000
+MEMO = 600_000
 #: Longest piece that is kept.
 KEPT_CHARS = 64
 #: Pieces that the library encodes at once.
@@ -107,6 +107,17 @@ class Encoder:
         return [first, *[" " + p for p in rest]]
 
 
+_KEPT: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder of a vocabulary, which lives on from task to task with the pieces it knows (MEMO of them at most)."""
+    if path not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path] = Encoder(path)
+    return _KEPT[path]
+
+
 def lengths(counts: np.ndarray) -> np.ndarray:
     """Huffman code length of each symbol; at least 1."""
     n = len(counts)
@@ -306,7 +317,7 @@ def write(docs: DataFrame, folder: str, path: str, end: int = 0, most: int = MOS
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, place = _store(folder)
         store.create_dir(f"{place}/shards", recursive=True)
-        encoder, held, ids, hashes, n = Encoder(path), [], [], [], 0
+        encoder, held, ids, hashes, n = encoder_of(path), [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, ids, hashes, n
@@ -332,7 +343,6 @@ def write(docs: DataFrame, folder: str, path: str, end: int = 0, most: int = MOS
                     n += len(row) // 4 + 1
         if ids:
             yield flush()
-        encoder.memo.clear()
         settle()
 
     own.mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
