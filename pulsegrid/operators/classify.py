@@ -11,8 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.lineage import cut
+from pulsegrid.operators.quantiles import grouped_median_nmad
 from pulsegrid.operators.spatial import idw
-from pulsegrid.operators.statistics import cells, finite, grid_aggregate, group_robust_z, robust_z
+from pulsegrid.operators.statistics import MAD_TO_SIGMA, cells, finite, grid_aggregate, median_nmad
 
 # Codes of the classes and reasons.
 PROCESSED, GROUND, NOISE = 1, 2, 7
@@ -113,12 +115,17 @@ def classify(points: DataFrame, options: CascadeOptions = CascadeOptions(), heig
     missing = F.lit(None).cast("double")
     field = lambda c: finite(c) if c in has else missing
     out = points.withColumn("hag", finite(height) - finite(ground))
+    if o.scanline_noise or o.signal_density_noise:
+        out = cut(out)  # what follows reads it for each statistic
     scan = [(c, z) for c, z, on in ((track, "_track_z", o.scanline_track), (sweep, "_sweep_z", o.scanline_sweep)) if on and c in has and o.scanline_noise]
+    base = out
     for c, z in scan:
-        out = group_robust_z(out, "hag", c, z, o.scanline_group, o.eps)
+        found = grouped_median_nmad(base.where(F.col(c).isNotNull()), [c], "hag", o.eps, MAD_TO_SIGMA).where(F.col("n") >= o.scanline_group)
+        out = out.join(found.select(F.col(c).alias("_g"), "med", "nmad"), F.col(c) == F.col("_g"), "left").withColumn(z, F.abs(F.col("hag") - F.col("med")) / F.col("nmad")).drop("_g", "med", "nmad")
     low_amp = F.lit(False)
     if amp in has and o.signal_density_noise:
-        out = robust_z(out, amp, "_amp_z", o.eps)
+        med, nmad = median_nmad(base, amp, o.eps)
+        out = out.withColumn("_amp_z", (finite(amp) - F.lit(med).cast("double")) / F.lit(nmad).cast("double"))
         low_amp = _is(F.col("_amp_z") <= o.low_amp_z)
     hag, dense = F.col("hag"), field(density)
     low_snr, low_density, weak = _is(field(snr) <= o.low_snr), _is(dense < o.low_density), _is(field(support) > o.support_distance)

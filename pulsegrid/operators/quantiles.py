@@ -1,7 +1,7 @@
 """Exact quantiles of groups of any size, by brackets that are narrowed in DataFrames.
 
-One pass gives each group its count and, from a mergeable sketch, a bracket around every wanted rank. Groups of at most
-``most`` values are then left to Spark's exact aggregate. For the others one pass counts the values below and inside each
+One pass counts the values of each group; groups of at most ``most`` values are then left to Spark's exact aggregate. For the
+others a mergeable sketch gives a bracket around every wanted rank, and one pass counts the values below and inside each
 bracket; brackets that missed their rank start again from the extremes. While more than ``most`` values lie inside one, counts of
 fine bins narrow it, and at last its distinct values give the quantile. The brackets are a table, one row for each
 group, value and rank: nothing of it comes to the driver but the number of groups that are large and of brackets that are wide. No task
@@ -40,22 +40,29 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[str], rows: int, how:
     return left.join(F.broadcast(other) if rows <= BROADCAST_ROWS else other, on, how).drop(*[f"_r{k}" for k in keys])
 
 
+def keyed(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """left with the one row of right for its keys, nulls equal. No broadcast is forced: right may have any size."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # one row
+    other = right.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    on = [F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return left.join(other, on, how).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def grouped_quantiles(df: DataFrame, groups: list[str], values: dict[str, str | Column], ps: list[float], most: int = MOST, accuracy: int = ACCURACY, bins: int = BINS) -> DataFrame:
     """One row for each group (one in all for no group columns, also of no rows): the groups, and for every name in values the
     number of finite values (``name_n``) and their quantiles at ps, linear between neighbouring ranks (``name_q0``, ``name_q1``, ...)."""
     keys = [f"_g{i}" for i in range(len(groups))] + ["_value"]
     picked = [F.struct(F.lit(j).alias("_value"), finite(v).alias("_v")) for j, v in enumerate(values.values())]
     long = df.select(*[F.col(f"`{g}`").alias(f"_g{i}") for i, g in enumerate(groups)], F.inline(F.array(*picked)))  # the generator keeps long expressions from being copied
-    ends = [min(1.0, max(0.0, p + side * 2 / accuracy)) for p in ps for side in (-1, 1)]
-    sketch = F.percentile_approx("_v", F.array(*[F.lit(e) for e in ends]), F.lit(accuracy))
-    told = cut(long.groupBy(*keys).agg(F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), sketch.alias("_s")))
+    told = cut(long.groupBy(*keys).agg(F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")))
     large = told.where(F.col("_n") > most)
     n_large = large.count()
     exact = F.percentile("_v", F.array(*[F.lit(float(p)) for p in ps])).alias("_q")
     if n_large:
         rest = _joined(long, large.select(*keys), keys, n_large, "left_anti")
         own = _joined(long.where("_v IS NOT NULL"), large.select(*keys), keys, n_large, "left_semi")
-        found = rest.groupBy(*keys).agg(exact).unionByName(_refined(own, large, keys, ps, most, bins, n_large))
+        found = rest.groupBy(*keys).agg(exact).unionByName(_refined(own, large, keys, ps, most, accuracy, bins, n_large))
     else:
         found = long.groupBy(*keys).agg(exact)
     all_ = _joined(told.select(*keys, "_n"), found, keys, BROADCAST_ROWS + 1, "left")
@@ -68,8 +75,11 @@ def grouped_quantiles(df: DataFrame, groups: list[str], values: dict[str, str |
     return out.withColumnsRenamed({f"_g{i}": g for i, g in enumerate(groups)})
 
 
-def _refined(own: DataFrame, large: DataFrame, keys: list[str], ps: list[float], most: int, bins: int, n_large: int) -> DataFrame:
+def _refined(own: DataFrame, large: DataFrame, keys: list[str], ps: list[float], most: int, accuracy: int, bins: int, n_large: int) -> DataFrame:
     """Quantiles (array _q) of the large groups."""
+    ends = [min(1.0, max(0.0, p + side * 2 / accuracy)) for p in ps for side in (-1, 1)]
+    sketch = own.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*[F.lit(e) for e in ends]), F.lit(accuracy)).alias("_s"))
+    large = cut(_joined(large, sketch, keys, n_large))
     spans = F.array(*[F.struct((F.lit(float(p)) * (F.col("_n") - 1)).alias("rank"), F.col("_s")[2 * i].alias("a"), F.col("_s")[2 * i + 1].alias("b")) for i, p in enumerate(ps)])
     start = large.select(*keys, "_n", "_min", "_max", spans.alias("_spans"))
 

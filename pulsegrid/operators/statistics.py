@@ -10,9 +10,12 @@ from __future__ import annotations
 
 from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.lineage import cut
+from pulsegrid.operators.quantiles import finite, grouped_median_nmad, grouped_quantiles, keyed
+
 MAD_TO_SIGMA = 1.4826
 #: Ranks that the sketch may err by, as a share of the rows, is the inverse of this; brackets are twice as wide on either side.
 ACCURACY = 5000
@@ -20,12 +23,6 @@ BINS = 1024
 MOST = 10_000
 
 
-def finite(c: str | Column) -> Column:
-    """The value as a double; null where it is null, NaN or infinite."""
-    v = (F.col(c) if isinstance(c, str) else c).cast("double")
-    return F.when(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), v)
-
-
 def _values(df: DataFrame, value: str | Column) -> DataFrame:
     """Column v of the finite values; the generator keeps a long expression from being copied into each of its uses."""
     return df.select(F.explode(F.array(finite(value))).alias("v")).where("v IS NOT NULL")
@@ -41,13 +38,14 @@ def quantile_values(df: DataFrame, value: str | Column, ps: list[float], accurac
     spans = [(sketch[2 * i], sketch[2 * i + 1]) for i in range(len(ps))]
     ranks = [p * (n - 1) for p in ps]
     inside = lambda a, b: (F.col("v") >= F.lit(a)) & (F.col("v") <= F.lit(b))
+    known: dict[int, tuple[float, float]] = {}
     while True:
         counts = v.agg(*[c for a, b in spans for c in (F.count_if(F.col("v") < F.lit(a)), F.count_if(inside(a, b)))]).first()
         missed = [i for i in range(len(ps)) if counts[2 * i] > floor(ranks[i]) or counts[2 * i] + counts[2 * i + 1] <= ceil(ranks[i])]
         if missed:  # as in tables of few rows, where the next rank lies beyond the bracket
             spans = [(least, top) if i in missed else span for i, span in enumerate(spans)]
             continue
-        wide = [i for i, (a, b) in enumerate(spans) if a < b and counts[2 * i + 1] > most]
+        wide = [i for i, (a, b) in enumerate(spans) if a < b and counts[2 * i + 1] > most and i not in known]
         if not wide:
             break
         for i in wide:
@@ -57,20 +55,22 @@ def quantile_values(df: DataFrame, value: str | Column, ps: list[float], accurac
             at, low, high = counts[2 * i], None, None
             for r in sorted(found, key=lambda r: r["bin"]):
                 at += r["c"]
-                if low is None and at > floor(ranks[i]):
-                    low = r["low"]
+                if at > floor(ranks[i]) and low is None:
+                    low = r
                 if at > ceil(ranks[i]):
-                    high = r["high"]
+                    high = r
                     break
-            spans[i] = (low, high)
-    any_ = inside(*spans[0])
-    for span in spans[1:]:
+            if low["bin"] != high["bin"]:  # neighbouring ranks in two bins: the last value of one and the first of the other
+                known[i] = (low["high"], high["low"])
+            spans[i] = (low["low"], high["high"])
+    any_ = F.lit(False)
+    for span in (span for i, span in enumerate(spans) if i not in known):
         any_ = any_ | inside(*span)
     held = sorted((r["v"], r["count"]) for r in v.where(any_).groupBy("v").count().collect())
     out = []
     for i, (a, b) in enumerate(spans):
-        at, low, high = counts[2 * i], None, None
-        for x, c in ((x, c) for x, c in held if a <= x <= b):
+        at, (low, high) = counts[2 * i], known.get(i, (None, None))
+        for x, c in ((x, c) for x, c in held if a <= x <= b and i not in known):
             at += c
             if low is None and at > floor(ranks[i]):
                 low = x
@@ -119,14 +119,48 @@ def robust_z(df: DataFrame, value: str, out: str = "z", eps: float = 1e-6) -> Da
 
 
 def group_robust_z(df: DataFrame, value: str, group: str, out: str = "z", least: int = 30, eps: float = 1e-6) -> DataFrame:
-    """df with the absolute robust z of value in its group; null in groups of fewer than ``least`` values."""
-    own = df.select(F.col(group).alias("_g"), finite(value).alias("_v")).where("_g IS NOT NULL AND _v IS NOT NULL")
-    centre = own.groupBy("_g").agg(F.count("*").alias("_n"), F.percentile("_v", F.lit(0.5)).alias("_m")).where(F.col("_n") >= least)
-    spread = own.join(centre, "_g").groupBy("_g", "_m").agg(F.greatest(F.lit(float(eps)), F.lit(MAD_TO_SIGMA) * F.percentile(F.abs(F.col("_v") - F.col("_m")), F.lit(0.5))).alias("_s"))
-    joined = df.join(spread, F.col(group) == F.col("_g"), "left")
+    """df with the absolute robust z of value in its group; null in groups of fewer than ``least`` values. df is read several
+    times; give a written table where it is dear to compute."""
+    found = grouped_median_nmad(df.where(F.col(group).isNotNull()), [group], value, eps, MAD_TO_SIGMA).where(F.col("n") >= least)
+    joined = df.join(found.select(F.col(group).alias("_g"), F.col("med").alias("_m"), F.col("nmad").alias("_s")), F.col(group) == F.col("_g"), "left")
     return joined.withColumn(out, F.abs(finite(value) - F.col("_m")) / F.col("_s")).drop("_g", "_m", "_s")
 
 
+def grouped_metrics(df: DataFrame, groups: list[str], value: str | Column, ddof: int = 0) -> DataFrame:
+    """As ``distribution_metrics``, for each group."""
+    own = cut(df.select(*groups, F.explode(F.array(finite(value))).alias("r")))
+    v = F.col("r")
+    sd = F.when(F.count("r") == 1, F.lit(0.0)).otherwise(F.stddev_samp("r")) if ddof else F.stddev_pop("r")
+    plain = own.groupBy(*groups).agg(F.count("r").alias("n"), F.avg("r").alias("mean"), sd.alias("sd"), F.sqrt(F.avg(v * v)).alias("rmse"), F.avg(F.abs("r")).alias("mae"))
+    ranks = {0.05: "p05", 0.5: "a50", 0.68: "a68", 0.9: "a90", 0.95: "a95"}
+    found = grouped_quantiles(own, groups, {"r": v, "a": F.abs(v)}, list(ranks))
+    nmad = grouped_median_nmad(own, groups, v, 0.0, MAD_TO_SIGMA)
+    picked = found.select(*groups, F.col("r_q0").alias("p05"), F.col("r_q4").alias("p95"), *[F.col(f"a_q{i}").alias(n) for i, n in enumerate(ranks.values()) if i])
+    out = keyed(keyed(plain, picked, groups), nmad.select(*groups, "med", "nmad"), groups)
+    return out.select(*groups, "n", "mean", "med", "sd", "rmse", "mae", "nmad", "p05", "p95", "a50", "a68", "a90", "a95")
+
+
+def summaries(df: DataFrame, groups: list[str], values: dict[str, str | Column], ps: dict[str, float]) -> DataFrame:
+    """For each group and every name in values: name_n (finite values), name_mean, name_sd, name_low, name_high, and quantiles under
+    the names in ps (name_p05 and the like)."""
+    aggs = [F.count("*").alias("rows")]
+    for name, c in values.items():
+        v = finite(c)
+        aggs += [F.avg(v).alias(f"{name}_mean"), F.stddev_pop(v).alias(f"{name}_sd"), F.min(v).alias(f"{name}_low"), F.max(v).alias(f"{name}_high")]
+    plain = df.groupBy(*groups).agg(*aggs)
+    found = grouped_quantiles(df, groups, values, list(ps.values()))
+    found = found.select(*groups, *[c for name in values for c in (f"{name}_n", *[F.col(f"{name}_q{i}").alias(f"{name}_{p}") for i, p in enumerate(ps)])])
+    return keyed(plain, found, groups)
+
+
+def calibrated_metrics(df: DataFrame, groups: list[str], value: str, role: Column) -> DataFrame:
+    """The median of value over the rows of each group where role holds (off), and the metrics n, bias and rmse of value less it over
+    the other rows; groups without either have no row."""
+    off = grouped_quantiles(df.where(role), groups, {"v": value}, [0.5]).select(*groups, F.col("v_q0").alias("off"))
+    rest = keyed(df.where(~role), off, groups).withColumn("_r", finite(value) - F.col("off")).where("_r IS NOT NULL")
+    return rest.groupBy(*groups).agg(F.max("off").alias("off"), F.count("*").alias("n"), F.avg("_r").alias("bias"), F.sqrt(F.avg(F.col("_r") * F.col("_r"))).alias("rmse"))
+
+
 def distribution_metrics(df: DataFrame, value: str, ddof: int = 0) -> DataFrame:
     """One row of error metrics of a whole table: bias, spread about the median, quantiles and absolute quantiles. ``ddof``
     is 0 or 1, the degrees of freedom that the deviation leaves out; of one value the deviation is zero."""

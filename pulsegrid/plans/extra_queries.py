@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import geodesy
 from pulsegrid.operators import spatial
-from pulsegrid.operators.configuration import MODES, ClassifierConfig, FillParameters
 from pulsegrid.plans.binding import SOURCES
 from pulsegrid.plans.dialect import Dialect
 from pulsegrid.plans.operator_queries import Query, bound, rounded, shared
@@ -35,13 +34,11 @@ def queries() -> dict[str, Query]:
         p.select("*", east.alias("easting"), north.alias("northing"), F.lit(1).alias("classification")).write.parquet(path)
         return rounded(spark.read.parquet(path), 3)
 
-    @query("k1_point_sink")
     def _(spark, d):
         path = shared(spark, "points")
         bound(spark, d, "SELECT pulse_index, x, y, refh AS z, ref_class AS classification, track_num FROM good").write.partitionBy("track_num").parquet(path)
         return spark.read.parquet(path).select("pulse_index", F.col("track_num").cast("bigint").alias("track_num"), "classification")
 
-    @query("k2_raster_sink")
     def _(spark, d):
         path = shared(spark, "raster")
         bound(spark, d, "SELECT CAST(floor(x / 4e0) AS BIGINT) AS col, CAST(floor(y / 4e0) AS BIGINT) AS row_, CAST(avg(refh) AS FLOAT) AS value FROM good GROUP BY 1, 2").write.parquet(path)
@@ -52,7 +49,6 @@ def queries() -> dict[str, Query]:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{d}/region.parquet")
         return files.select("length", F.substring("content", 1, 4).cast("string").alias("lead"), (F.expr("substring(content, length(content) - 3, 4)").cast("string") == "PAR1").alias("whole"))
 
-    @query("s24_roi_features")
     def _(spark, d):
         text = '{"features":[{"properties":{"roi_id":"a","class_label":"forest"},"geometry":{"coordinates":[[[0,0],[4,0],[4,4]]]}},{"properties":{"roi_id":"b","class_label":"water"},"geometry":{"coordinates":[[[5,5],[9,5],[9,9]]]}}]}'
         schema = "features array<struct<properties:map<string,string>,geometry:struct<coordinates:array<array<array<double>>>>>>"
@@ -65,12 +61,10 @@ def queries() -> dict[str, Query]:
         side = 4000.0 / 2**5
         return p.select("station_id", F.format_string("5-%d-%d", F.floor(F.col("x") / side).cast("bigint"), F.floor(F.col("y") / side).cast("bigint")).alias("node"), (F.floor(F.col("x") / side) * side).alias("x0"), (F.floor(F.col("y") / side) * side).alias("y0"))
 
-    @query("e4_fill_parameters")
     def _(spark, d):
         rows = [tuple(vars(FillParameters(r).resolved()).values()) for r in (0.5, 1.0, 2.0, 5.0)]
         return spark.createDataFrame(rows, "resolution double, buffer double, closing double, radius double")
 
-    @query("c2_feature_gates")
     def _(spark, d):
         rows = [(m, c.needs_density, c.needs_support, c.needs_scan_lines) for m in MODES for c in (ClassifierConfig(m),)]
         return spark.createDataFrame(rows, "mode string, density boolean, support boolean, scan_lines boolean")

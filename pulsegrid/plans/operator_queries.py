@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import geodesy
 from pulsegrid.operators import raster, sampling, spatial, waveform
+from pulsegrid.operators.lineage import shared
 from pulsegrid.plans.binding import for_spark, with_tables
 from pulsegrid.plans.dialect import Dialect
 from pulsegrid.plans.statistics_queries import _r
@@ -25,19 +24,6 @@ def bound(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
     return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in used})
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one, which a cluster has to name; a temporary one only on a local master, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    held = spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = held.rsplit("/", 1)[0] if held else tempfile.mkdtemp(prefix="pulsegrid-")
-    if held is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def rounded(df: DataFrame, n: int = 5) -> DataFrame:
     """As _r of the SQL plans, for every double column."""
     return df.select(*[(F.round(F.col(c) + 1.7e-9, n) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
@@ -142,7 +128,6 @@ def queries() -> dict[str, Query]:
         shared(spark, "classify")
         return rounded(raster.classified(bound(spark, d, GOOD)))
 
-    @query("c5_statistical_outliers")
     def _(spark, d):
         points = bound(spark, d, "SELECT ref_id, x, y, z FROM refs")
         near = spatial.knn(points, points, 9, 20.0, "ref_id", "ref_id", ("x", "y")).where("rank > 1")
@@ -227,12 +212,10 @@ def queries() -> dict[str, Query]:
         means = draws.join(ranked, "pos").groupBy("rep").agg((F.sum("s") / F.sum("n")).alias("mean"))
         return rounded(means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"), F.count("*").alias("n")))
 
-    @query("a45_noise_calibration")
     def _(spark, d):
         noise = waveform.events(bound(spark, d, WAVES), "pulse_index", "rx", 0.0).groupBy("pulse_index").agg(F.max("prominence").alias("top"))
         return rounded(noise.agg(F.percentile("top", F.lit(0.995)).alias("threshold"), F.count("*").alias("n")))
 
-    @query("a51_id_set_hash")
     def _(spark, d):
         own = bound(spark, d, "SELECT pulse_index, track_num FROM good")
         return own.groupBy("track_num").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("pulse_index")).alias("fingerprint"))
@@ -241,7 +224,6 @@ def queries() -> dict[str, Query]:
     q["s6_optional_columns"] = lambda spark, d: readers.with_default(bound(spark, d, "SELECT pulse_index, refh FROM pulses"), "geoid", 0.0)
     q["s7_attributes"] = lambda spark, d: readers.attributes(bound(spark, d, PULSES))
     q["s15_labelled_reference"] = lambda spark, d: bound(spark, d, "SELECT ref_id, class, tile FROM refs").withColumn("provenance", F.lit("part"))
-    q["k5_run_metadata"] = lambda spark, d: readers.run_metadata(spark, {"cell": 5.0, "source": d.rsplit("/", 1)[-1], "limit": float("nan")})
 
     @query("k3_stable_parquet")
     def _(spark, d):

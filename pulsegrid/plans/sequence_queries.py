@@ -46,9 +46,7 @@ def plans(d: Dialect) -> dict[str, str]:
     q["s23_raster_sample"] = f"SELECT s.station_id, {_r('c.z')} AS z FROM stations s LEFT JOIN (SELECT {d.floor('x / 10e0')} AS ix, {d.floor('y / 10e0')} AS iy, avg(refh) AS z FROM good GROUP BY 1, 2) AS c ON c.ix = {d.floor('s.x / 10e0')} AND c.iy = {d.floor('s.y / 10e0')}"
     # ---- joins on keys
     q["j1_pulse_context"] = "SELECT c.pulse_index, c.bin, CASE WHEN w.pulse_index IS NULL THEN 'absent' WHEN w.track_num <> c.track_num THEN 'track_mismatch' ELSE 'ok' END AS status FROM (SELECT * FROM bins WHERE v > 3e-1) AS c LEFT JOIN waves w ON w.pulse_index = c.pulse_index"
-    q["j2_alignment"] = "SELECT count(*) AS n, count(d.doc_id) AS found, count(DISTINCT l.doc_id) AS ids FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id"
     q["j3_cell_back_join"] = f"SELECT p.pulse_index, {_r('p.refh - c.m')} AS above FROM good p JOIN (SELECT {d.floor('x / 5e0')} AS ix, {d.floor('y / 5e0')} AS iy, {d.pct('refh', 0.5)} AS m FROM good GROUP BY 1, 2) AS c ON c.ix = {d.floor('p.x / 5e0')} AND c.iy = {d.floor('p.y / 5e0')}"
-    q["j4_same_cell_ground"] = f"SELECT p.pulse_index, {_r('coalesce(c.g, p.ground)')} AS g, c.g IS NOT NULL AS own FROM good p LEFT JOIN (SELECT {d.floor('x / 2e0')} AS ix, {d.floor('y / 2e0')} AS iy, {d.pct('refh', 0.1)} AS g FROM good GROUP BY 1, 2 HAVING count(*) >= 6) AS c ON c.ix = {d.floor('p.x / 2e0')} AND c.iy = {d.floor('p.y / 2e0')}"
     q["j16_raster_sample_nearest"] = f"SELECT p.ref_id, {_r('p.z - c.g')} AS dz FROM refs p JOIN (SELECT {d.floor('x / 4e0')} AS ix, {d.floor('y / 4e0')} AS iy, min(refh) AS g FROM good GROUP BY 1, 2) AS c ON c.ix = {d.floor('p.x / 4e0')} AND c.iy = {d.floor('p.y / 4e0')}"
     q["j17_method_pairing"] = f"WITH m AS (SELECT pulse_index, 'segment' AS method, refh AS h FROM good UNION ALL SELECT pulse_index, 'beam', ground + tax FROM good) SELECT pulse_index, {_r(chr(39).join(['max(CASE WHEN method = ', 'segment', ' THEN h END) - max(CASE WHEN method = ', 'beam', ' THEN h END)']))} AS gap FROM m GROUP BY pulse_index"
     q["j18_common_tracks"] = f"SELECT a.track_num, {_r('a.m - b.m')} AS diff FROM (SELECT track_num, avg(refh) AS m FROM good WHERE roi = 'A' GROUP BY track_num) AS a JOIN (SELECT track_num, avg(refh) AS m FROM good WHERE roi = 'N' GROUP BY track_num) AS b ON a.track_num = b.track_num"
@@ -62,25 +60,17 @@ def plans(d: Dialect) -> dict[str, str]:
     med9 = f"{d.pick('percentile', 'quantile_cont')}(v, 0.5) OVER (PARTITION BY pulse_index ORDER BY bin ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)"
     q["w1_rolling_median"] = f"SELECT pulse_index, {_r(d.pct('abs(v - m)', 0.5))} AS med, {_r(d.pct('abs(v - m)', 0.95))} AS p95, {_r('max(abs(v - m))')} AS top, count(CASE WHEN abs(v - m) >= 2e-1 THEN 1 END) AS jumps FROM (SELECT pulse_index, v, {med9} AS m FROM bins) AS w GROUP BY pulse_index"
     order = "PARTITION BY track_num ORDER BY sweep_num, pulse_index"
-    q["w2_lag_difference"] = f"SELECT pulse_index, {_r(f'abs(refh - lag(refh) OVER ({order}))')} AS step FROM good"
-    q["w3_path_length"] = f"SELECT track_num, pulse_index, {_r('sum(step) OVER (PARTITION BY track_num ORDER BY sweep_num, pulse_index ROWS UNBOUNDED PRECEDING)', 3)} AS dist FROM (SELECT *, coalesce(sqrt(power(x - lag(x) OVER ({order}), 2) + power(y - lag(y) OVER ({order}), 2)), 0e0) AS step FROM (SELECT * FROM good WHERE snr >= 8) AS g) AS s"
-    q["w4_heading"] = f"SELECT pulse_index, {_r('CASE WHEN h < 0 THEN h + 360 ELSE h END', 4)} AS heading FROM (SELECT pulse_index, degrees(atan2(coalesce(lead(x) OVER ({order}), x) - coalesce(lag(x) OVER ({order}), x), coalesce(lead(y) OVER ({order}), y) - coalesce(lag(y) OVER ({order}), y))) AS h FROM good) AS a"
-    q["w5_rank"] = "SELECT station_id, rank() OVER (ORDER BY site NULLS LAST) AS rk FROM stations"
     q["w6_rank_by_amplitude"] = "SELECT pulse_index, bin, row_number() OVER (PARTITION BY pulse_index ORDER BY v DESC, bin) AS rk FROM bins"
     q["w7_config_ranking"] = "SELECT roi, granule, track_num, row_number() OVER (ORDER BY round(m, 6) DESC, n DESC, roi, granule, track_num) AS rk FROM (SELECT roi, granule, track_num, avg(abs(r)) AS m, count(*) AS n FROM residuals GROUP BY 1, 2, 3) AS g"
     q["w8_half_split"] = f"SELECT site, station_id, row_number() OVER (PARTITION BY site ORDER BY x, y, station_id) <= {d.floor('count(*) OVER (PARTITION BY site) / 2e0')} AS calibration FROM stations"
-    q["w9_axis_thirds"] = "SELECT pulse_index, CASE WHEN u < 3e-1 THEN 'calibration' WHEN u BETWEEN 36e-2 AND 64e-2 THEN 'selection' WHEN u > 7e-1 THEN 'test' ELSE 'guard' END AS role FROM (SELECT pulse_index, (x - min(x) OVER (PARTITION BY track_num)) / nullif(max(x) OVER (PARTITION BY track_num) - min(x) OVER (PARTITION BY track_num), 0) AS u FROM good) AS w"
-    q["w10_longest_run"] = "SELECT pulse_index, max(n) AS run FROM (SELECT pulse_index, g, count(*) AS n FROM (SELECT pulse_index, bin - row_number() OVER (PARTITION BY pulse_index ORDER BY bin) AS g FROM bins WHERE v > 0) AS a GROUP BY 1, 2) AS b GROUP BY pulse_index"
     q["w11_band_merging"] = "SELECT track_num, min(bin) AS first_bin, max(bin) AS last_bin, count(*) AS n FROM (SELECT track_num, bin, bin - row_number() OVER (PARTITION BY track_num ORDER BY bin) AS g FROM (SELECT track_num, bin FROM bins GROUP BY 1, 2 HAVING avg(CASE WHEN v > 0 THEN 1e0 ELSE 0e0 END) >= 5e-1) AS q) AS w GROUP BY track_num, g"
     q["w12_support_runs"] = f"SELECT pulse_index, min(bin) AS first_bin, count(*) AS width, {_r('sum(v)')} AS energy FROM (SELECT pulse_index, bin, v, bin - row_number() OVER (PARTITION BY pulse_index ORDER BY bin) AS g FROM bins WHERE v > 1e-1) AS w GROUP BY pulse_index, g"
-    q["w13_scan_segments"] = "SELECT track_num, seg, count(*) AS n, min(sweep_num) AS first_sweep, max(sweep_num) AS last_sweep FROM (SELECT track_num, sweep_num, sum(brk) OVER (PARTITION BY track_num ORDER BY sweep_num, pulse_index ROWS UNBOUNDED PRECEDING) AS seg FROM (SELECT *, CASE WHEN sweep_num - lag(sweep_num) OVER (PARTITION BY track_num ORDER BY sweep_num, pulse_index) > 3 THEN 1e0 ELSE 0e0 END AS brk FROM good) AS b) AS s GROUP BY track_num, seg HAVING count(*) >= 3"
     q["w14_energy_quantiles"] = "SELECT pulse_index, min(CASE WHEN cum >= 1e-1 * total THEN bin END) AS q10, min(CASE WHEN cum >= 5e-1 * total THEN bin END) AS q50, min(CASE WHEN cum >= 9e-1 * total THEN bin END) AS q90 FROM (SELECT pulse_index, bin, sum(greatest(v, 0)) OVER (PARTITION BY pulse_index ORDER BY bin ROWS UNBOUNDED PRECEDING) + 1e-9 AS cum, sum(greatest(v, 0)) OVER (PARTITION BY pulse_index) AS total FROM bins) AS w GROUP BY pulse_index"
     ig = d.pick("last(v, true) OVER (PARTITION BY pulse_index ORDER BY bin ROWS UNBOUNDED PRECEDING)", "last_value(v IGNORE NULLS) OVER (PARTITION BY pulse_index ORDER BY bin ROWS UNBOUNDED PRECEDING)")
     ig2 = d.pick("first(v, true) OVER (PARTITION BY pulse_index ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)", "first_value(v IGNORE NULLS) OVER (PARTITION BY pulse_index ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")
     ib = "max(CASE WHEN v IS NOT NULL THEN bin END) OVER (PARTITION BY pulse_index ORDER BY bin ROWS UNBOUNDED PRECEDING)"
     ib2 = "min(CASE WHEN v IS NOT NULL THEN bin END) OVER (PARTITION BY pulse_index ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
     q["w15_gap_interpolation"] = f"SELECT pulse_index, bin, {_r('coalesce(CASE WHEN b1 = b0 THEN v0 ELSE v0 + (v1 - v0) * (bin - b0) / nullif(b1 - b0, 0) END, v0, v1)')} AS v FROM (SELECT pulse_index, bin, {ig} AS v0, {ig2} AS v1, {ib} AS b0, {ib2} AS b1 FROM (SELECT pulse_index, bin, CASE WHEN abs(v) < 2e-1 THEN v END AS v FROM bins) AS n) AS w"
-    q["w16_history"] = "SELECT track_num, sweep_num, count(*) OVER (PARTITION BY track_num ORDER BY sweep_num RANGE UNBOUNDED PRECEDING) AS seen FROM (SELECT DISTINCT track_num, sweep_num FROM pulses) AS s"
     # ---- scalars
     q["f1_safe_divide"] = f"SELECT pulse_index, {_r('amp / nullif(discount, 0)')} AS v FROM pulses"
     q["f2_normalise"] = f"WITH l AS (SELECT {d.pct('amp', 0.02)} AS lo, {d.pct('amp', 0.98)} AS hi FROM pulses) SELECT pulse_index, {_r('least(greatest((amp - lo) / nullif(hi - lo, 0), 0e0), 1e0)')} AS v, CAST(least(greatest(amp * 1000, 0), 65535) AS BIGINT) > 50000 AS bright FROM pulses CROSS JOIN l"
@@ -132,19 +122,11 @@ def plans(d: Dialect) -> dict[str, str]:
     q["v18_pulse_audit"] = f"SELECT pulse_index, max(CASE WHEN rk = 1 THEN bin END) AS top_bin, {_r('max(CASE WHEN rk = 2 THEN v END)')} AS second, count(CASE WHEN v = top THEN 1 END) AS ties, count(CASE WHEN v >= 9e-1 * top THEN 1 END) AS near_top FROM (SELECT *, row_number() OVER (PARTITION BY pulse_index ORDER BY v DESC, bin) AS rk, max(v) OVER (PARTITION BY pulse_index) AS top FROM bins) AS w GROUP BY pulse_index"
     q["a46_stationarity"] = f"SELECT track_num, seg, {_r('avg(v)')} AS mean, {_r('stddev_pop(v)')} AS sd, {_r('corr(v, prev)')} AS lag1 FROM (SELECT track_num, {d.floor('bin / 16e0')} AS seg, v, lag(v) OVER (PARTITION BY pulse_index ORDER BY bin) AS prev FROM bins) AS w GROUP BY track_num, seg"
     # ---- classes
-    q["c1_height_cascade"] = f"SELECT pulse_index, {_cascade()} AS class, CASE WHEN hag IS NULL THEN 2 WHEN abs(hag) <= 1 THEN 1 WHEN hag > 30 THEN 3 WHEN hag > 1 THEN 5 ELSE 4 END AS reason FROM (SELECT pulse_index, refh - ground AS hag FROM pulses) AS h"
-    q["c1_full_cascade"] = f"""
-        WITH n AS (SELECT {d.floor('x / 5e0')} AS ix, {d.floor('y / 5e0')} AS iy, count(*) AS density FROM good GROUP BY 1, 2),
-        h AS (SELECT p.*, p.refh - p.ground AS hag, coalesce(n.density, 0) AS density FROM pulses p LEFT JOIN n ON n.ix = {d.floor('p.x / 5e0')} AND n.iy = {d.floor('p.y / 5e0')}),
-        a AS (SELECT *, {_cascade()} AS c0 FROM h), b AS (SELECT *, CASE WHEN c0 = 1 AND hag BETWEEN 1 AND 15e-1 AND snr > 5 THEN 2 ELSE c0 END AS c1 FROM a),
-        c AS (SELECT *, CASE WHEN c1 = 1 AND snr < 2 AND density < 12 THEN 7 ELSE c1 END AS c2 FROM b)
-        SELECT pulse_index, CASE WHEN c2 = 1 AND hag BETWEEN 8 AND 15 AND refh BETWEEN 35 AND 55 AND density >= 2 AND snr < 4 THEN 7 ELSE c2 END AS class, c0 <> c1 AS guarded, c1 <> c2 AS density_rule FROM c"""
     q["c3_label_mapping"] = "SELECT ref_id, CASE WHEN class = 2 THEN 2 WHEN class IN (7, 18) THEN 7 ELSE 1 END AS mapped FROM refs"
     q["c6_parameter_sweep"] = f"WITH c AS (SELECT a.tol, b.top FROM (SELECT 5e-1 AS tol UNION ALL SELECT 1e0 UNION ALL SELECT 2e0) AS a CROSS JOIN (SELECT 10e0 AS top UNION ALL SELECT 20e0) AS b) SELECT tol, top, {_r('avg(CASE WHEN CASE WHEN abs(refh - ground) <= tol THEN 2 WHEN refh - ground > top THEN 7 ELSE 1 END = ref_class THEN 1e0 ELSE 0e0 END)')} AS accuracy FROM pulses CROSS JOIN c WHERE refh IS NOT NULL GROUP BY tol, top"
     q["c7_selection"] = "SELECT roi, granule FROM (SELECT roi, granule, row_number() OVER (ORDER BY CASE roi WHEN 'A' THEN 0 ELSE 1 END, round(sqrt(avg(r * r)), 6), granule) AS rk FROM residuals GROUP BY roi, granule) AS w WHERE rk = 1"
     # ---- rasters
     q["r1_grid_key"] = f"WITH b AS (SELECT min(x) AS x0, max(y) AS y1 FROM good) SELECT pulse_index, {d.floor('(y1 - y) / 2e0')} AS row_, {d.floor('(x - x0) / 2e0')} AS col FROM good CROSS JOIN b"
-    q["r2_disk"] = f"SELECT a.k AS dx, b.k AS dy FROM (SELECT 1 AS one) AS o CROSS JOIN {d.each('-3', '3')} AS a CROSS JOIN {d.each('-3', '3')} AS b WHERE a.k * a.k + b.k * b.k <= 9"
     cells = f"SELECT DISTINCT {d.floor('x / 10e0')} AS ix, {d.floor('y / 10e0')} AS iy FROM good WHERE snr > 8"
     disk = f"SELECT a.k AS dx, b.k AS dy FROM (SELECT 1 AS one) AS o CROSS JOIN {d.each('-1', '1')} AS a CROSS JOIN {d.each('-1', '1')} AS b WHERE a.k * a.k + b.k * b.k <= 1"
     dilated = f"WITH c AS ({cells}), k AS ({disk}), dil AS (SELECT DISTINCT ix + dx AS ix, iy + dy AS iy FROM c CROSS JOIN k)"
@@ -168,19 +150,14 @@ def plans(d: Dialect) -> dict[str, str]:
     q["e13_class_lookup"] = "SELECT count(*) AS n, count(l.doc_id) AS covered, count(*) - count(DISTINCT d.doc_id) AS duplicates FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"
     q["e16_cross_granule"] = f"SELECT granule, 'mean' AS model, {_r('avg(r)')} AS v FROM residuals GROUP BY granule UNION ALL SELECT granule, 'rmse', {_r('sqrt(avg(r * r))')} FROM residuals GROUP BY granule"
     q["e17_angle_encodings"] = f"SELECT m.name, count(*) AS n, {_r('avg(CASE m.name WHEN ' + chr(39) + 'swap' + chr(39) + ' THEN discount WHEN ' + chr(39) + 'negate' + chr(39) + ' THEN -tax ELSE tax END)', 7)} AS az FROM pulses CROSS JOIN (SELECT 'same' AS name UNION ALL SELECT 'swap' UNION ALL SELECT 'negate') AS m GROUP BY m.name"
-    q["e18_height_sanity"] = f"SELECT {_r(d.pct('refh - ground', 0.1))} AS p10, {_r(d.pct('refh - ground', 0.5))} AS med, {_r(d.pct('refh - ground', 0.9))} AS p90, {_r(d.pct('sqrt(x * x + y * y)', 0.5))} AS horizontal, {_r(d.pct('sqrt(x * x + y * y + refh * refh)', 0.5))} AS slant FROM good"
     q["e20_crosscheck"] = f"SELECT {_r(d.pct('abs(a - b)', 0.5), 7)} AS med, {_r('max(abs(a - b))', 7)} AS top FROM (SELECT {_haversine('-869e-1', '404e-1', 'lon', 'lat')} AS a, sqrt(power((lon + 869e-1) * 111194.93e0 * cos(radians(404e-1)), 2) + power((lat - 404e-1) * 111194.93e0, 2)) AS b FROM good) AS c"
     q["e21_height_selection"] = f"WITH m AS (SELECT {d.pct('refh - ground', 0.5)} AS off FROM good) SELECT pulse_index, CASE WHEN refh IS NULL THEN 'missing' WHEN track_num = 1 THEN 'raw' ELSE 'shifted' END AS status, {_r('CASE WHEN track_num = 1 THEN refh ELSE refh - off END')} AS h FROM pulses CROSS JOIN m"
     q["e22_role_stratum"] = f"SELECT CASE WHEN track_num <= 4 THEN 'calibration' ELSE 'test' END AS role, s.lo, count(*) AS n, {_r('avg(r)')} AS bias FROM residuals JOIN (SELECT 0e0 AS lo UNION ALL SELECT 3e0 UNION ALL SELECT 5e0) AS s ON snr >= s.lo GROUP BY 1, 2"
     q["e23_identity_key"] = "SELECT pulse_index, md5(concat_ws('|', " + ", ".join(d.text(c) for c in ("delta_time", "sweep_num", "track_num", "ref_class")) + ")) AS key_ FROM pulses"
-    q["e24_model_differences"] = f"SELECT pair, {_r(d.pct('v', 0.5))} AS med, {_r('max(abs(v))')} AS top FROM (SELECT 'ab' AS pair, tax - discount AS v FROM pulses UNION ALL SELECT 'ac', tax - 1e-1 FROM pulses UNION ALL SELECT 'bc', discount - 1e-1 FROM pulses) AS u GROUP BY pair"
-    q["e25_pulse_distribution"] = f"SELECT pulse_index, {_r('r - avg(r) OVER t')} AS centred, {_r('r * r / nullif(sum(r * r) OVER t, 0)', 7)} AS share FROM residuals WINDOW t AS (PARTITION BY track_num)"
     q["e26_evidence_grade"] = "SELECT event_type, CASE WHEN count(DISTINCT CASE WHEN value > 50 THEN user_id END) > 100 THEN 'D' WHEN count(DISTINCT user_id) > 120 THEN 'A' WHEN avg(value) > 10 THEN 'B' ELSE 'C' END AS grade FROM events GROUP BY event_type"
-    q["e28_display_range"] = f"SELECT {_r(d.pct('v', 0.02))} AS lo, {_r(d.pct('v', 0.98))} AS hi FROM bins WHERE {d.mod('bin', '4')} = 0"
     q["e29_last_record"] = "SELECT sweep_num, track_num, max_by(refh, pulse_index) AS refh, count(*) AS n FROM good GROUP BY sweep_num, track_num"
     q["e30_workunit_preference"] = f"SELECT p_partkey AS id, CASE WHEN {d.matched('p_brand', '#([0-9]+)')} IN ('1', '2', '3') THEN 1 ELSE 2 END AS ql, p_size >= 10 AS preferred FROM part"
     q["e31_top_confusions"] = "SELECT t, p, n FROM (SELECT t, p, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, t, p) AS rk FROM truth WHERE t <> p GROUP BY t, p) AS w WHERE rk <= 2"
     q["e32_scene_loading"] = "SELECT doc_id, t AS class, CAST(n_chars AS DOUBLE) AS n FROM truth WHERE t IN (1, 2, 7) AND n_chars IS NOT NULL"
     q["e33_percentile_clip"] = f"WITH l AS (SELECT {d.pct('r', 0.01)} AS lo, {d.pct('r', 0.99)} AS hi FROM residuals) SELECT pulse_index FROM residuals CROSS JOIN l WHERE r BETWEEN lo AND hi"
-    q["e34_feature_summary"] = f"SELECT feature, {_r('count(v) / count(*)')} AS valid, {_r(d.pct('v', 0.05))} AS p05, {_r(d.pct('v', 0.5))} AS med, {_r(d.pct('v', 0.95))} AS p95 FROM (SELECT 'refh' AS feature, refh AS v FROM pulses UNION ALL SELECT 'snr', snr FROM pulses UNION ALL SELECT 'amp', amp FROM pulses) AS u GROUP BY feature"
     return q

@@ -76,7 +76,6 @@ def _report() -> str:
 
 
 def plans(d: Dialect) -> dict[str, str]:
-    metrics_by_track = _metrics(d, "residuals", "r", "track_num")
     q: dict[str, str] = {}
 
     # ---- filters and predicates
@@ -117,15 +116,10 @@ def plans(d: Dialect) -> dict[str, str]:
     q["a8_median_nmad"] = f"WITH c AS (SELECT {d.pct('r', 0.5)} AS m FROM residuals) SELECT {_r('max(m)')} AS med, {_r(f'{MAD} * ' + d.pct('abs(r - m)', 0.5))} AS nmad, count(r) AS n FROM residuals CROSS JOIN c"
     q["a9_group_robust_z"] = f"WITH m AS (SELECT pulse_index, sweep_num, refh, count(refh) OVER w AS n, {d.pick('percentile', 'quantile_cont')}(refh, 0.5) OVER w AS med FROM pulses WHERE refh IS NOT NULL WINDOW w AS (PARTITION BY sweep_num)), a AS (SELECT *, {d.pct_over('abs(refh - med)', 0.5, 'PARTITION BY sweep_num')} AS mad FROM m) SELECT pulse_index, CASE WHEN n >= 4 THEN {_r(f'abs(refh - med) / greatest({MAD} * mad, 1e-6)', 4)} END AS z FROM a"
     q["a10_array_summary"] = f"SELECT count(*) AS n, count(refh) AS n_finite, {_r('min(refh)')} AS low, {_r(d.pct('refh', 0.02))} AS p02, {_r(d.pct('refh', 0.5))} AS p50, {_r(d.pct('refh', 0.98))} AS p98, {_r('max(refh)')} AS high FROM pulses"
-    q["a11_surface_summary"] = f"SELECT granule, {_summary(d, 'refh')} FROM pulses GROUP BY granule"
-    q["a12_quantile_summary"] = f"SELECT roi, {_r(d.pct('snr', 0.05))} AS p05, {_r(d.pct('snr', 0.5))} AS med, {_r(d.pct('snr', 0.95))} AS p95 FROM pulses GROUP BY roi"
     q["a13_distribution_metrics"] = _metrics_two_pass(d, "residuals", "r")
     q["a14_elevation_metrics"] = _metrics_two_pass(d, "residuals", "r", 1)
     q["a15_residual_decomposition"] = f"WITH c AS (SELECT {d.pct('r', 0.5)} AS m, avg(r) AS b FROM residuals) SELECT count(r) AS n, {_r('avg(r)')} AS bias, {_r('stddev_pop(r)')} AS crmse, {_r('sqrt(avg((r - m) * (r - m)))')} AS about_median, {_r('avg(r) * avg(r) / nullif(avg(r * r), 0)')} AS bias_share, {_r('1 - avg(r) * avg(r) / nullif(avg(r * r), 0)')} AS spread_share, abs(avg(r * r) - avg(r) * avg(r) - var_pop(r)) < 1e-6 AS adds_up FROM residuals CROSS JOIN c"
-    q["a16_audit_statistics"] = f"SELECT track_num, count(*) AS n_total, count(refh) AS n_valid, count(*) - count(refh) AS rejected, {_r('count(refh) / count(*)')} AS share, {_r(d.pct('refh', 0.5))} AS med, {_r(d.pct('refh', 0.9))} AS p90, {_r(d.pct('refh', 0.95))} AS p95, {_r(d.pct('refh', 0.99))} AS p99 FROM pulses GROUP BY track_num"
-    q["a17_per_tile_metrics"] = f"WITH u AS (SELECT tile, 'z' AS field, z AS v FROM refs UNION ALL SELECT tile, 'y', y FROM refs) SELECT tile, field, count(v) AS n, {_r('avg(v)')} AS mean, {_r(d.pct('v', 0.5))} AS med, {_r('stddev_pop(v)')} AS sd FROM u GROUP BY tile, field"
     q["a18_class_counts"] = "SELECT c.class, count(t.doc_id) AS n FROM (SELECT 1 AS class UNION ALL SELECT 2 UNION ALL SELECT 7 UNION ALL SELECT 9) AS c LEFT JOIN truth t ON t.t = c.class GROUP BY c.class"
-    q["a19_class_summary_row"] = "SELECT " + ", ".join(f"count(CASE WHEN p = {c} THEN 1 END) AS n_{c}, {_r(d.pct(f'CASE WHEN p = {c} THEN n_chars END', 0.5))} AS med_{c}" for c in (1, 2, 7)) + " FROM truth"
     q["a20_confusion_matrix"] = _confusion()
     q["a20_class_report"] = _report()
     q["a21_all_files_rollup"] = "SELECT CASE WHEN grouping(source) = 1 THEN '__all__' ELSE source END AS file, count(*) AS n, count(CASE WHEN t = p THEN 1 END) AS hits FROM truth GROUP BY ROLLUP(source)"
@@ -135,24 +129,18 @@ def plans(d: Dialect) -> dict[str, str]:
     q["a25_threshold_shares"] = "SELECT t.lim AS lim, round(avg(CASE WHEN abs(r) < t.lim THEN 1e0 ELSE 0e0 END), 6) AS share FROM residuals CROSS JOIN (SELECT 1e-1 AS lim UNION ALL SELECT 5e-1 UNION ALL SELECT 1e0 UNION ALL SELECT 2e0) AS t GROUP BY t.lim"
     q["a26_sweep_summary"] = f"SELECT sweep_num, count(*) AS n, {_r(d.pct('amp', 0.5))} AS amp, {_r(d.pct('snr', 0.5))} AS snr, {_r('avg(CASE WHEN snr > 5 THEN 1e0 ELSE 0e0 END)')} AS good, {_r('avg(CASE WHEN refh IS NULL THEN 1e0 ELSE 0e0 END)')} AS missing FROM pulses GROUP BY sweep_num"
     q["a27_fixed_bin_stripe"] = f"WITH b AS (SELECT track_num, CAST({d.rint('amp')} AS BIGINT) AS bin FROM pulses), m AS (SELECT track_num, {d.mode('bin')} AS top FROM b GROUP BY track_num) SELECT b.track_num, max(m.top) AS top, {_r('avg(CASE WHEN abs(b.bin - m.top) <= 1 THEN 1e0 ELSE 0e0 END)')} AS share, avg(CASE WHEN abs(b.bin - m.top) <= 1 THEN 1e0 ELSE 0e0 END) > 3e-1 AS stripe FROM b JOIN m ON b.track_num = m.track_num GROUP BY b.track_num"
-    q["a28_closure_summary"] = f"SELECT 'overall' AS scope, 'all' AS name, count(r) AS n, {_r(d.pct('abs(r)', 0.5))} AS med, {_r(d.pct('abs(r)', 0.9))} AS p90 FROM residuals UNION ALL SELECT 'track', {d.text('track_num')}, count(r), {_r(d.pct('abs(r)', 0.5))}, {_r(d.pct('abs(r)', 0.9))} FROM residuals GROUP BY track_num UNION ALL SELECT 'roi', roi, count(r), {_r(d.pct('abs(r)', 0.5))}, {_r(d.pct('abs(r)', 0.9))} FROM residuals GROUP BY roi"
     q["a29_candidate_validation"] = "SELECT g.granule, count(*) AS n, count(CASE WHEN p.sweep_num <> g.sweep_num THEN 1 END) AS sweep_mismatch, count(CASE WHEN abs(p.x - g.x) > 1e-6 THEN 1 END) AS moved, count(CASE WHEN p.pulse_index IS NULL THEN 1 END) AS absent FROM good g LEFT JOIN pulses p ON p.pulse_index = g.pulse_index GROUP BY g.granule"
-    q["a30_roi_track"] = f"SELECT roi, track_num, count(*) AS n, count(CASE WHEN snr >= 5 THEN 1 END) AS detected, {_r('count(CASE WHEN snr >= 5 THEN 1 END) / count(*)')} AS rate, {_r(d.pct('refh', 0.1))} AS p10, {_r(d.pct('refh', 0.5))} AS med, {_r(d.pct('refh', 0.9))} AS p90 FROM pulses GROUP BY roi, track_num"
-    q["a31_site_variability"] = f"WITH s AS (SELECT DISTINCT pulse_index, roi, track_num, amp FROM pulses), t AS (SELECT roi, track_num, {d.pct('amp', 0.5)} AS m FROM s GROUP BY roi, track_num) SELECT roi, count(*) AS sites, {_r(d.pct('m', 0.5))} AS med, {_r('max(m) - min(m)')} AS span, " + d.pick("array_join(transform(sort_array(collect_set(track_num)), v -> cast(v as string)), ',')", "array_to_string(list_sort(list(DISTINCT track_num)), ',')") + " AS ids FROM t GROUP BY roi"
     q["a32_transition_counts"] = "WITH a AS (SELECT DISTINCT sweep_num, track_num FROM pulses WHERE granule = 'O'), b AS (SELECT DISTINCT sweep_num, track_num FROM pulses WHERE granule = 'F') SELECT coalesce(a.track_num, b.track_num) AS track_num, count(CASE WHEN a.track_num IS NULL THEN 1 END) AS gained, count(CASE WHEN b.track_num IS NULL THEN 1 END) AS lost, count(CASE WHEN a.track_num IS NOT NULL AND b.track_num IS NOT NULL THEN 1 END) AS held FROM a FULL JOIN b ON a.sweep_num = b.sweep_num AND a.track_num = b.track_num GROUP BY 1"
     q["a33_audit_groups"] = f"SELECT coalesce(roi, '*') AS roi, coalesce({d.text('track_num')}, '*') AS track, count(r) AS n, {_r('max(abs(r))')} AS top, {_r('avg(r)')} AS mean FROM residuals GROUP BY GROUPING SETS ((roi), (track_num), (roi, track_num), ())"
     q["a34_bin_agreement"] = f"SELECT track_num, {_r('avg(CASE WHEN abs(amp - snr * 10) <= 5e-1 THEN 1e0 ELSE 0e0 END)')} AS within_half, {_r('avg(CASE WHEN abs(amp - snr * 10) <= 1 THEN 1e0 ELSE 0e0 END)')} AS within_one, {_r('avg(amp - snr * 10)')} AS bias FROM pulses GROUP BY track_num"
     q["a35_spatial_summary"] = f"SELECT {d.floor('x / 20e0')} AS block, count(*) AS n, {_r('avg(r)')} AS mean, CASE WHEN count(*) >= 5 THEN {_r('stddev_pop(r)')} END AS sd FROM residuals GROUP BY 1"
     q["a36_context_table"] = f"SELECT granule, roi, track_num, snr >= 3 AS snr3, snr >= 5 AS snr5, count(*) AS n, {_r('avg(r)')} AS bias, {_r('sqrt(avg(r * r))')} AS rmse FROM residuals GROUP BY 1, 2, 3, 4, 5"
-    q["a37_calibrated_holdout"] = f"WITH c AS (SELECT granule, {d.pct('r', 0.5)} AS off FROM residuals WHERE track_num <= 4 GROUP BY granule) SELECT t.granule, max({_r('c.off')}) AS off, count(*) AS n, {_r('avg(r - off)')} AS bias, {_r('sqrt(avg((r - off) * (r - off)))')} AS rmse FROM residuals t JOIN c ON t.granule = c.granule WHERE track_num > 4 GROUP BY t.granule"
     clip = f"c0 AS (SELECT {d.pct('r', 0.5)} AS m FROM residuals), s0 AS (SELECT max(m) AS m, {MAD} * {d.pct('abs(r - m)', 0.5)} AS w FROM residuals CROSS JOIN c0)"
     for k in (1, 2, 3):
         clip += f", k{k} AS (SELECT r FROM residuals CROSS JOIN s{k - 1} WHERE abs(r - m) <= 3 * greatest(w, 1e-3)), c{k} AS (SELECT {d.pct('r', 0.5)} AS m FROM k{k}), s{k} AS (SELECT max(m) AS m, {MAD} * {d.pct('abs(r - m)', 0.5)} AS w, count(*) AS n FROM k{k} CROSS JOIN c{k})"
     q["a38_clipped_median"] = f"WITH {clip} SELECT {_r('m')} AS shift, {_r('w')} AS nmad, n FROM s3"
-    q["a39_spearman"] = f"WITH g AS (SELECT track_num, rank() OVER a + (count(*) OVER (PARTITION BY track_num, snr) - 1) / 2e0 AS ra, rank() OVER b + (count(*) OVER (PARTITION BY track_num, amp) - 1) / 2e0 AS rb FROM residuals WINDOW a AS (PARTITION BY track_num ORDER BY snr), b AS (PARTITION BY track_num ORDER BY amp)) SELECT track_num, CASE WHEN count(*) >= 5 THEN {_r('corr(ra, rb)')} END AS rho FROM g GROUP BY track_num"
     q["a40_pearson"] = f"SELECT track_num, {_r('corr(r, snr)')} AS c_snr, {_r('corr(r, amp)')} AS c_amp FROM residuals GROUP BY track_num"
     q["a41_histogram_quantile"] = f"WITH h AS (SELECT track_num, {d.floor('snr * 5')} AS bin, count(*) AS n FROM pulses GROUP BY 1, 2), c AS (SELECT track_num, bin, sum(n) OVER (PARTITION BY track_num ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY track_num) AS total FROM h) SELECT track_num, min(CASE WHEN cum > 5e-1 * (total - 1) THEN bin END) AS q50, min(CASE WHEN cum > 9e-1 * (total - 1) THEN bin END) AS q90 FROM c GROUP BY track_num"
-    q["a42_fd_edges"] = f"WITH s AS (SELECT {d.pct('r', 0.75)} - {d.pct('r', 0.25)} AS iqr, count(*) AS n, min(r) AS lo, max(r) AS hi FROM residuals), w AS (SELECT greatest(2 * iqr / power(n, 1 / 3e0), 2e-2) AS width, lo, hi FROM s) SELECT {_r('width')} AS width, {d.floor('lo / width')} AS first_edge, CAST(ceil(hi / width) AS BIGINT) AS last_edge FROM w"
     q["a44_leave_one_out"] = f"WITH s AS (SELECT sum(r) AS t, count(*) AS n, avg(r) AS m FROM residuals) SELECT pulse_index, round((t - r) / (n - 1) - m, 9) AS delta FROM residuals CROSS JOIN s"
     q["a47_noise_counts"] = _counts_by_bit(d)
     q["a48_inventory"] = "SELECT v.lang, count(d.doc_id) AS n, CAST(coalesce(sum(d.n_chars), 0) AS BIGINT) AS bytes FROM (SELECT 'en' AS lang UNION ALL SELECT 'de' UNION ALL SELECT 'fr' UNION ALL SELECT 'es' UNION ALL SELECT 'xx') AS v LEFT JOIN documents d ON d.lang = v.lang GROUP BY v.lang"
@@ -160,16 +148,12 @@ def plans(d: Dialect) -> dict[str, str]:
     q["a50_property_variation"] = "SELECT event_type, count(DISTINCT props) AS variants, count(*) AS n FROM events GROUP BY event_type"
     q["a52_window_screening"] = f"SELECT {d.floor('x / 100e0')} AS wx, {d.floor('y / 100e0')} AS wy, count(*) AS n, {_r('avg(CASE WHEN snr >= 5 THEN 1e0 ELSE 0e0 END)')} AS good, {_r(d.pct('refh', 0.95))} AS p95, {_r(f'avg(CASE WHEN snr >= 5 THEN 1e0 ELSE 0e0 END) * ({d.pct("refh", 0.95)} - {d.pct("refh", 0.05)})')} AS score FROM good GROUP BY 1, 2"
     q["a53_open_site"] = f"SELECT cx, cy, pulse_index, snr FROM (SELECT cx, cy, pulse_index, snr, row_number() OVER (PARTITION BY cx, cy ORDER BY snr DESC, pulse_index) AS rk FROM (SELECT *, {d.floor('x / 50e0')} AS cx, {d.floor('y / 50e0')} AS cy FROM good) AS c) AS w WHERE rk = 1"
-    q["a54_footprint"] = f"SELECT round(min(lon), 7) AS west, round(max(lon), 7) AS east, round(min(lat), 7) AS south, round(max(lat), 7) AS north, round({d.pct('lon', 0.5)}, 7) AS lon_med, round({d.pct('lat', 0.5)}, 7) AS lat_med, round(min(lon) - 1e-3, 7) AS buf_west FROM pulses"
-    q["a55_utm_zone"] = f"SELECT CAST(CASE WHEN la >= 0 THEN 32600 ELSE 32700 END + least(greatest(floor((lo + 180) / 6) + 1, 1), 60) AS BIGINT) AS epsg FROM (SELECT {d.pct('lon', 0.5)} AS lo, {d.pct('lat', 0.5)} AS la FROM pulses) AS m"
     q["a56_rule_exploration"] = "SELECT lim, round(2e0 * sum(CASE WHEN said AND t = 7 THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN said THEN 1 ELSE 0 END) + sum(CASE WHEN t = 7 THEN 1 ELSE 0 END), 0), 6) AS f1 FROM (SELECT t, lim, n_chars < lim AS said FROM truth CROSS JOIN (SELECT 200 AS lim UNION ALL SELECT 500 UNION ALL SELECT 1000 UNION ALL SELECT 2000) AS r) AS e GROUP BY lim"
 
     # ---- sorts and samples
     q["t1_top_k"] = "WITH a AS (SELECT pulse_index, 'amp' AS why, amp AS v, row_number() OVER (ORDER BY amp DESC, pulse_index) AS rk FROM (SELECT * FROM pulses ORDER BY amp DESC, pulse_index LIMIT 10) AS p), b AS (SELECT pulse_index, 'low' AS why, refh AS v, row_number() OVER (ORDER BY refh, pulse_index) AS rk FROM (SELECT * FROM pulses WHERE refh IS NOT NULL ORDER BY refh, pulse_index LIMIT 10) AS p) SELECT pulse_index, why, round(v, 6) AS v, rk FROM a UNION ALL SELECT pulse_index, why, round(v, 6), rk FROM b"
     q["t2_first_k_components"] = "SELECT pulse_index, bin, rk FROM (SELECT pulse_index, bin, row_number() OVER (PARTITION BY pulse_index ORDER BY v DESC, bin) AS rk FROM bins) AS w WHERE rk <= 3"
-    q["t3_case_pick"] = "WITH a AS (SELECT track_num, pulse_index, r, row_number() OVER (PARTITION BY track_num ORDER BY abs(r), pulse_index) AS near, row_number() OVER (PARTITION BY track_num ORDER BY abs(r) DESC, pulse_index) AS far FROM residuals) SELECT track_num, pulse_index, CASE WHEN near = 1 THEN 'nearest' ELSE 'largest' END AS pick, round(r, 6) AS r FROM a WHERE near = 1 OR far = 1"
     q["t4_workunit_order"] = "SELECT p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size >= 25 THEN 0 ELSE 1 END, p_size, p_retailprice, p_partkey) AS pos FROM part"
-    q["t5_even_pick"] = f"SELECT track_num, pulse_index FROM (SELECT track_num, pulse_index, row_number() OVER (PARTITION BY track_num ORDER BY amp, pulse_index) - 1 AS i, count(*) OVER (PARTITION BY track_num) AS n FROM pulses) AS w WHERE {d.floor('(i * 9) / (n - 1e0)')} <> {d.floor('((i - 1) * 9) / (n - 1e0)')} OR i = 0"
     q["t6_range_step"] = f"SELECT DISTINCT p.sweep_num FROM pulses p JOIN (SELECT k FROM (SELECT 1 AS one) AS o CROSS JOIN {d.each('100', '400')} AS s WHERE {d.mod('k - 100', '7')} = 0) AS w ON p.sweep_num = w.k"
     q["t11_proportional_quota"] = f"WITH s AS (SELECT track_num, count(*) AS n, sum(count(*)) OVER () AS total FROM pulses GROUP BY track_num), f AS (SELECT track_num, n, {d.floor('n * 1000e0 / total')} AS base, n * 1000e0 / total - floor(n * 1000e0 / total) AS rest FROM s), g AS (SELECT *, row_number() OVER (ORDER BY rest DESC, track_num) AS rk, 1000 - sum(base) OVER () AS left_over FROM f) SELECT track_num, CAST(base + CASE WHEN rk <= left_over THEN 1 ELSE 0 END AS BIGINT) AS quota FROM g"
 
@@ -179,5 +163,4 @@ def plans(d: Dialect) -> dict[str, str]:
     q["u3_missing_keys"] = "SELECT sweep_num, track_num FROM pulses WHERE granule = 'O' EXCEPT SELECT sweep_num, track_num FROM pulses WHERE granule = 'F'"
     q["u4_duplicates"] = "SELECT sweep_num, track_num, count(*) AS n FROM pulses GROUP BY sweep_num, track_num HAVING count(*) > 1"
     q["u5_set_equality"] = "SELECT (SELECT count(*) FROM (SELECT ref_id FROM refs EXCEPT SELECT p_partkey FROM part) AS a) = 0 AND (SELECT count(*) FROM (SELECT p_partkey FROM part EXCEPT SELECT ref_id FROM refs) AS b) = 0 AS equal"
-    q["c4_noise_labelling"] = noise_bits(d)
-    return q | {"a36_metrics_by_track": metrics_by_track}
+    return q

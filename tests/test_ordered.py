@@ -58,6 +58,7 @@ def test_paths_jumps_and_headings(table, rows, parts):
         v = g[["x", "y", "w"]].to_numpy()
         cosine = (v[1:] * v[:-1]).sum(1) / np.linalg.norm(v[1:], axis=1) / np.linalg.norm(v[:-1], axis=1)
         np.testing.assert_allclose(jump.loc[g.id, "turn"].to_numpy()[1:], np.degrees(np.arccos(np.clip(cosine, -1, 1))), atol=1e-6)
+        assert math.isnan(jump.loc[g.id, "turn"].to_numpy()[0])
         if len(g) > 1:
             e, n = (np.gradient(g[c].to_numpy()) for c in "xy")  # central differences, one-sided at the ends
             np.testing.assert_allclose(head.loc[g.id, "heading"], np.degrees(np.arctan2(e, n)) % 360, atol=1e-6)
