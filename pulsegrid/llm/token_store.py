@@ -45,7 +45,7 @@ ENCODED = 2048
 #: A space between two other characters always begins a token of the byte-level vocabulary.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: A piece of a word and signs behind it, between which another token begins.
-WORD_SIGNS = re.compile(r"( ?[A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")
+WORD_SIGNS = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")
 #: A piece that is one word, and the sign that stands for its space in the vocabulary.
 WORD = re.compile(r" ?[A-Za-z]+")
 SPACE_SIGN = "\u0120"
@@ -69,42 +69,71 @@ class Encoder:
         if not plain:
             raise ValueError("not a byte-level vocabulary")
         self.words = Tokenizer.from_str(json.dumps(bare | {"pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": []}))
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}  # pieces behind a space, without it
+        self.halves: dict[str, bytes] = {}  # words and signs of pieces that were parted
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit words."""
-        plans = [self._pieces(t) for t in texts]
-        memo = self.memo
-        fresh = set().union(*plans).difference(memo)
-        if len(memo) + len(fresh) > MEMO:
-            memo.clear()
-            fresh = set().union(*plans)
-        own: dict[str, bytes] = {}
+        out, waiting, fresh = [], [], set()
+        get = self.memo.get
+        for text in texts:
+            first, rest = self._pieces(text)
+            row = list(map(get, rest))
+            row.insert(0, self._whole(first))
+            missed = [i for i, ids in enumerate(row) if ids is None]
+            if missed:
+                fresh.update([rest[i - 1] for i in missed])
+                waiting.append((len(out), rest, missed))
+                out.append(row)
+            else:
+                out.append(b"".join(row))
+        known = self._learned(fresh)
+        for place, rest, missed in waiting:
+            row = out[place]
+            for i in missed:
+                row[i] = known[rest[i - 1]]
+            out[place] = b"".join(row)
+        return out
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
+
+    def _learned(self, fresh: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that the memo does not hold; those that are not long go into it."""
+        if len(self.memo) + len(fresh) > MEMO:
+            self.memo.clear()
         parts = {p: m.groups() for p in fresh if (m := WORD_SIGNS.fullmatch(p))}
-        whole = fresh.difference(parts).union({x for both in parts.values() for x in both}.difference(memo))
-        words = [p for p in whole if WORD.fullmatch(p)]
-        others = list(whole.difference(words))
-        for library, pieces in ((self.words, words), (self.library, others)):
-            for a in range(0, len(pieces), ENCODED):
-                some = pieces[a : a + ENCODED]
-                asked = some if library is self.library else [p.replace(" ", SPACE_SIGN) for p in some]
-                for piece, got in zip(some, library.encode_batch_fast(asked, add_special_tokens=False), strict=True):
-                    ids = got.ids
-                    (memo if len(piece) <= KEPT_CHARS else own)[piece] = struct.pack(f"<{len(ids)}I", *ids)
-        for piece, (word, signs) in parts.items():
-            (memo if len(piece) <= KEPT_CHARS else own)[piece] = (memo.get(word) or own[word]) + (memo.get(signs) or own[signs])
-        if own:
-            return [b"".join([memo[p] if len(p) <= KEPT_CHARS else own[p] for p in plan]) for plan in plans]
-        return [b"".join(map(memo.__getitem__, plan)) for plan in plans]
-
-    def _pieces(self, text: str) -> list[str]:
-        if not text:
-            return []
+        pairs = {x for both in parts.values() for x in ((" " + both[0]), both[1])}
+        words = [p for p in fresh if WORD.fullmatch(p)]
+        others = [" " + p for p in fresh.difference(parts).difference(words)]
+        asked = list({" " + p for p in words}.union(pairs).difference(self.halves))
+        got = self._asked(self.words, [p for p in asked if WORD.fullmatch(p)]) | self._asked(self.library, others + [p for p in asked if not WORD.fullmatch(p)])
+        if len(self.halves) + len(pairs) > MEMO:
+            self.halves.clear()
+        find = lambda p: got[p] if p in got else self.halves[p]
+        out = {p: find(" " + p) for p in fresh.difference(parts)}
+        out |= {p: find(" " + word) + find(signs) for p, (word, signs) in parts.items()}
+        self.halves |= {p: find(p) for p in pairs if len(p) <= KEPT_CHARS}
+        self.memo |= {p: ids for p, ids in out.items() if len(p) <= KEPT_CHARS}
+        return out
+
+    def _asked(self, library, pieces: list[str]) -> dict[str, bytes]:
+        out = {}
+        for a in range(0, len(pieces), ENCODED):
+            some = pieces[a : a + ENCODED]
+            sent = some if library is self.library else [p.replace(" ", SPACE_SIGN) for p in some]
+            for piece, got in zip(some, library.encode_batch_fast(sent, add_special_tokens=False), strict=True):
+                ids = got.ids
+                out[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+    def _pieces(self, text: str) -> tuple[str, list[str]]:
+        """The first piece, and the others without the space that each of them begins with."""
         if " " in text and UNEVEN.search(text) is None:
             first, *rest = text.split(" ")
         else:
             first, *rest = CUT.split(text)
-        return [first, *[" " + p for p in rest]]
+        return first, rest
 
 
 _KEPT: dict[str, Encoder] = {}
