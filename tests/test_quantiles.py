@@ -28,7 +28,7 @@ def table(spark, rows):
     return cut(spark.createDataFrame(rows).withColumn("g", F.when(~F.isnan("g"), F.col("g").cast("int"))).repartition(5))
 
 
-@pytest.mark.parametrize("most, accuracy, bins", [(10_000, 5000, 1024), (50, 50, 16), (1, 50, 4)])
+@pytest.mark.parametrize("most, accuracy, bins", [(10_000, 5000, 1024), (50, 50, 16), (1, 50, 64)])
 def test_groups(table, rows, most, accuracy, bins):
     got = quantiles.grouped_quantiles(table, ["g"], {"x": "x", "y": "y", "z": F.col("z") * 2}, PS, most, accuracy, bins).toPandas()
     assert len(got) == rows.g.nunique(dropna=False)
