@@ -26,6 +26,9 @@ def tables(d: Dialect) -> dict[str, str]:
                 CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 7 END AS ref_class FROM lineitem) AS raw_pulses""",
         "good": "SELECT * FROM pulses WHERE refh IS NOT NULL AND snr >= 1e0 AND lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90",
         "waves": "SELECT vec_id AS pulse_index, CAST(label AS BIGINT) AS track_num, embedding AS rx FROM embeddings",
+        # waveforms with gaps, a background (unknown for some) and the signal of their scene
+        "gapped": f"""SELECT vec_id AS pulse_index, CAST(label AS BIGINT) AS track_num, vec_id AS sweep_num, {d.transform('embedding', 'v', 'CASE WHEN abs(v) < 4e-3 THEN NULL ELSE CAST(v AS DOUBLE) END')} AS rx, (vec_id % 5) * 1e-2 - 2e-2 AS bg_mean,
+            CASE WHEN vec_id % 50 <> 0 THEN 5e-2 + (vec_id % 3) * 1e-2 END AS bg_std, 2e-2 AS thres, 1e0 + vec_id % 9 AS snr, 40 + label * 2e0 + (vec_id % 17) * 3e-1 AS refh FROM embeddings""",
         "bins": d.pick("SELECT pulse_index, track_num, CAST(pos AS BIGINT) AS bin, CAST(v AS DOUBLE) AS v FROM waves LATERAL VIEW posexplode(rx) AS pos, v", "SELECT pulse_index, track_num, CAST(i - 1 AS BIGINT) AS bin, CAST(rx[i] AS DOUBLE) AS v FROM waves, unnest(generate_series(1, len(rx))) AS t(i)"),
         "refs": "SELECT p_partkey AS ref_id, p_partkey * 1e-1 AS x, (p_size * 37 + p_partkey) % 200 * 1e0 AS y, 40 + p_partkey * 1e-3 + p_retailprice / 1e4 AS z, CASE WHEN p_size % 5 = 0 THEN 1 WHEN p_size % 7 = 0 THEN 7 ELSE 2 END AS class, p_brand AS tile FROM part",
         "stations": "SELECT s_suppkey AS station_id, s_suppkey * 2e0 AS x, (s_suppkey * 7919) % 200 * 1e0 AS y, 40 + s_suppkey * 2e-3 AS z, CAST(s_nationkey AS BIGINT) AS site FROM supplier",

@@ -182,14 +182,9 @@ def queries() -> dict[str, Query]:
     # ---- waveforms
     for name, make in {
         "v3_smoothing": lambda w: waveform.smoothed(w, "pulse_index", "rx"),
-        "v4_components": lambda w: waveform.components(w, "pulse_index", "rx"),
         "v8_response_features": lambda w: waveform.responses(w, "pulse_index", "rx"),
-        "v9_calibrated_candidate": lambda w: waveform.calibrated(w, "pulse_index", "rx", 0.15),
-        "v10_roi_features": lambda w: waveform.calibrated(w.where("track_num < 4"), "pulse_index", "rx", 0.1),
-        "v13_all_bin_events": lambda w: waveform.events(w, "pulse_index", "rx", 0.1),
         "v16_gaussian_fit": lambda w: waveform.gaussians(w, "pulse_index", "rx"),
         "v19_morphology": lambda w: waveform.morphology(w, "pulse_index", "rx"),
-        "v20_curtain": lambda w: waveform.curtain(w, "pulse_index", "rx", 120.0, 20.0, 41),
     }.items():
         q[name] = lambda spark, d, make=make: make(bound(spark, d, WAVES))
 

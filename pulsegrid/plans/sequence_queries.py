@@ -107,14 +107,7 @@ def plans(d: Dialect) -> dict[str, str]:
     q["g17_target"] = f"SELECT pulse_index, {_r('x + 500 * tax')} AS tx, {_r('y + 500 * discount')} AS ty, {_r('500 - 500 * sqrt(1 - tax * tax - discount * discount)')} AS tz FROM good"
     # ---- waveform arrays
     q["v1_argmax"] = f"SELECT pulse_index, {d.argmax_bin('rx')} AS bin, {_r('CAST(' + d.elem('rx', d.argmax_bin('rx')) + ' AS DOUBLE)')} AS v FROM waves"
-    noise = d.total(d.part("rx", 1, 16)) + " / 16e0"
-    above = d.transform("rx", "z", "greatest(CAST(z AS DOUBLE) - m, CAST(0 AS DOUBLE))")
-    q["v2_preprocess"] = f"SELECT pulse_index, {_r('m')} AS base, {_r(d.total(above))} AS energy FROM (SELECT pulse_index, rx, {noise} AS m FROM waves) AS w"
-    q["v5_component_roles"] = "SELECT pulse_index, bin, CASE WHEN rk = 1 THEN '' ELSE concat_ws(';', CASE WHEN v < 3e-1 * top THEN 'weak' END, CASE WHEN bin < 3 OR bin > 60 THEN 'edge' END, CASE WHEN rk > 4 THEN 'rank' END) END AS reasons FROM (SELECT pulse_index, bin, v, row_number() OVER (PARTITION BY pulse_index ORDER BY v DESC, bin) AS rk, max(v) OVER (PARTITION BY pulse_index) AS top FROM bins WHERE v > 1e-1) AS w"
-    q["v6_pulse_features"] = f"SELECT pulse_index, {_r('main / nullif(second, 0)')} AS ratio, CASE WHEN n = 0 THEN 'none' WHEN main < 15e-2 THEN 'weak' WHEN n = 1 THEN 'single' WHEN second > 9e-1 * main THEN 'ambiguous' WHEN n = 2 THEN 'double' ELSE 'multiple' END AS reliability FROM (SELECT pulse_index, max(CASE WHEN rk = 1 THEN v END) AS main, max(CASE WHEN rk = 2 THEN v END) AS second, count(CASE WHEN v > 2e-1 THEN 1 END) AS n FROM (SELECT *, row_number() OVER (PARTITION BY pulse_index ORDER BY v DESC, bin) AS rk FROM bins) AS r GROUP BY pulse_index) AS f"
-    q["v7_reliability_number"] = "SELECT doc_id, CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 4 WHEN 'fr' THEN 3 WHEN 'es' THEN 2 ELSE -1 END AS ordinal FROM documents"
     q["v11_background_windows"] = f"SELECT pulse_index, {_r(d.total(d.part('rx', 1, 8)) + ' / 8e0')} AS m0, {_r(d.total(d.part('rx', 57, 8)) + ' / 8e0')} AS m7 FROM waves"
-    q["v12_bin_scores"] = f"SELECT track_num, bin, count(*) AS n, {_r('avg(CASE WHEN v > 1e-1 THEN 1e0 ELSE 0e0 END)')} AS occupancy, {_r(d.disc('v', 0.5))} AS lower_median FROM bins GROUP BY track_num, bin"
     q["v14_mask_bins"] = f"SELECT pulse_index, bin, CASE WHEN bin BETWEEN 10 AND 20 OR bin BETWEEN 40 AND 44 THEN NULL ELSE {_r('v - 5e-1 * t.m')} END AS v FROM bins JOIN (SELECT bin AS tb, avg(v) AS m FROM bins GROUP BY bin) AS t ON t.tb = bins.bin"
     lead = d.ordered(d.part("rx", 1, 15))
     q["v15_baseline"] = f"SELECT pulse_index, {_r('CAST(' + d.elem(lead, '7') + ' AS DOUBLE)')} AS base, {_r('CAST(' + d.elem(d.ordered(d.transform(d.part('rx', 1, 15), 'z', 'abs(z)')), '7') + ' AS DOUBLE)')} AS spread FROM waves"

@@ -36,7 +36,7 @@ def test_against_oracle(spark, duck, name):
     assert rows(got, columns) == rows(want, columns)
 
 
-@pytest.mark.parametrize("name", ["j12_local_plane", "j15_point_in_polygon", "r4_hole_filling", "r5_nearest_fill", "g13_rule_scoring", "v4_components", "v16_gaussian_fit", "v20_curtain", "t9_stratified_sample", "t12_farthest_points", "a43_block_bootstrap", "k4_csv_summary", "s7_attributes"])
+@pytest.mark.parametrize("name", ["j12_local_plane", "j15_point_in_polygon", "r4_hole_filling", "r5_nearest_fill", "g13_rule_scoring", "v16_gaussian_fit", "a45_noise_calibration", "t9_stratified_sample", "t12_farthest_points", "a43_block_bootstrap", "k4_csv_summary", "s7_attributes"])
 def test_runs(spark, name):
     # the waveforms of the given tables are noise, of which the mixture fit makes no component; tests/test_statistics.py has some
     assert QUERIES[name](spark, DATA).count() > 0 or name == "v16_gaussian_fit"
