@@ -81,19 +81,16 @@ def queries() -> dict[str, Query]:
 
     @query("j11_majority_vote")
     def _(spark, d):
-        return rounded(spatial.majority(bound(spark, d, STATIONS).drop("z"), bound(spark, d, REFS), "class", 12, 30.0, "station_id", "ref_id"))
+        return rounded(spatial.majority(bound(spark, d, STATIONS), bound(spark, d, REFS), "class", 12, 30.0, "station_id", "ref_id"))
 
     @query("j12_local_plane")
     def _(spark, d):
-        return rounded(spatial.plane_fit(bound(spark, d, STATIONS).drop("z"), bound(spark, d, REFS), "z", 32, 30.0, "station_id", "ref_id"), 4)
+        found = spatial.ground_surface(bound(spark, d, STATIONS), bound(spark, d, REFS), "z", 32, 30.0, "station_id", "ref_id", most_slope=0.3, most_residual=0.05)
+        return rounded(found.drop("condition"), 4)
 
     @query("j13_local_features")
     def _(spark, d):
-        near = spatial.knn(bound(spark, d, STATIONS).drop("z"), bound(spark, d, REFS), 24, 30.0, "station_id", "ref_id")
-        s = near.groupBy("station_id").agg(F.count("*").alias("n"), F.var_pop("r_x").alias("xx"), F.var_pop("r_y").alias("yy"), F.covar_pop("r_x", "r_y").alias("xy"), F.stddev_pop("r_z").alias("rough"), (F.max("r_z") - F.min("r_z")).alias("span"))
-        root = F.sqrt(((F.col("xx") - F.col("yy")) / 2) ** 2 + F.col("xy") ** 2)
-        half = (F.col("xx") + F.col("yy")) / 2
-        return rounded(s.select("station_id", "n", "rough", "span", (half + root).alias("major"), F.greatest(F.lit(0.0), half - root).alias("minor")), 4)
+        return rounded(spatial.local_features(bound(spark, d, STATIONS), bound(spark, d, REFS), 24, 30.0, "station_id", "ref_id"), 4)
 
     @query("j14_near_semi_join")
     def _(spark, d):
@@ -246,15 +243,31 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     d = Dialect(False)
     st, rf = "stations", "refs"
-    knn = lambda left, right, r, a, b, k, more="": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aid ORDER BY dist, bid) AS rank FROM ({_near(left, right, r, a, b, more)}) AS n) AS m WHERE rank <= {k}"
+    knn = lambda left, right, r, a, b, k, more="", axes=("x", "y"): f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aid ORDER BY dist, bid) AS rank FROM ({_near(left, right, r, a, b, more, axes)}) AS n) AS m WHERE rank <= {k}"
     blend = lambda left, right, r, a, b, k, p, n: f"WITH k AS ({knn(left, right, r, a, b, k, ', b.z AS v')}) SELECT aid AS {a}, count(*) AS n, {_r('min(dist)', n)} AS nearest, {_r(f'CASE WHEN min(dist) = 0 THEN min_by(v, rank) ELSE sum(v / power(greatest(dist, 1e-12), {p})) / sum(1 / power(greatest(dist, 1e-12), {p})) END', n)} AS value FROM k GROUP BY aid"
+    fit = "avg(dx) AS x0, avg(dy) AS y0, avg(z) AS z0, covar_pop(dx, dx) AS cxx, covar_pop(dx, dy) AS cxy, covar_pop(dy, dy) AS cyy, covar_pop(dx, z) AS cxz, covar_pop(dy, z) AS cyz"
+    solved = "(cxz * cyy - cyz * cxy) / (cxx * cyy - cxy * cxy) AS sx, (cyz * cxx - cxz * cxy) / (cxx * cyy - cxy * cxy) AS sy"
     o = {
         "j5_idw_ground_join": blend("stations", f"({CENTRES}) AS c", 30, "station_id", "rid", 12, 2, 4),
         "j7_idw_reference": blend(st, rf, 20, "station_id", "ref_id", 8, 3, 4),
         "j8_density": f"SELECT aid AS pulse_index, count(*) AS n, {_r('count(*) / (4 / 3e0 * 3.141592653589793e0 * 27)')} AS density FROM ({_near('good', 'good', 3, 'pulse_index', 'pulse_index', '', ('x', 'y', 'refh'))}) AS n GROUP BY aid",
         "j9_nearest_support": f"SELECT aid AS station_id, count(*) AS n, {_r('min(dist)')} AS nearest, min_by(bid, row(dist, bid)) AS ref_id FROM ({_near(st, rf, 25, 'station_id', 'ref_id')}) AS n GROUP BY aid",
         "j10_neighbourhood": f"WITH n AS ({_near(st, 'good', 3, 'station_id', 'pulse_index', ', b.refh AS v')}), m AS (SELECT *, quantile_cont(v, 0.5) OVER (PARTITION BY aid) AS m FROM n) SELECT aid AS station_id, count(*) AS n, {_r('max(m)')} AS med, {_r('1.4826e0 * quantile_cont(abs(v - m), 0.5)')} AS nmad, {_r('quantile_cont(v, 0.05)')} AS p05, {_r('quantile_cont(v, 0.95)')} AS p95 FROM m GROUP BY aid HAVING count(*) >= 3",
-        "j11_majority_vote": f"WITH k AS ({knn(st, rf, 30, 'station_id', 'ref_id', 12, ', b.class AS c')}), v AS (SELECT aid, c, count(*) AS votes FROM k GROUP BY 1, 2), w AS (SELECT *, sum(votes) OVER (PARTITION BY aid) AS n, row_number() OVER (PARTITION BY aid ORDER BY votes DESC, c) AS pos FROM v) SELECT aid AS station_id, c AS label, {_r('votes / n')} AS ratio, CAST(CASE WHEN votes / n >= 75e-2 THEN 0 WHEN votes / n > 5e-1 THEN 1 ELSE 3 END AS BIGINT) AS status FROM w WHERE pos = 1",
+        "j11_majority_vote": f"WITH k AS ({knn(st, rf, 30, 'station_id', 'ref_id', 12, ', b.class AS c', ('x', 'y', 'z'))}), v AS (SELECT aid, c, count(*) AS votes FROM k GROUP BY 1, 2), w AS (SELECT *, sum(votes) OVER (PARTITION BY aid) AS n, row_number() OVER (PARTITION BY aid ORDER BY votes DESC, c) AS pos FROM v) SELECT aid AS station_id, c AS label, {_r('votes / n')} AS ratio, CAST(CASE WHEN votes / n >= 75e-2 THEN 0 WHEN votes / n > 5e-1 THEN 1 ELSE 3 END AS BIGINT) AS status FROM w WHERE pos = 1",
+        "j12_local_plane": f"""
+            WITH k AS ({knn(st, rf, 30, 'station_id', 'ref_id', 32, ', b.x - a.x AS dx, b.y - a.y AS dy, b.z AS z')}),
+            c AS (SELECT aid, count(*) AS n, min(dist) AS nearest, median(z) AS base FROM k GROUP BY aid),
+            f AS (SELECT aid, {fit} FROM k JOIN c USING (aid) WHERE n >= 6 GROUP BY aid), g AS (SELECT *, {solved} FROM f),
+            r AS (SELECT k.*, z - z0 - sx * (dx - x0) - sy * (dy - y0) AS e FROM k JOIN g USING (aid)),
+            m AS (SELECT aid, median(e) AS em FROM r GROUP BY aid), w AS (SELECT aid, any_value(em) AS em, greatest(3 * 1.4826e0 * median(abs(e - em)), 0.02) AS lim FROM r JOIN m USING (aid) GROUP BY aid),
+            i AS (SELECT r.* FROM r JOIN w USING (aid) WHERE abs(e - em) <= lim), f2 AS (SELECT aid, count(*) AS used, median(z) AS med, {fit} FROM i GROUP BY aid), g2 AS (SELECT *, {solved} FROM f2),
+            r2 AS (SELECT i.aid, z - z0 - sx * (dx - x0) - sy * (dy - y0) AS e FROM i JOIN g2 USING (aid)), m2 AS (SELECT aid, median(e) AS em FROM r2 GROUP BY aid),
+            w2 AS (SELECT aid, any_value(em) AS em, 1.4826e0 * median(abs(e - em)) AS res FROM r2 JOIN m2 USING (aid) GROUP BY aid),
+            ro AS (SELECT aid, 1.4826e0 * median(abs(z - base)) AS rough FROM k JOIN c USING (aid) GROUP BY aid),
+            o AS (SELECT s.station_id, coalesce(n, 0) AS n, coalesce(used, 0) AS used, nearest, z0 - sx * x0 - sy * y0 + em AS plane, med AS median, degrees(atan(sqrt(sx * sx + sy * sy))) AS slope, res AS residual, CASE WHEN used IS NOT NULL THEN rough END AS rough
+                FROM stations s LEFT JOIN c ON c.aid = s.station_id LEFT JOIN g2 ON g2.aid = s.station_id LEFT JOIN w2 ON w2.aid = s.station_id LEFT JOIN ro ON ro.aid = s.station_id)
+            SELECT station_id, n, used, {_r('nearest', 4)} AS nearest, {_r('plane', 4)} AS plane, {_r('median', 4)} AS median, {_r('slope', 4)} AS slope, {_r('residual', 4)} AS residual, {_r('rough', 4)} AS rough, coalesce(slope <= 0.3 AND residual <= 0.05, false) AS acceptable,
+                CASE WHEN n < 6 THEN 'insufficient_neighbors' WHEN used = 0 THEN 'ill_conditioned_plane' WHEN slope > 0.3 THEN 'steep_local_surface' WHEN residual > 0.05 THEN 'rough_local_surface' ELSE 'matched' END AS status FROM o""",
         "j14_near_semi_join": f"SELECT DISTINCT aid AS ref_id FROM ({_near('(SELECT * FROM refs WHERE class = 2) AS r', st, 3.6, 'ref_id', 'station_id').replace('3.6e0', '36e-1')}) AS n",
     }
     return {name: with_tables(d, text) for name, text in o.items()}
