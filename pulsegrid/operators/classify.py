@@ -163,15 +163,29 @@ def classify(points: DataFrame, options: CascadeOptions = CascadeOptions(), heig
     return out.withColumn("class", kind).withColumn("reason", code).drop("_s", "_track_z", "_sweep_z", "_amp_z")
 
 
-def ground_grid(points: DataFrame, cell: float = 15.0, share: float = 0.02, least_snr: float = 5.0, least: int = 1, height: str = "refh", snr: str = "snr") -> DataFrame:
-    """(ix, iy, z, n) of the cells: a low quantile of the heights of strong points."""
+def first_class(height: Column, ground: Column, density: Column, options: CascadeOptions) -> Column:
+    """Class by the first step of the mode alone, as a column of a row's own values."""
+    hag = finite(height) - finite(ground)
+    rules = _first(hag, finite(density), finite(ground).isNotNull(), options)
+    chosen = F.when(rules[0][0], F.lit(rules[0][1]))
+    for condition, kind, _ in rules[1:]:
+        chosen = chosen.when(condition, F.lit(kind))
+    return chosen
+
+
+def ground_grid(points: DataFrame, cell: float = 15.0, share: float = 0.02, least_snr: float = 5.0, least: int = 1, height: str = "refh", snr: str = "snr", by: tuple[str, ...] = ()) -> DataFrame:
+    """(ix, iy, z, n) of the cells: a low quantile of the heights of strong points. With ``by``, of the cells of each file or the like."""
     strong = points.where(finite(snr) >= least_snr)
+    if by:
+        own = cells(strong.withColumn("_v", finite(height)), cell).where("_v IS NOT NULL AND ix IS NOT NULL AND iy IS NOT NULL")
+        found = own.groupBy(*by, "ix", "iy").agg(F.count("_v").alias("n"), F.percentile("_v", F.lit(float(share))).alias("z"))
+        return found.where(F.col("n") >= least).select(*by, "ix", "iy", "z", "n")
     return grid_aggregate(strong, height, cell, [share], least).select("ix", "iy", F.col("p0").alias("z"), "n")
 
 
-def sample_ground(points: DataFrame, grid: DataFrame, cell: float = 15.0, k: int = 12, power: float = 2.0, radius: float = 30.0, id_column: str = "pulse_index") -> DataFrame:
+def sample_ground(points: DataFrame, grid: DataFrame, cell: float = 15.0, k: int = 12, power: float = 2.0, radius: float = 30.0, id_column: str = "pulse_index", by: tuple[str, ...] = ()) -> DataFrame:
     """points with ground: of their own cell, else by inverse distance from the cells around, else null."""
-    keyed = cells(points, cell).join(grid.select("ix", "iy", "z"), ["ix", "iy"], "left")
-    centred = grid.select(F.struct("ix", "iy").alias("cell_id"), ((F.col("ix") + 0.5) * cell).alias("x"), ((F.col("iy") + 0.5) * cell).alias("y"), "z")
-    blend = idw(keyed.where("z IS NULL AND ix IS NOT NULL AND iy IS NOT NULL").select(id_column, "x", "y"), centred, "z", k, power, radius, id_column, "cell_id").select(F.col(id_column).alias("_id"), F.col("value").alias("_v"))
+    keyed = cells(points, cell).join(grid.select(*by, "ix", "iy", "z"), [*by, "ix", "iy"], "left")
+    centred = grid.select(*by, F.struct("ix", "iy").alias("cell_id"), ((F.col("ix") + 0.5) * cell).alias("x"), ((F.col("iy") + 0.5) * cell).alias("y"), "z")
+    blend = idw(keyed.where("z IS NULL AND ix IS NOT NULL AND iy IS NOT NULL").select(id_column, *by, "x", "y"), centred, "z", k, power, radius, id_column, "cell_id", by=by).select(F.col(id_column).alias("_id"), F.col("value").alias("_v"))
     return keyed.join(blend, F.col(id_column) == F.col("_id"), "left").withColumn("ground", F.coalesce("z", "_v")).drop("ix", "iy", "z", "_id", "_v")

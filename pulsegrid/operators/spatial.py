@@ -20,8 +20,9 @@ def _cells(axes: list[str], radius: float, prefix: str = "") -> list[Column]:
     return [F.floor(F.col(f"{prefix}{a}") / F.lit(radius)).cast("bigint") for a in axes]
 
 
-def cell_join(left: DataFrame, right: DataFrame, radius: float, axes: tuple[str, ...] = ("x", "y"), how: str = "inner") -> DataFrame:
-    """Pairs within radius with their distance; columns of right get the prefix r_. ``how`` is inner, left or left_semi."""
+def cell_join(left: DataFrame, right: DataFrame, radius: float, axes: tuple[str, ...] = ("x", "y"), how: str = "inner", by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs within radius with their distance; columns of right get the prefix r_. ``how`` is inner, left or left_semi. Both sides
+    must agree in the columns ``by``."""
     axes = list(axes)
     keys = [f"_c{k}" for k in range(len(axes))]
     near = F.array(*[F.struct(*[F.lit(o).cast("bigint").alias(k) for k, o in zip(keys, step, strict=True)]) for step in product((-1, 0, 1), repeat=len(axes))])
@@ -36,16 +37,18 @@ def cell_join(left: DataFrame, right: DataFrame, radius: float, axes: tuple[str,
     match = square <= F.lit(float(radius) * float(radius))
     for k in keys:
         match = match & (F.col(k) == F.col(f"r{k}"))
+    for b in by:
+        match = match & (F.col(b) == F.col(f"r_{b}"))
     out = own.join(spread, match, how)
     if how == "left_semi":
         return out.select(*left.columns)
     return out.withColumn("dist", F.sqrt(square)).drop(*keys, *[f"r{k}" for k in keys])
 
 
-def knn(left: DataFrame, right: DataFrame, k: int, radius: float, left_id: str, right_id: str, axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
+def knn(left: DataFrame, right: DataFrame, k: int, radius: float, left_id: str, right_id: str, axes: tuple[str, ...] = ("x", "y"), by: tuple[str, ...] = ()) -> DataFrame:
     """The k nearest rows of right for each row of left, within the radius; rows without one are absent."""
     order = Window.partitionBy(left_id).orderBy("dist", f"r_{right_id}")
-    return cell_join(left, right, radius, axes).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return cell_join(left, right, radius, axes, by=by).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def knn_whole(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, axes: tuple[str, ...] = ("x", "y"), radius: float = 1.0) -> DataFrame:
@@ -78,9 +81,9 @@ def knn_whole(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id:
     return out
 
 
-def idw(left: DataFrame, right: DataFrame, value: str, k: int, power: float, radius: float, left_id: str, right_id: str, least: int = 1) -> DataFrame:
+def idw(left: DataFrame, right: DataFrame, value: str, k: int, power: float, radius: float, left_id: str, right_id: str, least: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
     """Inverse-distance weighted value of the k nearest; a coincident row gives its own value."""
-    near = knn(left, right, k, radius, left_id, right_id)
+    near = knn(left, right, k, radius, left_id, right_id, by=by)
     weight = 1 / F.pow(F.greatest("dist", F.lit(1e-12)), F.lit(float(power)))
     out = near.groupBy(left_id).agg(
         F.count("*").alias("n"), F.min("dist").alias("nearest"), F.min_by(f"r_{value}", F.struct("dist", f"r_{right_id}")).alias("first_value"), (F.sum(F.col(f"r_{value}") * weight) / F.sum(weight)).alias("blend")
@@ -88,10 +91,10 @@ def idw(left: DataFrame, right: DataFrame, value: str, k: int, power: float, rad
     return out.where(F.col("n") >= least).select(left_id, "n", "nearest", F.when(F.col("nearest") == 0, F.col("first_value")).otherwise(F.col("blend")).alias("value"))
 
 
-def radius_counts(points: DataFrame, radius: float, id_column: str, axes: tuple[str, ...] = ("x", "y", "refh")) -> DataFrame:
+def radius_counts(points: DataFrame, radius: float, id_column: str, axes: tuple[str, ...] = ("x", "y", "refh"), by: tuple[str, ...] = ()) -> DataFrame:
     """Neighbours within radius of each point, itself included."""
-    right = points.select(F.col(id_column), *axes)
-    return cell_join(points.select(id_column, *axes), right, radius, axes).groupBy(id_column).agg(F.count("*").alias("n"))
+    right = points.select(F.col(id_column), *axes, *by)
+    return cell_join(points.select(id_column, *axes, *by), right, radius, axes, by=by).groupBy(id_column).agg(F.count("*").alias("n"))
 
 
 def neighbourhood(left: DataFrame, right: DataFrame, value: str, radius: float, left_id: str, least: int = 1) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import crs
-from pulsegrid.operators import alignment, classify, noise, statistics
+from pulsegrid.operators import alignment, classify, noise, statistics, sweep
 from pulsegrid.plans.binding import with_tables
 from pulsegrid.plans.dialect import Dialect
 from pulsegrid.plans.operator_queries import GOOD, PULSES, _near, bound, rounded, shared
@@ -20,6 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 RESIDUALS = "SELECT * FROM residuals"
 CASCADE = classify.CascadeOptions(near_ground_guard=True, support_confidence=True, signal_density_noise=True, scanline_sweep=True, scanline_z=(3.0, 55.0), scanline_height=(2.0, 30.0), scanline_density=None, scanline_group=4, shallow=0.5, least_density=0.03, low_density=0.05, support_distance=9.0, below=1.5)
 NOISE = noise.NoiseOptions(error=0.085, horizontal_error=7.5e-7, height_shares=(0.0005, 0.9995), residual=10.0)
+SETTINGS = [sweep.Setting(mode, share=share, tolerance=tolerance, below=1.0) for mode in ("height_only", "height_no_below_noise") for share in (0.02, 0.3) for tolerance in (1.0, 2.0)]
 POINTS = "SELECT ref_id, x, y, z FROM refs"
 
 
@@ -142,6 +143,12 @@ def queries() -> dict[str, Query]:
         points = bound(spark, d, "SELECT *, tax + 1e-2 AS refh_error, discount * 1e-5 AS refh_longitude_error, CASE WHEN track_num > 1 THEN -tax * 1e-5 END AS refh_latitude_error FROM good")
         return rounded(noise.label_noise(points, NOISE).select("pulse_index", F.col("local_median").alias("med"), F.col("local_mad").alias("mad"), "reason", "keep"))
 
+    @query("c6_parameter_sweep")
+    def _(spark, d):
+        points = bound(spark, d, "SELECT pulse_index, granule, x, y, refh, snr, ref_class FROM pulses")
+        results = sweep.run(points, SETTINGS, shared(spark, "sweep"))
+        return rounded(sweep.ranked(results, SETTINGS).drop("setting"), 6)
+
     @query("c5_statistical_outliers")
     def _(spark, d):
         shared(spark, "c5")
@@ -229,6 +236,22 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN tax + 1e-2 > 0.085 THEN 64 END, CASE WHEN discount * 1e-5 > 7.5e-7 OR (track_num > 1 AND tax * 1e-5 > 7.5e-7) THEN 128 END], lambda b: b IS NOT NULL) AS bits
             FROM c CROSS JOIN t LEFT JOIN s ON s.ix = c.ix AND s.iy = c.iy)
         SELECT pulse_index, {_r('med')} AS med, {_r('mad')} AS mad, CAST(coalesce(list_sum(bits), 0) AS BIGINT) AS reason, len(bits) = 0 AS keep FROM r"""
+    parts, tries = [], []
+    for k, share in enumerate((0.02, 0.3)):
+        parts.append(f"""g{k} AS (SELECT granule, ix, iy, (ix + 0.5) * 15 AS x, (iy + 0.5) * 15 AS y, quantile_cont(refh, {share}) AS z, CAST(row_number() OVER (ORDER BY granule, ix, iy) AS BIGINT) AS cid FROM p WHERE snr >= 5 AND refh IS NOT NULL GROUP BY granule, ix, iy),
+            n{k} AS ({_near('(SELECT p.* FROM p ANTI JOIN g' + str(k) + ' AS o ON o.granule = p.granule AND o.ix = p.ix AND o.iy = p.iy) AS q', 'g' + str(k), 30, 'pulse_index', 'cid', ', a.granule AS ga, b.granule AS gb, b.z AS v')}),
+            i{k} AS (SELECT aid, sum(v / (dist * dist)) / sum(1 / (dist * dist)) AS v FROM (SELECT * FROM n{k} WHERE ga = gb QUALIFY row_number() OVER (PARTITION BY aid ORDER BY dist, bid) <= 12) AS r GROUP BY aid),
+            h{k} AS (SELECT p.granule, p.ref_class AS t, p.refh, coalesce(g{k}.z, i{k}.v) AS gz FROM p LEFT JOIN g{k} ON g{k}.granule = p.granule AND g{k}.ix = p.ix AND g{k}.iy = p.iy LEFT JOIN i{k} ON i{k}.aid = p.pulse_index)""")
+        for mode, low in (("height_only", "WHEN refh - gz < -1 THEN 7"), ("height_no_below_noise", "")):
+            for tol in (1, 2):
+                tries.append(f"SELECT '{mode}' AS mode, '{share}-{tol}' AS part, granule, t, CASE WHEN gz IS NULL THEN 1 WHEN refh IS NULL THEN 7 WHEN abs(refh - gz) <= {tol} THEN 2 {low} WHEN refh - gz > 30 THEN 7 ELSE 1 END AS k FROM h{k}")
+    f1 = lambda c: f"coalesce(2 * count(*) FILTER (t = {c} AND k = {c}) / nullif(count(*) FILTER (t = {c}) + count(*) FILTER (k = {c}), 0), 0)"
+    o["c6_parameter_sweep"] = f"""
+        WITH p AS (SELECT *, {cell(15)} FROM pulses), {', '.join(parts)}, u AS ({' UNION ALL '.join(tries)}),
+        f AS (SELECT mode, part, granule, {f1(1)} AS f1, {f1(2)} AS f2, {f1(7)} AS f7, coalesce(count(*) FILTER (t = 7 AND k = 7) / nullif(count(*) FILTER (t = 7), 0), 0) AS r7 FROM u GROUP BY mode, part, granule),
+        s AS (SELECT *, (f1 + f2 + f7) / 3 AS macro, 0.5 * f2 + 0.3 * f7 + 0.2 * (f1 + f2 + f7) / 3 - CASE WHEN least(f1, f2, f7) < 0.1 THEN 0.1 ELSE 0 END AS obj FROM f),
+        m AS (SELECT mode, part, count(*) AS n_files, avg(obj) AS a, min(obj) AS b, avg(macro) AS c, avg(r7) AS e FROM s GROUP BY mode, part)
+        SELECT mode, n_files, {_r('a', 6)} AS mean_objective, {_r('b', 6)} AS least_objective, {_r('c', 6)} AS mean_macro_f1, {_r('e', 6)} AS mean_recall_7, row_number() OVER (ORDER BY round(a, 9) DESC, round(b, 9) DESC, round(c, 9) DESC, round(e, 9) DESC, mode = 'height_no_below_noise', part) AS rank FROM m"""
     o["c5_statistical_outliers"] = f"""
         WITH n AS (SELECT a.ref_id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS dist FROM refs a, refs b QUALIFY row_number() OVER (PARTITION BY a.ref_id ORDER BY dist) <= 9),
         m AS (SELECT ref_id, avg(dist) AS mean_dist FROM n GROUP BY ref_id), l AS (SELECT avg(mean_dist) + 2 * stddev_samp(mean_dist) AS lim FROM m WHERE mean_dist > 0)
