@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from math import exp
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def _order(key: str, seed: int) -> list[Column]:
-    return [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
+    return [F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), F.col(key)]
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -32,7 +34,7 @@ def stratified(df: DataFrame, band: Column, key: str, n: int, bands: int, seed:
     each = max(1, n // (2 * bands))
     keyed = df.select(F.col(key), band.alias("_band"))
     order = _order(key, seed)
-    some = keyed.withColumn("_pos", F.row_number().over(Window.partitionBy("_band", F.pmod(order[0], F.lit(shards))).orderBy(*order))).where(F.col("_pos") <= each)
+    some = keyed.withColumn("_pos", F.row_number().over(Window.partitionBy("_band", F.pmod(F.xxhash64(key), F.lit(shards))).orderBy(*order))).where(F.col("_pos") <= each)
     chosen = some.withColumn("_pos", F.row_number().over(Window.partitionBy("_band").orderBy(*order))).where(F.col("_pos") <= each).select(key)
     rest = df.join(F.broadcast(chosen), key, "left_anti").orderBy(*_order(key, seed + 1)).limit(max(0, n - each * bands))
     return df.join(F.broadcast(chosen), key, "left_semi").unionByName(rest)
@@ -58,3 +60,23 @@ def farthest(df: DataFrame, key: str, axes: tuple[str, str], n: int) -> DataFram
             break
         chosen.append(best)
     return df.where(F.col(key).isin([p["k"] for p in chosen]))
+
+
+def block_bootstrap(df: DataFrame, block: str | Column, value: str | Column, replicates: int = 200, ends: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
+    """One row: quantiles low and high of the mean of value over ``replicates`` resamples of blocks, and n, the replicates.
+
+    A block stands in a replicate as often as a Poisson number of mean one says, which a hash of both gives; so each block's sum and
+    count go into all replicates in one pass, at any partitioning, and no block meets another."""
+    value = F.col(value) if isinstance(value, str) else value
+    sums = df.groupBy((F.col(block) if isinstance(block, str) else block).alias("_b")).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
+    each = sums.select("_b", "_s", "_c", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    # the first 32 bits of a digest as a number in [0, 1)
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("rep").cast("string"), F.col("_b").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
+    steps, chance, total = [], exp(-1.0), 0.0
+    for k in range(12):
+        total += chance
+        steps.append(total)
+        chance /= k + 1
+    weight = sum(((u >= t).cast("int") for t in steps), F.lit(0))
+    means = each.withColumn("_w", weight).groupBy("rep").agg((F.sum(F.col("_w") * F.col("_s")) / F.nullif(F.sum(F.col("_w") * F.col("_c")), F.lit(0))).alias("mean"))
+    return means.agg(F.percentile("mean", F.lit(ends[0])).alias("low"), F.percentile("mean", F.lit(ends[1])).alias("high"), F.count("*").alias("n"))

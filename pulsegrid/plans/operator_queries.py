@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.functions import geodesy
+from pulsegrid.functions import atmosphere, geodesy
 from pulsegrid.operators import raster, sampling, spatial, waveform
 from pulsegrid.operators.lineage import shared
 from pulsegrid.plans.binding import for_spark, with_tables
@@ -197,20 +198,15 @@ def queries() -> dict[str, Query]:
 
     @query("a43_block_bootstrap")
     def _(spark, d):
-        blocks = bound(spark, d, "SELECT CAST(floor(x / 20e0) AS BIGINT) AS block, r FROM residuals").groupBy("block").agg(F.sum("r").alias("s"), F.count("*").alias("n"))
-        ranked = blocks.withColumn("pos", F.row_number().over(Window.orderBy("block")) - 1)
-        total = blocks.agg(F.count("*").alias("m"))
-        draws = spark.range(200).select(F.col("id").alias("rep")).join(ranked.select(F.col("pos").alias("slot"))).join(F.broadcast(total)).select("rep", F.pmod(F.xxhash64("rep", "slot"), "m").alias("pos"))
-        means = draws.join(ranked, "pos").groupBy("rep").agg((F.sum("s") / F.sum("n")).alias("mean"))
-        return rounded(means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"), F.count("*").alias("n")))
+        return rounded(sampling.block_bootstrap(bound(spark, d, "SELECT CAST(floor(x / 20e0) AS BIGINT) AS block, r FROM residuals"), "block", "r"))
 
+    @query("f13_excess_path")
     def _(spark, d):
-        noise = waveform.events(bound(spark, d, WAVES), "pulse_index", "rx", 0.0).groupBy("pulse_index").agg(F.max("prominence").alias("top"))
-        return rounded(noise.agg(F.percentile("top", F.lit(0.995)).alias("threshold"), F.count("*").alias("n")))
-
-    def _(spark, d):
-        own = bound(spark, d, "SELECT pulse_index, track_num FROM good")
-        return own.groupBy("track_num").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("pulse_index")).alias("fingerprint"))
+        heights = "array(100D, 950D, 1800D, 2800D, 4100D, 5600D, 7300D, 9400D, 11800D, 16000D, 20000D, 26000D)"
+        profiles = bound(spark, d, f"""SELECT station_id, array(1000D, 900D, 800D, 700D, 600D, 500D, 400D, 300D, 200D, 100D, 50D, 20D) AS level_hpa, transform({heights}, h -> 286.15D - 0.0065D * h + site * 0.3D) AS temperature_k,
+            transform({heights}, h -> 0.01D * exp(-h / 2500D)) AS humidity, transform({heights}, h -> h * 9.80665D) AS geopotential, 101325D - station_id % 5 * 2500D AS surface_pa, z AS ground_m, 8000D + station_id AS instrument_m, radians(85D + station_id % 5) AS elevation_rad FROM stations""")
+        found = atmosphere.excess_path(profiles)
+        return found.select("station_id", "path_status", F.round("zenith_path", 7).alias("zenith_path"), F.round("slant_path", 7).alias("slant_path"), F.round("surface_refractivity", 11).alias("surface_refractivity"), F.round("instrument_refractivity", 11).alias("instrument_refractivity"))
 
     # ---- sources and sinks
     q["s6_optional_columns"] = lambda spark, d: readers.with_default(bound(spark, d, "SELECT pulse_index, refh FROM pulses"), "geoid", 0.0)
@@ -247,8 +243,57 @@ def oracle_sql() -> dict[str, str]:
     blend = lambda left, right, r, a, b, k, p, n: f"WITH k AS ({knn(left, right, r, a, b, k, ', b.z AS v')}) SELECT aid AS {a}, count(*) AS n, {_r('min(dist)', n)} AS nearest, {_r(f'CASE WHEN min(dist) = 0 THEN min_by(v, rank) ELSE sum(v / power(greatest(dist, 1e-12), {p})) / sum(1 / power(greatest(dist, 1e-12), {p})) END', n)} AS value FROM k GROUP BY aid"
     fit = "avg(dx) AS x0, avg(dy) AS y0, avg(z) AS z0, covar_pop(dx, dx) AS cxx, covar_pop(dx, dy) AS cxy, covar_pop(dy, dy) AS cyy, covar_pop(dx, z) AS cxz, covar_pop(dy, z) AS cyz"
     solved = "(cxz * cyy - cyz * cxy) / (cxx * cyy - cxy * cxy) AS sx, (cyz * cxx - cxz * cxy) / (cxx * cyy - cxy * cxy) AS sy"
+    # refractivity of standard dry air and vapour over their densities, at 1.04 micrometres and 420 ppm
+    wave, mass = 1 / 1.04**2, (28.9635 + 12.011e-6 * 20) * 1e-3
+    still = lambda p, c, x: p / ((1 - p / (c + 273.15) * (1.58123e-6 - 2.9331e-8 * c + 1.1043e-10 * c * c + (5.707e-6 - 2.051e-8 * c) * x + (1.9898e-4 - 2.376e-6 * c) * x * x) + (p / (c + 273.15)) ** 2 * (1.83e-11 - 0.765e-8 * x * x)) * 8.31451 * (c + 273.15))
+    dry = (5792105.0 * (238.0185 + wave) / (238.0185 - wave) ** 2 + 167917.0 * (57.362 + wave) / (57.362 - wave) ** 2) * (1 - 30 * 0.534e-6) / (still(101325.0, 15.0, 0) * mass)
+    wet = 1.022 * (295.235 + 3 * 2.6422 * wave - 5 * 0.032380 * wave**2 + 7 * 0.004028 * wave**3) / (still(1333.0, 20.0, 1) * 0.018015)
+    poisson = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+    steps = ["n AS (SELECT station_id, x, y, (x - min(x) OVER ()) / greatest(1e-12, max(x) OVER () - min(x) OVER ()) AS u, (y - min(y) OVER ()) / greatest(1e-12, max(y) OVER () - min(y) OVER ()) AS v FROM stations)", "c0 AS (SELECT * FROM n ORDER BY pow(u - 0.5, 2) + pow(v - 0.5, 2), station_id LIMIT 1)"]
+    for k in range(1, 12):
+        steps.append(f"c{k} AS (SELECT * FROM c{k - 1} UNION ALL (SELECT n.* FROM n, c{k - 1} AS c GROUP BY ALL ORDER BY min(pow(n.u - c.u, 2) + pow(n.v - c.v, 2)) DESC, n.station_id LIMIT 1))")
+    farthest = f"WITH {', '.join(steps)} SELECT DISTINCT station_id, x, y FROM c11"
     o = {
         "j5_idw_ground_join": blend("stations", f"({CENTRES}) AS c", 30, "station_id", "rid", 12, 2, 4),
+        "j6_idw_fill": f"""
+            WITH k AS (SELECT CAST(floor(x / 4) AS BIGINT) AS ix, CAST(floor(y / 4) AS BIGINT) AS iy, quantile_cont(refh, 0.1) AS z FROM good GROUP BY 1, 2 HAVING count(*) >= 3),
+            w AS (SELECT DISTINCT ix + dx AS ix, iy + dy AS iy FROM k, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS o(dx, dy)), m AS (SELECT * FROM w ANTI JOIN k USING (ix, iy)),
+            n AS (SELECT m.ix, m.iy, k.z, 4 * sqrt(pow(m.ix - k.ix, 2) + pow(m.iy - k.iy, 2)) AS dist, row_number() OVER (PARTITION BY m.ix, m.iy ORDER BY pow(m.ix - k.ix, 2) + pow(m.iy - k.iy, 2), k.ix, k.iy) AS r FROM m JOIN k ON abs(m.ix - k.ix) <= 3 AND abs(m.iy - k.iy) <= 3 AND pow(m.ix - k.ix, 2) + pow(m.iy - k.iy, 2) <= 9)
+            SELECT ix, iy, {_r('z', 3)} AS z, 1 AS source FROM k UNION ALL SELECT ix, iy, {_r('sum(z / (dist * dist)) / sum(1 / (dist * dist))', 3)}, 2 FROM n WHERE r <= 8 GROUP BY ix, iy""",
+        "r5_nearest_fill": f"""
+            WITH k AS (SELECT CAST(floor(x / 4) AS BIGINT) AS ix, CAST(floor(y / 4) AS BIGINT) AS iy, quantile_cont(refh, 0.1) AS z FROM good GROUP BY 1, 2 HAVING count(*) >= 4),
+            w AS (SELECT DISTINCT ix + dx AS ix, iy + dy AS iy FROM k, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS o(dx, dy)),
+            n AS (SELECT w.ix, w.iy, k.z, 16 * (pow(w.ix - k.ix, 2) + pow(w.iy - k.iy, 2)) AS sq, k.ix AS kx, k.iy AS ky FROM w JOIN k ON abs(w.ix - k.ix) <= 2 AND abs(w.iy - k.iy) <= 2)
+            SELECT ix, iy, {_r('z')} AS z, {_r('sqrt(sq)')} AS dist FROM n WHERE sq <= 100 QUALIFY row_number() OVER (PARTITION BY ix, iy ORDER BY sq, kx, ky) = 1""",
+        "j15_point_in_polygon": """
+            WITH e AS (SELECT * FROM (VALUES (1, 0e0, 0e0, 100e0, 0e0), (1, 100, 0, 100, 60), (1, 100, 60, 50, 20), (1, 50, 20, 0, 60), (1, 0, 60, 0, 0), (2, 80, 10, 180, 40), (2, 180, 40, 120, 150), (2, 120, 150, 80, 10)) AS v(roi, ax, ay, zx, zy)),
+            h AS (SELECT pulse_index, e.roi FROM good, e WHERE (ay > y) <> (zy > y) AND x < (zx - ax) * (y - ay) / (zy - ay) + ax GROUP BY pulse_index, e.roi HAVING count(*) % 2 = 1)
+            SELECT pulse_index, CAST(CASE WHEN count(*) = 1 THEN min(roi) END AS BIGINT) AS roi_id, count(*) > 1 AS ambiguous FROM h GROUP BY pulse_index""",
+        "t7_random_sample": "SELECT pulse_index, track_num, snr FROM pulses ORDER BY md5(pulse_index || ':0'), pulse_index LIMIT 500",
+        "t8_reservoir": "SELECT pulse_index, track_num, snr FROM pulses ORDER BY md5(pulse_index || ':0') DESC, pulse_index DESC LIMIT 500",
+        "t9_stratified_sample": """
+            WITH b AS (SELECT pulse_index, track_num, snr, row_number() OVER (PARTITION BY least(floor(snr / 2), 4) ORDER BY md5(pulse_index || ':0'), pulse_index) AS k FROM pulses)
+            SELECT pulse_index, track_num, snr FROM b WHERE k <= 60 UNION ALL (SELECT pulse_index, track_num, snr FROM b WHERE k > 60 ORDER BY md5(pulse_index || ':1'), pulse_index LIMIT 300)""",
+        "t10_per_group_cap": "SELECT pulse_index, track_num, snr FROM pulses QUALIFY row_number() OVER (PARTITION BY track_num ORDER BY md5(pulse_index || ':0'), pulse_index) <= 40",
+        "t12_farthest_points": farthest,
+        "a43_block_bootstrap": f"""
+            WITH b AS (SELECT CAST(floor(x / 20) AS BIGINT) AS block, sum(r) AS s, count(r) AS c FROM residuals GROUP BY 1),
+            u AS (SELECT rep, s, c, CAST('0x' || substr(md5(rep || ':' || block), 1, 8) AS BIGINT) / 4294967296e0 AS u FROM b, (SELECT unnest(generate_series(0, 199)) AS rep) AS r),
+            w AS (SELECT *, {' + '.join(f'(u >= {t!r})::INT' for t in poisson)} AS w FROM u), m AS (SELECT rep, sum(w * s) / nullif(sum(w * c), 0) AS mean FROM w GROUP BY rep)
+            SELECT {_r('quantile_cont(mean, 0.025)')} AS low, {_r('quantile_cont(mean, 0.975)')} AS high, count(*) AS n FROM m""",
+        "f13_excess_path": f"""
+            WITH s AS (SELECT *, 101325e0 - station_id % 5 * 2500e0 AS ps, 8000e0 + station_id AS top FROM stations), v AS (SELECT unnest([1000e0, 900, 800, 700, 600, 500, 400, 300, 200, 100, 50, 20]) AS p, unnest([100e0, 950, 1800, 2800, 4100, 5600, 7300, 9400, 11800, 16000, 20000, 26000]) AS h),
+            l AS (SELECT station_id, z, ps, top, h, ln(p * 100) AS lp, 286.15 - 0.0065 * h + site * 0.3 AS t, 0.01 * exp(-h / 2500) AS q FROM s, v WHERE p * 100 < ps),
+            e AS (SELECT station_id, ps, pos, arg_max(h, h) FILTER (h <= pos) AS h0, arg_max(lp, h) FILTER (h <= pos) AS lp0, arg_max(t, h) FILTER (h <= pos) AS t0, arg_max(q, h) FILTER (h <= pos) AS q0, arg_min(h, h) FILTER (h > pos) AS h1, arg_min(lp, h) FILTER (h > pos) AS lp1, arg_min(t, h) FILTER (h > pos) AS t1, arg_min(q, h) FILTER (h > pos) AS q1, any_value(pos = z) AS low
+                FROM l, LATERAL (SELECT unnest([z, top]) AS pos) AS a GROUP BY station_id, ps, pos),
+            n AS (SELECT station_id, h, exp(lp) AS p, t - 273.15 AS c, q FROM l WHERE h > z AND h < top UNION ALL
+                SELECT station_id, pos, CASE WHEN low THEN ps ELSE exp(coalesce(lp0 + (lp1 - lp0) * (pos - h0) / (h1 - h0), lp1)) END, coalesce(t0 + (t1 - t0) * (pos - h0) / (h1 - h0), t1) - 273.15, coalesce(q0 + (q1 - q0) * (pos - h0) / (h1 - h0), q1) FROM e),
+            x AS (SELECT *, q / 0.018015 / (q / 0.018015 + (1 - q) / {mass!r}) AS x FROM n),
+            d AS (SELECT *, p / ((1 - p / (c + 273.15) * (1.58123e-6 - 2.9331e-8 * c + 1.1043e-10 * c * c + (5.707e-6 - 2.051e-8 * c) * x + (1.9898e-4 - 2.376e-6 * c) * x * x) + pow(p / (c + 273.15), 2) * (1.83e-11 - 0.765e-8 * x * x)) * 8.31451 * (c + 273.15)) AS dens FROM x),
+            r AS (SELECT station_id, h, ({dry!r} * dens * {mass!r} * (1 - x) + {wet!r} * dens * 0.018015 * x) * 1e-8 AS n FROM d),
+            g AS (SELECT *, (h - lag(h) OVER w) * (n + lag(n) OVER w) / 2 AS part FROM r WINDOW w AS (PARTITION BY station_id ORDER BY h)),
+            t AS (SELECT station_id, sum(part) AS zen, arg_min(n, h) AS low, arg_max(n, h) AS top FROM g GROUP BY station_id)
+            SELECT station_id, 'integrated' AS path_status, round(zen, 7) AS zenith_path, round(zen / sin(radians(85 + station_id % 5)), 7) AS slant_path, round(low, 11) AS surface_refractivity, round(top, 11) AS instrument_refractivity FROM t""",
         "j7_idw_reference": blend(st, rf, 20, "station_id", "ref_id", 8, 3, 4),
         "j8_density": f"SELECT aid AS pulse_index, count(*) AS n, {_r('count(*) / (4 / 3e0 * 3.141592653589793e0 * 27)')} AS density FROM ({_near('good', 'good', 3, 'pulse_index', 'pulse_index', '', ('x', 'y', 'refh'))}) AS n GROUP BY aid",
         "j9_nearest_support": f"SELECT aid AS station_id, count(*) AS n, {_r('min(dist)')} AS nearest, min_by(bid, row(dist, bid)) AS ref_id FROM ({_near(st, rf, 25, 'station_id', 'ref_id')}) AS n GROUP BY aid",
