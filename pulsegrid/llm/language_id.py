@@ -23,10 +23,8 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import map_texts
 
-#: Most labelled texts of a language that are learned from.
-TEXTS = 400
-#: Most letters of a language, of which each of its texts gives an equal share from a hashed place.
-LETTERS = 60_000
+#: Most labelled texts of a language that are learned from, each of them whole.
+TEXTS = 24
 STRETCH = 256
 #: Entries of all dense tables of a worker, four bytes each; automata beyond their share of them are hash tables.
 DENSE_ENTRIES = 1 << 25
@@ -259,18 +257,14 @@ def _carry(part: Automaton, numbers: np.ndarray, begins: np.ndarray, left: np.nd
         pending = after[number[after] > 0]
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", texts: int = TEXTS, letters: int = LETTERS) -> Model:
-    """Model from at most ``texts`` labelled texts of each language, the first by a hash of id and text, and at most
-    ``letters`` letters of them, of each text an equal share."""
+def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", texts: int = TEXTS) -> Model:
+    """Model from at most ``texts`` labelled texts of each language, the first by a hash of id and text, each of them whole."""
     known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(F.lit(17), F.col(key), F.col(text)).alias("h"), F.col(text).alias("text"))
     # first the least of each shard, then the least of those, so that no language meets in one task
     shard = Window.partitionBy("lang", F.pmod("h", F.lit(SHARDS))).orderBy("h")
     some = known.select("lang", "h").withColumn("r", F.rank().over(shard)).where(F.col("r") <= texts).select("lang", "h").distinct()
     chosen = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= texts)
-    shares = chosen.groupBy("lang").agg(F.expr(f"cast({letters} div count(*) as int)").alias("share"))
-    picked = F.broadcast(chosen.select("lang", "h").join(shares, "lang"))
-    share = "substring(text, cast(pmod(h, greatest(1, length(text) - share + 1)) as int) + 1, share)"
-    taken = known.join(picked, ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.expr(share)).alias("t"))
+    taken = known.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("t"))
     held: dict[str, list[str]] = {}
     for r in taken.orderBy("lang", "h").collect():
         held.setdefault(r["lang"], []).append(r["t"])

@@ -218,11 +218,21 @@ def test_the_language_model_depends_on_rows_alone(spark):
     models = []
     for n in (1, 5):
         df = spark.createDataFrame(rows + rows[:20], "doc_id bigint, text string, lang string").repartition(n)
-        models.append(language_id.train(df, texts=30, letters=900))
+        models.append(language_id.train(df, texts=30))
     assert models[0].langs == models[1].langs == ["a", "b"]
     assert all((getattr(x, f) == getattr(y, f)).all() for x, y in zip(models[0].parts, models[1].parts, strict=True) for f in ("state", "symbol", "to"))
 
 
+def test_sampled_texts_are_learned_whole(spark):
+    prepare(spark)
+    word = {"a": "kalamunatiko", "b": "schrofetzbrum"}
+    late = {k: "x" * 200_000 + w for k, w in word.items()}  # what tells the languages apart stands at the very end
+    df = spark.createDataFrame([(i, late[k], k) for i, k in enumerate("ab" * 3)], "doc_id bigint, text string, lang string")
+    model = language_id.train(df, texts=1)
+    asked = spark.createDataFrame([(1, word["a"]), (2, word["b"])], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.predicted(asked, model).collect()} == {1: "a", 2: "b"}
+
+
 def test_rules_are_the_same_at_any_partitioning(spark):
     prepare(spark)
     rng = random.Random(5)
