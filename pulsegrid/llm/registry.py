@@ -14,7 +14,7 @@ from pulsegrid.llm.common import held_out, shared_dir, table
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return secret_scan.scan(documents, secret_scan.train(lexicon=secret_scan.corpus_lexicon(documents)))
+    return secret_scan.scan(documents, secret_scan.train(lexicon=secret_scan.corpus_lexicon(documents)), path="source")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

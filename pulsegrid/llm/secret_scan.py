@@ -2,7 +2,8 @@
 
 ``candidates`` finds assigned values, tokens of known shapes and long mixed runs in every whole text. Each candidate is
 taken to its end, however long, and described by its length and classes of characters, by how usual its character transitions are, by how much of it a
-dictionary covers, by its path, and by the words next to it. ``Forest`` is a random forest in numpy that learns from
+dictionary covers, by its path, and by the words next to it: the last four before and the first two after, of those within
+``NEAR`` characters on either side. ``Forest`` is a random forest in numpy that learns from
 labelled findings; ``labelled_findings`` makes such findings by rule where a user has none.
 
 Of candidates that overlap the kind that comes first in the list is taken, then the one that starts first. Null and empty texts have no findings; a null path is an empty one; findings of one text do not overlap; repeated rows are scanned each; an empty table gives no rows.
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import text_slices
 
-#: Characters before and after a candidate in which its neighbouring words are looked for.
+#: Characters before and after a candidate in which its neighbouring words are looked for; what lies further off is no neighbour.
 NEAR = 48
 THRESHOLD = 0.5
-#: Most words that the corpus adds to the dictionary.
+#: Most words that the corpus adds to the dictionary, a bound on the model that goes to every task.
 CORPUS_WORDS = 20_000
 SHARDS = 16
 
@@ -155,6 +156,17 @@ def covered(value: str, lexicon: Lexicon = BASIC) -> float:
     return hit / max(1, len(low))
 
 
+def _period(value: str) -> int:
+    """Smallest shift at which a value repeats itself to its end; its length if there is none."""
+    border = [0] * len(value)
+    for i in range(1, len(value)):
+        k = border[i - 1]
+        while k and value[i] != value[k]:
+            k = border[k - 1]
+        border[i] = k + (value[i] == value[k])
+    return len(value) - border[-1] if value else 0
+
+
 def features(text: str, start: int, end: int, kind: str, path: str = "", lexicon: Lexicon = BASIC) -> list[float]:
     value = text[start:end]
     n = len(value)
@@ -173,11 +185,11 @@ def features(text: str, start: int, end: int, kind: str, path: str = "", lexicon
     later = {w.lower() for w in WORD.findall(after)[:2]}
     tail = before.rstrip("\"'` ")
     where = path.lower()
-    period = next((p for p in range(1, min(9, n)) if value[p:] == value[:-p]), 0)
+    period = _period(value)
     return [
-        min(n, 2000), *(counts / n), len(freq) / n, float(-(freq * np.log2(freq)).sum()), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, float(np.mean(pairs)) if pairs else -4.0, len(pairs) / n, longest / n, covered(value, lexicon),
-        float(re.fullmatch(r"[0-9a-fA-F]+", value) is not None), float(period > 0), len(parts & SECRET_WORDS), len((parts | later) & OTHER_WORDS) + len(set(WORD.findall(low)) & OTHER_WORDS), float(NAMED.search(before.rstrip("\"'`:=> ") or "") is not None),
-        float(before[-1:] in "\"'`" and before != ""), float(tail[-1:] in ":=" and tail != ""), float(kind not in ("assigned", "run")), float(any(x in where for x in ("test", "example", "sample", "doc", "fixture", "mock"))), float(where.endswith((".py", ".js", ".env", ".yml", ".yaml", ".json", ".cfg", ".ini", ".sh", ".java", ".go", ".toml"))), float(min(where.count("/"), 20)),
+        n, *(counts / n), len(freq) / n, float(-(freq * np.log2(freq)).sum()), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, float(np.mean(pairs)) if pairs else -4.0, len(pairs) / n, longest / n, covered(value, lexicon),
+        float(re.fullmatch(r"[0-9a-fA-F]+", value) is not None), float(2 * period <= n), len(parts & SECRET_WORDS), len((parts | later) & OTHER_WORDS) + len(set(WORD.findall(low)) & OTHER_WORDS), float(NAMED.search(before.rstrip("\"'`:=> ") or "") is not None),
+        float(before[-1:] in "\"'`" and before != ""), float(tail[-1:] in ":=" and tail != ""), float(kind not in ("assigned", "run")), float(any(x in where for x in ("test", "example", "sample", "doc", "fixture", "mock"))), float(where.endswith((".py", ".js", ".env", ".yml", ".yaml", ".json", ".cfg", ".ini", ".sh", ".java", ".go", ".toml"))), float(where.count("/")),
     ]
 
 

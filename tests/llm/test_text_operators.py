@@ -223,6 +223,21 @@ def test_the_language_model_depends_on_rows_alone(spark):
     assert all((getattr(x, f) == getattr(y, f)).all() for x, y in zip(models[0].parts, models[1].parts, strict=True) for f in ("state", "symbol", "to"))
 
 
+def test_features_of_values_and_paths(spark):
+    at = secret_scan.FEATURES.index
+    for value, repeats in (("abcabcabca", 1), ("0123456789ab" * 3, 1), ("aaaaaaaaaa", 1), ("abcdefghij", 0), ("abcdefgabcd", 0)):
+        assert secret_scan.features(value, 0, len(value), "run")[at("period")] == repeats
+        want = next(p for p in range(1, len(value) + 1) if value[p:] == value[: len(value) - p])
+        assert secret_scan._period(value) == want
+    assert secret_scan.features("x" * 5000, 0, 5000, "run")[at("length")] == 5000
+    prepare(spark)
+    text = "value = 'Zk3qP9vX2mLr8TwYb5Nc7Hd1'"
+    df = spark.createDataFrame([(1, text, "app/.env"), (2, text, "tests/test_api.py"), (3, text, None)], "doc_id bigint, text string, source string")
+    assert secret_scan.scan(df, secret_scan.train(), path="source").count() == 3
+    told = [[secret_scan.features(text, 9, 33, "assigned", p)[at(f)] for f in ("path_test", "path_code", "path_depth")] for p in ("app/.env", "tests/test_api.py", "")]
+    assert told == [[0.0, 1.0, 1.0], [1.0, 1.0, 1.0], [0.0, 0.0, 0.0]]
+
+
 def test_sampled_texts_are_learned_whole(spark):
     prepare(spark)
     word = {"a": "kalamunatiko", "b": "schrofetzbrum"}
