@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import atmosphere, geodesy
-from pulsegrid.operators import raster, sampling, spatial, waveform
+from pulsegrid.operators import beam_rules, raster, sampling, spatial, waveform
 from pulsegrid.operators.lineage import shared
 from pulsegrid.plans.binding import for_spark, with_tables
 from pulsegrid.plans.dialect import Dialect
@@ -171,11 +171,11 @@ def queries() -> dict[str, Query]:
 
     @query("g13_rule_scoring")
     def _(spark, d):
-        rules = spark.createDataFrame([(s, n, z) for s in (0, 1) for n in (-1.0, 1.0) for z in (0.0, 0.02, -0.02)], "swap bigint, sign double, bias double")
-        p = bound(spark, d, GOOD).select("tax", "discount", "x", "y")
-        az = F.when(F.col("swap") == 1, F.col("discount")).otherwise(F.col("tax")) * F.col("sign") + F.col("bias")
-        miss = F.abs(F.sin(az) - F.col("tax"))
-        return rounded(p.join(F.broadcast(rules)).groupBy("swap", "sign", "bias").agg(F.count("*").alias("n"), F.percentile(miss, F.lit(0.5)).alias("med"), F.sqrt(F.avg(miss * miss)).alias("rmse")))
+        shared(spark, "g13")
+        # beams from a platform by a known convention: depression in the first column, azimuth from the east, counter-clockwise, in the second
+        points = bound(spark, d, """SELECT a, b, ix + r * cos(radians(a)) * sin(radians(90 - b - 2e-2)) + snr * 1e-2 AS x, iy + r * cos(radians(a)) * cos(radians(90 - b - 2e-2)) AS y, 8000 - r * sin(radians(a)) AS z, ix, iy, 8000e0 AS iz
+            FROM (SELECT 84 + discount * 40 AS a, tax * 500 AS b, x * 1e-3 AS ix, y * 1e-3 AS iy, 7000 + amp AS r, snr FROM good) AS beams""")
+        return rounded(beam_rules.search(points, ("a", "b"), ("x", "y", "z"), ("ix", "iy", "iz")).drop("origin_condition"), 4)
 
     # ---- waveforms
     for name, make in {
