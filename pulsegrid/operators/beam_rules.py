@@ -71,7 +71,8 @@ def all_rules() -> list[Rule]:
 def _sums(own: DataFrame, rules: list[Rule]) -> np.ndarray:
     """Of each rule, whatever its basis: n, cosines, squared distances, the six sums of the normal matrix, and for either basis the right
     side and the squares."""
-    rules = [replace(r, basis="refh") for r in rules]
+    asked = [replace(r, basis="refh") for r in rules]
+    rules = list(dict.fromkeys(replace(r, sign="as_encoded") for r in asked))  # the other sign turns the cosines over, nothing else
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(rules), SUMS))
@@ -99,7 +100,10 @@ def _sums(own: DataFrame, rules: list[Rule]) -> np.ndarray:
     out = np.zeros((len(rules), SUMS))
     for r in parts.groupBy("rule", "pos").agg(F.sum("s").alias("s")).collect():  # a few sums a rule
         out[r["rule"], r["pos"]] = r["s"]
-    return out
+    place = {r: k for k, r in enumerate(rules)}
+    found = np.array([out[place[replace(r, sign="as_encoded")]] for r in asked])
+    found[:, 1] *= [SIGNS[r.sign] for r in asked]
+    return found
 
 
 def _origin(sums: np.ndarray, basis: str) -> tuple[np.ndarray, float, float]:
@@ -130,7 +134,8 @@ def search(df: DataFrame, angles: Sequence[str], reference: Sequence[str], instr
     if middle["n"] < 3:
         return spark.createDataFrame([], result)
     shift = [middle[f"v{k}"] for k in range(5, 8)]  # about the instruments, so that squares lose no digits
-    own = cut(values.select("v0", "v1", *[(F.col(f"v{k}") - shift[(k - 2) % 3]).alias(f"v{k}") for k in range(2, 8)]))
+    parts = spark.sparkContext.defaultParallelism * 2  # a row costs far more than it is wide
+    own = cut(values.repartition(parts).select("v0", "v1", *[(F.col(f"v{k}") - shift[(k - 2) % 3]).alias(f"v{k}") for k in range(2, 8)]))
 
     def best(asked: list[Rule], n: int) -> list[tuple[Rule, np.ndarray]]:
         lines = list(dict.fromkeys(replace(r, basis="refh") for r in asked))
