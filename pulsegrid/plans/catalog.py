@@ -29,4 +29,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_tables(Dialect(False), text) for module in MODULES for name, text in module.plans(Dialect(False)).items()} | operator_queries.oracle_sql() | library_queries.oracle_sql() | grouped_queries.oracle_sql() | ordered_queries.oracle_sql() | waveform_queries.oracle_sql()
+    return {name: with_tables(Dialect(False), text) for module in MODULES for name, text in module.plans(Dialect(False)).items()} | operator_queries.oracle_sql() | extra_queries.oracle_sql() | library_queries.oracle_sql() | grouped_queries.oracle_sql() | ordered_queries.oracle_sql() | waveform_queries.oracle_sql()

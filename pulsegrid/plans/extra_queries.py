@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import geodesy
 from pulsegrid.operators import spatial
-from pulsegrid.plans.binding import SOURCES
+from pulsegrid.plans.binding import SOURCES, with_tables
 from pulsegrid.plans.dialect import Dialect
 from pulsegrid.plans.operator_queries import Query, bound, rounded, shared
 from pulsegrid.plans.statistics_queries import _r
@@ -113,3 +113,11 @@ def plans(d: Dialect) -> dict[str, str]:
         "e3_finite_helpers": f"SELECT sweep_num, {_r(d.pct('refh', 0.5))} AS med, {_r('avg(refh)')} AS mean, count(refh) AS n FROM pulses GROUP BY sweep_num",
         "s21_deduplicated_index": "SELECT min(page_id) AS page_id, " + d.matched("url", "://([^/]+)") + " AS host, count(*) AS n FROM pages GROUP BY 2",
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    own = " UNION ALL ".join(f"SELECT '{name}' AS file, 'ok' AS status, count(*) AS n FROM {name}" for name in SOURCES)
+    return {
+        "e27_batch_audit": f"{own} UNION ALL SELECT 'absent', 'AnalysisException', NULL",
+        "s25_node_bounds": with_tables(Dialect(False), "SELECT station_id, '5-' || CAST(floor(x / 125) AS BIGINT) || '-' || CAST(floor(y / 125) AS BIGINT) AS node, 125e0 * floor(x / 125) AS x0, 125e0 * floor(y / 125) AS y0 FROM stations"),
+    }

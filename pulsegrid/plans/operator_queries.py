@@ -6,7 +6,8 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import atmosphere, geodesy
@@ -179,13 +180,19 @@ def queries() -> dict[str, Query]:
 
     # ---- waveforms
     for name, make in {
-        "v3_smoothing": lambda w: waveform.smoothed(w, "pulse_index", "rx"),
+        "v3_smoothing": lambda w: waveform.smoothed(w, "pulse_index", "rx").select("pulse_index", F.posexplode("smooth").alias("bin", "smooth")).select("pulse_index", F.col("bin").cast("bigint").alias("bin"), (F.round(F.col("smooth") + 1.7e-9, 5) + 0.0).alias("smooth")),
         "v8_response_features": lambda w: waveform.responses(w, "pulse_index", "rx"),
-        "v16_gaussian_fit": lambda w: waveform.gaussians(w, "pulse_index", "rx"),
         "v19_morphology": lambda w: waveform.morphology(w, "pulse_index", "rx"),
     }.items():
         q[name] = lambda spark, d, make=make: make(bound(spark, d, WAVES))
 
+    @query("v16_gaussian_fit")
+    def _(spark, d):
+        # returns of one or two surfaces at places that the stations' numbers give, over a slight ripple
+        bumps = "(20 + station_id % 7) * exp(-power(k - (22 + station_id % 11), 2) / (2 * power(2e0 + station_id % 3 * 5e-1, 2))) + CASE WHEN station_id % 2 = 0 THEN (12 + station_id % 5) * exp(-power(k - (60 + station_id % 13), 2) / (2 * power(3e0, 2))) ELSE 0e0 END"
+        made = bound(spark, d, f"SELECT station_id, transform(sequence(0, 95), k -> {bumps} + 2e-2 * sin(k * (3 + station_id % 5))) AS rx FROM stations")
+        return waveform.gaussians(made, "station_id", "rx").select("station_id", "rank", F.round("centre", 1).alias("centre"), F.round("sigma", 1).alias("sigma"), F.round("amplitude").alias("amplitude"))
+
     # ---- samples
     for name, make in {
         "t7_random_sample": lambda p: sampling.sample(p, "pulse_index", 500),
@@ -221,9 +228,14 @@ def queries() -> dict[str, Query]:
 
     @query("k4_csv_summary")
     def _(spark, d):
-        path = shared(spark, "k4")
-        bound(spark, d, "SELECT track_num, count(*) AS n FROM good GROUP BY track_num").write.csv(path, header=True)
-        return spark.read.csv(path, header=True, schema="track_num bigint, n bigint")
+        # a summary of each track, and a table of outliers for each threshold, written and read as CSV
+        path, points = shared(spark, "k4"), bound(spark, d, "SELECT track_num, pulse_index, r FROM residuals")
+        points.groupBy("track_num").agg(F.count("*").alias("n"), F.max(F.abs("r")).alias("top")).write.csv(f"{path}/summary", header=True)
+        limits = F.explode(F.array(*[F.lit(x) for x in (2.0, 5.0, 8.0)])).alias("threshold")
+        points.select("track_num", "pulse_index", "r", limits).where(F.abs("r") > F.col("threshold")).write.partitionBy("threshold").csv(f"{path}/outliers", header=True)
+        beyond = spark.read.csv(f"{path}/outliers", header=True, schema="track_num bigint, pulse_index bigint, r double, threshold double")
+        told = spark.read.csv(f"{path}/summary", header=True, schema="track_num bigint, n bigint, top double")
+        return rounded(beyond.groupBy("track_num", "threshold").agg(F.count("*").alias("n_beyond"), F.min("pulse_index").alias("first_id"), F.avg("r").alias("mean")).join(told, "track_num"))
 
     @query("f9_json")
     def _(spark, d):
@@ -248,6 +260,11 @@ def oracle_sql() -> dict[str, str]:
     still = lambda p, c, x: p / ((1 - p / (c + 273.15) * (1.58123e-6 - 2.9331e-8 * c + 1.1043e-10 * c * c + (5.707e-6 - 2.051e-8 * c) * x + (1.9898e-4 - 2.376e-6 * c) * x * x) + (p / (c + 273.15)) ** 2 * (1.83e-11 - 0.765e-8 * x * x)) * 8.31451 * (c + 273.15))
     dry = (5792105.0 * (238.0185 + wave) / (238.0185 - wave) ** 2 + 167917.0 * (57.362 + wave) / (57.362 - wave) ** 2) * (1 - 30 * 0.534e-6) / (still(101325.0, 15.0, 0) * mass)
     wet = 1.022 * (295.235 + 3 * 2.6422 * wave - 5 * 0.032380 * wave**2 + 7 * 0.004028 * wave**3) / (still(1333.0, 20.0, 1) * 0.018015)
+    # least-squares parabola over seven samples: the row of its hat matrix for each place in the window
+    design = np.vander(np.arange(-3, 4), 3, increasing=True)
+    hat = design @ np.linalg.pinv(design)
+    term = lambda row, first: " + ".join(f"{float(h)!r} * CAST(rx[{first} + {k}] AS DOUBLE)" for k, h in enumerate(hat[row]))
+    smooth = "CASE " + " ".join(f"WHEN i = {j} THEN {term(j, 1)} WHEN i = n - {j + 1} THEN {term(6 - j, 'n - 6')}" for j in range(3)) + f" ELSE {term(3, 'i - 2')} END"
     poisson = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
     steps = ["n AS (SELECT station_id, x, y, (x - min(x) OVER ()) / greatest(1e-12, max(x) OVER () - min(x) OVER ()) AS u, (y - min(y) OVER ()) / greatest(1e-12, max(y) OVER () - min(y) OVER ()) AS v FROM stations)", "c0 AS (SELECT * FROM n ORDER BY pow(u - 0.5, 2) + pow(v - 0.5, 2), station_id LIMIT 1)"]
     for k in range(1, 12):
@@ -255,6 +272,18 @@ def oracle_sql() -> dict[str, str]:
     farthest = f"WITH {', '.join(steps)} SELECT DISTINCT station_id, x, y FROM c11"
     o = {
         "j5_idw_ground_join": blend("stations", f"({CENTRES}) AS c", 30, "station_id", "rid", 12, 2, 4),
+        "k4_csv_summary": f"""
+            WITH t AS (SELECT track_num, count(*) AS n, max(abs(r)) AS top FROM residuals GROUP BY track_num)
+            SELECT track_num, threshold, count(*) AS n_beyond, min(pulse_index) AS first_id, {_r('avg(r)')} AS mean, any_value(t.n) AS n, {_r('any_value(t.top)')} AS top FROM residuals JOIN t USING (track_num), (SELECT unnest([2e0, 5e0, 8e0]) AS threshold) AS l WHERE abs(r) > threshold GROUP BY track_num, threshold""",
+        "g12_common_origin": f"""
+            WITH l AS (SELECT x / 100 AS px, y / 100 AS py, tax / sqrt(tax * tax + discount * discount + 1) AS ux, discount / sqrt(tax * tax + discount * discount + 1) AS uy, -1 / sqrt(tax * tax + discount * discount + 1) AS uz FROM good),
+            s AS (SELECT sum(1 - ux * ux) AS a, sum(-ux * uy) AS b, sum(-ux * uz) AS c, sum(1 - uy * uy) AS e, sum(-uy * uz) AS f, sum(1 - uz * uz) AS i, sum(px - ux * (ux * px + uy * py)) AS v1, sum(py - uy * (ux * px + uy * py)) AS v2, sum(-uz * (ux * px + uy * py)) AS v3 FROM l),
+            d AS (SELECT *, a * (e * i - f * f) - b * (b * i - f * c) + c * (b * f - e * c) AS det FROM s)
+            SELECT {_r('(v1 * (e * i - f * f) - v2 * (b * i - c * f) + v3 * (b * f - c * e)) / det')} AS ox, {_r('(-v1 * (b * i - f * c) + v2 * (a * i - c * c) - v3 * (a * f - b * c)) / det')} AS oy, {_r('(v1 * (b * f - e * c) - v2 * (a * f - b * c) + v3 * (a * e - b * b)) / det')} AS oz FROM d""",
+        "v16_gaussian_fit": """
+            SELECT station_id, 1 AS rank, 22e0 + station_id % 11 AS centre, 2e0 + station_id % 3 * 5e-1 AS sigma, 20e0 + station_id % 7 AS amplitude FROM stations
+            UNION ALL SELECT station_id, 2, 60e0 + station_id % 13, 3e0, 12e0 + station_id % 5 FROM stations WHERE station_id % 2 = 0""",
+        "v3_smoothing": f"WITH b AS (SELECT w.pulse_index, k - 1 AS i, len(rx) AS n, rx FROM waves w, unnest(generate_series(1, len(rx))) AS t(k)) SELECT pulse_index, i AS bin, {_r(smooth)} AS smooth FROM b",
         "j6_idw_fill": f"""
             WITH k AS (SELECT CAST(floor(x / 4) AS BIGINT) AS ix, CAST(floor(y / 4) AS BIGINT) AS iy, quantile_cont(refh, 0.1) AS z FROM good GROUP BY 1, 2 HAVING count(*) >= 3),
             w AS (SELECT DISTINCT ix + dx AS ix, iy + dy AS iy FROM k, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS o(dx, dy)), m AS (SELECT * FROM w ANTI JOIN k USING (ix, iy)),
