@@ -128,3 +128,27 @@ def geodesic(lon1: Column, lat1: Column, lon2: Column, lat2: Column, rounds: int
     big_b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
     delta = big_b * s["sin_s"] * (s["c2m"] + big_b / 4 * (s["cos_s"] * (2 * s["c2m"] ** 2 - 1) - big_b / 6 * s["c2m"] * (4 * s["sin_s"] ** 2 - 3) * (4 * s["c2m"] ** 2 - 3)))
     return B * big_a * (s["sigma"] - delta)
+
+
+# Published parameters from ITRF2014 to ITRF2008 at 2010.0: shifts in mm, scale in parts of 1e9, rotations in
+# thousandths of a second of arc, and the yearly rates of all seven.
+ITRF2014_TO_ITRF2008 = {"shift": (1.6, 1.9, 2.4), "scale": -0.02, "turn": (0.0, 0.0, 0.0), "shift_rate": (0.0, 0.0, -0.1), "scale_rate": 0.03, "turn_rate": (0.0, 0.0, 0.0), "epoch": 2010.0}
+MAS = 3.141592653589793 / (180 * 3600 * 1000)
+
+
+def change_frame(x: Column, y: Column, z: Column, epoch: Column, parameters: dict = ITRF2014_TO_ITRF2008, inverse: bool = False, coordinate_frame: bool = False) -> tuple[Column, Column, Column]:
+    """Geocentric coordinates in another frame, by fourteen parameters at a decimal year: shift + (1 + scale) turn x, where turn is I plus
+    the skew matrix of the rotations (of the position vector, or of the frame). The time of the coordinates stays what it is.
+    The inverse solves the same equation exactly, so a round trip gives the start."""
+    p = parameters
+    years = epoch - p["epoch"]
+    shift = [(a + b * years) * 1e-3 for a, b in zip(p["shift"], p["shift_rate"], strict=True)]
+    sign = -1.0 if coordinate_frame else 1.0
+    rx, ry, rz = ((a + b * years) * (sign * MAS) for a, b in zip(p["turn"], p["turn_rate"], strict=True))
+    scale = 1.0 + (p["scale"] + p["scale_rate"] * years) * 1e-9
+    if not inverse:
+        return shift[0] + scale * (x - rz * y + ry * z), shift[1] + scale * (rz * x + y - rx * z), shift[2] + scale * (rx * y - ry * x + z)
+    u, v, w = ((c - s) / scale for c, s in zip((x, y, z), shift, strict=True))
+    # inverse of I plus a skew matrix: (q + r (r . q) - r x q) / (1 + r . r)
+    dot, norm = rx * u + ry * v + rz * w, 1.0 + rx * rx + ry * ry + rz * rz
+    return (u + rx * dot - (ry * w - rz * v)) / norm, (v + ry * dot - (rz * u - rx * w)) / norm, (w + rz * dot - (rx * v - ry * u)) / norm

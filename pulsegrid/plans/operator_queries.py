@@ -152,6 +152,18 @@ def queries() -> dict[str, Query]:
         back = p.withColumn("err", F.greatest(F.abs(lon - F.col("lon")), F.abs(lat - F.col("lat"))))
         return back.select("pulse_index", F.col("epsg").cast("bigint").alias("epsg"), F.round("east", 3).alias("east"), F.round("north", 3).alias("north"), (F.col("err") < 1e-9).alias("ok"))
 
+    @query("g18_frame_change")
+    def _(spark, d):
+        # there at the pulse's own epoch, and back; off the exact half steps, as in g2
+        epoch = F.lit(1970.0) + F.col("delta_time") / (365.25 * 86400)
+        at = bound(spark, d, GOOD).withColumn("epoch", epoch)
+        at = at.select("pulse_index", "epoch", *[c.alias(n) for c, n in zip(geodesy.to_ecef(F.col("lon"), F.col("lat"), F.col("refh")), "xyz", strict=True)])
+        there = at.select("*", *[c.alias(n) for c, n in zip(geodesy.change_frame(*(F.col(c) for c in "xyz"), F.col("epoch")), "uvw", strict=True)])
+        back = geodesy.change_frame(*(F.col(c) for c in "uvw"), F.col("epoch"), inverse=True)
+        off = reduce(F.greatest, [F.abs(b - F.col(c)) for b, c in zip(back, "xyz", strict=True)])
+        moved = [F.round((F.col(a) - F.col(b)) * 1000 + 1.3e-3, 1).alias(f"d{b}") for a, b in zip("uvw", "xyz", strict=True)]
+        return there.select("pulse_index", *moved, (off < 1e-7).alias("ok"))
+
     @query("g9_geodesic_distance")
     def _(spark, d):
         return rounded(bound(spark, d, GOOD).select("pulse_index", geodesy.geodesic(F.lit(-86.9), F.lit(40.4), F.col("lon"), F.col("lat")).alias("dist")), 3)
@@ -284,6 +296,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT station_id, 1 AS rank, 22e0 + station_id % 11 AS centre, 2e0 + station_id % 3 * 5e-1 AS sigma, 20e0 + station_id % 7 AS amplitude FROM stations
             UNION ALL SELECT station_id, 2, 60e0 + station_id % 13, 3e0, 12e0 + station_id % 5 FROM stations WHERE station_id % 2 = 0""",
         "v3_smoothing": f"WITH b AS (SELECT w.pulse_index, k - 1 AS i, len(rx) AS n, rx FROM waves w, unnest(generate_series(1, len(rx))) AS t(k)) SELECT pulse_index, i AS bin, {_r(smooth)} AS smooth FROM b",
+        "g18_frame_change": """
+            WITH p AS (SELECT *, 1970 + delta_time / (365.25e0 * 86400) - 2010 AS dt, 6378137e0 / sqrt(1 - 0.00669437999014e0 * pow(sin(radians(lat)), 2)) AS n FROM good),
+            e AS (SELECT pulse_index, dt, (n + refh) * cos(radians(lat)) * cos(radians(lon)) AS x, (n + refh) * cos(radians(lat)) * sin(radians(lon)) AS y, (n * (1 - 0.00669437999014e0) + refh) * sin(radians(lat)) AS z, (-0.02e0 + 0.03e0 * dt) * 1e-9 AS d FROM p)
+            SELECT pulse_index, round(1.6e0 + d * x * 1000 + 1.3e-3, 1) AS dx, round(1.9e0 + d * y * 1000 + 1.3e-3, 1) AS dy, round(2.4e0 - 0.1e0 * dt + d * z * 1000 + 1.3e-3, 1) AS dz, true AS ok FROM e""",
         "j6_idw_fill": f"""
             WITH k AS (SELECT CAST(floor(x / 4) AS BIGINT) AS ix, CAST(floor(y / 4) AS BIGINT) AS iy, quantile_cont(refh, 0.1) AS z FROM good GROUP BY 1, 2 HAVING count(*) >= 3),
             w AS (SELECT DISTINCT ix + dx AS ix, iy + dy AS iy FROM k, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS o(dx, dy)), m AS (SELECT * FROM w ANTI JOIN k USING (ix, iy)),
