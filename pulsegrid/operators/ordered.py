@@ -180,6 +180,18 @@ def even_pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], picks: i
     return found.where((n <= picks) | (i == 0) | near[0] | near[1]).drop("_i", "_n")
 
 
+def continuity(df: DataFrame, groups: Sequence[str], order: Sequence[str], value: str, reach: int = 4, jump: float = 6.0) -> DataFrame:
+    """How steadily value runs along the order of each group: median, 95th percentile and largest absolute residual from the centred
+    rolling median over ``reach`` rows on either side, and how many residuals reach ``jump``. Rows without a value are passed over; a
+    group of nothing else has nulls and no jump. A group (such as the tracks of a sweep) is one task's."""
+    own = df.select(*groups, *order, finite(value).alias("_v"))
+    around = Window.partitionBy(*groups).orderBy(*order).rowsBetween(-reach, reach)
+    far = own.where("_v IS NOT NULL").withColumn("_r", F.abs(F.col("_v") - F.percentile("_v", F.lit(0.5)).over(around)))
+    told = far.groupBy(*groups).agg(F.percentile("_r", F.lit(0.5)).alias("med"), F.percentile("_r", F.lit(0.95)).alias("p95"), F.max("_r").alias("top"), F.count_if(F.col("_r") >= jump).alias("jumps"))
+    out = keyed(own.select(*groups).distinct(), told, list(groups))
+    return out.withColumn("jumps", F.coalesce("jumps", F.lit(0)))
+
+
 def history(df: DataFrame, keys: Sequence[str], step: str, parts: int | None = None) -> DataFrame:
     """For every distinct step of a key, ``seen``: how many rows the key has up to and including it, and ``steps``: how many distinct steps."""
     counts = df.groupBy(*keys, step).agg(F.count("*").alias("_c"))

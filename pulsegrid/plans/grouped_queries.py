@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import quantiles, statistics
+from pulsegrid.operators import classify, quantiles, statistics
 from pulsegrid.operators.lineage import cut
 from pulsegrid.plans.binding import with_tables
 from pulsegrid.plans.dialect import Dialect
@@ -92,6 +92,27 @@ def queries() -> dict[str, Query]:
         points = bound(spark, d, "SELECT ref_class, refh - ground AS hag, snr, discount * 10 AS density FROM pulses")
         return rounded(_wide(points, "ref_class", (1, 2, 7), {"hag": "hag", "snr": "snr", "density": "density"}))
 
+    @query("a24_error_features")
+    def _(spark, d):
+        # subsets of true and predicted class, by the first step of the cascade about the pulses' own ground
+        points = bound(spark, d, PULSES)
+        kind = classify.first_class(F.col("refh"), F.col("ground"), F.lit(None), classify.CascadeOptions("height_only", ground_tolerance=0.4))
+        names = ("snr", "amp", "discount", "tax")
+        subset = F.concat_ws("-", F.col("ref_class").cast("string"), kind.cast("string"))
+        s = statistics.summaries(points.withColumn("subset", subset), ["subset"], {n: n for n in names}, {"p05": 0.05, "med": 0.5, "p95": 0.95})
+        each = [s.select("subset", F.lit(n).alias("feature"), *[F.col(f"{n}_{c}").alias(c) for c in ("n", "p05", "med", "p95")]) for n in names]
+        return rounded(reduce(DataFrame.unionByName, each))
+
+    @query("a49_crosstab")
+    def _(spark, d):
+        known = bound(spark, d, "SELECT source, coalesce(lang, 'none') AS lang FROM documents")
+        return known.groupBy("source").pivot("lang").count().na.fill(0)
+
+    @query("a50_property_variation")
+    def _(spark, d):
+        each = bound(spark, d, "SELECT event_type, props FROM events").select("event_type", F.explode(F.from_json("props", "map<string,string>")).alias("property", "value"))
+        return each.groupBy("event_type", "property").agg(F.count_distinct("value").alias("variants"), F.count("*").alias("n"), F.min("value").alias("first"))
+
     @query("a28_closure_summary")
     def _(spark, d):
         return rounded(_scopes(bound(spark, d, RESIDUALS), "r", {"overall": None, "track": "track_num", "roi": "roi", "sweep": "sweep_num"}))
@@ -178,6 +199,9 @@ def oracle_sql() -> dict[str, str]:
         "a17_per_tile_metrics": " UNION ALL ".join(f"SELECT tile, '{f}' AS field, count({f}) AS n, {_r(f'avg({f})')} AS mean, {at(f, {'med': 0.5})}, {_r(f'stddev_pop({f})')} AS sd FROM refs GROUP BY tile" for f in ("z", "y")),
         "a19_class_summary_row": "SELECT " + ", ".join(f"count(*) FILTER (ref_class = {k}) AS n_{k}, " + ", ".join(f"{_r(f'quantile_cont({x}, {p}) FILTER (ref_class = {k})')} AS {n}_{c}_{k}" for n, x in (("hag", "refh - ground"), ("snr", "snr"), ("density", "discount * 10")) for c, p in three.items()) for k in (1, 2, 7)) + " FROM pulses",
         "a28_closure_summary": " UNION ALL ".join(f"SELECT '{scope}' AS scope, {name} AS name, count(r) AS n, {at('abs(r)', {'med': 0.5, 'p90': 0.9})}, {_r('max(abs(r))')} AS top FROM residuals {group}" for scope, name, group in (("overall", "'all'", ""), ("track", "CAST(track_num AS VARCHAR)", "GROUP BY track_num"), ("roi", "roi", "GROUP BY roi"), ("sweep", "CAST(sweep_num AS VARCHAR)", "GROUP BY sweep_num"))),
+        "a24_error_features": "WITH u AS (SELECT ref_class || '-' || CASE WHEN refh IS NULL THEN 7 WHEN abs(refh - ground) <= 0.4 THEN 2 WHEN refh - ground < 0 THEN 7 WHEN refh - ground > 30 THEN 7 ELSE 1 END AS subset, * FROM pulses) " + " UNION ALL ".join(f"SELECT subset, '{x}' AS feature, count({x}) AS n, {at(x, three)} FROM u GROUP BY subset" for x in ("snr", "amp", "discount", "tax")),
+        "a49_crosstab": "PIVOT (SELECT source, coalesce(lang, 'none') AS lang FROM documents) ON lang USING count(*) GROUP BY source",
+        "a50_property_variation": "SELECT event_type, k AS property, count(DISTINCT json_extract_string(props, '$.' || k)) AS variants, count(*) AS n, min(json_extract_string(props, '$.' || k)) AS first FROM (SELECT event_type, props, unnest(json_keys(props)) AS k FROM events) AS e GROUP BY event_type, k",
         "a30_roi_track": "SELECT roi, track_num, count(*) AS n, count(*) FILTER (snr >= 5) AS detected, " + _r("count(*) FILTER (snr >= 5) / count(*)") + " AS rate, " + ", ".join(f"count({x}) AS {v}_n, " + at(x, {f"{v}_{n}": p for n, p in edge.items()}) for v, x in (("refh", "refh"), ("amp", "CASE WHEN snr >= 5 THEN amp END"))) + " FROM pulses GROUP BY roi, track_num",
         "a31_site_variability": f"WITH t AS (SELECT roi, track_num, quantile_cont(amp, 0.5) AS m FROM (SELECT DISTINCT pulse_index, roi, track_num, amp FROM pulses) AS s GROUP BY roi, track_num) SELECT roi, count(*) AS sites, {at('m', {'med': 0.5})}, {_r('max(m) - min(m)')} AS span, string_agg(CAST(track_num AS VARCHAR), ',' ORDER BY track_num) AS ids FROM t GROUP BY roi",
         "a36_metrics_by_track": f"""

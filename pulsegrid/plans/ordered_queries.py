@@ -28,6 +28,10 @@ def queries() -> dict[str, Query]:
 
         return add
 
+    @query("w1_rolling_median")
+    def _(spark, d):
+        return rounded(ordered.continuity(bound(spark, d, PULSES), ["sweep_num"], ["track_num", "pulse_index"], "amp", 1, 20.0))
+
     @query("w2_lag_difference")
     def _(spark, d):
         return rounded(ordered.jumps(bound(spark, d, GOOD), TRACK, ALONG, "refh", ["x", "y", "refh"]).select("pulse_index", "jump", "turn"), 4)
@@ -91,6 +95,9 @@ def oracle_sql() -> dict[str, str]:
     along = "(PARTITION BY track_num ORDER BY sweep_num, pulse_index)"
     step = "sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2))"
     o = {
+        "w1_rolling_median": f"""
+            WITH r AS (SELECT sweep_num, abs(amp - median(amp) OVER (PARTITION BY sweep_num ORDER BY track_num, pulse_index ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS r FROM pulses)
+            SELECT sweep_num, {_r('median(r)')} AS med, {_r('quantile_cont(r, 0.95)')} AS p95, {_r('max(r)')} AS top, count(*) FILTER (r >= 20) AS jumps FROM r GROUP BY sweep_num""",
         "w2_lag_difference": f"""
             WITH p AS (SELECT pulse_index, refh, x, y, lag(refh) OVER w AS h0, lag(x) OVER w AS x0, lag(y) OVER w AS y0 FROM good WINDOW w AS {along})
             SELECT pulse_index, {_r('abs(refh - h0)', 4)} AS jump, {_r('CASE WHEN h0 IS NOT NULL THEN degrees(acos(least(1, greatest(-1, (x * x0 + y * y0 + refh * h0) / (sqrt(x * x + y * y + refh * refh) * sqrt(x0 * x0 + y0 * y0 + h0 * h0)))))) END', 4)} AS turn FROM p""",

@@ -57,8 +57,6 @@ def plans(d: Dialect) -> dict[str, str]:
     q["j23_parameter_grid"] = "SELECT DISTINCT g.source AS file_, a.lo, b.hi FROM (SELECT DISTINCT source FROM documents) AS g CROSS JOIN (SELECT 1 AS lo UNION ALL SELECT 2 UNION ALL SELECT 2) AS a CROSS JOIN (SELECT 5 AS hi UNION ALL SELECT 6) AS b"
     q["j24_strong_bin_distance"] = "SELECT pulse_index, bin, least(bin - max(CASE WHEN v > 2e-1 THEN bin END) OVER (PARTITION BY pulse_index ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), min(CASE WHEN v > 2e-1 THEN bin END) OVER (PARTITION BY pulse_index ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - bin) AS gap FROM bins"
     # ---- windows
-    med9 = f"{d.pick('percentile', 'quantile_cont')}(v, 0.5) OVER (PARTITION BY pulse_index ORDER BY bin ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)"
-    q["w1_rolling_median"] = f"SELECT pulse_index, {_r(d.pct('abs(v - m)', 0.5))} AS med, {_r(d.pct('abs(v - m)', 0.95))} AS p95, {_r('max(abs(v - m))')} AS top, count(CASE WHEN abs(v - m) >= 2e-1 THEN 1 END) AS jumps FROM (SELECT pulse_index, v, {med9} AS m FROM bins) AS w GROUP BY pulse_index"
     order = "PARTITION BY track_num ORDER BY sweep_num, pulse_index"
     q["w6_rank_by_amplitude"] = "SELECT pulse_index, bin, row_number() OVER (PARTITION BY pulse_index ORDER BY v DESC, bin) AS rk FROM bins"
     q["w7_config_ranking"] = "SELECT roi, granule, track_num, row_number() OVER (ORDER BY round(m, 6) DESC, n DESC, roi, granule, track_num) AS rk FROM (SELECT roi, granule, track_num, avg(abs(r)) AS m, count(*) AS n FROM residuals GROUP BY 1, 2, 3) AS g"

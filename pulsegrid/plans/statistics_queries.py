@@ -125,7 +125,6 @@ def plans(d: Dialect) -> dict[str, str]:
     q["a21_all_files_rollup"] = "SELECT CASE WHEN grouping(source) = 1 THEN '__all__' ELSE source END AS file, count(*) AS n, count(CASE WHEN t = p THEN 1 END) AS hits FROM truth GROUP BY ROLLUP(source)"
     q["a22_class_drift"] = "WITH f AS (SELECT c.class, avg(CASE WHEN t = c.class THEN 1e0 ELSE 0e0 END) AS a, avg(CASE WHEN p = c.class THEN 1e0 ELSE 0e0 END) AS b FROM truth CROSS JOIN (SELECT 1 AS class UNION ALL SELECT 2 UNION ALL SELECT 7) AS c GROUP BY c.class) SELECT round(sum(abs(a - b)), 6) AS drift FROM f"
     q["a23_objective_score"] = f"WITH r AS ({_report()}) SELECT round(5e-1 * max(CASE WHEN class = 2 THEN f1 END) + 3e-1 * max(CASE WHEN class = 7 THEN f1 END) + 2e-1 * max(CASE WHEN class = -1 THEN f1 END) - CASE WHEN min(CASE WHEN class > 0 THEN f1 END) < 1e-1 THEN 1e-1 ELSE 0e0 END, 5) AS score FROM r"
-    q["a24_error_features"] = f"WITH u AS (SELECT CASE WHEN t = p THEN 'correct' ELSE 'error' END AS subset, CAST(n_chars AS DOUBLE) AS v FROM truth) SELECT subset, 'n_chars' AS feature, count(v) AS n, {_r(d.pct('v', 0.05))} AS p05, {_r(d.pct('v', 0.5))} AS med, {_r(d.pct('v', 0.95))} AS p95 FROM u GROUP BY subset"
     q["a25_threshold_shares"] = "SELECT t.lim AS lim, round(avg(CASE WHEN abs(r) < t.lim THEN 1e0 ELSE 0e0 END), 6) AS share FROM residuals CROSS JOIN (SELECT 1e-1 AS lim UNION ALL SELECT 5e-1 UNION ALL SELECT 1e0 UNION ALL SELECT 2e0) AS t GROUP BY t.lim"
     q["a26_sweep_summary"] = f"SELECT sweep_num, count(*) AS n, {_r(d.pct('amp', 0.5))} AS amp, {_r(d.pct('snr', 0.5))} AS snr, {_r('avg(CASE WHEN snr > 5 THEN 1e0 ELSE 0e0 END)')} AS good, {_r('avg(CASE WHEN refh IS NULL THEN 1e0 ELSE 0e0 END)')} AS missing FROM pulses GROUP BY sweep_num"
     q["a27_fixed_bin_stripe"] = f"WITH b AS (SELECT track_num, CAST({d.rint('amp')} AS BIGINT) AS bin FROM pulses), m AS (SELECT track_num, {d.mode('bin')} AS top FROM b GROUP BY track_num) SELECT b.track_num, max(m.top) AS top, {_r('avg(CASE WHEN abs(b.bin - m.top) <= 1 THEN 1e0 ELSE 0e0 END)')} AS share, avg(CASE WHEN abs(b.bin - m.top) <= 1 THEN 1e0 ELSE 0e0 END) > 3e-1 AS stripe FROM b JOIN m ON b.track_num = m.track_num GROUP BY b.track_num"
@@ -144,8 +143,6 @@ def plans(d: Dialect) -> dict[str, str]:
     q["a44_leave_one_out"] = f"WITH s AS (SELECT sum(r) AS t, count(*) AS n, avg(r) AS m FROM residuals) SELECT pulse_index, round((t - r) / (n - 1) - m, 9) AS delta FROM residuals CROSS JOIN s"
     q["a47_noise_counts"] = _counts_by_bit(d)
     q["a48_inventory"] = "SELECT v.lang, count(d.doc_id) AS n, CAST(coalesce(sum(d.n_chars), 0) AS BIGINT) AS bytes FROM (SELECT 'en' AS lang UNION ALL SELECT 'de' UNION ALL SELECT 'fr' UNION ALL SELECT 'es' UNION ALL SELECT 'xx') AS v LEFT JOIN documents d ON d.lang = v.lang GROUP BY v.lang"
-    q["a49_crosstab"] = "SELECT source, " + ", ".join(f"count(CASE WHEN lang = '{g}' THEN 1 END) AS {g}_n" for g in ("en", "de", "fr", "es")) + " FROM documents GROUP BY source"
-    q["a50_property_variation"] = "SELECT event_type, count(DISTINCT props) AS variants, count(*) AS n FROM events GROUP BY event_type"
     q["a52_window_screening"] = f"SELECT {d.floor('x / 100e0')} AS wx, {d.floor('y / 100e0')} AS wy, count(*) AS n, {_r('avg(CASE WHEN snr >= 5 THEN 1e0 ELSE 0e0 END)')} AS good, {_r(d.pct('refh', 0.95))} AS p95, {_r(f'avg(CASE WHEN snr >= 5 THEN 1e0 ELSE 0e0 END) * ({d.pct("refh", 0.95)} - {d.pct("refh", 0.05)})')} AS score FROM good GROUP BY 1, 2"
     q["a53_open_site"] = f"SELECT cx, cy, pulse_index, snr FROM (SELECT cx, cy, pulse_index, snr, row_number() OVER (PARTITION BY cx, cy ORDER BY snr DESC, pulse_index) AS rk FROM (SELECT *, {d.floor('x / 50e0')} AS cx, {d.floor('y / 50e0')} AS cy FROM good) AS c) AS w WHERE rk = 1"
     q["a56_rule_exploration"] = "SELECT lim, round(2e0 * sum(CASE WHEN said AND t = 7 THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN said THEN 1 ELSE 0 END) + sum(CASE WHEN t = 7 THEN 1 ELSE 0 END), 0), 6) AS f1 FROM (SELECT t, lim, n_chars < lim AS said FROM truth CROSS JOIN (SELECT 200 AS lim UNION ALL SELECT 500 UNION ALL SELECT 1000 UNION ALL SELECT 2000) AS r) AS e GROUP BY lim"

@@ -131,6 +131,18 @@ def test_history_shares_and_thirds(table, rows):
         assert (third.loc[g.id, "role"].to_numpy() == want).all()
 
 
+def test_continuity(table, rows):
+    got = {r["k"]: r for r in ordered.continuity(table, ["k"], ["seq", "id"], "v", 4, 3.0).collect()}
+    for k, g in groups(rows).items():
+        v = g.v.dropna().reset_index(drop=True)
+        far = (v - v.rolling(9, center=True, min_periods=1).median()).abs()
+        r = got[k]
+        if len(v):
+            assert abs(r["med"] - far.median()) < 1e-9 and abs(r["p95"] - far.quantile(0.95)) < 1e-9 and r["top"] == far.max() and r["jumps"] == (far >= 3).sum()
+        else:
+            assert r["med"] is None and r["jumps"] == 0
+
+
 def test_case_pick(table, rows):
     got = {(r["k"], r["pick"]): r["id"] for r in ordered.case_pick(table, ["k"], "w", "id", "on", 1.0, 0.5, 3.0).collect()}
     want = {}
