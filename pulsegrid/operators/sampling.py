@@ -7,6 +7,9 @@ from math import exp
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.lineage import cut
+from pulsegrid.operators.ordered import Ordered
+
 
 def _order(key: str, seed: int) -> list[Column]:
     return [F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), F.col(key)]
@@ -80,3 +83,25 @@ def block_bootstrap(df: DataFrame, block: str | Column, value: str | Column, rep
     weight = sum(((u >= t).cast("int") for t in steps), F.lit(0))
     means = each.withColumn("_w", weight).groupBy("rep").agg((F.sum(F.col("_w") * F.col("_s")) / F.nullif(F.sum(F.col("_w") * F.col("_c")), F.lit(0))).alias("mean"))
     return means.agg(F.percentile("mean", F.lit(ends[0])).alias("low"), F.percentile("mean", F.lit(ends[1])).alias("high"), F.count("*").alias("n"))
+
+
+GOLDEN = 0.618033988749895
+
+
+def proportional(df: DataFrame, group: str, order: list[str], budget: int, parts: int | None = None) -> DataFrame:
+    """At most ``budget`` rows: each group gets its share by largest remainder (ties to the smaller group), at even places along its
+    order. The first place of the k-th group is shifted by the fraction of k golden ratios, so that picks do not line up over groups."""
+    counts = cut(df.groupBy(group).agg(F.count("*").alias("_n")))
+    total = counts.agg(F.sum("_n").alias("n")).first()["n"] or 0
+    budget = min(total, max(0, budget))
+    exact = F.col("_n") * F.lit(budget / max(total, 1))
+    shares = cut(Ordered(counts, [], [group], parts).running("_k", F.lit(1)).result().withColumn("_whole", F.floor(exact)).withColumn("_rest", -(exact - F.floor(exact))))
+    left = budget - (shares.agg(F.sum("_whole").alias("n")).first()["n"] or 0)
+    ranked = Ordered(shares, [], ["_rest", group], parts).running("_r", F.lit(1)).result()
+    quotas = ranked.select(F.col(group).alias("_g"), "_n", (F.col("_k") - 1).alias("_k"), (F.col("_whole") + (F.col("_r") <= left).cast("bigint")).alias("_q")).where("_q > 0")
+    rows = Ordered(df, [group], order, parts).running("_i", F.lit(1)).result()
+    met = rows.join(quotas, F.col(group).eqNullSafe(F.col("_g")))
+    phase = F.col("_k") * GOLDEN - F.floor(F.col("_k") * GOLDEN)
+    at = F.ceil((F.col("_i") - 1) * F.col("_q") / F.col("_n") - phase)
+    taken = [(j >= 0) & (j < F.col("_q")) & (F.floor((j + phase) * F.col("_n") / F.col("_q")) == F.col("_i") - 1) for j in (at - 1, at, at + 1)]
+    return met.where(taken[0] | taken[1] | taken[2]).select(*df.columns)

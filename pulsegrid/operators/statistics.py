@@ -182,3 +182,21 @@ def clipped_median(df: DataFrame, value: str, rounds: int = 3, k: float = 3.0, l
         kept = kept.where(F.abs(F.col("v") - F.lit(med).cast("double")) <= F.lit(k) * F.lit(nmad).cast("double"))
     med, nmad = median_nmad(kept, "v", 0.0)
     return kept.agg(F.count("*").alias("n")).select("n", F.lit(med).cast("double").alias("med"), F.lit(nmad).cast("double").alias("nmad"))
+
+
+def select_configuration(metrics: DataFrame, evidence: DataFrame, population: str = "candidate_selection") -> DataFrame:
+    """One row (candidate, status, rank, rmse): the candidate with the best evidence, of equal evidence the least mean RMSE, then the
+    smaller name. metrics has candidate, role and rmse; evidence has candidate, verified, complete, provisional and rank.
+
+    Verified candidates with a complete operation come before provisional ones. Metrics of another population than the one for
+    selection are an error, as is having no candidate at all."""
+    roles = [r["role"] for r in metrics.where(~F.col("role").eqNullSafe(F.lit(population))).select("role").distinct().limit(5).collect()]
+    if roles:
+        raise ValueError(f"forbidden populations: {sorted(map(str, roles))}")
+    known = metrics.groupBy("candidate").agg(F.avg("rmse").alias("rmse")).join(evidence, "candidate").where(F.coalesce("complete", F.lit(True)))
+    status = F.when(F.col("verified"), "verified").when(F.col("provisional"), "provisional")
+    ranked = known.withColumn("status", status).where("status IS NOT NULL").select(F.struct((F.col("status") == "provisional").alias("late"), (-F.coalesce("rank", F.lit(0))).alias("worse"), "rmse", "candidate", "status", "rank").alias("c"))
+    out = ranked.agg(F.min("c").alias("c")).where("c IS NOT NULL").select("c.candidate", "c.status", "c.rank", "c.rmse")
+    if out.isEmpty():
+        raise ValueError("no verified or provisional candidate")
+    return out

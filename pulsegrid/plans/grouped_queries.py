@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import classify, quantiles, statistics
+from pulsegrid.operators import classify, quantiles, sampling, statistics
 from pulsegrid.operators.lineage import cut
 from pulsegrid.plans.binding import with_tables
 from pulsegrid.plans.dialect import Dialect
@@ -103,6 +103,16 @@ def queries() -> dict[str, Query]:
         each = [s.select("subset", F.lit(n).alias("feature"), *[F.col(f"{n}_{c}").alias(c) for c in ("n", "p05", "med", "p95")]) for n in names]
         return rounded(reduce(DataFrame.unionByName, each))
 
+    @query("c7_selection")
+    def _(spark, d):
+        metrics = bound(spark, d, "SELECT roi AS candidate, 'candidate_selection' AS role, sqrt(avg(r * r)) AS rmse FROM residuals GROUP BY roi, granule")
+        evidence = bound(spark, d, "SELECT DISTINCT roi AS candidate, roi = 'R' AS verified, roi <> 'R' AS complete, true AS provisional, CASE roi WHEN 'R' THEN 9 ELSE 4 END AS rank FROM pulses")
+        return rounded(statistics.select_configuration(metrics, evidence))
+
+    @query("t11_proportional_quota")
+    def _(spark, d):
+        return sampling.proportional(bound(spark, d, "SELECT roi, pulse_index FROM pulses WHERE refh IS NOT NULL"), "roi", ["pulse_index"], 1000)
+
     @query("a49_crosstab")
     def _(spark, d):
         known = bound(spark, d, "SELECT source, coalesce(lang, 'none') AS lang FROM documents")
@@ -202,6 +212,13 @@ def oracle_sql() -> dict[str, str]:
         "a24_error_features": "WITH u AS (SELECT ref_class || '-' || CASE WHEN refh IS NULL THEN 7 WHEN abs(refh - ground) <= 0.4 THEN 2 WHEN refh - ground < 0 THEN 7 WHEN refh - ground > 30 THEN 7 ELSE 1 END AS subset, * FROM pulses) " + " UNION ALL ".join(f"SELECT subset, '{x}' AS feature, count({x}) AS n, {at(x, three)} FROM u GROUP BY subset" for x in ("snr", "amp", "discount", "tax")),
         "a49_crosstab": "PIVOT (SELECT source, coalesce(lang, 'none') AS lang FROM documents) ON lang USING count(*) GROUP BY source",
         "a50_property_variation": "SELECT event_type, k AS property, count(DISTINCT json_extract_string(props, '$.' || k)) AS variants, count(*) AS n, min(json_extract_string(props, '$.' || k)) AS first FROM (SELECT event_type, props, unnest(json_keys(props)) AS k FROM events) AS e GROUP BY event_type, k",
+        "c7_selection": f"WITH m AS (SELECT roi, sqrt(avg(r * r)) AS e FROM residuals GROUP BY roi, granule) SELECT roi AS candidate, 'provisional' AS status, 4 AS rank, {_r('avg(e)')} AS rmse FROM m WHERE roi <> 'R' GROUP BY roi ORDER BY avg(e), roi LIMIT 1",
+        "t11_proportional_quota": """
+            WITH p AS (SELECT roi, pulse_index, row_number() OVER (PARTITION BY roi ORDER BY pulse_index) - 1 AS i FROM pulses WHERE refh IS NOT NULL),
+            c AS (SELECT roi, count(*) AS n, row_number() OVER (ORDER BY roi) - 1 AS k, count(*) * (1000e0 / sum(count(*)) OVER ()) AS e FROM p GROUP BY roi),
+            q AS (SELECT *, floor(e) + CASE WHEN row_number() OVER (ORDER BY floor(e) - e, roi) <= 1000 - sum(floor(e)) OVER () THEN 1 ELSE 0 END AS q, k * 0.618033988749895e0 - floor(k * 0.618033988749895e0) AS ph FROM c),
+            t AS (SELECT roi, CAST(floor((j + ph) * n / q) AS BIGINT) AS i FROM q, unnest(generate_series(0, CAST(q AS BIGINT) - 1)) AS s(j))
+            SELECT roi, pulse_index FROM p JOIN t USING (roi, i)""",
         "a30_roi_track": "SELECT roi, track_num, count(*) AS n, count(*) FILTER (snr >= 5) AS detected, " + _r("count(*) FILTER (snr >= 5) / count(*)") + " AS rate, " + ", ".join(f"count({x}) AS {v}_n, " + at(x, {f"{v}_{n}": p for n, p in edge.items()}) for v, x in (("refh", "refh"), ("amp", "CASE WHEN snr >= 5 THEN amp END"))) + " FROM pulses GROUP BY roi, track_num",
         "a31_site_variability": f"WITH t AS (SELECT roi, track_num, quantile_cont(amp, 0.5) AS m FROM (SELECT DISTINCT pulse_index, roi, track_num, amp FROM pulses) AS s GROUP BY roi, track_num) SELECT roi, count(*) AS sites, {at('m', {'med': 0.5})}, {_r('max(m) - min(m)')} AS span, string_agg(CAST(track_num AS VARCHAR), ',' ORDER BY track_num) AS ids FROM t GROUP BY roi",
         "a36_metrics_by_track": f"""

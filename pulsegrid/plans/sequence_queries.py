@@ -114,7 +114,6 @@ def plans(d: Dialect) -> dict[str, str]:
     q["a46_stationarity"] = f"SELECT track_num, seg, {_r('avg(v)')} AS mean, {_r('stddev_pop(v)')} AS sd, {_r('corr(v, prev)')} AS lag1 FROM (SELECT track_num, {d.floor('bin / 16e0')} AS seg, v, lag(v) OVER (PARTITION BY pulse_index ORDER BY bin) AS prev FROM bins) AS w GROUP BY track_num, seg"
     # ---- classes
     q["c3_label_mapping"] = "SELECT ref_id, CASE WHEN class = 2 THEN 2 WHEN class IN (7, 18) THEN 7 ELSE 1 END AS mapped FROM refs"
-    q["c7_selection"] = "SELECT roi, granule FROM (SELECT roi, granule, row_number() OVER (ORDER BY CASE roi WHEN 'A' THEN 0 ELSE 1 END, round(sqrt(avg(r * r)), 6), granule) AS rk FROM residuals GROUP BY roi, granule) AS w WHERE rk = 1"
     # ---- rasters
     q["r1_grid_key"] = f"WITH b AS (SELECT min(x) AS x0, max(y) AS y1 FROM good) SELECT pulse_index, {d.floor('(y1 - y) / 2e0')} AS row_, {d.floor('(x - x0) / 2e0')} AS col FROM good CROSS JOIN b"
     cells = f"SELECT DISTINCT {d.floor('x / 10e0')} AS ix, {d.floor('y / 10e0')} AS iy FROM good WHERE snr > 8"

@@ -152,7 +152,6 @@ def plans(d: Dialect) -> dict[str, str]:
     q["t2_first_k_components"] = "SELECT pulse_index, bin, rk FROM (SELECT pulse_index, bin, row_number() OVER (PARTITION BY pulse_index ORDER BY v DESC, bin) AS rk FROM bins) AS w WHERE rk <= 3"
     q["t4_workunit_order"] = "SELECT p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size >= 25 THEN 0 ELSE 1 END, p_size, p_retailprice, p_partkey) AS pos FROM part"
     q["t6_range_step"] = f"SELECT DISTINCT p.sweep_num FROM pulses p JOIN (SELECT k FROM (SELECT 1 AS one) AS o CROSS JOIN {d.each('100', '400')} AS s WHERE {d.mod('k - 100', '7')} = 0) AS w ON p.sweep_num = w.k"
-    q["t11_proportional_quota"] = f"WITH s AS (SELECT track_num, count(*) AS n, sum(count(*)) OVER () AS total FROM pulses GROUP BY track_num), f AS (SELECT track_num, n, {d.floor('n * 1000e0 / total')} AS base, n * 1000e0 / total - floor(n * 1000e0 / total) AS rest FROM s), g AS (SELECT *, row_number() OVER (ORDER BY rest DESC, track_num) AS rk, 1000 - sum(base) OVER () AS left_over FROM f) SELECT track_num, CAST(base + CASE WHEN rk <= left_over THEN 1 ELSE 0 END AS BIGINT) AS quota FROM g"
 
     # ---- sets
     q["u1_union_by_name"] = "SELECT 'ref' AS kind, ref_id AS id, x, y, z, tile FROM refs UNION ALL SELECT 'station', station_id, x, y, z, NULL FROM stations"
