@@ -71,7 +71,7 @@ def plans(d: Dialect) -> dict[str, str]:
     q["w15_gap_interpolation"] = f"SELECT pulse_index, bin, {_r('coalesce(CASE WHEN b1 = b0 THEN v0 ELSE v0 + (v1 - v0) * (bin - b0) / nullif(b1 - b0, 0) END, v0, v1)')} AS v FROM (SELECT pulse_index, bin, {ig} AS v0, {ig2} AS v1, {ib} AS b0, {ib2} AS b1 FROM (SELECT pulse_index, bin, CASE WHEN abs(v) < 2e-1 THEN v END AS v FROM bins) AS n) AS w"
     # ---- scalars
     q["f1_safe_divide"] = f"SELECT pulse_index, {_r('amp / nullif(discount, 0)')} AS v FROM pulses"
-    q["f2_normalise"] = f"WITH l AS (SELECT {d.pct('amp', 0.02)} AS lo, {d.pct('amp', 0.98)} AS hi FROM pulses) SELECT pulse_index, {_r('least(greatest((amp - lo) / nullif(hi - lo, 0), 0e0), 1e0)')} AS v, CAST(least(greatest(amp * 1000, 0), 65535) AS BIGINT) > 50000 AS bright FROM pulses CROSS JOIN l"
+    q["f2_normalise"] = f"WITH l AS (SELECT {d.pct('amp', 0.02)} AS lo, {d.pct('amp', 0.98)} AS hi FROM pulses) SELECT pulse_index, {_r('least(greatest((amp - lo) / nullif(hi - lo, 0), 0e0), 1e0)')} AS v, {d.floor('least(greatest(amp * 1000, 0), 65535)')} > 50000 AS bright FROM pulses CROSS JOIN l"
     q["f3_math"] = f"SELECT pulse_index, {_r('ln(1 + amp)')} AS l1p, {_r('log10(amp)')} AS l10, {_r('sqrt(amp)')} AS sq, {_r('asinh(amp)')} AS ash, {_r('cbrt(amp)')} AS cb, {_r('exp(-snr)')} AS ex, {_r('degrees(acos(discount))')} AS ac, {_r('atan2(amp, snr)')} AS at2 FROM pulses"
     q["f4_bits"] = "SELECT track_num, CAST(1 << CAST(track_num AS INT) AS BIGINT) AS bit, CAST(bit_count(CAST(track_num * 37 AS BIGINT)) AS BIGINT) AS ones, (track_num & 3) AS low FROM (SELECT DISTINCT track_num FROM pulses) AS t"
     q["f5_binning"] = f"SELECT pulse_index, CASE WHEN snr <= 2 THEN 0 WHEN snr <= 5 THEN 1 ELSE 2 END AS snr_bin, {d.floor('sweep_num / 512e0')} AS block, {d.mod('track_num', '4')} AS phase, CAST(least(floor(x / 50e0), 3) * 4 + least(floor(y / 50e0), 3) AS BIGINT) AS quad FROM pulses"
