@@ -332,13 +332,14 @@ def oracle_sql() -> dict[str, str]:
             e AS (SELECT station_id, ps, pos, arg_max(h, h) FILTER (h <= pos) AS h0, arg_max(lp, h) FILTER (h <= pos) AS lp0, arg_max(t, h) FILTER (h <= pos) AS t0, arg_max(q, h) FILTER (h <= pos) AS q0, arg_min(h, h) FILTER (h > pos) AS h1, arg_min(lp, h) FILTER (h > pos) AS lp1, arg_min(t, h) FILTER (h > pos) AS t1, arg_min(q, h) FILTER (h > pos) AS q1, any_value(pos = z) AS low
                 FROM l, LATERAL (SELECT unnest([z, top]) AS pos) AS a GROUP BY station_id, ps, pos),
             n AS (SELECT station_id, h, exp(lp) AS p, t - 273.15 AS c, q FROM l WHERE h > z AND h < top UNION ALL
-                SELECT station_id, pos, CASE WHEN low THEN ps ELSE exp(coalesce(lp0 + (lp1 - lp0) * (pos - h0) / (h1 - h0), lp1)) END, coalesce(t0 + (t1 - t0) * (pos - h0) / (h1 - h0), t1) - 273.15, coalesce(q0 + (q1 - q0) * (pos - h0) / (h1 - h0), q1) FROM e),
+                SELECT station_id, pos, CASE WHEN low THEN ps ELSE exp(coalesce(lp0 + (lp1 - lp0) * (pos - h0) / (h1 - h0), lp1, lp0)) END, coalesce(t0 + (t1 - t0) * (pos - h0) / (h1 - h0), t1, t0) - 273.15, coalesce(q0 + (q1 - q0) * (pos - h0) / (h1 - h0), q1, q0) FROM e),
             x AS (SELECT *, q / 0.018015 / (q / 0.018015 + (1 - q) / {mass!r}) AS x FROM n),
             d AS (SELECT *, p / ((1 - p / (c + 273.15) * (1.58123e-6 - 2.9331e-8 * c + 1.1043e-10 * c * c + (5.707e-6 - 2.051e-8 * c) * x + (1.9898e-4 - 2.376e-6 * c) * x * x) + pow(p / (c + 273.15), 2) * (1.83e-11 - 0.765e-8 * x * x)) * 8.31451 * (c + 273.15)) AS dens FROM x),
             r AS (SELECT station_id, h, ({dry!r} * dens * {mass!r} * (1 - x) + {wet!r} * dens * 0.018015 * x) * 1e-8 AS n FROM d),
             g AS (SELECT *, (h - lag(h) OVER w) * (n + lag(n) OVER w) / 2 AS part FROM r WINDOW w AS (PARTITION BY station_id ORDER BY h)),
-            t AS (SELECT station_id, sum(part) AS zen, arg_min(n, h) AS low, arg_max(n, h) AS top FROM g GROUP BY station_id)
-            SELECT station_id, 'integrated' AS path_status, round(zen, 7) AS zenith_path, round(zen / sin(radians(85 + station_id % 5)), 7) AS slant_path, round(low, 11) AS surface_refractivity, round(top, 11) AS instrument_refractivity FROM t""",
+            t AS (SELECT station_id, sum(part) AS zen, arg_min(n, h) AS low, arg_max(n, h) AS top FROM g GROUP BY station_id),
+            b AS (SELECT s.station_id, CASE WHEN count(h) < 3 THEN 'few_levels' WHEN NOT any_value(s.z < s.top) THEN 'bad_endpoints' WHEN any_value(s.z) < min(h) - 1500 OR any_value(s.top) > max(h) + 1500 THEN 'not_bracketed' ELSE 'integrated' END AS path_status FROM s LEFT JOIN l ON l.station_id = s.station_id GROUP BY s.station_id)
+            SELECT b.station_id, path_status, round(zen, 7) AS zenith_path, round(zen / sin(radians(85 + b.station_id % 5)), 7) AS slant_path, round(low, 11) AS surface_refractivity, round(t.top, 11) AS instrument_refractivity FROM b LEFT JOIN t ON t.station_id = b.station_id AND path_status = 'integrated'""",
         "j7_idw_reference": blend(st, rf, 20, "station_id", "ref_id", 8, 3, 4),
         "j8_density": f"SELECT aid AS pulse_index, count(*) AS n, {_r('count(*) / (4 / 3e0 * 3.141592653589793e0 * 27)')} AS density FROM ({_near('good', 'good', 3, 'pulse_index', 'pulse_index', '', ('x', 'y', 'refh'))}) AS n GROUP BY aid",
         "j9_nearest_support": f"SELECT aid AS station_id, count(*) AS n, {_r('min(dist)')} AS nearest, min_by(bid, row(dist, bid)) AS ref_id FROM ({_near(st, rf, 25, 'station_id', 'ref_id')}) AS n GROUP BY aid",
