@@ -95,14 +95,19 @@ def queries() -> dict[str, Query]:
     return q
 
 
-def _peaks(source: str, height: str = "") -> str:
-    """Tables over source (pulse_index, bin, z; null in gaps) that end in pk: peaks of each run with prominence and crossings."""
+def _peaks(source: str, height: str = "", flat: bool = False) -> str:
+    """Tables over source (pulse_index, bin, z; null in gaps) that end in pk: peaks of each run with prominence and crossings; with
+    flat, also the middles of flat tops."""
     keep = f" AND z >= {height}" if height else ""
+    tops = f"pz AS (SELECT pulse_index, run, bin, z FROM nz WHERE z > za AND z > zb{keep})"
+    if flat:  # a top that reaches an end of its run finds itself there, and is none
+        tops = f"""tz AS (SELECT *, count(*) FILTER (z IS DISTINCT FROM za) OVER (PARTITION BY pulse_index, run ORDER BY bin) AS level FROM nz),
+        pz AS (SELECT pulse_index, run, (min(bin) + max(bin)) // 2 AS bin, any_value(z) AS z FROM tz GROUP BY pulse_index, run, level HAVING any_value(z) > arg_min(za, bin) AND any_value(z) > arg_max(zb, bin){keep})"""
     return f"""
         wz AS (SELECT *, count(*) FILTER (z IS NULL) OVER (PARTITION BY pulse_index ORDER BY bin) AS run FROM {source}),
         fz AS (SELECT pulse_index, run, bin, z FROM wz WHERE z IS NOT NULL),
         nz AS (SELECT *, lag(z) OVER g AS za, lead(z) OVER g AS zb FROM fz WINDOW g AS (PARTITION BY pulse_index, run ORDER BY bin)),
-        pz AS (SELECT pulse_index, run, bin, z FROM nz WHERE z > za AND z > zb{keep}),
+        {tops},
         lz AS (SELECT p.pulse_index, p.run, p.bin, any_value(p.z) AS z, coalesce(max(f.bin) FILTER (f.bin < p.bin AND f.z > p.z), -1) AS l, coalesce(min(f.bin) FILTER (f.bin > p.bin AND f.z > p.z), 1000000) AS r FROM pz p JOIN fz f USING (pulse_index, run) GROUP BY ALL),
         mz AS (SELECT p.pulse_index, p.run, p.bin, any_value(p.z) AS z, any_value(p.z) - greatest(min(f.z) FILTER (f.bin > l AND f.bin <= p.bin), min(f.z) FILTER (f.bin < r AND f.bin >= p.bin)) AS prom FROM lz p JOIN fz f USING (pulse_index, run) GROUP BY ALL),
         cz AS (SELECT p.pulse_index, p.run, p.bin, any_value(p.z) AS z, any_value(prom) AS prom, any_value(p.z - prom / 2) AS h, max(f.bin) FILTER (f.bin < p.bin AND f.z <= p.z - prom / 2) AS i, min(f.bin) FILTER (f.bin > p.bin AND f.z <= p.z - prom / 2) AS j FROM mz p JOIN fz f USING (pulse_index, run) GROUP BY ALL),
@@ -161,10 +166,10 @@ def oracle_sql() -> dict[str, str]:
                 {_r('0.45 * least(p / 0.5, 1) + 0.35 * least(greatest(coalesce(ms, 0) / 12, 0), 1) + 0.1 * ew + 0.1 * (1 - abs(corr))')} AS score FROM w""",
         "v13_all_bin_events": f"{standard}, nv AS (SELECT pulse_index, any_value(track_num) AS track_num, any_value(sweep_num) AS sweep_num, count(v) AS n FROM gb GROUP BY pulse_index) SELECT pk.pulse_index, track_num, sweep_num, pk.bin, {_r('z')} AS excess, {_r('prom')} AS prominence, {_r('x1 - x0')} AS width, {_r('v')} AS raw, n AS n_valid FROM pk JOIN nv USING (pulse_index) JOIN gb ON gb.pulse_index = pk.pulse_index AND gb.bin = pk.bin WHERE z >= 1.5 AND prom >= 1".replace("track_num, sweep_num, pk.bin", "nv.track_num, nv.sweep_num, pk.bin"),
         "v19_morphology": f"""
-            WITH {g.replace('gapped g', '(SELECT pulse_index, rx FROM waves) AS g')}, md AS (SELECT pulse_index, median(v) AS m FROM gb GROUP BY pulse_index), sg AS (SELECT pulse_index, {MAD} * median(abs(v - m)) AS sigma FROM gb JOIN md USING (pulse_index) GROUP BY pulse_index),
-            sz AS (SELECT pulse_index, bin, v - m AS z FROM gb JOIN md USING (pulse_index)), {_peaks('sz')},
+            WITH {g.replace('gapped g', '(SELECT pulse_index, list_transform(rx, lambda v: CAST(v AS DOUBLE)) AS rx FROM waves) AS g')}, md AS (SELECT pulse_index, median(v) AS m FROM gb GROUP BY pulse_index), sg AS (SELECT pulse_index, coalesce(nullif({MAD} * median(abs(v - m)), 0), nullif(stddev_pop(v), 0), 1) AS sigma FROM gb JOIN md USING (pulse_index) GROUP BY pulse_index),
+            sz AS (SELECT pulse_index, bin, v - m AS z FROM gb JOIN md USING (pulse_index)), {_peaks('sz', flat=True)},
             ok AS (SELECT pk.*, row_number() OVER (PARTITION BY pulse_index ORDER BY prom DESC, bin) AS k FROM pk JOIN sg USING (pulse_index) WHERE z >= 2 * sigma AND prom >= sigma),
-            tp AS (SELECT pulse_index, arg_max(bin, z) AS top, count(*) AS bins FROM sz GROUP BY pulse_index),
+            tp AS (SELECT pulse_index, arg_max(bin, row(z, -bin)) AS top, count(*) AS bins FROM sz GROUP BY pulse_index),
             ct AS (SELECT pulse_index, count(*) AS n, max(z) FILTER (k = 1) AS z1, max(z) FILTER (k = 2) AS z2, max(x1 - x0) FILTER (k = 1) AS w FROM ok GROUP BY pulse_index)
             SELECT pulse_index, CASE WHEN top < 2 OR top > bins - 3 THEN 'boundary' WHEN n IS NULL THEN 'weak' WHEN z2 > 0.95 * z1 THEN 'near_tie' WHEN w > 12 THEN 'wide' WHEN n = 1 THEN 'single' WHEN n = 2 THEN 'double' ELSE 'multiple' END AS category, coalesce(n, 0) AS n FROM tp LEFT JOIN ct USING (pulse_index)""",
         "v20_curtain": f"WITH {g}, h AS (SELECT k, 120 - 2.5e0 * k AS h, k * 63 / 40e0 AS pl FROM unnest(generate_series(0, 40)) AS t(k)) SELECT a.pulse_index, h, {_r('CASE WHEN pl = floor(pl) THEN a.v ELSE a.v * (1 - pl + floor(pl)) + b.v * (pl - floor(pl)) END')} AS v FROM h JOIN gb a ON a.bin = floor(pl) LEFT JOIN gb b ON b.pulse_index = a.pulse_index AND b.bin = a.bin + 1 WHERE a.v IS NOT NULL AND (pl = floor(pl) OR b.v IS NOT NULL)",
