@@ -110,11 +110,13 @@ def _first(hag: Column, density: Column, has_ground: Column, o: CascadeOptions)
 
 
 def classify(points: DataFrame, options: CascadeOptions = CascadeOptions(), height: str = "refh", ground: str = "ground", density: str = "density", snr: str = "snr", amp: str = "amp", track: str = "track_num", sweep: str = "sweep_num", support: str = "support_dist") -> DataFrame:
-    """points with hag, class and reason (code). ground is null where no ground is known; columns that points lack switch their rules off."""
+    """points with hag, class and reason (code). ground is null where no ground is known; columns that points lack switch their rules off.
+
+    hag is rounded to a billionth, so that a height on a limit is on it however the ground was interpolated."""
     o, has = options, set(points.columns)
     missing = F.lit(None).cast("double")
     field = lambda c: finite(c) if c in has else missing
-    out = points.withColumn("hag", finite(height) - finite(ground))
+    out = points.withColumn("hag", F.round(finite(height) - finite(ground), 9))
     if o.scanline_noise or o.signal_density_noise:
         out = cut(out)  # what follows reads it for each statistic
     scan = [(c, z) for c, z, on in ((track, "_track_z", o.scanline_track), (sweep, "_sweep_z", o.scanline_sweep)) if on and c in has and o.scanline_noise]

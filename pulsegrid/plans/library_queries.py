@@ -199,7 +199,7 @@ def oracle_sql() -> dict[str, str]:
     d = Dialect(False)
     cell = lambda size, a="": f"floor({a}x / {size}e0) AS ix, floor({a}y / {size}e0) AS iy"
     points = f"""p AS (SELECT *, {cell(15)} FROM pulses), g AS (SELECT ix, iy, quantile_cont(refh, 0.02) AS z, count(refh) AS n FROM p WHERE snr >= 5 AND refh IS NOT NULL GROUP BY ix, iy),
-        k AS (SELECT p.* EXCLUDE (ground), g.z AS gz, g.n / 225e0 AS dens, CASE WHEN g.z IS NOT NULL THEN sqrt(pow(x - (p.ix + 0.5) * 15, 2) + pow(y - (p.iy + 0.5) * 15, 2)) END AS away, refh - g.z AS hag FROM p LEFT JOIN g ON g.ix = p.ix AND g.iy = p.iy)"""
+        k AS (SELECT p.* EXCLUDE (ground), g.z AS gz, g.n / 225e0 AS dens, CASE WHEN g.z IS NOT NULL THEN sqrt(pow(x - (p.ix + 0.5) * 15, 2) + pow(y - (p.iy + 0.5) * 15, 2)) END AS away, round(refh - g.z, 9) AS hag FROM p LEFT JOIN g ON g.ix = p.ix AND g.iy = p.iy)"""
     z_of = lambda name, group: f"{name}m AS (SELECT {group}, median(hag) AS m FROM k WHERE hag IS NOT NULL GROUP BY {group} HAVING count(*) >= 4), {name} AS (SELECT k.{group}, any_value(m) AS m, greatest(1e-6, {MAD} * median(abs(hag - m))) AS s FROM k JOIN {name}m ON {name}m.{group} = k.{group} WHERE hag IS NOT NULL GROUP BY k.{group})"
     modes = {
         "height_only": [("ground", 2, 1), ("low", 7, 3), ("high", 7, 4)],
