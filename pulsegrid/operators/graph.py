@@ -1,8 +1,8 @@
 """Connected components of an edge table by distributed union-find, in DataFrame operations alone.
 
 Each round hooks every node to its smallest neighbour, follows the parents until they are roots, and contracts the
-edges to roots; the edges shrink at least geometrically on any but contrived graphs, so a few rounds do. Each step is
-written to the checkpoint folder. Nulls on either end are ignored, repeated edges count once, and self-loops are left out.
+edges to roots; the edges shrink at least geometrically on any but contrived graphs, so a few rounds do. Each step is a
+table in the shared folder. Nulls on either end are ignored, repeated edges count once, and self-loops are left out.
 """
 
 from __future__ import annotations
@@ -10,14 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.lineage import shared
+
 #: Rows of a small table that one partition is worth.
 SMALL_ROWS = 50_000
 
 
 def counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """The checkpointed table and its number of rows; a small one goes on in few partitions, so that what follows makes few
-    tasks and files."""
-    out = df.checkpoint()
+    """The written table and its number of rows; a small one goes on in few partitions, so that what follows makes few
+    tasks and files. A checkpoint would keep the size that the planner expects, the product of the sizes of a join's sides: a number
+    of twice as many digits after each step, which fills the driver."""
+    path = shared(df.sparkSession, "step")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     n = out.count()
     return out.coalesce(n // SMALL_ROWS + 1), n
 
