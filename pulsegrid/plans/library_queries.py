@@ -101,6 +101,14 @@ def queries() -> dict[str, Query]:
         out = statistics.clipped_median(bound(spark, d, RESIDUALS), "r", 3, 3.0, 1e-3)
         return rounded(out.select(F.col("med").alias("shift"), "nmad", "n"))
 
+    @query("p2_staged_mask")
+    def _(spark, d):
+        finite = bound(spark, d, "SELECT snr, amp FROM pulses WHERE refh IS NOT NULL")
+        low, high = (F.lit(x).cast("double") for x in statistics.quantile_values(finite.where("snr >= 2"), "amp", [0.1, 0.99]))
+        bright = F.col("snr") >= 2
+        n = finite.agg(F.count("*").alias("finite"), F.count_if(bright).alias("snr"), F.count_if(bright & F.col("amp").between(low, high)).alias("amp"))
+        return n.select(F.inline(F.array(*[F.struct(F.lit(c).alias("stage"), F.col(c).alias("n")) for c in ("finite", "snr", "amp")])))
+
     @query("f2_normalise")
     def _(spark, d):
         points = bound(spark, d, PULSES)
