@@ -33,6 +33,17 @@ def _cascade_points(spark: SparkSession, d: str) -> DataFrame:
     return keyed.withColumn("density", F.col("n") / 225.0).withColumn("support_dist", F.when(F.col("ground").isNotNull(), away))
 
 
+def _reasons(spark: SparkSession, d: str) -> DataFrame:
+    """pulse_index and reason bits: low snr, low snr and amplitude, below the threshold, off the median of its cell of 5 m."""
+    points = bound(spark, d, GOOD)
+    dark = F.lit(statistics.quantile_values(points, "amp", [0.05])[0]).cast("double")
+    local = statistics.cell_median_mad(points, "refh", 5.0, 12).select("ix", "iy", "med", "mad")
+    limit = F.greatest(F.lit(10.0), 8 * F.greatest(1.4826 * F.col("mad"), F.lit(0.75)))
+    rules = {1: F.col("snr") < 1.5, 2: (F.col("snr") < 1.8) & (F.col("amp") < dark), 4: F.col("amp") - F.col("thres") <= 0, 8: F.abs(F.col("refh") - F.col("med")) > limit}
+    reason = sum((F.when(holds, bit).otherwise(0) for bit, holds in rules.items()), F.lit(0)).cast("bigint")
+    return statistics.cells(points, 5.0).join(local, ["ix", "iy"], "left").select("pulse_index", reason.alias("reason"))
+
+
 def _metrics(spark: SparkSession, d: str, ddof: int) -> DataFrame:
     return rounded(statistics.distribution_metrics(bound(spark, d, RESIDUALS), "r", ddof))
 
@@ -109,6 +120,16 @@ def queries() -> dict[str, Query]:
         n = finite.agg(F.count("*").alias("finite"), F.count_if(bright).alias("snr"), F.count_if(bright & F.col("amp").between(low, high)).alias("amp"))
         return n.select(F.inline(F.array(*[F.struct(F.lit(c).alias("stage"), F.col(c).alias("n")) for c in ("finite", "snr", "amp")])))
 
+    @query("p9_reason_bits")
+    def _(spark, d):
+        return _reasons(spark, d).where("reason <> 0").select("pulse_index", "reason", F.bit_count("reason").cast("bigint").alias("n_reasons"))
+
+    @query("a47_noise_counts")
+    def _(spark, d):
+        bits = F.explode(F.array(*[F.lit(b).cast("bigint") for b in (1, 2, 4, 8)])).alias("bit")
+        hit = F.col("reason").bitwiseAND(F.col("bit")) != 0
+        return rounded(_reasons(spark, d).select("reason", bits).groupBy("bit").agg(F.count_if(hit).alias("hits"), F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("share")))
+
     @query("f2_normalise")
     def _(spark, d):
         points = bound(spark, d, PULSES)
