@@ -12,6 +12,7 @@ from pulsegrid.operators import alignment, classify, noise, statistics, sweep
 from pulsegrid.plans.binding import with_tables
 from pulsegrid.plans.dialect import Dialect
 from pulsegrid.plans.operator_queries import GOOD, PULSES, _near, bound, rounded, shared
+from pulsegrid.plans.sequence_queries import _haversine
 from pulsegrid.plans.statistics_queries import MAD, _r
 from pulsegrid.streaming import windows
 
@@ -130,6 +131,12 @@ def queries() -> dict[str, Query]:
         hit = F.col("reason").bitwiseAND(F.col("bit")) != 0
         return rounded(_reasons(spark, d).select("reason", bits).groupBy("bit").agg(F.count_if(hit).alias("hits"), F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("share")))
 
+    @query("e20_crosscheck")
+    def _(spark, d):
+        off = bound(spark, d, f"SELECT abs(a - b) AS v FROM (SELECT {_haversine('-869e-1', '404e-1', 'lon', 'lat')} AS a, sqrt(power((lon + 869e-1) * 111194.93e0 * cos(radians(404e-1)), 2) + power((lat - 404e-1) * 111194.93e0, 2)) AS b FROM good) AS c")
+        med = F.lit(statistics.quantile_values(off, "v", [0.5])[0]).cast("double")
+        return rounded(off.agg(F.max("v").alias("top")).select(med.alias("med"), "top"), 7)
+
     @query("f2_normalise")
     def _(spark, d):
         points = bound(spark, d, PULSES)
