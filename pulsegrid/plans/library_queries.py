@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import crs
-from pulsegrid.operators import alignment, classify, noise, statistics, sweep
+from pulsegrid.operators import alignment, classify, noise, raster, statistics, sweep
 from pulsegrid.plans.binding import with_tables
 from pulsegrid.plans.dialect import Dialect
 from pulsegrid.plans.operator_queries import GOOD, PULSES, _near, bound, rounded, shared
@@ -137,6 +137,10 @@ def queries() -> dict[str, Query]:
         med = F.lit(statistics.quantile_values(off, "v", [0.5])[0]).cast("double")
         return rounded(off.agg(F.max("v").alias("top")).select(med.alias("med"), "top"), 7)
 
+    @query("r6_smooth")
+    def _(spark, d):
+        return rounded(raster.smoothed(raster.grid(bound(spark, d, GOOD), "refh", 4.0, 0.1), 1.0, 2.0))
+
     @query("f2_normalise")
     def _(spark, d):
         points = bound(spark, d, PULSES)
