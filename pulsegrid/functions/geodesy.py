@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,30 +106,36 @@ def from_ecef(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
     return F.degrees(F.atan2(y, x)), F.degrees(lat), height
 
 
-def geodesic(lon1: Column, lat1: Column, lon2: Column, lat2: Column, rounds: int = 8) -> Column:
-    """Distance on the ellipsoid by Vincenty's inverse iteration, unrolled; for points that are not antipodal."""
-    u1, u2 = F.atan((1 - FLAT) * F.tan(F.radians(lat1))), F.atan((1 - FLAT) * F.tan(F.radians(lat2)))
-    d = F.radians(lon2 - lon1)
-    start = F.struct(d.alias("lam"), F.lit(0.0).alias("sigma"), F.lit(0.0).alias("sin_s"), F.lit(1.0).alias("cos_s"), F.lit(0.0).alias("cos2a"), F.lit(0.0).alias("c2m"))
-
-    def step(s: Column, _: Column) -> Column:
-        lam = s["lam"]
-        sin_s = F.sqrt((F.cos(u2) * F.sin(lam)) ** 2 + (F.cos(u1) * F.sin(u2) - F.sin(u1) * F.cos(u2) * F.cos(lam)) ** 2)
-        cos_s = F.sin(u1) * F.sin(u2) + F.cos(u1) * F.cos(u2) * F.cos(lam)
-        sigma = F.atan2(sin_s, cos_s)
-        sin_a = F.coalesce(F.cos(u1) * F.cos(u2) * F.sin(lam) / F.nullif(sin_s, F.lit(0.0)), F.lit(0.0))
+def _vincenty(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarray, rounds: int) -> np.ndarray:
+    """Distances by Vincenty's inverse iteration, all rows together."""
+    u1, u2 = (np.arctan((1 - FLAT) * np.tan(np.radians(x))) for x in (lat1, lat2))
+    s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
+    lam = d = np.radians(lon2 - lon1)
+    for _ in range(rounds):
+        sin_l, cos_l = np.sin(lam), np.cos(lam)
+        sin_s = np.sqrt((c2 * sin_l) ** 2 + (c1 * s2 - s1 * c2 * cos_l) ** 2)
+        cos_s = s1 * s2 + c1 * c2 * cos_l
+        sigma = np.arctan2(sin_s, cos_s)
+        sin_a = np.where(sin_s == 0, 0.0, c1 * c2 * sin_l / np.where(sin_s == 0, 1.0, sin_s))
         cos2a = 1 - sin_a * sin_a
-        c2m = F.coalesce(cos_s - 2 * F.sin(u1) * F.sin(u2) / F.nullif(cos2a, F.lit(0.0)), F.lit(0.0))
+        c2m = np.where(cos2a == 0, 0.0, cos_s - 2 * s1 * s2 / np.where(cos2a == 0, 1.0, cos2a))
         c = FLAT / 16 * cos2a * (4 + FLAT * (4 - 3 * cos2a))
-        new = d + (1 - c) * FLAT * sin_a * (sigma + c * sin_s * (c2m + c * cos_s * (2 * c2m * c2m - 1)))
-        return F.struct(new.alias("lam"), sigma.alias("sigma"), sin_s.alias("sin_s"), cos_s.alias("cos_s"), cos2a.alias("cos2a"), c2m.alias("c2m"))
-
-    s = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
-    u = s["cos2a"] * (A * A - B * B) / (B * B)
+        lam = d + (1 - c) * FLAT * sin_a * (sigma + c * sin_s * (c2m + c * cos_s * (2 * c2m * c2m - 1)))
+    u = cos2a * (A * A - B * B) / (B * B)
     big_a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
     big_b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
-    delta = big_b * s["sin_s"] * (s["c2m"] + big_b / 4 * (s["cos_s"] * (2 * s["c2m"] ** 2 - 1) - big_b / 6 * s["c2m"] * (4 * s["sin_s"] ** 2 - 3) * (4 * s["c2m"] ** 2 - 3)))
-    return B * big_a * (s["sigma"] - delta)
+    delta = big_b * sin_s * (c2m + big_b / 4 * (cos_s * (2 * c2m**2 - 1) - big_b / 6 * c2m * (4 * sin_s**2 - 3) * (4 * c2m**2 - 3)))
+    return B * big_a * (sigma - delta)
+
+
+def geodesic(lon1: Column, lat1: Column, lon2: Column, lat2: Column, rounds: int = 8) -> Column:
+    """Distance on the ellipsoid by Vincenty's inverse iteration, over Arrow batches; null where a coordinate is missing. For points
+    that are not antipodal."""
+
+    def distance(*places: pd.Series) -> pd.Series:
+        return pd.Series(_vincenty(*(p.to_numpy(float) for p in places), rounds))
+
+    return F.pandas_udf(distance, "double")(lon1, lat1, lon2, lat2)
 
 
 # Published parameters from ITRF2014 to ITRF2008 at 2010.0: shifts in mm, scale in parts of 1e9, rotations in

@@ -99,6 +99,16 @@ def test_geodesic_along_the_equator(spark):
     assert d == pytest.approx(6378137.0 * math.pi / 180, abs=1e-3)
 
 
+def test_geodesic_evaluates_no_nested_loop_a_row(spark):
+    """Rounds cost vector operations over batches; a plan with a lambda holds each round's terms many times over."""
+    df = spark.createDataFrame([(0.0, 0.0, 0.0, 1.0), (10.0, 50.0, 10.0, 50.0), (-5.0, -3.0, 141.0, 60.0), (None, 1.0, 2.0, 3.0)], "a double, b double, c double, d double")
+    out = df.select(geodesy.geodesic(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("m"))
+    assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    m = [r["m"] for r in out.collect()]
+    assert m[0] == pytest.approx(110574.3886, abs=1e-3) and m[1] == 0 and m[3] is None  # a degree of the meridian at the equator
+    assert m[2] == pytest.approx(13_050_000, rel=0.01)
+
+
 def test_samples_ignore_partitioning(spark):
     a, b = spark.range(1000).repartition(3), spark.range(1000).repartition(7)
     assert {r[0] for r in sampling.sample(a, "id", 50).collect()} == {r[0] for r in sampling.sample(b, "id", 50).collect()}
