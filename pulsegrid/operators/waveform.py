@@ -385,7 +385,9 @@ def gaussians(df: DataFrame, key: str, column: str, most: int = 4) -> DataFrame:
         own = v[starts[k] : ends[k]]
         return [{"rank": i, "amplitude": a, "centre": c + int(starts[k]), "sigma": s} for i, (a, c, s) in enumerate(kernels.fit_gaussians(own - np.median(own), most), 1)]
 
-    return per_waveform(df, key, column, "rank bigint, amplitude double, centre double, sigma double", compute)
+    # a fit takes milliseconds, so rows are dealt over all tasks; their few bytes would leave them in one
+    dealt = df.select(key, column).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return per_waveform(dealt, key, column, "rank bigint, amplitude double, centre double, sigma double", compute)
 
 
 def morphology(df: DataFrame, key: str, column: str) -> DataFrame:

@@ -172,3 +172,13 @@ def test_bin_scores_count_what_is_there(spark):
             assert r["scene_assessed"] and abs(r["scene_correlation"] - want) < 1e-9
         else:
             assert not r["scene_assessed"] and r["scene_correlation"] is None
+
+
+def test_fits_are_dealt_over_tasks(spark):
+    """A small file of waveforms is one partition, whose fits one task would do."""
+    k = np.arange(96)
+    rows = [(i, [float(x) for x in 20 * np.exp(-((k - 22 - i) ** 2) / 8) + 0.02 * np.sin(k * 3)]) for i in range(12)]
+    df = spark.createDataFrame(rows, "id bigint, rx array<double>").coalesce(1)
+    found = waveform.gaussians(df, "id", "rx")
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {r["id"]: round(r["centre"], 1) for r in found.collect()} == {i: 22.0 + i for i in range(12)}
