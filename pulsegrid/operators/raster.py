@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from math import exp
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.classify import sample_ground
 from pulsegrid.operators.graph import components
-from pulsegrid.operators.spatial import cell_join, idw
+from pulsegrid.operators.lineage import cut
+
+#: Width in cells of the tiles that neighbouring cells are dealt by.
+TILE = 128
 
 
 def grid(points: DataFrame, value: str, cell: float, p: float, least: int = 1) -> DataFrame:
@@ -27,13 +32,18 @@ def _spread(cells: DataFrame, radius: int) -> DataFrame:
     return cells.select("ix", "iy", F.explode(offsets).alias("o")).select((F.col("ix") + F.col("o.a")).alias("ix"), (F.col("iy") + F.col("o.b")).alias("iy"))
 
 
+def _tiled(cells: DataFrame) -> DataFrame:
+    """cells dealt by tiles of TILE cells' width, so that copies of neighbours meet in their task, before a shuffle."""
+    return cells.repartition(F.floor(F.col("ix") / TILE), F.floor(F.col("iy") / TILE))
+
+
 def dilated(cells: DataFrame, radius: int = 1) -> DataFrame:
-    return _spread(cells, radius).distinct()
+    return _spread(_tiled(cells.select("ix", "iy")), radius).distinct()
 
 
 def closed(cells: DataFrame, radius: int = 1) -> DataFrame:
     """Dilation, then the cells whose whole disk is in it."""
-    return _spread(dilated(cells, radius), radius).groupBy("ix", "iy").agg(F.count("*").alias("n")).where(F.col("n") == len(_disk(radius))).select("ix", "iy")
+    return _spread(_tiled(dilated(cells, radius)), radius).groupBy("ix", "iy").agg(F.count("*").alias("n")).where(F.col("n") == len(_disk(radius))).select("ix", "iy")
 
 
 def without_holes(cells: DataFrame) -> DataFrame:
@@ -62,27 +72,66 @@ def without_holes(cells: DataFrame) -> DataFrame:
     return own.unionByName(holes)
 
 
-def centres(cells: DataFrame, cell: float) -> DataFrame:
-    return cells.withColumn("x", (F.col("ix") + 0.5) * cell).withColumn("y", (F.col("iy") + 0.5) * cell)
+def _blended(wanted: DataFrame, known: DataFrame, cell: float, radius: float, k: int, power: float) -> DataFrame:
+    """For each wanted cell that has a known one within radius: n (k at most), dist of the nearest, and z, the mean of the k nearest by inverse
+    distance; of equal distances the smaller (ix, iy) counts first. No wanted cell is a known one, and none is given twice.
+
+    Cells meet by tiles of ``TILE`` cells' width, known ones also in the tiles within reach. A tile is a dense array of bounded
+    size, over which one offset after another is looked up, so no pair of cells is a row."""
+    reach = int(radius / cell + 1e-9)
+    steps = [(a, b) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) if a * a + b * b <= (radius / cell) ** 2 * (1 + 1e-12)]
+    steps.sort(key=lambda o: (o[0] * o[0] + o[1] * o[1], o))
+    tile = lambda c, off=0: F.floor((F.col(c) + off) / TILE).cast("bigint")
+    own = wanted.select("ix", "iy", tile("ix").alias("tx"), tile("iy").alias("ty"))
+    near = known.select("ix", "iy", F.col("z").cast("double").alias("z"))
+    for axis, name in (("ix", "tx"), ("iy", "ty")):
+        near = near.withColumn(name, F.explode(F.sequence(tile(axis, -reach), tile(axis, reach))))
+
+    def fill(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y = (left.column(c).to_numpy() for c in ("ix", "iy"))
+        n, total, weights, nearest = np.zeros(len(x), np.int64), np.zeros(len(x)), np.zeros(len(x)), np.full(len(x), np.nan)
+        if len(x) and right.num_rows:
+            x0, y0 = left.column("tx")[0].as_py() * TILE - reach, left.column("ty")[0].as_py() * TILE - reach
+            z, held = np.zeros((TILE + 2 * reach,) * 2), np.zeros((TILE + 2 * reach,) * 2, bool)
+            at = right.column("ix").to_numpy() - x0, right.column("iy").to_numpy() - y0
+            z[at], held[at] = right.column("z").to_numpy(), True
+            open_ = np.arange(len(x))
+            for a, b in steps:
+                i, j = x[open_] - x0 + a, y[open_] - y0 + b
+                hit = held[i, j]
+                some, dist = open_[hit], cell * (a * a + b * b) ** 0.5
+                weight = 1 / max(dist, 1e-12) ** power
+                nearest[some[n[some] == 0]] = dist
+                n[some] += 1
+                total[some] += weight * z[i, j][hit]
+                weights[some] += weight
+                if hit.any():
+                    open_ = open_[n[open_] < k]
+                    if not len(open_):
+                        break
+        out = n > 0
+        return pa.table({"ix": x[out], "iy": y[out], "n": n[out], "dist": nearest[out], "z": total[out] / weights[out]})
+
+    return own.groupBy("tx", "ty").cogroup(near.groupBy("tx", "ty")).applyInArrow(fill, "ix bigint, iy bigint, n bigint, dist double, z double")
 
 
 def filled_nearest(known: DataFrame, wanted: DataFrame, cell: float, radius: float) -> DataFrame:
-    """Value of the nearest known cell within radius for each wanted cell; ties go to the smaller (ix, iy)."""
-    near = cell_join(centres(wanted.select("ix", "iy"), cell), centres(known.select("ix", "iy", "z"), cell), radius)
-    return near.groupBy("ix", "iy").agg(F.min_by("r_z", F.struct("dist", "r_ix", "r_iy")).alias("z"), F.min("dist").alias("dist"))
+    """Value of the nearest known cell within radius for each wanted cell (given once); ties go to the smaller (ix, iy)."""
+    own, asked = known.select("ix", "iy", "z"), wanted.select("ix", "iy")
+    near = _blended(asked.join(own, ["ix", "iy"], "left_anti"), own, cell, radius, 1, 0.0)
+    return asked.join(own, ["ix", "iy"]).select("ix", "iy", "z", F.lit(0.0).alias("dist")).unionByName(near.select("ix", "iy", "z", "dist"))
 
 
 def filled_idw(known: DataFrame, wanted: DataFrame, cell: float, k: int = 12, power: float = 2.0, radius: float = 30.0, least: int = 1) -> DataFrame:
     """Wanted cells by inverse distance; source 1 is a known cell, 2 a filled one."""
-    source = centres(known, cell).withColumn("rid", F.struct("ix", "iy"))
-    missing = centres(wanted.select("ix", "iy").join(known, ["ix", "iy"], "left_anti"), cell).withColumn("cid", F.struct("ix", "iy"))
-    blend = idw(missing.select("cid", "x", "y"), source.select("rid", "x", "y", "z"), "z", k, power, radius, "cid", "rid", least)
-    return known.select("ix", "iy", "z", F.lit(1).alias("source")).unionByName(blend.select("cid.ix", "cid.iy", F.col("value").alias("z"), F.lit(2).alias("source")))
+    own = known.select("ix", "iy", "z")
+    near = _blended(wanted.select("ix", "iy").join(own, ["ix", "iy"], "left_anti"), own, cell, radius, k, power).where(F.col("n") >= least)
+    return own.select("ix", "iy", "z", F.lit(1).alias("source")).unionByName(near.select("ix", "iy", "z", F.lit(2).alias("source")))
 
 
 def surface(points: DataFrame, cell: float = 2.0, p: float = 0.95, radius: float = 8.0) -> DataFrame:
     """Surface model: observed cells, and by inverse distance the gaps inside their closing."""
-    known = grid(points, "refh", cell, p).select("ix", "iy", "z")
+    known = cut(grid(points, "refh", cell, p).select("ix", "iy", "z"))
     return filled_idw(known, closed(known.select("ix", "iy"), 2), cell, 12, 2.0, radius)
 
 
@@ -142,7 +191,7 @@ def ground(points: DataFrame, cell: float = 4.0, p: float = 0.1, buffer: int = 1
     from any cell is left out."""
     low = grid(points, "refh", cell, p).checkpoint()
     wanted = support(low, buffer, closing)
-    filled = filled_nearest(low.select("ix", "iy", "z"), wanted, cell, radius).select("ix", "iy", "z")
+    filled = filled_nearest(low.select("ix", "iy", "z"), cut(wanted), cell, radius).select("ix", "iy", "z")
     surface_ = progressive(smoothed(filled, sigma), windows_of(list(sizes), cell, base, slope, most))
     return surface_.join(low.select("ix", "iy", "n"), ["ix", "iy"], "left").select("ix", "iy", F.coalesce("n", F.lit(0)).alias("n"), "z")
 

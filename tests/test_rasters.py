@@ -110,3 +110,24 @@ def test_polygons_and_strata(spark):
     again = sampling.stratified(points.repartition(7), F.floor(F.col("x") / 60), "pid", 80, 2, shards=9)
     assert chosen.count() == 80 and {r["pid"] for r in chosen.collect()} == {r["pid"] for r in again.collect()}
     assert min(r["count"] for r in chosen.groupBy(F.floor(F.col("x") / 60)).count().collect()) >= 20
+
+
+@pytest.mark.parametrize(("cell", "radius", "k"), [(4.0, 30.0, 12), (1.0, 3.0, 1)])
+def test_filling_equals_plain_search_and_makes_no_row_a_pair(spark, cell, radius, k, monkeypatch):
+    monkeypatch.setattr(raster, "TILE", 8)
+    rng = np.random.default_rng(5)
+    known = {(int(x), int(y)): float(z) for x, y, z in zip(*rng.integers(-30, 30, (2, 300)), rng.normal(size=300), strict=True)}
+    wanted = {(int(x), int(y)) for x, y in rng.integers(-45, 45, (400, 2))}
+    near = {}
+    for x, y in wanted - set(known):
+        found = sorted(((x - a) ** 2 + (y - b) ** 2, a, b) for a, b in known if ((x - a) ** 2 + (y - b) ** 2) * cell**2 <= radius**2)[:k]
+        if found:
+            near[x, y] = [(cell * d**0.5, known[a, b]) for d, a, b in found]
+    have = spark.createDataFrame([(*p, z) for p, z in known.items()], "ix bigint, iy bigint, z double")
+    asked = spark.createDataFrame(sorted(wanted), "ix bigint, iy bigint")
+    first = raster.filled_nearest(have, asked, cell, radius)
+    assert "Generate" not in first._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroups")[0]
+    got = {(r["ix"], r["iy"]): (r["z"], r["dist"]) for r in first.collect()}
+    assert got == {**{p: (known[p], 0.0) for p in wanted & set(known)}, **{p: (v[0][1], v[0][0]) for p, v in near.items()}}
+    blend = {(r["ix"], r["iy"]): r["z"] for r in raster.filled_idw(have, asked, cell, k, 2.0, radius).collect() if r["source"] == 2}
+    assert blend.keys() == near.keys() and all(abs(blend[p] - sum(z / d**2 for d, z in v) / sum(1 / d**2 for d, _ in v)) < 1e-12 for p, v in near.items())
