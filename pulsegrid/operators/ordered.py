@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.lineage import cut
-from pulsegrid.operators.quantiles import BROADCAST_ROWS, finite, grouped_quantiles, keyed
+from pulsegrid.operators.quantiles import BROADCAST_ROWS, finite, grouped_quantiles, keyed, keyed_few
 
 PART = "_part"
 
@@ -147,7 +147,7 @@ def segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], track: st
     breaks = F.col(track) - F.col("_was.t") > most_gap
     if factor is not None:
         median = grouped_quantiles(o.df, list(keys), {"s": F.when(F.col("_step") > 0, F.col("_step"))}, [0.5]).select(*keys, F.col("s_q0").alias("_median"))
-        o = o._next(cut(keyed(o.df, median, list(keys))))
+        o = o._next(cut(keyed_few(o.df, median, list(keys))))
         breaks = breaks | (F.col("_step") > factor * F.greatest(F.coalesce("_median", F.lit(0.0)), F.lit(1e-6)))
     o = o.with_column("_break", F.coalesce(breaks.cast("bigint"), F.lit(0))).running("seg", "_break")
     place = F.struct(*[F.col(f"`{c}`") for c in order])
@@ -171,7 +171,7 @@ def even_pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], picks: i
     numbers and taken once); all rows of a key that has no more."""
     o = Ordered(df, keys, order, parts).running("_i", F.lit(1))
     i, n = F.col("_i") - 1, F.col("_n")
-    found = keyed(o.result(), df.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    found = keyed_few(o.result(), df.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
     if picks == 1:
         return found.where(i == 0).drop("_i", "_n")
     # the first whole number k with floor(k (n - 1) / (picks - 1)) = i
@@ -202,9 +202,9 @@ def shares(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """df with ``centred`` (value less the mean of its key) and ``share`` (its square of the sum of those squares; null where that is zero)."""
     v = finite(value)
     mean = df.groupBy(*keys).agg(F.avg(v).alias("_mean"))
-    own = keyed(df, mean, keys).withColumn("centred", finite(value) - F.col("_mean"))
+    own = keyed_few(df, mean, keys).withColumn("centred", finite(value) - F.col("_mean"))
     total = own.groupBy(*keys).agg(F.sum(F.col("centred") * F.col("centred")).alias("_total"))
-    return keyed(own, total, keys).withColumn("share", F.col("centred") * F.col("centred") / F.nullif(F.col("_total"), F.lit(0.0))).drop("_mean", "_total")
+    return keyed_few(own, total, keys).withColumn("share", F.col("centred") * F.col("centred") / F.nullif(F.col("_total"), F.lit(0.0))).drop("_mean", "_total")
 
 
 def thirds(df: DataFrame, keys: Sequence[str], gap: float, x: str = "x", y: str = "y") -> DataFrame:
@@ -212,13 +212,13 @@ def thirds(df: DataFrame, keys: Sequence[str], gap: float, x: str = "x", y: str
     axis, with a guard of width ``gap`` around both cuts: calibration, selection, test or guard."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     mean = df.where(both).groupBy(*keys).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
-    own = keyed(df, mean, keys).withColumn("_dx", F.col(x) - F.col("_mx")).withColumn("_dy", F.col(y) - F.col("_my"))
+    own = keyed_few(df, mean, list(keys)).withColumn("_dx", F.col(x) - F.col("_mx")).withColumn("_dy", F.col(y) - F.col("_my"))
     moments = own.groupBy(*keys).agg(F.sum(F.col("_dx") * F.col("_dx")).alias("_a"), F.sum(F.col("_dx") * F.col("_dy")).alias("_b"), F.sum(F.col("_dy") * F.col("_dy")).alias("_c"))
     angle = F.atan2(2 * F.col("_b"), F.col("_a") - F.col("_c")) / 2  # in (-90, 90] degrees, so it points to larger x
     axis = moments.select(*keys, F.cos(angle).alias("_ux"), F.sin(angle).alias("_uy"))
-    placed = keyed(own, axis, keys).withColumn("along", F.col("_dx") * F.col("_ux") + F.col("_dy") * F.col("_uy"))
+    placed = keyed_few(own, axis, list(keys)).withColumn("along", F.col("_dx") * F.col("_ux") + F.col("_dy") * F.col("_uy"))
     extent = placed.groupBy(*keys).agg(F.min("along").alias("_low"), F.max("along").alias("_high"))
-    met = keyed(placed, extent, keys)
+    met = keyed_few(placed, extent, list(keys))
     one, two = (F.col("_low") + k * (F.col("_high") - F.col("_low")) / 3 for k in (1, 2))
     half, s = gap / 2, F.col("along")
     role = F.when(s < one - half, "calibration").when((s > one + half) & (s < two - half), "selection").when(s > two + half, "test").when(s.isNotNull(), "guard")
@@ -235,7 +235,7 @@ def case_pick(df: DataFrame, keys: Sequence[str], value: str, key: str, band: st
     best = lambda where: F.min_by(F.when(where, F.col("_row")), F.when(where, F.struct(-F.col("_s"), F.col("_row.id"))))
     low, gross = F.col("_s") <= least_low, F.col("_s") > least_gross
     first = own.groupBy(*keys).agg(F.min_by(F.when(low, F.col("_row")), F.when(low, F.struct("_s", "_row.id"))).alias("nearest"), best(gross).alias("gross1"))
-    met = keyed(own.where(gross), first.select(*keys, "gross1"), keys)
+    met = keyed_few(own.where(gross), first.select(*keys, "gross1"), list(keys))
     away = F.sqrt(F.pow(F.col("_row.x") - F.col("gross1.x"), 2) + F.pow(F.col("_row.y") - F.col("gross1.y"), 2))
     other = F.col("_row.id") != F.col("gross1.id")
     apart = other & (~F.col("_row.band").eqNullSafe(F.col("gross1.band")) | (away >= separation))

@@ -49,6 +49,16 @@ def keyed(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left")
     return left.join(other, on, how).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
+def keyed_few(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """As keyed, for keys that may be few and hot: right is written and counted, and sent to every task if it is small, so that no task
+    reads all rows of a key. Beyond that a key has few rows, and both sides are shuffled."""
+    if not keys:
+        return keyed(left, right, keys, how)
+    held = cut(right)
+    n = held.count()
+    return keyed(left, F.broadcast(held) if n <= BROADCAST_ROWS else held, keys, how)
+
+
 def grouped_quantiles(df: DataFrame, groups: list[str], values: dict[str, str | Column], ps: list[float], most: int = MOST, accuracy: int = ACCURACY, bins: int = BINS) -> DataFrame:
     """One row for each group (one in all for no group columns, also of no rows): the groups, and for every name in values the
     number of finite values (``name_n``) and their quantiles at ps, linear between neighbouring ranks (``name_q0``, ``name_q1``, ...)."""

@@ -167,3 +167,16 @@ def test_empty(table):
     assert ordered.path_length(none, ["k"], ["seq", "id"]).count() == 0
     assert ordered.ranks(none, [], "v").count() == 0
     assert ordered.segments(none, ["k"], ["seq", "id"], "seq", 3).count() == 0
+
+
+def test_few_hot_keys_are_not_shuffled_to_a_task_each(spark):
+    """A join with a row a key sends that row to the rows, whatever size the planner expects."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(60).selectExpr("id", "id % 2 AS k", "cast(id as double) AS x", "cast(id % 7 as double) AS y")
+        for out in (ordered.thirds(df, ["k"], 1.0), ordered.shares(df, ["k"], "x"), ordered.even_pick(df, ["k"], ["id"], 4)):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
