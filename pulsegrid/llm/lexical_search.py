@@ -34,6 +34,8 @@ from pulsegrid.llm.common import byte_set, map_texts, row_sums, rows_of, runs, s
 STEP = 3922
 #: Text bytes of a segment; a longer document has one of its own.
 SEGMENT_BYTES = 1 << 21
+#: Segments of a row group: Parquet's readers and writers hold a whole one, decoded, however many a task has.
+GROUP_ROWS = 4
 #: Distinct terms of the items that are asked together.
 TERMS = 100_000
 WORD = ~byte_set(bytes(range(0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x80)))
@@ -93,7 +95,7 @@ def build(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
             yield _segment(held, n, total)
         settle()
 
-    own.mapInArrow(run, SEGMENT).write.mode("overwrite").parquet(folder)
+    own.mapInArrow(run, SEGMENT).write.mode("overwrite").option("parquet.block.row.count.limit", GROUP_ROWS).parquet(folder)
     return n, total
 
 

@@ -76,3 +76,14 @@ def test_few_documents_are_rescored(spark, tmp_path):
     exact = lexical_search._impacts(tf, m)
     level = -(-exact // lexical_search.STEP)
     assert level.max() <= 255 and (level * lexical_search.STEP >= exact).all() and ((level - 1) * lexical_search.STEP < exact).all()
+
+
+def test_row_groups_hold_few_segments(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    prepare(spark)
+    docs = spark.createDataFrame([(i, f"word{i} again") for i in range(50)], "doc_id bigint, text string").coalesce(1)
+    lexical_search.build(docs, str(tmp_path / "index"), segment_bytes=10)
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "index").glob("*.parquet")]
+    rows = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+    assert sum(rows) == 50 and max(rows) <= lexical_search.GROUP_ROWS
