@@ -52,3 +52,34 @@ def test_too_few_rows(spark):
     df = spark.createDataFrame([(1.0,) * 8, (2.0,) * 8], "a double, b double, x double, y double, z double, ix double, iy double, iz double")
     assert beam_rules.search(df, ("a", "b"), ("x", "y", "z"), ("ix", "iy", "iz")).count() == 0
     assert beam_rules.rule_count() == len(set(beam_rules.all_rules())) == 1536
+
+
+def test_sums_of_every_rule_come_from_one_table_of_products(spark):
+    random_ = np.random.default_rng(5)
+    columns = np.vstack([random_.normal(size=(2, 400)) * 60, random_.normal(size=(6, 400)) * 50])
+    df = spark.createDataFrame(columns.T.tolist(), ", ".join(f"v{k} double" for k in range(8))).repartition(3)
+    rules = beam_rules.all_rules()[::7] + [beam_rules.replace(r, az_bias=0.3, el_bias=-0.7) for r in beam_rules.all_rules()[::11]]
+    found = beam_rules._sums(beam_rules._moments(df), rules)
+    a, b, p, i = columns[0], columns[1], columns[2:5], columns[5:8]
+    for rule, got in zip(rules, found, strict=True):
+        u, seg = rule.directions(a, b), p - i
+        along, m = (u * seg).sum(0), np.eye(3) * 400 - u @ u.T
+        want = [400, (along / np.linalg.norm(seg, axis=0)).sum(), ((seg * seg).sum(0) - along**2).sum(), *m[np.triu_indices(3)]]
+        for q in (p, i):
+            t = (u * q).sum(0)
+            want += [*(q - u * t).sum(1), ((q * q).sum(0) - t * t).sum()]
+        assert np.allclose(got, want, rtol=1e-9, atol=1e-6)
+
+
+@pytest.mark.parametrize("most, sample", [(10_000, 10_000), (3, 200)])
+def test_quantiles_of_made_values_are_exact(spark, monkeypatch, most, sample):
+    monkeypatch.setattr(beam_rules, "BINS", 16)
+    random_ = np.random.default_rng(6)
+    v = np.array([random_.normal(size=3000) ** 3, random_.integers(0, 5, 3000), random_.normal(size=3000) * 1e150, np.full(3000, 2.5), np.full(3000, np.nan)])
+    v[0, ::50], v[0, 1::50], v[0, 2::70] = np.nan, np.inf, -np.inf
+    df = spark.createDataFrame(v.T.tolist(), ", ".join(f"v{k} double" for k in range(5))).repartition(4)
+    counts, values = beam_rules._quantiles(df, 3000, lambda columns: iter(columns), range(5), (0.0, 0.5, 0.9, 1.0), most, sample)
+    for k in range(5):
+        own = v[k][np.isfinite(v[k])]
+        assert counts[k] == len(own)
+        assert values[k] == ([None] * 4 if not len(own) else pytest.approx(np.quantile(own, (0.0, 0.5, 0.9, 1.0)), rel=1e-12))
