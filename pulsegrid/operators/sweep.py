@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import classify, spatial
+from pulsegrid.operators.lineage import cut
 from pulsegrid.operators.quantiles import keyed
 
 CLASSES = (classify.PROCESSED, classify.GROUND, classify.NOISE)
@@ -81,7 +82,7 @@ def finished(spark: SparkSession, folder: str) -> DataFrame:
 def run(points: DataFrame, settings: list[Setting], folder: str, file: str = "granule", truth: str = "ref_class", id_column: str = "pulse_index") -> DataFrame:
     """Tries every setting on every file of points (id, x, y, refh, snr, file, true class) that has no result yet; returns all results."""
     spark = points.sparkSession
-    own = points.select(F.col(id_column).alias("id"), F.col(file).cast("string").alias("file"), "x", "y", "refh", "snr", F.col(truth).cast("int").alias("truth"))
+    own = cut(points.select(F.col(id_column).alias("id"), F.col(file).cast("string").alias("file"), "x", "y", "refh", "snr", F.col(truth).cast("int").alias("truth")))  # read for each table and pass
     files = own.select("file").distinct()
     order = sorted(set(settings), key=lambda s: (str(s.ground), str(s.radius), s.name))
     for (ground, radius), some in groupby(order, key=lambda s: (s.ground, s.radius)):
@@ -111,11 +112,13 @@ def _tried(spark: SparkSession, own: DataFrame, batch: list[Setting], waiting: D
         volume = 4 / 3 * 3.141592653589793 * radius**3
         near = _stored(spark, f"{folder}/density/{name(radius)}", lambda: spatial.radius_counts(own.where("refh IS NOT NULL"), radius, "id", by=("file",)).select("id", (F.col("n") / volume).alias("density")))
         base, density = base.join(near, "id", "left"), F.col("density")
-    kinds = base.select("file", "truth", F.inline(F.array(F.struct(*[classify.first_class(F.col("refh"), F.col("ground"), density, s.options()).alias(f"k{i}") for i, s in enumerate(batch)]))))
-    cells = [F.count_if((F.col("truth") == t) & (F.col(f"k{i}") == p)).alias(f"k{i}c{t}{p}") for i in range(len(batch)) for t in CLASSES for p in CLASSES]
-    wide = kinds.groupBy("file").agg(*cells)
-    rows = F.inline(F.array(*[F.struct(F.lit(s.name).alias("setting"), *[F.col(f"k{i}{c}").alias(c) for c in COUNTS]) for i, s in enumerate(batch)]))
-    return keyed(wide.select("file", rows), waiting, ["file", "setting"], "left_semi").select("file", "setting", *COUNTS)
+    known = F.when(F.col("truth").isin(*CLASSES), F.col("truth")).alias("truth")
+    kinds = base.select("file", known, F.inline(F.array(F.struct(*[classify.first_class(F.col("refh"), F.col("ground"), density, s.options()).alias(f"k{i}") for i, s in enumerate(batch)]))))
+    # points that all settings class alike are counted together: a row each costs one count in place of nine a setting
+    alike = kinds.groupBy("file", "truth", *[f"k{i}" for i in range(len(batch))]).agg(F.count("*").alias("n"))
+    each = alike.select("file", "truth", "n", F.inline(F.array(*[F.struct(F.lit(s.name).alias("setting"), F.col(f"k{i}").alias("kind")) for i, s in enumerate(batch)])))
+    cells = [F.coalesce(F.sum(F.when((F.col("truth") == t) & (F.col("kind") == p), F.col("n"))), F.lit(0)).cast("bigint").alias(f"c{t}{p}") for t in CLASSES for p in CLASSES]
+    return keyed(each.groupBy("file", "setting").agg(*cells), waiting, ["file", "setting"], "left_semi").select("file", "setting", *COUNTS)
 
 
 def scored(results: DataFrame) -> DataFrame:

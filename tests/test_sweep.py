@@ -96,3 +96,20 @@ def test_scores(spark):
     f1 = [2 * (5 / 7) * (5 / 6) / (5 / 7 + 5 / 6), 2 * (6 / 7) * (6 / 8) / (6 / 7 + 6 / 8), 0.0]
     assert abs(r["objective"] - (0.5 * f1[1] + 0.2 * sum(f1) / 3 - 0.1)) < 1e-12 and r["recall_7"] == 0.0
     assert classify.MODES[0] in sweep.PREFERENCE
+
+
+def test_points_are_made_once(spark, points):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = points[1].withColumn("ref_class", F.when(F.col("pulse_index") % 10 < 8, F.col("ref_class")).when(F.col("pulse_index") % 10 == 8, 5))
+    made = sweep.run(df.mapInArrow(passed, df.schema), GRID[:4], shared(spark, "once")).collect()
+    assert seen.value == len(points[0])
+    known = [r for r in points[0] if r[0] % 10 < 8]
+    assert len(made) == 8 and all(sum(r[c] for c in sweep.COUNTS) == sum(k[1] == r["file"] for k in known) for r in made)
