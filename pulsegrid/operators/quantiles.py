@@ -68,14 +68,14 @@ def grouped_quantiles(df: DataFrame, groups: list[str], values: dict[str, str |
     told = cut(long.groupBy(*keys).agg(F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")))
     large = told.where(F.col("_n") > most)
     n_large = large.count()
-    exact = F.percentile("_v", F.array(*[F.lit(float(p)) for p in ps])).alias("_q")
+    exact = [F.count("_v").alias("_n"), F.percentile("_v", F.array(*[F.lit(float(p)) for p in ps])).alias("_q")]
     if n_large:
         rest = _joined(long, large.select(*keys), keys, n_large, "left_anti")
         own = _joined(long.where("_v IS NOT NULL"), large.select(*keys), keys, n_large, "left_semi")
-        found = rest.groupBy(*keys).agg(exact).unionByName(_refined(own, large, keys, ps, most, accuracy, bins, n_large))
+        refined = _joined(large.select(*keys, "_n"), _refined(own, large, keys, ps, most, accuracy, bins, n_large), keys, n_large)
+        all_ = rest.groupBy(*keys).agg(*exact).unionByName(refined)
     else:
-        found = long.groupBy(*keys).agg(exact)
-    all_ = _joined(told.select(*keys, "_n"), found, keys, BROADCAST_ROWS + 1, "left")
+        all_ = long.groupBy(*keys).agg(*exact)  # counts again, so that the many groups are not joined with their counts
     pivot = []
     for j, name in enumerate(values):
         here = F.col("_value") == j

@@ -72,3 +72,11 @@ def test_metrics_of_groups_equal_those_of_tables(table):
     group = statistics.grouped_metrics(table.withColumn("k", F.lit(1)), ["k"], "x", 1).first()
     for c in whole.asDict():
         assert abs(whole[c] - group[c]) < 1e-9
+
+
+def test_small_groups_are_not_joined_with_their_counts(spark):
+    df = spark.range(2000).selectExpr("id % 500 AS g", "CASE WHEN id % 500 <> 7 THEN CAST(id AS DOUBLE) END AS v")
+    found = quantiles.grouped_quantiles(df, ["g"], {"v": "v"}, [0.5])
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r["g"]: (r["v_n"], r["v_q0"]) for r in found.collect()}
+    assert len(rows) == 500 and rows[7] == (0, None) and rows[3] == (4, 753.0)
