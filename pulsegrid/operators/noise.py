@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.quantiles import grouped_quantiles
+from pulsegrid.operators.quantiles import keyed_few
 from pulsegrid.operators.spatial import knn_whole
-from pulsegrid.operators.statistics import MAD_TO_SIGMA, cell_median_mad, cells, finite
+from pulsegrid.operators.statistics import MAD_TO_SIGMA, cell_median_mad, cells, finite, quantile_values
 
 # Names and bits of the reasons.
 REASONS = {
@@ -52,11 +52,6 @@ def label_noise(points: DataFrame, options: NoiseOptions = NoiseOptions(), id_co
     """
     has = set(points.columns)
     bits: list[Column] = []
-    # all quantiles of the whole table in one refinement
-    soft_amp = options.snr_hard is not None and {snr, amp} <= has and options.soft_needs_low_amp
-    wanted = ({"amp": amp} if soft_amp else {}) | ({"height": height} if options.height_shares is not None else {})
-    ps = [options.low_amp_share, *(options.height_shares or ())]
-    limits = grouped_quantiles(points, [], wanted, ps).first() if wanted else None
 
     def bit(name: str, holds: Column) -> None:
         bits.append(F.when(holds, F.lit(REASONS[name])).otherwise(F.lit(0)))
@@ -67,7 +62,8 @@ def label_noise(points: DataFrame, options: NoiseOptions = NoiseOptions(), id_co
         if amp in has:
             soft = finite(snr) < options.snr_soft
             if options.soft_needs_low_amp:
-                soft = soft & (finite(amp) < F.lit(limits["amp_q0"]).cast("double"))
+                (dark,) = quantile_values(points, amp, [options.low_amp_share])
+                soft = soft & (finite(amp) < F.lit(dark).cast("double"))
             bit("low_snr_and_low_amp", soft)
     if options.threshold_margin is not None and {amp, threshold} <= has:
         bit("below_refh_threshold", finite(amp) - finite(threshold) <= options.threshold_margin)
@@ -78,14 +74,14 @@ def label_noise(points: DataFrame, options: NoiseOptions = NoiseOptions(), id_co
         if beyond:
             bit("refh_horizontal_error_exceeds_threshold", F.greatest(*beyond, F.lit(False)))
     if options.height_shares is not None:
-        low, high = (F.lit(limits[f"height_q{i}"]).cast("double") for i in (1, 2))
+        low, high = (F.lit(q).cast("double") for q in quantile_values(points, height, list(options.height_shares)))
         bit("global_z_percentile_guard", (finite(height) < low) | (finite(height) > high))
     none = F.lit(None).cast("double")
     if options.cell is None:
         out = out.withColumn("local_median", none).withColumn("local_mad", none)
     else:
         local = cell_median_mad(points, height, options.cell, options.least_in_cell).select("ix", "iy", F.col("med").alias("local_median"), F.col("mad").alias("local_mad"))
-        out = cells(out, options.cell).join(local, ["ix", "iy"], "left").drop("ix", "iy")
+        out = keyed_few(cells(out, options.cell), local, ["ix", "iy"]).drop("ix", "iy")  # few cells: no row of points is shuffled
         limit = F.greatest(F.lit(options.residual), options.mad_multiple * F.greatest(MAD_TO_SIGMA * F.col("local_mad"), F.lit(options.least_sigma)))
         bit("local_height_outlier", F.abs(finite(height) - F.col("local_median")) > limit)
     if options.neighbours is not None:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.lineage import cut
-from pulsegrid.operators.quantiles import finite, grouped_median_nmad, grouped_quantiles, keyed
+from pulsegrid.operators.quantiles import BROADCAST_ROWS, finite, grouped_median_nmad, grouped_quantiles, keyed
 
 MAD_TO_SIGMA = 1.4826
 #: Ranks that the sketch may err by, as a share of the rows, is the inverse of this; brackets are twice as wide on either side.
@@ -97,8 +97,13 @@ def grid_aggregate(df: DataFrame, value: str, size: float, ps: list[float] = (),
 
 
 def cell_median_mad(df: DataFrame, value: str, size: float, least: int, x: str = "x", y: str = "y") -> DataFrame:
-    """Cells with at least ``least`` values: count, median, and median absolute deviation from it."""
+    """Cells with at least ``least`` values: count, median, and median absolute deviation from it. Cells are counted first; where few
+    are left, values of no other cell are shuffled or sorted."""
     keyed = cells(df.select(F.col(x), F.col(y), finite(value).alias("_v")), size, x, y).where("_v IS NOT NULL").select("ix", "iy", "_v")
+    if least > 1:
+        full = cut(keyed.groupBy("ix", "iy").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("ix", "iy"))
+        if full.count() <= BROADCAST_ROWS:
+            keyed = keyed.join(F.broadcast(full), ["ix", "iy"], "left_semi")
     centre = keyed.groupBy("ix", "iy").agg(F.count("*").alias("n"), F.percentile("_v", F.lit(0.5)).alias("med")).where(F.col("n") >= least)
     return keyed.join(centre, ["ix", "iy"]).groupBy("ix", "iy", "n", "med").agg(F.percentile(F.abs(F.col("_v") - F.col("med")), F.lit(0.5)).alias("mad"))
 
