@@ -158,9 +158,12 @@ def _keyed(nodes: DataFrame, distance: int, probing: bool, chain: int = CHAIN) -
         base = F.lit(0).cast("bigint")
         for at, width in own:
             base = F.shiftleft(base, width).bitwiseOR(_piece(fp, at, width))
-        flips = _flips([width for _, width in own[1:]], distance) if probing else [0]
-        starts.append(F.struct(F.lit(i).cast("bigint").alias("i"), base.alias("base"), F.lit(flips).cast("array<bigint>").alias("flips")))
-    each = nodes.select("fp", F.explode(F.array(*starts)).alias("s")).select("fp", "s.i", "s.base", F.explode("s.flips").alias("flip"))
+        flips = [F.lit(_flips([width for _, width in own[1:]], distance)).cast("array<bigint>").alias("flips")] if probing else []
+        starts.append(F.struct(F.lit(i).cast("bigint").alias("i"), base.alias("base"), *flips))
+    each = nodes.select("fp", F.explode(F.array(*starts)).alias("s"))
+    if not probing:  # one key a start
+        return each.select("fp", F.shiftleft("s.i", 58).bitwiseOR(F.col("s.base")).alias("key"))
+    each = each.select("fp", "s.i", "s.base", F.explode("s.flips").alias("flip"))  # as many for every fingerprint
     low = F.col("flip").bitwiseAND(F.lit(2**32 - 1))
     return each.where(F.col("base").bitwiseAND(F.shiftright("flip", 32)) == 0).select("fp", F.shiftleft("i", 58).bitwiseOR(F.col("base").bitwiseXOR(low)).alias("key"))
 

@@ -498,3 +498,12 @@ def test_equivalence_classes_equal_plain_counting(spark, most, monkeypatch):
         assert got[i] == " ".join(re.findall(r"<p>(.*?)</p>", page))
     assert got[100] == got[0] and got[101] == got[102] == ""
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_index_of_simhash_holds_one_key_a_start(spark):
+    nodes = spark.createDataFrame([(0,), (-1,), (123456789012345,), (1 << 62,)], "fp bigint")
+    index, probes = simhash._keyed(nodes, simhash.DISTANCE, False), simhash._keyed(nodes, simhash.DISTANCE, True)
+    got = [tuple(r) for r in index.collect()]
+    assert len(got) == len(set(got)) == 20 and set(got) <= {tuple(r) for r in probes.collect()}
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") <= 1 and "flips" not in plan
