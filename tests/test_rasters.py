@@ -131,3 +131,55 @@ def test_filling_equals_plain_search_and_makes_no_row_a_pair(spark, cell, radius
     assert got == {**{p: (known[p], 0.0) for p in wanted & set(known)}, **{p: (v[0][1], v[0][0]) for p, v in near.items()}}
     blend = {(r["ix"], r["iy"]): r["z"] for r in raster.filled_idw(have, asked, cell, k, 2.0, radius).collect() if r["source"] == 2}
     assert blend.keys() == near.keys() and all(abs(blend[p] - sum(z / d**2 for d, z in v) / sum(1 / d**2 for d, _ in v)) < 1e-12 for p, v in near.items())
+
+
+def scattered(spark, seed=8, n=1500):
+    """Points over 60 x 60 with a ring around an empty place."""
+    xy = np.random.default_rng(seed).uniform(-30, 30, (n, 2))
+    far = np.hypot(*(xy - 8).T)
+    return spark.createDataFrame([(k, float(x), float(y), float(40 + 0.1 * x + (k % 7 == 0) * 6)) for k, (x, y) in enumerate(xy[(far > 9) & ((far < 16) | (xy[:, 0] < 0))])], "pulse_index bigint, x double, y double, refh double")
+
+
+def planned(df, what):
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count(what)
+
+
+def test_ground_joins_no_rasters(spark, monkeypatch):
+    points = scattered(spark)
+    found = []
+    for width in (16, 1000):
+        monkeypatch.setattr(raster, "_width", lambda halo, w=width: w)
+        out = raster.ground(points, 1.0, radius=5.0, sigma=0.5, sizes=(3.0, 5.0))
+        assert planned(out, "Join") == 0  # a raster of few bytes would go through the driver
+        found.append({(r["ix"], r["iy"]): (r["n"], r["z"]) for r in out.collect()})
+    assert found[0] == found[1] and any(n == 0 for n, _ in found[0].values())
+    # the hole within the ring is filled as far as the radius, and nothing outside
+    assert (8, 0) in found[0] and (8, 8) not in found[0] and (25, 25) not in found[0]
+
+
+def test_surface_shuffles_points_and_cells_once(spark, monkeypatch):
+    points = scattered(spark)
+    known = raster.grid(points, "refh", 2.0, 0.95).select("ix", "iy", "z")
+    want = {tuple(r) for r in raster.filled_idw(known, raster.closed(known, 2), 2.0, 12, 2.0, 8.0).collect()}
+    for width in (8, 100):
+        monkeypatch.setattr(raster, "_width", lambda halo, w=width: w)
+        out = raster.surface(points)
+        assert planned(out, "Exchange hash") == 2
+        got = {tuple(r) for r in out.collect()}
+        assert {(a, b, s) for a, b, _, s in got} == {(a, b, s) for a, b, _, s in want} and {s for *_, s in got} == {1, 2}
+        assert np.allclose([r[2] for r in sorted(got)], [r[2] for r in sorted(want)], atol=1e-9)
+
+
+def test_smoothing_shuffles_cells_once(spark, monkeypatch):
+    cells = raster.grid(scattered(spark), "refh", 1.0, 0.5).select("ix", "iy", "z").checkpoint()
+    z = {(r["ix"], r["iy"]): r["z"] for r in cells.collect()}
+    k = np.exp(-0.5 * (np.arange(-3, 4) / 1.5) ** 2)
+    for width in (5, 1000):
+        monkeypatch.setattr(raster, "_width", lambda halo, w=width: w)
+        out = raster.smoothed(cells, 1.5, 2.0)
+        assert planned(out, "Exchange") == 1 and planned(out, "Aggregate") == 0
+        got = {(r["ix"], r["iy"]): r["z"] for r in out.collect()}
+        assert got.keys() == z.keys()
+        for x, y in z:
+            near = [(k[a + 3] * k[b + 3], z[x + a, y + b]) for a in range(-3, 4) for b in range(-3, 4) if (x + a, y + b) in z]
+            assert abs(got[x, y] - sum(w * v for w, v in near) / sum(w for w, _ in near)) < 1e-9
