@@ -11,8 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.graph import counted
 from pulsegrid.operators.lineage import cut
-from pulsegrid.operators.quantiles import grouped_median_nmad
+from pulsegrid.operators.quantiles import BROADCAST_ROWS, grouped_median_nmad
 from pulsegrid.operators.spatial import idw
 from pulsegrid.operators.statistics import MAD_TO_SIGMA, cells, finite, grid_aggregate, median_nmad
 
@@ -186,8 +187,14 @@ def ground_grid(points: DataFrame, cell: float = 15.0, share: float = 0.02, leas
 
 
 def sample_ground(points: DataFrame, grid: DataFrame, cell: float = 15.0, k: int = 12, power: float = 2.0, radius: float = 30.0, id_column: str = "pulse_index", by: tuple[str, ...] = ()) -> DataFrame:
-    """points with ground: of their own cell, else by inverse distance from the cells around, else null."""
-    keyed = cells(points, cell).join(grid.select(*by, "ix", "iy", "z"), [*by, "ix", "iy"], "left")
-    centred = grid.select(*by, F.struct("ix", "iy").alias("cell_id"), ((F.col("ix") + 0.5) * cell).alias("x"), ((F.col("iy") + 0.5) * cell).alias("y"), "z")
-    blend = idw(keyed.where("z IS NULL AND ix IS NOT NULL AND iy IS NOT NULL").select(id_column, *by, "x", "y"), centred, "z", k, power, radius, id_column, "cell_id", by=by).select(F.col(id_column).alias("_id"), F.col("value").alias("_v"))
+    """points with ground: of their own cell, else by inverse distance from the cells around, else null. The grid is written; a large one meets
+    the points in a shuffle, and is not left to be broadcast by the driver. Where all points have ground in their cell, that is all."""
+    own, n = counted(grid.select(*by, "ix", "iy", "z"))
+    keyed = cells(points, cell).join(F.broadcast(own) if n <= BROADCAST_ROWS else own.hint("merge"), [*by, "ix", "iy"], "left")
+    lone, rest = counted(keyed.where("z IS NULL AND ix IS NOT NULL AND iy IS NOT NULL").select(id_column, *by, "x", "y"))
+    if not rest:
+        return keyed.withColumn("ground", F.col("z")).drop("ix", "iy", "z")
+    centred = own.select(*by, F.struct("ix", "iy").alias("cell_id"), ((F.col("ix") + 0.5) * cell).alias("x"), ((F.col("iy") + 0.5) * cell).alias("y"), "z")
+    blend = idw(lone, centred, "z", k, power, radius, id_column, "cell_id", by=by).select(F.col(id_column).alias("_id"), F.col("value").alias("_v"))
+    blend = F.broadcast(blend) if rest <= BROADCAST_ROWS else blend.hint("merge")
     return keyed.join(blend, F.col(id_column) == F.col("_id"), "left").withColumn("ground", F.coalesce("z", "_v")).drop("ix", "iy", "z", "_id", "_v")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import graph, raster, sampling, spatial
+from pulsegrid.operators import classify, graph, raster, sampling, spatial
 
 
 def flood(mask):
@@ -157,6 +157,24 @@ def test_ground_joins_no_rasters(spark, monkeypatch):
     assert (8, 0) in found[0] and (8, 8) not in found[0] and (25, 25) not in found[0]
 
 
+def test_points_meet_their_ground_once_and_not_by_broadcast(spark, monkeypatch):
+    points = scattered(spark)
+    want = sorted(map(tuple, raster.classified(points).collect()))
+    monkeypatch.setattr(classify, "BROADCAST_ROWS", 3)
+    out = raster.classified(points)
+    assert planned(out, "SortMergeJoin") == 1 and planned(out, "Broadcast") == 0
+    assert sorted(map(tuple, out.collect())) == want and len(want) == points.count()
+    # few cells have ground: the others' points take it from around, or have none
+    some = spark.createDataFrame([(0, 0, 41.0), (3, 0, 47.0), (4, 0, 50.0), (60, 60, 1.0), (61, 60, 1.0)], "ix bigint, iy bigint, z double")
+    got = {r["pulse_index"]: r["ground"] for r in classify.sample_ground(points, some, 4.0, 12, 2.0, 9.0).collect()}
+    for r in points.collect():
+        near = sorted((np.hypot((i + 0.5) * 4 - r["x"], 2 - r["y"]), z) for i, z in ((0, 41.0), (3, 47.0), (4, 50.0)))
+        near = [(d, z) for d, z in near if d <= 9]
+        own = {0: 41.0, 3: 47.0, 4: 50.0}.get(r["x"] // 4) if 0 <= r["y"] < 4 else None
+        blend = sum(z / d**2 for d, z in near) / sum(1 / d**2 for d, _ in near) if near else None
+        assert got[r["pulse_index"]] == own if own else (got[r["pulse_index"]] is None) == (blend is None) and (blend is None or abs(got[r["pulse_index"]] - blend) < 1e-9)
+
+
 def test_surface_shuffles_points_and_cells_once(spark, monkeypatch):
     points = scattered(spark)
     known = raster.grid(points, "refh", 2.0, 0.95).select("ix", "iy", "z")
