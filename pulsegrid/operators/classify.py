@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.graph import counted
-from pulsegrid.operators.lineage import cut
-from pulsegrid.operators.quantiles import BROADCAST_ROWS, grouped_median_nmad
+from pulsegrid.operators.quantiles import BROADCAST_ROWS
 from pulsegrid.operators.spatial import idw
-from pulsegrid.operators.statistics import MAD_TO_SIGMA, cells, finite, grid_aggregate, median_nmad
+from pulsegrid.operators.statistics import cells, finite, grid_aggregate, group_robust_z, median_nmad
 
 # Codes of the classes and reasons.
 PROCESSED, GROUND, NOISE = 1, 2, 7
@@ -119,19 +118,20 @@ def classify(points: DataFrame, options: CascadeOptions = CascadeOptions(), heig
     field = lambda c: finite(c) if c in has else missing
     out = points.withColumn("hag", F.round(finite(height) - finite(ground), 9))
     if o.scanline_noise or o.signal_density_noise:
-        out = cut(out)  # what follows reads it for each statistic
-    scan = [(c, z) for c, z, on in ((track, "_track_z", o.scanline_track), (sweep, "_sweep_z", o.scanline_sweep)) if on and c in has and o.scanline_noise]
+        out, _ = counted(out)  # what follows reads its columns for each statistic
     base = out
-    for c, z in scan:
-        found = grouped_median_nmad(base.where(F.col(c).isNotNull()), [c], "hag", o.eps, MAD_TO_SIGMA).where(F.col("n") >= o.scanline_group)
-        out = out.join(found.select(F.col(c).alias("_g"), "med", "nmad"), F.col(c) == F.col("_g"), "left").withColumn(z, F.abs(F.col("hag") - F.col("med")) / F.col("nmad")).drop("_g", "med", "nmad")
     low_amp = F.lit(False)
     if amp in has and o.signal_density_noise:
         med, nmad = median_nmad(base, amp, o.eps)
-        out = out.withColumn("_amp_z", (finite(amp) - F.lit(med).cast("double")) / F.lit(nmad).cast("double"))
-        low_amp = _is(F.col("_amp_z") <= o.low_amp_z)
+        low_amp = _is((finite(amp) - F.lit(med).cast("double")) / F.lit(nmad).cast("double") <= o.low_amp_z)
+    # what the rules ask of a row alone is answered before rows are dealt by sweep, so that no measured value need go along
+    out = out.withColumns({"_grounded": finite(ground).isNotNull(), "_low_amp": low_amp, "_low_snr": _is(field(snr) <= o.low_snr), "_weak": _is(field(support) > o.support_distance)})
+    low_amp, low_snr, weak = F.col("_low_amp"), F.col("_low_snr"), F.col("_weak")
+    scan = [(c, z) for c, z, on in ((sweep, "_sweep_z", o.scanline_sweep), (track, "_track_z", o.scanline_track)) if on and c in has and o.scanline_noise]
+    for c, z in scan:  # tracks last: they are few, and their figures are sent to the rows
+        out = group_robust_z(out, "hag", c, z, o.scanline_group, o.eps, base)
     hag, dense = F.col("hag"), field(density)
-    low_snr, low_density, weak = _is(field(snr) <= o.low_snr), _is(dense < o.low_density), _is(field(support) > o.support_distance)
+    low_density = _is(dense < o.low_density)
 
     def step(df: DataFrame, rules: list[tuple[Column, int, str]], last: bool = False) -> DataFrame:
         state = lambda kind, name: F.struct(F.lit(kind).alias("class"), F.lit(REASONS[name]).alias("reason"))
@@ -141,7 +141,7 @@ def classify(points: DataFrame, options: CascadeOptions = CascadeOptions(), heig
         return df.withColumn("_s", chosen if last else chosen.otherwise(F.col("_s")))
 
     kind, code = F.col("_s.class"), F.col("_s.reason")
-    out = step(out, _first(hag, dense, finite(ground).isNotNull(), o), last=True)
+    out = step(out, _first(hag, dense, F.col("_grounded"), o), last=True)
     if o.near_ground_guard:
         close = (kind == GROUND) & _is(F.abs(hag) <= o.guard_height)
         out = step(out, [(close & low_snr, PROCESSED, "ground_rejected_low_signal_to_processed"), (close & weak, PROCESSED, "ground_rejected_weak_dtm_to_processed"), (close & low_density, PROCESSED, "ground_rejected_low_density_to_processed")])
@@ -163,7 +163,7 @@ def classify(points: DataFrame, options: CascadeOptions = CascadeOptions(), heig
         if o.shallow_low_snr or snr in has:
             shallow = shallow & (low_snr if o.shallow_low_snr else ~low_snr)
         out = step(out, [(shallow & weak, PROCESSED, "weak_dtm_shallow_negative_kept_processed"), (shallow, PROCESSED, "shallow_negative_hag_kept_processed")])
-    return out.withColumn("class", kind).withColumn("reason", code).drop("_s", "_track_z", "_sweep_z", "_amp_z")
+    return out.withColumn("class", kind).withColumn("reason", code).drop("_s", "_track_z", "_sweep_z", "_grounded", "_low_amp", "_low_snr", "_weak")
 
 
 def first_class(height: Column, ground: Column, density: Column, options: CascadeOptions) -> Column:
@@ -186,6 +186,16 @@ def ground_grid(points: DataFrame, cell: float = 15.0, share: float = 0.02, leas
     return grid_aggregate(strong, height, cell, [share], least).select("ix", "iy", F.col("p0").alias("z"), "n")
 
 
+def with_cell_ground(points: DataFrame, cell: float = 15.0, share: float = 0.02, least_snr: float = 5.0, height: str = "refh", snr: str = "snr") -> DataFrame:
+    """points with ground and n of their own cell (ix, iy) as by ``ground_grid``, null where it has none: one shuffle of the points in
+    place of a grid that is joined with them."""
+    strong = F.when(finite(snr) >= least_snr, finite(height))
+    own = Window.partitionBy("ix", "iy")
+    met = cells(points, cell).withColumn("ground", F.percentile(strong, F.lit(float(share))).over(own)).withColumn("n", F.count(strong).over(own))
+    placed = F.col("ix").isNotNull() & F.col("iy").isNotNull()
+    return met.withColumn("ground", F.when(placed, F.col("ground"))).withColumn("n", F.when(placed & (F.col("n") > 0), F.col("n")))
+
+
 def sample_ground(points: DataFrame, grid: DataFrame, cell: float = 15.0, k: int = 12, power: float = 2.0, radius: float = 30.0, id_column: str = "pulse_index", by: tuple[str, ...] = ()) -> DataFrame:
     """points with ground: of their own cell, else by inverse distance from the cells around, else null. The grid is written; a large one meets
     the points in a shuffle, and is not left to be broadcast by the driver. Where all points have ground in their cell, that is all."""

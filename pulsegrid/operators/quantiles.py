@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.graph import counted
 from pulsegrid.operators.lineage import cut
 
 #: Values that one task may hold for a group or a bracket.
@@ -162,3 +163,32 @@ def grouped_median_nmad(df: DataFrame, groups: list[str], value: str | Column, e
     nmad = F.when(F.col("x_n") > 0, F.greatest(F.lit(float(eps)), F.lit(factor) * F.col("d_q0"))).alias("nmad")
     both = _joined(centre, spread, groups, n) if groups else centre.crossJoin(F.broadcast(spread))
     return both.select(*groups, F.col("x_n").alias("n"), F.col("x_q0").alias("med"), nmad)
+
+
+def with_median_nmad(df: DataFrame, group: str, value: str | Column, eps: float = 0.0, factor: float = 1.4826, most: int = MOST, of: DataFrame | None = None) -> DataFrame:
+    """df with _n, _med and _nmad of value in the row's group, as ``grouped_median_nmad``; null where the group is. Groups of more than
+    ``most`` rows are told by their brackets. The rows of the others meet in one shuffle, in which both medians are taken, and no table of
+    groups is joined with them; rows of large groups go along dealt by a hash, or where there are no others are not shuffled at all. Rows are counted, and large groups
+    read, in ``of``, a table of the same rows that is cheaper to read."""
+    own, of = df, df if of is None else of
+    has = F.col(f"`{group}`").isNotNull()
+    large, n_large = counted(of.where(has).groupBy(F.col(f"`{group}`").alias("_g")).agg(F.count("*").alias("_rows")).where(F.col("_rows") > most))
+    told = {c: F.lit(None).cast(t) for c, t in (("_ln", "bigint"), ("_lmed", "double"), ("_lnmad", "double"))}
+    if n_large:
+        of_large = of.where(has).join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large.hint("merge"), F.col(f"`{group}`") == F.col("_g"), "left_semi")
+        found = counted(grouped_median_nmad(of_large, [group], value, eps, factor).select(F.col(f"`{group}`").alias("_g"), F.col("n").alias("_ln"), F.col("med").alias("_lmed"), F.col("nmad").alias("_lnmad")))[0]
+        own = own.join(F.broadcast(found) if n_large <= BROADCAST_ROWS else found.hint("merge"), F.col(f"`{group}`") == F.col("_g"), "left").drop("_g")
+    else:
+        own = own.withColumns(told)
+    rest = of.where(has).count() - (large.agg(F.sum("_rows")).first()[0] or 0)
+    if not rest:
+        return own.withColumnsRenamed({"_ln": "_n", "_lmed": "_med", "_lnmad": "_nmad"})
+    here = has & F.col("_ln").isNull()
+    # a column, as Spark does not see that equal expressions deal the rows alike; dealt first, so that the value does not go along twice
+    own = own.withColumn("_apart", F.when(~here, F.xxhash64(*[F.col(f"`{c}`") for c in of.columns if c in df.columns])))
+    own = own.repartition(F.col(f"`{group}`"), "_apart").withColumn("_x", finite(value))
+    met = Window.partitionBy(F.col(f"`{group}`"), "_apart")
+    own = own.withColumn("_med", F.percentile("_x", F.lit(0.5)).over(met)).withColumn("_n", F.count("_x").over(met))
+    away = F.percentile(F.abs(F.col("_x") - F.col("_med")), F.lit(0.5)).over(met)
+    own = own.withColumn("_nmad", F.when(F.col("_n") > 0, F.greatest(F.lit(float(eps)), F.lit(factor) * away)))
+    return own.withColumns({c: F.when(here, F.col(c)).otherwise(F.col(f"_l{c[1:]}")) for c in ("_n", "_med", "_nmad")}).drop("_x", "_apart", *told)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.lineage import cut
-from pulsegrid.operators.quantiles import BROADCAST_ROWS, finite, grouped_median_nmad, grouped_quantiles, keyed
+from pulsegrid.operators.quantiles import BROADCAST_ROWS, finite, grouped_median_nmad, grouped_quantiles, keyed, with_median_nmad
 
 MAD_TO_SIGMA = 1.4826
 #: Ranks that the sketch may err by, as a share of the rows, is the inverse of this; brackets are twice as wide on either side.
@@ -123,12 +123,11 @@ def robust_z(df: DataFrame, value: str, out: str = "z", eps: float = 1e-6) -> Da
     return df.withColumn(out, (finite(value) - F.lit(med).cast("double")) / F.lit(nmad).cast("double"))
 
 
-def group_robust_z(df: DataFrame, value: str, group: str, out: str = "z", least: int = 30, eps: float = 1e-6) -> DataFrame:
-    """df with the absolute robust z of value in its group; null in groups of fewer than ``least`` values. df is read several
-    times; give a written table where it is dear to compute."""
-    found = grouped_median_nmad(df.where(F.col(group).isNotNull()), [group], value, eps, MAD_TO_SIGMA).where(F.col("n") >= least)
-    joined = df.join(found.select(F.col(group).alias("_g"), F.col("med").alias("_m"), F.col("nmad").alias("_s")), F.col(group) == F.col("_g"), "left")
-    return joined.withColumn(out, F.abs(finite(value) - F.col("_m")) / F.col("_s")).drop("_g", "_m", "_s")
+def group_robust_z(df: DataFrame, value: str, group: str, out: str = "z", least: int = 30, eps: float = 1e-6, of: DataFrame | None = None) -> DataFrame:
+    """df with the absolute robust z of value in its group; null in groups of fewer than ``least`` values. df, or ``of`` with the same
+    rows, is read several times; give a written table where it is dear to compute."""
+    met = with_median_nmad(df, group, value, eps, MAD_TO_SIGMA, of=of)
+    return met.withColumn(out, F.when(F.col("_n") >= least, F.abs(finite(value) - F.col("_med")) / F.col("_nmad"))).drop("_n", "_med", "_nmad")
 
 
 def grouped_metrics(df: DataFrame, groups: list[str], value: str | Column, ddof: int = 0) -> DataFrame:

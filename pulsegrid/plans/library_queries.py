@@ -26,12 +26,11 @@ POINTS = "SELECT ref_id, x, y, z FROM refs"
 
 
 def _cascade_points(spark: SparkSession, d: str) -> DataFrame:
-    """Pulses with the ground of their cell, the density of their cell, and the distance from its centre."""
-    points = bound(spark, d, PULSES).drop("ground")
-    grid = classify.ground_grid(points, 15.0, 0.02, 5.0)
-    keyed = statistics.cells(points, 15.0).join(grid.select("ix", "iy", F.col("z").alias("ground"), "n"), ["ix", "iy"], "left")
+    """Pulses with the ground of their cell, the density of their cell, and the distance from its centre; no column that no rule reads."""
+    points = statistics.cells(bound(spark, d, "SELECT pulse_index, sweep_num, track_num, x, y, refh, snr, amp FROM pulses"), 15.0)
     away = F.sqrt((F.col("x") - (F.col("ix") + 0.5) * 15) ** 2 + (F.col("y") - (F.col("iy") + 0.5) * 15) ** 2)
-    return keyed.withColumn("density", F.col("n") / 225.0).withColumn("support_dist", F.when(F.col("ground").isNotNull(), away))
+    met = classify.with_cell_ground(points.withColumn("away", away), 15.0, 0.02, 5.0)
+    return met.withColumn("density", F.col("n") / 225.0).withColumn("support_dist", F.when(F.col("ground").isNotNull(), F.col("away"))).drop("x", "y", "ix", "iy", "n", "away")
 
 
 def _reasons(spark: SparkSession, d: str) -> DataFrame:

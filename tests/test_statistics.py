@@ -118,3 +118,43 @@ def test_mixtures_of_known_components(spark):
     assert got == [(0, 30, 8, 3), (0, 70, 5, 4), (1, 50, 6, 5)]
     high = np.tile([np.inf, 119, 30], 2)
     assert not kernels.admissible(np.array([5.0, 50, 4, 5, 52, 4]), 0.1, np.tile([0, 0, 0.5], 2), high)
+
+
+@pytest.mark.parametrize("most", [10_000, 20, 3])
+def test_rows_meet_the_median_of_their_group_in_one_shuffle(spark, most):
+    from pulsegrid.operators import quantiles
+
+    rng = np.random.default_rng(3)
+    rows = [(k, None if k % 31 == 0 else 0 if k % 3 == 0 else int(rng.integers(1, 60)), None if k % 17 == 0 else float("nan") if k % 19 == 0 else float(rng.normal())) for k in range(600)]
+    df = spark.createDataFrame(rows, "id bigint, g bigint, v double")
+    out = quantiles.with_median_nmad(df, "g", "v", 1e-6, most=most)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == 1 and plan.count("Join") == (most < 10_000)
+    got = {r["id"]: r for r in out.collect()}
+    assert len(got) == len(rows) and out.columns == ["id", "g", "v", "_med", "_n", "_nmad"]
+    for k, g, _ in rows:
+        own = [v for _, h, v in rows if h == g and v is not None and np.isfinite(v)]
+        r = got[k]
+        if g is None:
+            assert r["_n"] is r["_med"] is r["_nmad"] is None
+            continue
+        assert r["_n"] == len(own)
+        if own:
+            med = np.median(own)
+            assert abs(r["_med"] - med) < 1e-12 and abs(r["_nmad"] - max(1e-6, 1.4826 * np.median(np.abs(np.array(own) - med)))) < 1e-12
+        else:
+            assert r["_med"] is None and r["_nmad"] is None
+    z = statistics.group_robust_z(df, "v", "g", "z", 4)
+    assert z._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0 and z.columns == ["id", "g", "v", "z"]
+
+
+def test_ground_of_own_cell_without_a_join(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, *map(float, rng.uniform(-20, 20, 2)), None if k % 13 == 0 else float(rng.normal()), float(k % 9)) for k in range(400)] + [(400, None, 1.0, 1.0, 9.0)]
+    points = spark.createDataFrame(rows, "id bigint, x double, y double, refh double, snr double")
+    out = classify.with_cell_ground(points, 5.0, 0.1, 7.0)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    grid = {(r["ix"], r["iy"]): (r["z"], r["n"]) for r in classify.ground_grid(points, 5.0, 0.1, 7.0).collect()}
+    got = {r["id"]: (r["ix"], r["iy"], r["ground"], r["n"]) for r in out.collect()}
+    assert len(got) == 401 and got[400][2:] == (None, None) and any(z is None for _, _, z, _ in got.values())
+    assert all((z, n) == grid.get((i, j), (None, None)) for i, j, z, n in got.values())
