@@ -11,11 +11,15 @@ window. Nulls come first. Null keys form a key like any other. An empty table gi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.graph import counted
 from pulsegrid.operators.lineage import cut
 from pulsegrid.operators.quantiles import BROADCAST_ROWS, finite, grouped_quantiles, keyed, keyed_few
 
@@ -136,27 +140,89 @@ def headings(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str =
     return o.with_column("heading", F.pmod(F.degrees(F.atan2(ahead[0] - back[0], ahead[1] - back[1])) + 360.0, F.lit(360.0))).result().drop("_was", "_will")
 
 
+def _same(table: pa.Table, keys: int) -> np.ndarray:
+    """Whether each row but the first has the keys (the first columns) of the row before; nulls are equal, and so are NaN."""
+    out = np.ones(max(table.num_rows - 1, 0), bool)
+    for c in table.columns[:keys]:
+        now, was = c[1:], c[:-1]
+        equal = pc.or_(pc.fill_null(pc.equal(now, was), False), pc.and_(pc.is_null(now, nan_is_null=True), pc.is_null(was, nan_is_null=True)))
+        out &= equal.to_numpy()
+    return out
+
+
+def _stepped(df: DataFrame, keys: list[str], order: list[str], track: str, x: str, y: str, most_gap: float, parts: int | None) -> DataFrame:
+    """Written rows (keys, PART, _row in it, _t, _x, _y) with _far (track grew by more than most_gap since the row before) and _step from it.
+
+    Rows are dealt by ranges and sorted once; the row before is the one that comes before in the sorted stream, so neither the order's
+    columns are written nor are rows dealt again for it. What goes over the edge of a range is told by the ranges' last rows."""
+    n, m = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(keys)
+    sorts = [*[f"_k{i}" for i in range(m)], *[f"_o{i}" for i in range(len(order))]]
+    own = df.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(order)], F.col(track).alias("_t"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    own = own.repartitionByRange(n, *sorts).sortWithinPartitions(*sorts).select(*sorts[:m], "_t", "_x", "_y", F.spark_partition_id().alias(PART))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema)
+    names = own.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, done = None, 0  # the row before, with what is told of it; the rows before it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            if held is None:
+                head = [pa.array([True]), pa.array([None], pa.bool_()), pa.array([None], pa.float64())]
+            else:
+                head = [held[c].combine_chunks() for c in ("_first", "_far", "_step")]
+                rows = pa.concat_tables([held.select(rows.column_names), rows])
+            rows = rows.combine_chunks()
+            same = _same(rows, m)
+            less = lambda c: pc.subtract(rows[c][1:], rows[c][:-1])  # noqa: E731, B023
+            dx, dy = less("_x"), less("_y")
+            step = pc.sqrt(pc.add(pc.multiply(dx, dx), pc.multiply(dy, dy)))
+            tail = [pa.array(~same), *[pc.if_else(pa.array(same), c, pa.scalar(None, c.type)) for c in (pc.greater(less("_t"), most_gap), step)]]
+            for c, one, more in zip(("_first", "_far", "_step"), head, tail, strict=True):
+                rows = rows.append_column(c, pa.chunked_array([one, *(more.chunks if isinstance(more, pa.ChunkedArray) else [more])], one.type).combine_chunks())
+            yield from told(rows.slice(0, len(same)), ~same, done)
+            held, done = rows.slice(len(same)), done + len(same)
+        if held is not None:
+            yield from told(held, np.array([True]), done)
+
+    def told(rows: pa.Table, last: np.ndarray, done: int) -> Iterator[pa.RecordBatch]:
+        out = rows.append_column("_row", pa.array(np.arange(done, done + rows.num_rows))).append_column("_last", pa.array(last))
+        yield from out.select([*names, "_row", "_first", "_last", "_far", "_step"]).combine_chunks().to_batches()
+
+    rows, _ = counted(own.mapInArrow(run, f"{fields}, _row bigint, _first boolean, _last boolean, _far boolean, _step double"))
+    at = [f"_k{i}" for i in range(m)]
+    across = Window.partitionBy(*at).orderBy(PART)  # as many rows as ranges
+    point = F.struct("_t", "_x", "_y")
+    ends = rows.where("_first OR _last").groupBy(PART, *at).agg(F.max(F.when(F.col("_first"), point)).alias("_a"), F.max(F.when(F.col("_last"), point)).alias("_b")).withColumn("_was", F.lag("_b").over(across)).where("_was IS NOT NULL")
+    step = F.sqrt(F.pow(F.col("_a._x") - F.col("_was._x"), 2) + F.pow(F.col("_a._y") - F.col("_was._y"), 2))
+    over = ends.select(F.col(PART).alias("_p"), *[F.col(k).alias(f"_r{k}") for k in at], (F.col("_a._t") - F.col("_was._t") > most_gap).alias("_cfar"), step.alias("_cstep"))
+    met = rows.join(F.broadcast(over), [F.col(PART) == F.col("_p"), F.col("_first"), *[F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in at]], "left")
+    return met.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], PART, "_row", "_t", "_x", "_y", F.coalesce("_far", "_cfar").alias("_far"), F.coalesce("_step", "_cstep").alias("_step"))
+
+
 def segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], track: str, most_gap: float, factor: float | None = None, least: int = 1, x: str = "x", y: str = "y", parts: int | None = None) -> DataFrame:
     """Runs of rows, one row each: a run breaks where track grows by more than most_gap or, with a factor, where the step is
     longer than factor times the median positive step of the key. Runs of fewer than ``least`` rows are left out. Gives the
     keys, seg (from 0), n, first and last track, length, and reversed: whether display order (left to right, then upward) turns it round."""
-    point = F.struct(F.col(track).alias("t"), F.col(x).alias("x"), F.col(y).alias("y"))
-    o = Ordered(df, keys, order, parts).shifted("_was", point)
-    step = F.sqrt(F.pow(F.col(x) - F.col("_was.x"), 2) + F.pow(F.col(y) - F.col("_was.y"), 2))
-    o = o.with_column("_step", step)
-    breaks = F.col(track) - F.col("_was.t") > most_gap
+    keys = list(keys)
+    own = _stepped(df, keys, list(order), track, x, y, most_gap, parts)
+    breaks = F.col("_far")
     if factor is not None:
-        median = grouped_quantiles(o.df, list(keys), {"s": F.when(F.col("_step") > 0, F.col("_step"))}, [0.5]).select(*keys, F.col("s_q0").alias("_median"))
-        o = o._next(cut(keyed_few(o.df, median, list(keys))))
+        median = grouped_quantiles(own, keys, {"s": F.when(F.col("_step") > 0, F.col("_step"))}, [0.5]).select(*keys, F.col("s_q0").alias("_median"))
+        own = keyed_few(own, median, keys)
         breaks = breaks | (F.col("_step") > factor * F.greatest(F.coalesce("_median", F.lit(0.0)), F.lit(1e-6)))
-    o = o.with_column("_break", F.coalesce(breaks.cast("bigint"), F.lit(0))).running("seg", "_break")
-    place = F.struct(*[F.col(f"`{c}`") for c in order])
+    rows = own.select(*keys, PART, "_row", "_t", "_x", "_y", "_step", F.coalesce(breaks.cast("bigint"), F.lit(0)).alias("_break"))
+    o = object.__new__(Ordered)
+    o.keys, o.order, o.columns, o.df = keys, ["_row"], rows.columns, rows
+    o = o.running("seg", "_break")
+    point, place = F.struct("_t", "_x", "_y"), F.struct(PART, "_row")
     ends = [F.min_by(point, place).alias("_a"), F.max_by(point, place).alias("_b")]
     length = F.sum(F.when(F.col("_break") == 0, F.col("_step")))
     found = o.df.groupBy(*keys, "seg").agg(F.count("*").alias("n"), *ends, length.alias("length")).where(F.col("n") >= least)
-    dx, dy = F.col("_b.x") - F.col("_a.x"), F.col("_b.y") - F.col("_a.y")
+    dx, dy = F.col("_b._x") - F.col("_a._x"), F.col("_b._y") - F.col("_a._y")
     turned = (dx < 0) | ((F.abs(dx) <= 1e-9) & (dy < 0))
-    return found.select(*keys, "seg", "n", F.col("_a.t").alias("first"), F.col("_b.t").alias("last"), F.coalesce("length", F.lit(0.0)).alias("length"), turned.alias("reversed"))
+    return found.select(*keys, "seg", "n", F.col("_a._t").alias("first"), F.col("_b._t").alias("last"), F.coalesce("length", F.lit(0.0)).alias("length"), turned.alias("reversed"))
 
 
 def longest_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str | Column, parts: int | None = None) -> DataFrame:

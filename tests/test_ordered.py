@@ -180,3 +180,37 @@ def test_few_hot_keys_are_not_shuffled_to_a_task_each(spark):
             assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_segments_write_no_column_that_they_do_not_need(spark, parts):
+    import os
+
+    rng = np.random.default_rng(9)
+    rows = [(None if k % 5 == 0 else k % 3, int(t), k, None if k % 97 == 0 else float(x), float(y), rng.bytes(500).hex()) for k, (t, x, y) in enumerate(zip(np.sort(rng.integers(0, 2500, 2000)), rng.normal(size=2000) * (1 + 30 * (rng.random(2000) < 0.1)), rng.normal(size=2000), strict=True))]
+    df = spark.createDataFrame(rows, "track bigint, sweep bigint, id bigint, x double, y double, note string")
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    size = lambda: sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(shared) for f in names)
+    was = size()
+    got = {(r["track"], r["seg"]): (r["n"], r["first"], r["last"], r["length"], r["reversed"]) for r in ordered.segments(df, ["track"], ["sweep", "id"], "sweep", 3, 3.0, 2, parts=parts).collect()}
+    assert size() - was < 300_000  # the notes alone are 2 MB
+    want = {}
+    for track in (None, 0, 1, 2):
+        own = sorted(r[1:5] for r in rows if r[0] == track)
+        steps = [None, *[None if a[2] is None or b[2] is None else np.hypot(b[2] - a[2], b[3] - a[3]) for a, b in zip(own, own[1:], strict=False)]]
+        far = 3 * np.median([s for s in steps if s])
+        runs = []
+        for i, (r, s) in enumerate(zip(own, steps, strict=True)):
+            if not i or r[0] - own[i - 1][0] > 3 or (s is not None and s > far):
+                runs.append(([], []))
+            elif s is not None:
+                runs[-1][1].append(s)
+            runs[-1][0].append(r)
+        for k, (run, length) in enumerate(runs):
+            if len(run) >= 2:
+                a, b = run[0], run[-1]
+                turned = None if a[2] is None or b[2] is None else bool(b[2] < a[2] or (abs(b[2] - a[2]) <= 1e-9 and b[3] < a[3]))
+                want[track, k] = (len(run), a[0], b[0], sum(length), turned)
+    assert got.keys() == want.keys() and len(got) > 50
+    for k, v in want.items():
+        assert got[k][:3] == v[:3] and abs(got[k][3] - v[3]) < 1e-9 and (v[4] is None or got[k][4] == v[4])
