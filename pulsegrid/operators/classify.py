@@ -168,8 +168,13 @@ def classify(points: DataFrame, options: CascadeOptions = CascadeOptions(), heig
 
 def first_class(height: Column, ground: Column, density: Column, options: CascadeOptions) -> Column:
     """Class by the first step of the mode alone, as a column of a row's own values."""
-    hag = finite(height) - finite(ground)
-    rules = _first(hag, finite(density), finite(ground).isNotNull(), options)
+    return class_above_ground(finite(height) - finite(ground), density, finite(ground).isNotNull(), options)
+
+
+def class_above_ground(hag: Column, density: Column, has_ground: Column, options: CascadeOptions) -> Column:
+    """As ``first_class``, of the height above ground (null without either), density,
+    and whether ground is known. The arguments stand in every rule, so they should be columns of the row and no long expressions."""
+    rules = _first(hag, finite(density), has_ground, options)
     chosen = F.when(rules[0][0], F.lit(rules[0][1]))
     for condition, kind, _ in rules[1:]:
         chosen = chosen.when(condition, F.lit(kind))

@@ -1,6 +1,6 @@
 """Parameter sweep of the classification over files: shared ground and density tables, resumed where it stopped.
 
-Settings that agree in the seven fields of the ground share one table of ground heights, and those with one radius share one
+Settings that agree in the seven fields of the ground share one table of points with their ground heights, and those with one radius share one
 table of densities; each is built once, written under the sweep's folder, and found there by a later run. All
 settings of a ground and radius are then tried in one pass over the points, whose result is a count for each file, setting,
 true and predicted class. Passes are appended to the folder ``results``, which is the manifest too: pairs of file and
@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import classify, spatial
-from pulsegrid.operators.lineage import cut
-from pulsegrid.operators.quantiles import keyed
+from pulsegrid.operators.graph import counted
+from pulsegrid.operators.quantiles import keyed_few
 
 CLASSES = (classify.PROCESSED, classify.GROUND, classify.NOISE)
 #: Settings that one pass tries; each has a count for every pair of classes.
@@ -62,12 +62,13 @@ class Setting:
         return classify.CascadeOptions(mode=self.mode, ground_tolerance=self.tolerance, above=self.above, below=self.below, least_density=self.least_density, scanline_noise=False)
 
 
-def _stored(spark: SparkSession, path: str, make) -> DataFrame:
-    """The table at path, made and written first where it is not there whole."""
+def _stored(spark: SparkSession, path: str, make, fresh: set[str]) -> DataFrame:
+    """The table at path, made and written first where it is not there whole; fresh gets the path then."""
     try:
         spark.read.text(f"{path}/_SUCCESS")  # written last, so a table without it is half a table
     except AnalysisException:
         make().write.mode("overwrite").parquet(path)
+        fresh.add(path)
     return spark.read.parquet(path)
 
 
@@ -82,43 +83,49 @@ def finished(spark: SparkSession, folder: str) -> DataFrame:
 def run(points: DataFrame, settings: list[Setting], folder: str, file: str = "granule", truth: str = "ref_class", id_column: str = "pulse_index") -> DataFrame:
     """Tries every setting on every file of points (id, x, y, refh, snr, file, true class) that has no result yet; returns all results."""
     spark = points.sparkSession
-    own = cut(points.select(F.col(id_column).alias("id"), F.col(file).cast("string").alias("file"), "x", "y", "refh", "snr", F.col(truth).cast("int").alias("truth")))  # read for each table and pass
-    files = own.select("file").distinct()
+    own, _ = counted(points.select(F.col(id_column).alias("id"), F.col(file).cast("string").alias("file"), "x", "y", "refh", "snr", F.col(truth).cast("int").alias("truth")))  # read for each table and pass
+    files, fresh = own.select("file").distinct(), set()
     order = sorted(set(settings), key=lambda s: (str(s.ground), str(s.radius), s.name))
     for (ground, radius), some in groupby(order, key=lambda s: (s.ground, s.radius)):
         some = list(some)
         for batch in (some[a : a + PASS] for a in range(0, len(some), PASS)):
             asked = files.withColumn("setting", F.explode(F.array(*[F.lit(s.name) for s in batch])))
             done = finished(spark, folder).select(F.col("file").alias("_f"), F.col("setting").alias("_s"))
-            waiting = asked.join(done, F.col("file").eqNullSafe(F.col("_f")) & (F.col("setting") == F.col("_s")), "left_anti")
-            if not waiting.isEmpty():
-                _tried(spark, own, batch, waiting, ground, radius, folder).write.parquet(f"{folder}/results/{uuid.uuid4().hex}")
+            waiting, n = counted(asked.join(done, F.col("file").eqNullSafe(F.col("_f")) & (F.col("setting") == F.col("_s")), "left_anti"))
+            if n:
+                _tried(spark, own, batch, waiting, ground, radius, folder, fresh).write.parquet(f"{folder}/results/{uuid.uuid4().hex}")
     wanted = [s.name for s in order]
     return finished(spark, folder).where(F.col("setting").isin(wanted))
 
 
-def _tried(spark: SparkSession, own: DataFrame, batch: list[Setting], waiting: DataFrame, ground: tuple, radius: float | None, folder: str) -> DataFrame:
+def _tried(spark: SparkSession, own: DataFrame, batch: list[Setting], waiting: DataFrame, ground: tuple, radius: float | None, folder: str, fresh: set[str]) -> DataFrame:
     snr, cell, share, least, neighbours, power, reach = ground
 
     def heights() -> DataFrame:
         grid = classify.ground_grid(own, cell, share, snr, least, by=("file",))
-        return classify.sample_ground(own.select("id", "file", "x", "y"), grid, cell, neighbours, power, reach, "id", ("file",)).select("id", "ground")
+        return classify.sample_ground(own.select("id", "file", "x", "y", "refh", "truth"), grid, cell, neighbours, power, reach, "id", ("file",)).select("id", "file", "refh", "truth", "ground")
 
     name = lambda x: hashlib.sha256(repr(x).encode()).hexdigest()[:12]
-    todo = keyed(own, waiting.select("file").distinct(), ["file"], "left_semi")
-    base = todo.join(_stored(spark, f"{folder}/ground/{name(ground)}", heights), "id", "left")
+    path = f"{folder}/ground/{name(ground)}"
+    base = _stored(spark, path, heights, fresh)
+    if path not in fresh:  # of an earlier run, whose points may have been others
+        base = own.join(base.select("id", "ground"), "id", "left")
+    base = keyed_few(base, waiting.select("file").distinct(), ["file"], "left_semi")  # few files: no point is shuffled for them
     density = F.lit(None).cast("double")
     if radius is not None:
         volume = 4 / 3 * 3.141592653589793 * radius**3
-        near = _stored(spark, f"{folder}/density/{name(radius)}", lambda: spatial.radius_counts(own.where("refh IS NOT NULL"), radius, "id", by=("file",)).select("id", (F.col("n") / volume).alias("density")))
+        near = _stored(spark, f"{folder}/density/{name(radius)}", lambda: spatial.radius_counts(own.where("refh IS NOT NULL"), radius, "id", by=("file",)).select("id", (F.col("n") / volume).alias("density")), fresh)
         base, density = base.join(near, "id", "left"), F.col("density")
     known = F.when(F.col("truth").isin(*CLASSES), F.col("truth")).alias("truth")
-    kinds = base.select("file", known, F.inline(F.array(F.struct(*[classify.first_class(F.col("refh"), F.col("ground"), density, s.options()).alias(f"k{i}") for i, s in enumerate(batch)]))))
+    # a generator each, so that the rules name columns: with their expressions in every rule a row's code is too long to be compiled
+    above = F.struct((classify.finite("refh") - classify.finite("ground")).alias("hag"), classify.finite("ground").isNotNull().alias("has"), density.alias("dense"))
+    base = base.select("file", known, F.inline(F.array(above)))
+    kinds = base.select("file", "truth", F.inline(F.array(F.struct(*[classify.class_above_ground(F.col("hag"), F.col("dense"), F.col("has"), s.options()).alias(f"k{i}") for i, s in enumerate(batch)]))))
     # points that all settings class alike are counted together: a row each costs one count in place of nine a setting
     alike = kinds.groupBy("file", "truth", *[f"k{i}" for i in range(len(batch))]).agg(F.count("*").alias("n"))
     each = alike.select("file", "truth", "n", F.inline(F.array(*[F.struct(F.lit(s.name).alias("setting"), F.col(f"k{i}").alias("kind")) for i, s in enumerate(batch)])))
     cells = [F.coalesce(F.sum(F.when((F.col("truth") == t) & (F.col("kind") == p), F.col("n"))), F.lit(0)).cast("bigint").alias(f"c{t}{p}") for t in CLASSES for p in CLASSES]
-    return keyed(each.groupBy("file", "setting").agg(*cells), waiting, ["file", "setting"], "left_semi").select("file", "setting", *COUNTS)
+    return keyed_few(each.groupBy("file", "setting").agg(*cells), waiting, ["file", "setting"], "left_semi").select("file", "setting", *COUNTS)
 
 
 def scored(results: DataFrame) -> DataFrame:

@@ -113,3 +113,21 @@ def test_points_are_made_once(spark, points):
     assert seen.value == len(points[0])
     known = [r for r in points[0] if r[0] % 10 < 8]
     assert len(made) == 8 and all(sum(r[c] for c in sweep.COUNTS) == sum(k[1] == r["file"] for k in known) for r in made)
+
+
+def test_points_are_not_joined_with_a_ground_that_was_made_of_them(spark, points):
+    from pyspark.sql import functions as F
+
+    own = points[1].select(F.col("pulse_index").alias("id"), F.col("granule").alias("file"), "x", "y", "refh", "snr", F.col("ref_class").alias("truth"))
+    batch, folder = GRID[:2], shared(spark, "ground")
+    assert batch[0].ground == batch[1].ground
+    waiting = spark.createDataFrame([(f, s.name) for f in "ab" for s in batch], "file string, setting string")
+    fresh, counts = set(), []
+    for known in (fresh, fresh, set()):  # made, of this run, of an earlier one
+        out = sweep._tried(spark, own, batch, waiting, batch[0].ground, None, folder, known)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("LeftOuter") == (known is not fresh) and plan.count("isnan") <= 6
+        counts.append(sorted(map(tuple, out.collect())))
+    assert counts[0] == counts[1] == counts[2] and len(fresh) == 1
+    for file, setting, *got in counts[0]:
+        assert dict(zip(sweep.COUNTS, got, strict=True)) == plain(points[0], next(s for s in batch if s.name == setting))[file]
